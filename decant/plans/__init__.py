@@ -2,6 +2,6 @@
 
 import importlib
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "stores", "texts")
 for _m in MODULES:
     importlib.import_module(f"decant.plans.{_m}")
