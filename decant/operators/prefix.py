@@ -8,7 +8,7 @@ recomputed task lands in the same bucket, because nothing is sampled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,3 +114,29 @@ def neighbours(
     cols |= {n: F.coalesce(F.last(c, ignorenulls=True).over(up), F.col(f"_c_{n}")) for n, c in fill.items()}
     cols |= {n: F.coalesce(F.first(c, ignorenulls=True).over(down), F.col(f"_c_{n}")) for n, c in fill_next.items()}
     return j.withColumns(cols).drop("_b", *[f"_c_{n}" for n in (*lag, *fill, *fill_next)])
+
+
+def running_min(df: DataFrame, group: Sequence[str], order: Sequence[str], bucket: Column, value: str, payload: str, name: str) -> DataFrame:
+    """Smallest non-null value so far (struct of value and payload), carried across buckets like ``neighbours``."""
+    g = list(group)
+    d = df.withColumns({"_b": bucket, "_x": F.when(F.col(value).isNotNull(), F.struct(value, payload))})
+    edge = d.groupBy(*g, "_b").agg(F.min("_x").alias("_m"))
+    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.select(*g, "_b", F.min("_m").over(before).alias("_c"))
+    w = Window.partitionBy(*g, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(edge, [*g, "_b"]).withColumn(name, F.least(F.min("_x").over(w), F.col("_c"))).drop("_b", "_x", "_c")
+
+
+def trailing(df: DataFrame, rank: str, size: int, cols: Mapping[str, Callable[[Window], Column]], group: Sequence[str] = (), chunk: int = 1 << 14) -> DataFrame:
+    """Window functions over the last ``size`` rows of a numbered sequence (``rank`` from 1).
+
+    The sequence is cut into chunks; each chunk also gets the ``size - 1`` rows before it, so chunks are
+    independent and a row is copied at most once as long as ``chunk >= size``.
+    """
+    r = F.col(rank) - 1
+    own = F.floor(r / chunk)
+    tail = (r % chunk) >= chunk - (size - 1)
+    d = df.withColumn("_c", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*group, "_c").orderBy(rank).rowsBetween(-(size - 1), 0)
+    d = d.withColumns({n: f(w) for n, f in cols.items()})
+    return d.filter(F.col("_c") == F.floor((F.col(rank) - 1) / chunk)).drop("_c")
