@@ -184,8 +184,8 @@ def bench_results(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("cat"), (F.col("l_partkey") % 3).cast("string")).alias("category"),
         ok.alias("ok"),
         F.when(ok, F.col("l_quantity").cast("int")).alias("tokens_predicted"),
-        F.when(ok, F.round(F.col("l_extendedprice") / 10000, 4)).alias("wall_s"),
-        F.when(ok, F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)).alias("gen_rate"),
+        F.when(ok, F.round(F.col("l_extendedprice") / 10007, 4)).alias("wall_s"),
+        F.when(ok, F.round(F.col("l_extendedprice") / (F.col("l_quantity") + 0.37), 4)).alias("gen_rate"),
         F.when(ok, F.sha1(F.year("l_shipdate").cast("string"))).alias("sha"),
         F.when(ok, F.col("l_suppkey") % 50).alias("draft_n"),
         F.when(ok, F.col("l_suppkey") % 50 - F.col("l_suppkey") % 7 % (F.col("l_suppkey") % 50 + 1)).alias("draft_ok"),
@@ -200,12 +200,12 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(
         (F.col("o_custkey") % 12).alias("run"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at_us"), F.col("o_orderkey").alias("okey"),
-        F.when(has, F.round(F.col("o_totalprice") / 100000, 4)).alias("val_kl"),
+        F.when(has, F.round(F.col("o_totalprice") / 100003, 4)).alias("val_kl"),
         F.round(F.lit(60.0) + F.col("o_totalprice") % 35, 2).alias("temp_c"),
-        F.when(F.col("o_orderkey") % 4 != 0, F.round(F.col("o_totalprice") / 1000, 2)).alias("samples_per_s"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.round(F.col("o_totalprice") / 1009, 2)).alias("samples_per_s"),
         (F.col("o_orderkey") % 64 + 1).cast("int").alias("n"),
         (F.col("o_orderkey") % 17).cast("int").alias("n_gold"),
-        F.round(F.col("o_totalprice") / 50000, 4).alias("loss"),
+        F.round(F.col("o_totalprice") / 30011, 4).alias("loss"),
         F.round(F.col("o_totalprice") % 7, 4).alias("ce"),
         F.round(F.lit(0.5) + F.col("o_custkey") % 10, 2).alias("dt"),
     )
@@ -338,8 +338,8 @@ cte("bench", """
 SELECT l_returnflag || '|' || l_linestatus AS config, l_linenumber AS rep, l_orderkey AS req, l_partkey % 8 AS prompt_id,
        'cat' || (l_partkey % 3) AS category, l_orderkey % 20 <> 0 AS ok,
        CASE WHEN l_orderkey % 20 <> 0 THEN l_quantity::INTEGER END AS tokens_predicted,
-       CASE WHEN l_orderkey % 20 <> 0 THEN round(l_extendedprice / 10000, 4) END AS wall_s,
-       CASE WHEN l_orderkey % 20 <> 0 THEN round(l_extendedprice / l_quantity, 4) END AS gen_rate,
+       CASE WHEN l_orderkey % 20 <> 0 THEN round(l_extendedprice / 10007, 4) END AS wall_s,
+       CASE WHEN l_orderkey % 20 <> 0 THEN round(l_extendedprice / (l_quantity + 0.37), 4) END AS gen_rate,
        CASE WHEN l_orderkey % 20 <> 0 THEN sha1(year(l_shipdate)::VARCHAR) END AS sha,
        CASE WHEN l_orderkey % 20 <> 0 THEN l_suppkey % 50 END AS draft_n,
        CASE WHEN l_orderkey % 20 <> 0 THEN l_suppkey % 50 - l_suppkey % 7 % (l_suppkey % 50 + 1) END AS draft_ok,
@@ -347,10 +347,10 @@ SELECT l_returnflag || '|' || l_linestatus AS config, l_linenumber AS rep, l_ord
 FROM lineitem""")
 cte("runlog", """
 SELECT o_custkey % 12 AS run, epoch_us(o_orderdate) AS at_us, o_orderkey AS okey,
-       CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice / 100000, 4) END AS val_kl,
+       CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice / 100003, 4) END AS val_kl,
        round(60.0 + o_totalprice % 35, 2) AS temp_c,
-       CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice / 1000, 2) END AS samples_per_s,
+       CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice / 1009, 2) END AS samples_per_s,
        (o_orderkey % 64 + 1)::INTEGER AS n, (o_orderkey % 17)::INTEGER AS n_gold,
-       round(o_totalprice / 50000, 4) AS loss, round(o_totalprice % 7, 4) AS ce, round(0.5 + o_custkey % 10, 2) AS dt,
+       round(o_totalprice / 30011, 4) AS loss, round(o_totalprice % 7, 4) AS ce, round(0.5 + o_custkey % 10, 2) AS dt,
        row_number() OVER (PARTITION BY o_custkey % 12 ORDER BY o_orderdate, o_orderkey) AS step
 FROM orders""")
