@@ -1,10 +1,30 @@
-"""String pools, slots and embedding spaces."""
+"""String pools, slots and embedding spaces.
+
+Means of cosines over pair sets come from sums of unit vectors, so no pair is ever built. Nearest
+neighbours need every pair once: they run as block products inside tasks and only k rows per query and
+block leave a task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decant.functions import dist as D
+from decant.functions import hashing as H
+from decant.operators.prefix import hash_bucket, id_bucket, prefix
+from decant.session import SMALL_BYTES, is_small
+
+BLOCK_ROWS = 2048
+# Fixed values of the closeness verdict.
+TEACHER_RATIO, CHANCE_FACTOR, SEEN_RATIO = 0.70, 5.0, 0.80
+
+
+# ---- strings and slots ---------------------------------------------------------------------
 
 def verify_strings(shown: DataFrame, grid: DataFrame) -> DataFrame:
     """Check shown (text, tier, label) rows against the phrase table; adds the reason a row disagrees."""
@@ -13,3 +33,343 @@ def verify_strings(shown: DataFrame, grid: DataFrame) -> DataFrame:
     return shown.join(g, "text", "left").withColumn(
         "reason", F.expr("""case when n_labels is null then 'string not in table' when n_labels > 1 then 'ambiguous'
             when tier not between lo and hi then 'tier mismatch' when t_label <> label then 'gold mismatch' else 'ok' end"""))
+
+
+def slots(items: DataFrame) -> DataFrame:
+    """One row per item and candidate position; ``h`` stands for the string."""
+    d = items.selectExpr("item_id", "source", "split", "posexplode(candidates) as (pos, text)")
+    return d.withColumn("h", F.sha1("text"))
+
+
+def dictionary(slot: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Unique strings numbered in first-occurrence order (item, position), from 0."""
+    first = slot.groupBy("h").agg(F.min_by("text", F.struct("item_id", "pos")).alias("text"), F.min(F.struct("item_id", "pos", "source")).alias("at"))
+    d = first.select("h", "text", "at.item_id", "at.pos", "at.source")
+    d = prefix(d, ["item_id", "pos"], id_bucket("item_id", width), rank="uid")
+    return d.withColumn("uid", F.col("uid") - 1)
+
+
+def slot_ids(slot: DataFrame, strings: DataFrame) -> DataFrame:
+    return slot.join(strings.select("h", "uid"), "h", "left").select("item_id", "source", "split", "pos", "h", "uid")
+
+
+def leaks(slot: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Why a string set may not be embedded: held-out items among its slots, or held-out strings in it."""
+    held = slot.filter("split <> 'train'")
+    by_split = held.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("slot of split "), F.col("split")).alias("problem"), "n")
+    train = slot.filter("split = 'train'").select("h").distinct()
+    only_held = embedded.join(train, "h", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("string without a train slot").alias("problem"), "n")
+    return by_split.unionByName(only_held).filter("n > 0")
+
+
+def slots_problems(expected: DataFrame, found: DataFrame, masked: bool = False) -> DataFrame:
+    """Slots on one side only. Masked sets may lack slots but never have extra ones."""
+    j = expected.select("item_id", "pos", F.lit(True).alias("e")).join(found.select("item_id", "pos", F.lit(True).alias("f")), ["item_id", "pos"], "full_outer")
+    bad = F.when(F.col("e").isNull(), "extra").when(F.col("f").isNull() & F.lit(not masked), "missing")
+    return j.select("item_id", "pos", bad.alias("problem")).filter("problem is not null")
+
+
+def mask_long(slot: DataFrame, lengths: DataFrame, limit: int) -> DataFrame:
+    """Slots whose string is longer than ``limit`` tokens lose their id."""
+    d = slot.join(lengths.select("uid", "n_tokens"), "uid")
+    return d.withColumns({"long": F.col("n_tokens") > limit, "masked_uid": F.when(F.col("n_tokens") <= limit, F.col("uid"))})
+
+
+def string_pool(slot: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Strings still referenced by a valid slot, with tokens and source of their first slot."""
+    first = slot.filter("uid is not null").groupBy("uid").agg(F.min(F.struct("item_id", "pos", "source")).alias("a"))
+    return first.select("uid", "a.source", "a.item_id", "a.pos").join(tokens, "uid").filter(F.size("tokens") > 0)
+
+
+# ---- pair means without pairs --------------------------------------------------------------
+
+def vector_sum(vec: str, dims: int) -> Column:
+    return F.expr(f"array({', '.join(f'sum({vec}[{i}])' for i in range(dims))})")
+
+
+def group_sums(df: DataFrame, keys: Sequence[str], vec: str, dims: int) -> DataFrame:
+    """Row count and sum of vectors per group; combined before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), vector_sum(vec, dims).alias("s"))
+
+
+# ---- nearest neighbours --------------------------------------------------------------------
+
+def _best(q: pd.DataFrame, p: pd.DataFrame, pm: np.ndarray, k: int, exclude: Sequence[str], require: Sequence[str]) -> pd.DataFrame:
+    sim = np.round(np.stack(q["vec"].to_numpy()) @ pm.T, 6)
+    ok = np.ones(sim.shape, bool)
+    for c in exclude:
+        ok &= q[c].to_numpy()[:, None] != p[c].to_numpy()[None, :]
+    for c in require:
+        ok &= q[c].to_numpy()[:, None] == p[c].to_numpy()[None, :]
+    sim = np.where(ok, sim, -np.inf)
+    ids = p["id"].to_numpy()
+    out = []
+    for i, row in enumerate(sim):
+        cand = np.flatnonzero(row > -np.inf)
+        if len(cand) > k:
+            edge = np.partition(row[cand], len(cand) - k)[len(cand) - k]
+            cand = cand[row[cand] >= edge]
+        top = cand[np.lexsort((ids[cand], -row[cand]))[:k]]
+        out.append((np.full(len(top), q["id"].iat[i]), ids[top], row[top]))
+    cols = [np.concatenate(x) if out else np.array([]) for x in zip(*out)]
+    return pd.DataFrame({"qid": cols[0].astype("int64"), "pid": cols[1].astype("int64"), "cos": cols[2].astype("float64")})
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int, exclude: Sequence[str] = ("id",), require: Sequence[str] = (), block: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top-k by cosine; both sides have (id, unit vector ``vec``) plus the columns named in the conditions.
+
+    ``exclude``: pairs equal in that column never count; ``require``: only pairs equal in it count. Cosines
+    are compared after rounding to six digits, ties go to the smaller id. A pool whose size is checked to be
+    small goes to every task; otherwise queries and pool meet block by block.
+    """
+    spark = queries.sparkSession
+    cols = ["id", "vec", *[c for c in (*exclude, *require) if c != "id"]]
+    schema = "qid bigint, pid bigint, cos double"
+    ex, rq = tuple(exclude), tuple(require)
+    queries, pool = queries.select(*cols), pool.select(*cols)
+    if is_small(pool, max(1, SMALL_BYTES // (8 * 64))):
+        held = pool.toPandas()
+        n_dims = len(held["vec"].iat[0]) if len(held) else 0
+        if len(held) and held.shape[0] * n_dims * 8 <= SMALL_BYTES:
+            shared = spark.sparkContext.broadcast((held.drop(columns="vec"), np.stack(held["vec"].to_numpy())))
+
+            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                p, pm = shared.value
+                for q in batches:
+                    if len(q):
+                        yield _best(q, p, pm, k, ex, rq)
+
+            return _ranked(queries.mapInPandas(scan, schema), k, merge=False)
+    return _ranked(_block_scan(queries, pool, k, ex, rq, block), k, merge=True)
+
+
+def _block_scan(queries: DataFrame, pool: DataFrame, k: int, ex: Sequence[str], rq: Sequence[str], block: int) -> DataFrame:
+    """Every query block meets every pool block in its own task; both copies are exploded over the grid."""
+    nq = max(1, -(-queries.count() // block))
+    np_ = max(1, -(-pool.count() // block))
+    side = lambda d, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = queries.withColumns({"qb": side(queries, nq), "pb": F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)))})
+    p = pool.withColumns({"pb": side(pool, np_), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "pid": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
+        return _best(a, b, np.stack(b["vec"].to_numpy()), k, ex, rq)
+
+    return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(cell, "qid bigint, pid bigint, cos double")
+
+
+def _ranked(found: DataFrame, k: int, merge: bool) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc("cos"), "pid")
+    d = found.withColumn("rank", F.row_number().over(w))
+    return d.filter(F.col("rank") <= k) if merge else d
+
+
+def pair_auc(queries: DataFrame, pool: DataFrame, digits: int = 4, require: Sequence[str] = ("lang",), label: str = "intent") -> DataFrame:
+    """AUC of same-label against other-label pair cosines, from counts per cosine rounded to ``digits``.
+
+    Tasks emit one row per distinct cosine value, at most 2·10^digits + 1 of them, never the pairs.
+    """
+    from decant.operators.quantiles import auc_from_counts
+
+    spark = queries.sparkSession
+    cols = ["id", "vec", label, *require]
+    rq = tuple(require)
+    if not is_small(pool, max(1, SMALL_BYTES // (8 * 64))):
+        raise ValueError("pool too large for one broadcast; split it by language first")
+    held = pool.select(*cols).toPandas()
+    shared = spark.sparkContext.broadcast((held.drop(columns="vec"), np.stack(held["vec"].to_numpy())))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p, pm = shared.value
+        for q in batches:
+            if not len(q):
+                continue
+            sim = np.round(np.stack(q["vec"].to_numpy()) @ pm.T, digits) + 0.0
+            same = q[label].to_numpy()[:, None] == p[label].to_numpy()[None, :]
+            ok = np.ones(sim.shape, bool)
+            for c in rq:
+                ok &= q[c].to_numpy()[:, None] == p[c].to_numpy()[None, :]
+            v, inv = np.unique(sim[ok], return_inverse=True)
+            pos = np.bincount(inv, weights=same[ok], minlength=len(v))
+            yield pd.DataFrame({"v": v, "pos": pos.astype("int64"), "neg": (np.bincount(inv, minlength=len(v)) - pos).astype("int64")})
+
+    c = queries.select(*cols).mapInPandas(count, "v double, pos bigint, neg bigint")
+    return auc_from_counts(c.groupBy("v").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+
+
+def recall_at_k(queries: DataFrame, pool: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """Overlap of teacher-space (``vec``) and student-space (``svec``) neighbour lists, averaged over queries."""
+    student = lambda d: d.drop("vec").withColumnRenamed("svec", "vec")
+    k_max = max(ks)
+    t = nearest(queries, pool, k_max).select("qid", "pid", F.col("rank").alias("rt"))
+    s = nearest(student(queries), student(pool), k_max).select("qid", "pid", F.col("rank").alias("rs"))
+    j = t.join(s, ["qid", "pid"])
+    hits = j.agg(*[F.count_if((F.col("rt") <= k) & (F.col("rs") <= k)).alias(f"h{k}") for k in ks]).withColumn("one", F.lit(1))
+    size = queries.agg(F.count(F.lit(1)).alias("nq")).withColumn("one", F.lit(1)).join(pool.agg(F.count(F.lit(1)).alias("np")).withColumn("one", F.lit(1)), "one")
+    rows = [F.struct(F.lit(k).alias("k"), F.round(F.col(f"h{k}") / (F.col("nq") * k), 6).alias("recall"), F.round(F.lit(k) / (F.col("np") - 1), 6).alias("chance")) for k in ks]
+    return hits.join(size, "one").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+# ---- linear algebra over partial sums ------------------------------------------------------
+
+def _moments(df: DataFrame, cols: Sequence[str], key: str | None = None) -> dict:
+    """Per key: n, sums and cross-products of the concatenated columns. One row per task and key is shuffled."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not len(b):
+                continue
+            m = np.hstack([np.stack(b[c].to_numpy()).astype(float) for c in cols])
+            m = np.hstack([np.ones((len(m), 1)), m])
+            keys = b[key].to_numpy() if key else np.zeros(len(m), int)
+            for k in np.unique(keys):
+                x = m[keys == k]
+                acc[int(k)] = acc.get(int(k), 0) + x.T @ x
+        for k, g in acc.items():
+            yield pd.DataFrame({"key": [k], "g": [g.ravel()]})
+
+    d = df.select(*cols, *([key] if key else [])).mapInPandas(part, "key int, g array<double>")
+    d = d.select("key", F.posexplode("g").alias("i", "x")).groupBy("key", "i").agg(F.sum("x").alias("x"))
+    rows = d.orderBy("key", "i").toPandas()  # D x D numbers per key, whatever the row count
+    out = {}
+    for k, g in rows.groupby("key"):
+        size = int(round(len(g) ** 0.5))
+        out[int(k)] = g["x"].to_numpy().reshape(size, size)
+    return out
+
+
+def pca_fit(df: DataFrame, vec: str, d: int) -> dict:
+    """Principal axes of unit vectors; signs fixed by the largest component."""
+    g = _moments(df.select(F.expr(D.unit(vec)).alias("u")), ["u"])[0]
+    n = g[0, 0]
+    mean = g[0, 1:] / n
+    cov = (g[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+    w, v = np.linalg.eigh(cov)
+    w, v = np.clip(w[::-1], 0, None), v[:, ::-1]
+    d = int(min(d, len(mean), n - 1))
+    comp = v[:, :d].T
+    lead = comp[np.arange(d), np.abs(comp).argmax(axis=1)]
+    comp = comp * np.where(lead < 0, -1.0, 1.0)[:, None]
+    return {"mean": mean, "components": comp, "variance": w[:d], "ratio": w[:d] / max(w.sum(), 1e-300), "total": float(w.sum()), "n": int(n)}
+
+
+def project(df: DataFrame, vec: str, mean: np.ndarray, matrix: np.ndarray, out: str) -> DataFrame:
+    """Rows times a small matrix (D x d), after unit length and centring."""
+    shared = df.sparkSession.sparkContext.broadcast((mean, matrix))
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, b = shared.value
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf[vec].to_numpy()).astype(float)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                yield pdf.assign(**{out: list((x - m) @ b)})
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInPandas(apply, f"{schema}, `{out}` array<double>")
+
+
+def gaussian_matrix(rows: int, cols: int, seed: str) -> np.ndarray:
+    """Seeded Gaussian entries scaled by 1/sqrt(cols), from sha1 uniforms, equal on every machine."""
+    import hashlib
+
+    def u(*p):
+        return (int(hashlib.sha1(":".join([str(H.SEED), seed, *map(str, p)]).encode()).hexdigest()[:8], 16) + 1) / 4294967297.0
+
+    z = [[np.sqrt(-2 * np.log(u(i, j, 1))) * np.cos(2 * np.pi * u(i, j, 2)) for j in range(cols)] for i in range(rows)]
+    return np.array(z) / np.sqrt(cols)
+
+
+def ridge_crossfit(df: DataFrame, x: str, y: str, group: str, folds: int = 5, alphas: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)):
+    """Grouped cross-fit ridge from x to y. Returns (rows with ``pred``, chosen alpha, mean cosine per alpha).
+
+    Each fold's model comes from subtracting that fold's cross-products from the total, so the data is read
+    once to fit and once to score, whatever the number of folds and penalties. ``df`` has a boolean
+    ``seen``; unseen rows are predicted by the model of all seen rows.
+    """
+    spark = df.sparkSession
+    g = df.filter("seen").select(group).distinct().withColumn("gh", H.rank_key("fold", F.col(group)))
+    g = prefix(g, ["gh"], hash_bucket("gh"), rank="gr").select(group, ((F.col("gr") - 1) % folds).cast("int").alias("fold"))
+    d = df.join(g, group, "left").withColumn("fold", F.when(F.col("seen"), F.col("fold")).otherwise(-1))
+    m = _moments(d.filter("fold >= 0"), [x, y], "fold")
+    dx = len(df.select(x).first()[0])
+    total = sum(m.values())
+
+    def solve(gram, a):
+        n = gram[0, 0]
+        mean = gram[0, 1:] / n
+        c = gram[1:, 1:] - n * np.outer(mean, mean)
+        xx, xy = c[:dx, :dx], c[:dx, dx:]
+        w = np.linalg.solve(xx + a * np.trace(xx) / dx * np.eye(dx), xy)
+        return w, mean[:dx], mean[dx:]
+
+    models = {(f, i): solve(total - gr, a) for f, gr in m.items() for i, a in enumerate(alphas)}
+    models |= {(-1, i): solve(total, a) for i, a in enumerate(alphas)}
+    shared = spark.sparkContext.broadcast(models)
+    n_alpha = len(alphas)
+
+    def predict(b: pd.DataFrame, i: int) -> np.ndarray:
+        xs, fs = np.stack(b[x].to_numpy()).astype(float), b["fold"].to_numpy()
+        out = None
+        for f in np.unique(fs):
+            w, xm, ym = shared.value[(int(f), i)]
+            p = (xs[fs == f] - xm) @ w + ym
+            out = np.zeros((len(xs), p.shape[1])) if out is None else out
+            out[fs == f] = p
+        return out
+
+    def cosines(batches):
+        for b in batches:
+            if len(b):
+                ys = np.stack(b[y].to_numpy()).astype(float)
+                for i in range(n_alpha):
+                    p = predict(b, i)
+                    c = (p * ys).sum(1) / np.maximum(np.linalg.norm(p, axis=1) * np.linalg.norm(ys, axis=1), 1e-12)
+                    yield pd.DataFrame({"i": [i], "s": [c.sum()], "n": [len(c)]})
+
+    sc = d.filter("fold >= 0").select(x, y, "fold").mapInPandas(cosines, "i int, s double, n bigint").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("c"))
+    scores = {alphas[r["i"]]: r["c"] for r in sc.toLocalIterator()}
+    best = max(range(n_alpha), key=lambda i: (scores[alphas[i]], -i))
+
+    @F.pandas_udf("array<double>")
+    def pred(xs: pd.Series, fs: pd.Series) -> pd.Series:
+        return pd.Series(list(predict(pd.DataFrame({x: xs, "fold": fs}), best)))
+
+    return d.withColumn("pred", pred(x, "fold")), alphas[best], scores
+
+
+# ---- batch losses --------------------------------------------------------------------------
+
+def batch_losses(df: DataFrame, batch: str, tau_t: float = 0.1, tau_s: float = 0.1, tau_nce: float = 0.07) -> DataFrame:
+    """Relation and contrastive losses per mini-batch; a batch has a fixed number of rows by construction.
+
+    ``df`` has uid, student vector z, aligned teacher vector t, and centred unit teacher vector e.
+    """
+
+    def unit(a):
+        return a / np.sqrt((a * a).sum(1, keepdims=True) + 1e-12)
+
+    def log_softmax(x, ok):
+        x = np.where(ok, x, -np.inf)
+        top = x.max(axis=1, keepdims=True)
+        top = np.where(np.isfinite(top), top, 0.0)
+        return x - top - np.log(np.maximum(np.exp(x - top).sum(1, keepdims=True), 1e-300))
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        z, t, e = (np.stack(b[c].to_numpy()).astype(float) for c in ("z", "t", "e"))
+        z, t = unit(z), unit(t)
+        u = b["uid"].to_numpy()
+        same = u[:, None] == u[None, :]
+        ok = ~same
+        rows = ok.any(1)
+        lt, ls = log_softmax(e @ e.T / tau_t, ok), log_softmax(z @ z.T / tau_s, ok)
+        kl = np.where(ok, np.exp(lt) * (np.where(ok, lt, 0) - np.where(ok, ls, 0)), 0.0).sum(1)
+        rkd = float(kl[rows].mean()) if rows.any() else 0.0
+        keep = ~(same & ~np.eye(len(u), dtype=bool))
+        sim = z @ t.T / tau_nce
+        nce = -0.5 * (np.diag(log_softmax(sim, keep)).mean() + np.diag(log_softmax(sim.T, keep.T)).mean())
+        return pd.DataFrame({"batch": [int(b[batch].iat[0])], "n": [len(b)], "rkd": [rkd], "infonce": [float(nce)]})
+
+    return df.groupBy(batch).applyInPandas(one, "batch bigint, n bigint, rkd double, infonce double")

@@ -182,3 +182,14 @@ def robust_report(variants: DataFrame, originals: DataFrame) -> DataFrame:
         F.count_if(paired).alias("n_paired"), r(pair("va") - F.avg("oa"), "delta_agreement"), r(pair("vk") - F.avg("ok"), "delta_kl"),
         r(F.avg(F.when(same, (F.col("vpick") == F.col("opick")).cast("double"))), "consistency"), F.count_if(same).alias("n_consistency"),
     )
+
+
+def spearman(a: str, b: str) -> str:
+    """Rank correlation of two aligned short arrays; ties share their mean rank."""
+
+    def ranks(v: str) -> str:
+        return D.mapped(v, lambda x: f"size(filter({v}, y -> y < {x})) + (size(filter({v}, y -> y = {x})) + 1) / 2D")
+
+    mid = f"(size({a}) + 1) / 2D"
+    cov = lambda p, q: D.total(D.zipped(p, q, lambda x, y: f"({x} - {mid}) * ({y} - {mid})"))
+    return D.let(ranks(a), lambda ra: D.let(ranks(b), lambda rb: f"{cov(ra, rb)} / nullif(sqrt({cov(ra, ra)} * {cov(rb, rb)}), 0D)"))

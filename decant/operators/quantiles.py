@@ -70,6 +70,16 @@ def auc(df: DataFrame, score: str, positive: str, group: Sequence[str] = ()) ->
     """P(score of a positive > score of a negative), ties one half; null when a side is empty."""
     g = list(group)
     c = value_counts(df, g, score, _p=F.count_if(F.col(positive))).withColumn("_q", F.col("_c") - F.col("_p"))
+    return _auc(c, g)
+
+
+def auc_from_counts(counts: DataFrame) -> DataFrame:
+    """Same from rows (v, pos, neg): how often each value occurs on either side."""
+    c = value_counts(counts, [], "v", _p=F.sum("pos"), _q=F.sum("neg"))
+    return _auc(c, [])
+
+
+def _auc(c: DataFrame, g: list[str]) -> DataFrame:
     hist = c.groupBy(*g, "_b").agg(F.sum("_q").alias("_qb"))
     earlier = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*g, "_b", F.coalesce(F.sum("_qb").over(earlier), F.lit(0)).alias("_before"))
