@@ -40,3 +40,22 @@ def rank_text(*parts: str, seed: int = SEED) -> str:
 def numeric_or_crc(ident: Column) -> Column:
     """Numeric ids as they are, other ids by crc32."""
     return F.coalesce(ident.try_cast("bigint"), F.crc32(ident.cast("string")))
+
+
+def int_text(*parts: str) -> str:
+    """Leading 32 bits of the sort key as SQL text."""
+    return f"cast(conv(substr({rank_text(*parts)}, 1, 8), 16, 10) as bigint)"
+
+
+def uniform_text(*parts: str) -> str:
+    return f"({int_text(*parts)} / 4294967296D)"
+
+
+def pick_text(array: str, *parts: str) -> str:
+    """One element of an array, chosen by hash."""
+    return f"get({array}, cast({int_text(*parts)} % size({array}) as int))"
+
+
+def shuffled_text(array: str, *salt: str) -> str:
+    """An array of strings in hash order."""
+    return f"transform(array_sort(transform({array}, e -> struct({rank_text(*salt, 'e')} as h, e as e))), s -> s.e)"
