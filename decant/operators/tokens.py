@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from decant.functions import text as T
 from decant.operators.prefix import prefix
-from decant.session import materialise
+from decant.session import materialise, spread
 
 # Special ids, then one id per byte, then learned pieces.
 PAD, UNK, BOS, EOS, SEP = range(5)
@@ -72,7 +72,7 @@ def learn_vocab(lines: DataFrame, size: int, col: str = "line") -> DataFrame:
     chars = materialise(char_counts(words), "chars")
     cover = covered_chars(chars)
     rare = chars.join(cover.select("ch"), "ch", "left_anti").select("ch")
-    best = piece_scores(mask_rare(words, rare)).orderBy(F.desc("score"), "piece").limit(size)
+    best = piece_scores(spread(mask_rare(words, rare))).orderBy(F.desc("score"), "piece").limit(size)
     both = cover.select(F.col("ch").alias("piece"), F.col("n").alias("score"), F.lit(0).alias("kind")).unionByName(best.select("piece", "score", F.lit(1).alias("kind")))
     # at most ``size`` pieces and one row per character reach this numbering
     d = both.withColumn("id", F.row_number().over(Window.orderBy("kind", F.desc("score"), "piece")) + (PIECES_FROM - 1))

@@ -58,3 +58,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than it needs to decide."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions ahead of a step that multiplies its input, when the input itself is small."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
