@@ -2,6 +2,6 @@
 
 import importlib
 
-MODULES = ("evaluation", "stores", "texts", "cascades", "telemetry", "embeds", "building", "tokenise", "synthetic")
+MODULES = ("evaluation", "stores", "texts", "cascades", "telemetry", "embeds", "building", "tokenise", "synthetic", "streams")
 for _m in MODULES:
     importlib.import_module(f"decant.plans.{_m}")
