@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from decant.functions.dist import let
 
 # Patterns that define the cleaned text.
-BLANKS = r"[ \\t\\u3000]+"
+BLANKS = r"[ \\t\\u3000]{2,}|[\\t\\u3000]"  # runs of blanks and lone odd blanks; a lone space needs no work
 EMPTY_BRACKETS = r"[（(][\\s、,，・;；:：]*[）)]"
 KANA = r"[\\u3040-\\u30ff]"
 JAPANESE = r"[\\u3040-\\u30ff\\u3400-\\u9fff]"
@@ -22,8 +22,13 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "\\'") + "'"
 
 
+def once(x: str, body: Callable[[str], str]) -> str:
+    """Use ``x`` several times but evaluate it once; a plain column needs no binding."""
+    return body(x) if x.isidentifier() else let(x, body)
+
+
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\\s+|\\s+$', '')"
+    return rf"btrim({x}, ' \t\n\r\u000B\u000C')"
 
 
 def squeeze(x: str) -> str:
@@ -46,23 +51,20 @@ def one_line(x: str) -> str:
 
 def clip(x: str, n: int, tail: int = 0) -> str:
     """At most ``n`` characters: head and an ellipsis, plus the last ``tail`` characters when asked."""
-    if tail > 0:
-        cut = f"concat(left({x}, {n - tail - 1}), '{ELLIPSIS}', right({x}, {tail}))"
-    else:
-        cut = f"concat(left({x}, {n - 1}), '{ELLIPSIS}')"
-    return f"if(length({x}) <= {n}, {x}, {cut})"
+    end = lambda v: f", right({v}, {tail})" if tail > 0 else ""
+    return once(x, lambda v: f"if(length({v}) <= {n}, {v}, concat(left({v}, {n - tail - 1}), '{ELLIPSIS}'{end(v)}))")
 
 
 def language(x: str, rules: Sequence[tuple[str, str]] = ((KANA, "ja"),), default: str = "en") -> str:
     """First rule whose character class occurs anywhere in the text."""
-    arms = " ".join(f"when {x} rlike '{p}' then '{lang}'" for p, lang in rules)
-    return f"case {arms} else '{default}' end"
+    arms = lambda v: " ".join(f"when {v} rlike '{p}' then '{lang}'" for p, lang in rules)
+    return once(x, lambda v: f"case {arms(v)} else '{default}' end")
 
 
 def paragraphs(x: str, terminator: str = "。", script: str = JAPANESE, min_share: float = 0.3, short: int = 40) -> str:
     """Cleaned body lines: no empty brackets, no headings, no lines mostly in another script."""
     lines = rf"transform(split(replace({x}, '\r', '\n'), '\n'), l -> " + strip(squeeze(f"regexp_replace(l, '{EMPTY_BRACKETS}', '')")) + ")"
-    in_script = f"length(regexp_replace(s, '[^{script[1:-1]}]', ''))"
+    in_script = f"length(regexp_replace(s, '[^{script[1:-1]}]+', ''))"
     keep = f"s <> '' and (contains(s, {q(terminator)}) or length(s) >= {short}) and {in_script} >= {min_share} * length(s)"
     return f"filter({lines}, s -> {keep})"
 

@@ -34,8 +34,10 @@ def config_report(results: DataFrame, reference: str, draft_max: int = 3) -> Dat
         F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_fail"),
         F.sum("draft_n").alias("draft_n"), F.sum("draft_ok").alias("draft_ok"),
         F.sum(F.when(with_e, F.col("energy_j"))).alias("e"), F.sum(F.when(with_e, F.col("tokens_predicted"))).alias("tok"))
-    gen, wall = median(ok, ["config"], "gen_rate", "gen_rate"), median(ok, ["config"], "wall_rate", "wall_rate")
-    d = base.join(gen, "config", "left").join(wall, "config", "left").withColumn("one", F.lit(1))
+    long = ok.select("config", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("v")) for c in ("gen_rate", "wall_rate")])).alias("x"))
+    med = median(long.select("config", "x.*"), ["config", "kind"], "v", "m")
+    med = med.groupBy("config").agg(*[F.max(F.when(F.col("kind") == c, F.col("m"))).alias(c) for c in ("gen_rate", "wall_rate")])
+    d = base.join(med, "config", "left").withColumn("one", F.lit(1))
     ref = d.filter(F.col("config") == reference).select("one", F.col("gen_rate").alias("ref_gen"), F.col("wall_rate").alias("ref_wall"))
     d = d.join(F.broadcast(ref), "one", "left")
     r = lambda c, n: F.round(c, 6).alias(n)

@@ -165,15 +165,20 @@ def stratified(df: DataFrame, key: str, stratum: str, caps: Mapping[str, int], t
     return prefix(d, ["_h"], hash_bucket("_h"), [stratum], keep_below=("rn", F.col("cap"))).drop("_h", "rn", "cap")
 
 
-def group_split(df: DataFrame, group: str, need_val: int, need_test: int) -> DataFrame:
-    """Whole groups go to val until it is full, then to test, the rest to train, in hash order of the groups."""
+def group_table(df: DataFrame, group: str, need_val: int, need_test: int) -> DataFrame:
+    """One row per group: size, rows of the groups before it in hash order, and the split that follows from them."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.withColumn("_h", H.rank_key("group", F.col(group)))
     sizes = prefix(sizes, ["_h"], hash_bucket("_h"), rank=None, sums={"before": "size"})
     val_total = sizes.filter(F.col("before") < need_val).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("v")).withColumn("one", F.lit(1))
     s = sizes.withColumn("one", F.lit(1)).join(F.broadcast(val_total), "one")
     split = F.when(F.col("before") < need_val, "val").when(F.col("before") - F.col("v") < need_test, "test").otherwise("train")
-    return df.join(s.select(group, split.alias("split")), group)
+    return s.withColumn("split", split).drop("one", "v", "_h")
+
+
+def group_split(df: DataFrame, group: str, need_val: int, need_test: int) -> DataFrame:
+    """Whole groups go to val until it is full, then to test, the rest to train, in hash order of the groups."""
+    return df.join(group_table(df, group, need_val, need_test).select(group, "split"), group)
 
 
 def balanced_split(df: DataFrame, key: str, dedupe: str, cls: str, file: str, quota: Mapping[str, Sequence[tuple[str, int, int]]]) -> DataFrame:

@@ -99,20 +99,21 @@ def neighbours(
     )
     wb = Window.partitionBy(*g).orderBy("_b")
     back = wb.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = wb.rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*g).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.select(
         *g, "_b",
         *[F.lag(f"_e_{n}").over(wb)[c].alias(f"_c_{n}") for n, c in lag.items()],
         *[F.last(f"_e_{n}", ignorenulls=True).over(back).alias(f"_c_{n}") for n in fill],
-        *[F.first(f"_e_{n}", ignorenulls=True).over(ahead).alias(f"_c_{n}") for n in fill_next],
+        *[F.last(f"_e_{n}", ignorenulls=True).over(ahead).alias(f"_c_{n}") for n in fill_next],
     )
     j = d.join(edge, [*g, "_b"])
     w = Window.partitionBy(*g, "_b").orderBy(*order)
     up = w.rowsBetween(Window.unboundedPreceding, 0)
-    down = w.rowsBetween(0, Window.unboundedFollowing)
+    # looking forward is looking back in the reversed order: a growing frame costs one pass, a shrinking one is quadratic
+    down = Window.partitionBy(*g, "_b").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     cols = {n: F.when(F.row_number().over(w) == 1, F.col(f"_c_{n}")).otherwise(F.lag(c).over(w)) for n, c in lag.items()}
     cols |= {n: F.coalesce(F.last(c, ignorenulls=True).over(up), F.col(f"_c_{n}")) for n, c in fill.items()}
-    cols |= {n: F.coalesce(F.first(c, ignorenulls=True).over(down), F.col(f"_c_{n}")) for n, c in fill_next.items()}
+    cols |= {n: F.coalesce(F.last(c, ignorenulls=True).over(down), F.col(f"_c_{n}")) for n, c in fill_next.items()}
     return j.withColumns(cols).drop("_b", *[f"_c_{n}" for n in (*lag, *fill, *fill_next)])
 
 
@@ -127,16 +128,12 @@ def running_min(df: DataFrame, group: Sequence[str], order: Sequence[str], bucke
     return d.join(edge, [*g, "_b"]).withColumn(name, F.least(F.min("_x").over(w), F.col("_c"))).drop("_b", "_x", "_c")
 
 
-def trailing(df: DataFrame, rank: str, size: int, cols: Mapping[str, Callable[[Window], Column]], group: Sequence[str] = (), chunk: int = 1 << 14) -> DataFrame:
-    """Window functions over the last ``size`` rows of a numbered sequence (``rank`` from 1).
+def report_windows(df: DataFrame, rank: str, size: int, every: int) -> DataFrame:
+    """One row per (report, member): report number r covers the ``size`` rows up to row ``r * every``.
 
-    The sequence is cut into chunks; each chunk also gets the ``size - 1`` rows before it, so chunks are
-    independent and a row is copied at most once as long as ``chunk >= size``.
+    A row belongs to at most ``size / every`` (rounded up) reports, so this is a bounded copy followed by an
+    ordinary aggregate; the rows after the last full step report at the next multiple.
     """
-    r = F.col(rank) - 1
-    own = F.floor(r / chunk)
-    tail = (r % chunk) >= chunk - (size - 1)
-    d = df.withColumn("_c", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
-    w = Window.partitionBy(*group, "_c").orderBy(rank).rowsBetween(-(size - 1), 0)
-    d = d.withColumns({n: f(w) for n, f in cols.items()})
-    return d.filter(F.col("_c") == F.floor((F.col(rank) - 1) / chunk)).drop("_c")
+    first = F.ceil(F.col(rank) / every).cast("bigint")
+    last = F.ceil((F.col(rank) + size) / every).cast("bigint") - 1
+    return df.withColumn("report", F.explode(F.sequence(first, last)))

@@ -12,6 +12,7 @@ from decant.operators import build as B
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
 from decant.plans.texts import CLIP, SAN
+from decant.session import spread
 
 
 def int_sql(*parts):
@@ -54,7 +55,7 @@ TOPICS = [f"topic {i}" for i in range(10)]
 @query("mk_item", f"""
 SELECT doc_id::VARCHAR AS key, {split_sql('doc', 'doc_id')}, {X.seed_sql('doc', 'doc_id')} AS gen_seed, 'doc' AS source, sha1({SAN.format('text')}) AS h FROM documents""")
 def mk_item(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("doc_id", split_text("doc", "doc_id"), f"{T.sanitize('text')} as context", "'q' as question", "array('a', 'b') as candidates", "0 as gold")
+    d = spread(table(spark, sf, "documents")).selectExpr("doc_id", split_text("doc", "doc_id"), f"{T.sanitize('text')} as context", "'q' as question", "array('a', 'b') as candidates", "0 as gold")
     return B.item(d, "doc", "doc_id", "intent").selectExpr("key", "split", "gen_seed", "source", "sha1(context) as h")
 
 
@@ -182,7 +183,7 @@ FROM (SELECT doc_id, quality, {SAN.format('text')} AS s FROM documents JOIN labe
 
 def route_rows(spark, sf):
     l = table(spark, sf, "labels").select("doc_id", "quality")
-    return table(spark, sf, "documents").join(l, "doc_id").selectExpr("doc_id", split_text("route", "doc_id"), "text as prompt", "quality * 3 + 1 + doc_id % 2 as score")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).join(l, "doc_id").selectExpr("doc_id", split_text("route", "doc_id"), "text as prompt", "quality * 3 + 1 + doc_id % 2 as score")
 
 
 @query("mk_route", with_("route_base") + f"SELECT key::VARCHAR AS key, * EXCLUDE (key) FROM ({shown_sql('route_base', 'k', 'hc,')})")
@@ -193,7 +194,7 @@ def mk_route(spark, sf):
 @query("mk_sample_refill", f"""
 SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {X.rank_sql("'refill'", 'doc_id')}) AS rn FROM documents WHERE length({SAN.format('text')}) >= 300) WHERE rn <= 20""")
 def mk_sample_refill(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("source", "doc_id", f"{T.sanitize('text')} as context").filter("length(context) >= 300").select("source", "doc_id")
+    d = spread(table(spark, sf, "documents").select("source", "doc_id", "text")).selectExpr("source", "doc_id", f"{T.sanitize('text')} as context").filter("length(context) >= 300").select("source", "doc_id")
     return B.sample_refill(d, "doc_id", 20, "refill", ["source"])
 
 
@@ -215,6 +216,14 @@ def mk_group_split(spark, sf):
     return d.groupBy("split").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_groups"))
 
 
+@query("wn_running_split", f"""
+WITH s AS (SELECT source, count(*) AS size, {X.rank_sql("'group'", 'source')} AS h FROM documents GROUP BY source),
+ r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s)
+SELECT source, size, before, CASE WHEN before < 150 THEN 'val' WHEN before - (SELECT coalesce(sum(size), 0) FROM r WHERE before < 150) < 150 THEN 'test' ELSE 'train' END AS split FROM r""")
+def wn_running_split(spark, sf):
+    return B.group_table(table(spark, sf, "documents").select("source"), "source", 150, 150).select("source", "size", "before", "split")
+
+
 def quotas(cap):
     large = int(round(cap * B.LARGE_SHARE))
     return cap - large, large

@@ -11,6 +11,7 @@ from decant.operators.prefix import hash_bucket, prefix
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
 from decant.plans.texts import txt_items
+from decant.session import materialise
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 
@@ -23,7 +24,8 @@ FROM (SELECT h, any_value(text) AS text, min((item_id, pos))[1] AS item_id, min(
 
 
 def slots(spark, sf):
-    return E.slots(txt_items(spark, sf))
+    """Written once: every check below reads the slots several times."""
+    return materialise(E.slots(txt_items(spark, sf)), "slots")
 
 
 def strings(slot):

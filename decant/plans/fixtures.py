@@ -205,9 +205,9 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 4 != 0, F.round(F.col("o_totalprice") / 1009, 2)).alias("samples_per_s"),
         (F.col("o_orderkey") % 64 + 1).cast("int").alias("n"),
         (F.col("o_orderkey") % 17).cast("int").alias("n_gold"),
-        F.round(F.col("o_totalprice") / 30011, 4).alias("loss"),
-        F.round(F.col("o_totalprice") % 7, 4).alias("ce"),
-        F.round(F.lit(0.5) + F.col("o_custkey") % 10, 2).alias("dt"),
+        (F.col("o_totalprice") / 30011).alias("loss"),
+        (F.col("o_totalprice") % 7 / 1.0007).alias("ce"),
+        (F.lit(0.5) + F.col("o_custkey") % 10 / 1.0007).alias("dt"),
     )
 
 
@@ -351,6 +351,6 @@ SELECT o_custkey % 12 AS run, epoch_us(o_orderdate) AS at_us, o_orderkey AS okey
        round(60.0 + o_totalprice % 35, 2) AS temp_c,
        CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice / 1009, 2) END AS samples_per_s,
        (o_orderkey % 64 + 1)::INTEGER AS n, (o_orderkey % 17)::INTEGER AS n_gold,
-       round(o_totalprice / 30011, 4) AS loss, round(o_totalprice % 7, 4) AS ce, round(0.5 + o_custkey % 10, 2) AS dt,
+       o_totalprice / 30011 AS loss, o_totalprice % 7 / 1.0007::DOUBLE AS ce, 0.5::DOUBLE + (o_custkey % 10) / 1.0007::DOUBLE AS dt,
        row_number() OVER (PARTITION BY o_custkey % 12 ORDER BY o_orderdate, o_orderkey) AS step
 FROM orders""")

@@ -187,20 +187,22 @@ def sink_manifest_merge(spark, sf):
         F.array_join(F.array_sort(F.collect_list(line)), ",").alias("imported"), F.max("note").alias("conversion"))
 
 
-@query("sink_snapshot")
+@query("sink_snapshot", "SELECT count(*) AS n_source, count(*) AS n_copy, true AS same FROM orders")
 def sink_snapshot(spark, sf):
-    return W.snapshot(table(spark, sf, "orders"), scratch(spark, "snapshot"))
+    both = W.snapshot(table(spark, sf, "orders"), scratch(spark, "snapshot"))
+    pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    return both.agg(pick("source", "n").alias("n_source"), pick("copy", "n").alias("n_copy"), ((F.count_distinct("bits") == 1) & (F.count_distinct("total") == 1)).alias("same"))
 
 
 @query("sink_report", with_("per_item") + """
-SELECT '| ' || run || ' | ' || count(*) || ' | ' || printf('%.3f', round(avg((pred = tpred)::INT), 6)) || ' | ' || printf('%.3f', round(avg(kl), 6)) || ' |' AS line
+SELECT '| ' || run || ' | ' || count(*) || ' | ' || printf('%.6f', round(avg((pred = tpred)::INT), 6)) || ' | ' || printf('%.6f', round(avg(kl), 6)) || ' |' AS line
 FROM per_item GROUP BY run""")
 def sink_report(spark, sf):
     from decant.operators import metrics as M
 
     m = M.core_metrics(M.score_items(X.dec_preds(spark, sf)), ["run"])
     path = scratch(spark, "report")
-    W.report_lines(m, ["run", "n", "agreement", "kl"]).coalesce(1).write.text(path)
+    W.report_lines(m, ["run", "n", "agreement", "kl"], 6).coalesce(1).write.text(path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
@@ -431,15 +433,17 @@ def sg_quota_stages(spark, sf):
     return S.quota_stages(items, scored, stages, _pend(spark, sf).select("item_id", "split", "source"), id_bucket("item_id"))
 
 
-@query("ag_content_hash")
+@query("ag_content_hash", with_("item_attr") + """
+, r AS (SELECT item_id, sha256(item_id || '|' || context || '|' || question || '|' || array_to_string(candidates, '|')) AS h FROM item_attr),
+ p AS (SELECT item_id // 4096 AS b, sha256(string_agg(h, '' ORDER BY item_id)) AS h FROM r GROUP BY 1)
+SELECT (SELECT count(*) FROM r) AS n, (SELECT bit_xor(('0x' || substr(h, 1, 15))::BIGINT) FROM r) AS bits, (SELECT sha256(string_agg(h, '' ORDER BY b)) FROM p) AS ordered""")
 def ag_content_hash(spark, sf):
-    d = X.dec_items(spark, sf)
-    free = d.agg(W.fingerprint(d, ["item_id", "context", "question"]).alias("f")).select("f.n", "f.bits", "f.total").withColumn("k", F.lit(1))
-    # ordered fingerprint: rows are hashed in id order inside id ranges, the range hashes once more
-    h = F.sha2(F.to_json(F.struct("item_id", "context", "question", "candidates")), 256)
-    part = d.groupBy(id_bucket("item_id", 4096).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad("item_id", 20, "0"), h))), ""), 256).alias("h"))
-    ordered = part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad("b", 20, "0"), "h"))), ""), 256).alias("ordered")).withColumn("k", F.lit(1))
-    return free.join(ordered, "k").drop("k")
+    h = F.sha2(F.concat_ws("|", "item_id", "context", "question", F.array_join("candidates", "|")), 256)
+    d = X.dec_items(spark, sf).select("item_id", h.alias("h"), id_bucket("item_id", 4096).alias("b"))
+    # ordered fingerprint in two levels: rows of an id range, then the ranges; the order-free one is an xor
+    joined = lambda key, col: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, col))), lambda x: x[col]), ""), 256)
+    p = d.groupBy("b").agg(joined("item_id", "h").alias("ph"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring("h", 1, 15), 16, 10).cast("bigint")).alias("bits"))
+    return p.agg(F.sum("n").alias("n"), F.bit_xor("bits").alias("bits"), joined("b", "ph").alias("ordered"))
 
 
 @query("fn_stable_seed", f"SELECT doc_id, {X.seed_sql('doc', 'doc_id')} AS seed FROM documents")

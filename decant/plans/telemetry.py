@@ -8,7 +8,7 @@ from decant.functions.dist import ratio
 from decant.operators import bench as B
 from decant.operators import runs as U
 from decant.operators import telemetry as T
-from decant.operators.prefix import neighbours, prefix, running_min, trailing
+from decant.operators.prefix import neighbours, prefix, report_windows, running_min
 from decant.operators.quantiles import auc, average_ranks, median
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
@@ -286,17 +286,19 @@ def ag_prod_table(spark, sf):
 
 
 @query("wn_rate200", """
-WITH o AS (SELECT event_id, value, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
- w AS (SELECT event_id, value, rn, count(*) OVER w AS n, min(t) OVER w AS t0, max(t) OVER w AS t1, avg(value) OVER w AS m, list_sort(list(value) OVER w) AS l FROM o WINDOW w AS (ORDER BY rn ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
-SELECT event_id, n, round((n - 1) / nullif((t1 - t0) / 1e6, 0), 9) AS rate, round(m, 6) AS mean, l[least(n - 1, floor(0.5 * n)::BIGINT) + 1] AS p50, l[least(n - 1, floor(0.95 * n)::BIGINT) + 1] AS p95 FROM w""")
+WITH o AS (SELECT value / 1.0007 AS v, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+ r AS (SELECT DISTINCT ceil(rn / 50)::BIGINT AS report FROM o),
+ w AS (SELECT report, count(*) AS n, min(t) AS t0, max(t) AS t1, avg(v) AS m, list_sort(list(v)) AS l FROM r JOIN o ON rn <= report * 50 AND rn > report * 50 - 200 GROUP BY report)
+SELECT report, n, round((n - 1) / nullif((t1 - t0) / 1e6, 0), 9) AS rate, round(m, 6) AS mean, round(l[least(n - 1, floor(0.5 * n)::BIGINT) + 1], 6) AS p50, round(l[least(n - 1, floor(0.95 * n)::BIGINT) + 1], 6) AS p95 FROM w""")
 def wn_rate200(spark, sf):
-    d = table(spark, sf, "events").select("event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    d = table(spark, sf, "events").select("event_id", (F.col("value") / 1.0007).alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     d = prefix(d, ["t", "event_id"], T.time_bucket("t", 24 * T.HOUR), rank="rn")
-    d = trailing(d, "rn", 200, {
-        "n": lambda w: F.count(F.lit(1)).over(w), "t0": lambda w: F.min("t").over(w), "t1": lambda w: F.max("t").over(w),
-        "m": lambda w: F.avg("value").over(w), "l": lambda w: F.array_sort(F.collect_list("value").over(w))})
-    at = lambda q, n: F.get("l", F.least(F.col("n") - 1, F.floor(F.col("n") * q)).cast("int")).alias(n)
-    return d.select("event_id", "n", F.round(ratio(F.col("n") - 1, (F.col("t1") - F.col("t0")) / 1e6), 9).alias("rate"), r6("m", "mean"), at(0.5, "p50"), at(0.95, "p95"))
+    last = d.agg(F.ceil(F.max("rn") / 50).cast("bigint").alias("last")).withColumn("one", F.lit(1))
+    w = report_windows(d, "rn", 200, 50).withColumn("one", F.lit(1)).join(F.broadcast(last), "one").filter("report <= last")
+    # at most 200 values per report
+    w = w.groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.avg("v").alias("m"), F.array_sort(F.collect_list("v")).alias("l"))
+    at = lambda q, n: F.round(F.get("l", F.least(F.col("n") - 1, F.floor(F.col("n") * q)).cast("int")), 6).alias(n)
+    return w.select("report", "n", F.round(ratio(F.col("n") - 1, (F.col("t1") - F.col("t0")) / 1e6), 9).alias("rate"), r6("m", "mean"), at(0.5, "p50"), at(0.95, "p95"))
 
 
 # ---- ranks ---------------------------------------------------------------------------------

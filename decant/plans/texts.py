@@ -10,13 +10,14 @@ from decant.functions import text as T
 from decant.operators.prefix import hash_bucket, id_bucket, prefix
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
+from decant.session import spread
 from decant.sources import readers as R
 
 DOCS = "documents"
 
 
 def docs(spark, sf):
-    return table(spark, sf, DOCS)
+    return spread(table(spark, sf, DOCS))
 
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -273,7 +274,7 @@ SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORD
 def wn_corpus_sample(spark, sf):
     from decant.operators.sampling import equal_cap
 
-    return equal_cap(docs(spark, sf).select("doc_id", "source"), 25, "doc_id").select("doc_id", "source")
+    return equal_cap(table(spark, sf, DOCS).select("doc_id", "source"), 25, "doc_id").select("doc_id", "source")
 
 
 @query("wn_first_seen", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha1(text)")
@@ -287,7 +288,7 @@ SELECT doc_id, e AS epoch, row_number() OVER (PARTITION BY e ORDER BY {X.rank_sq
 def wn_epoch_order(spark, sf):
     from decant.operators.sampling import epoch_order
 
-    d = docs(spark, sf).selectExpr("doc_id", "explode(sequence(0, 1)) as epoch")
+    d = table(spark, sf, DOCS).selectExpr("doc_id", "explode(sequence(0, 1)) as epoch")
     return epoch_order(d, "doc_id", ["epoch"]).withColumn("step", F.floor(F.col("position") / 32).cast("bigint"))
 
 

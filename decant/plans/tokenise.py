@@ -10,11 +10,14 @@ from decant.operators.prefix import hash_bucket
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
 from decant.plans.texts import PARAS
-from decant.session import scratch
+from decant.session import scratch, spread
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
-TOK = "transform(split(text, ' '), w -> cast(conv(substr(sha1(w), 1, 8), 16, 10) as bigint) % 8192)"
-TOK_SQL = "list_transform(string_split(text, ' '), lambda w: ('0x' || substr(sha1(w), 1, 8))::BIGINT % 8192)"
+# a cheap word hash both engines can compute
+WORD = "(31 * if(w = '', 0, ascii(w)) + 17 * if(w = '', 0, ascii(right(w, 1))) + 7 * length(w)) % 8192"
+WORD_SQL = "((31 * CASE WHEN w = '' THEN 0 ELSE unicode(w) END + 17 * CASE WHEN w = '' THEN 0 ELSE unicode(right(w, 1)) END + 7 * length(w)) % 8192)::BIGINT"
+TOK = f"transform(split(text, ' '), w -> bigint({WORD}))"
+TOK_SQL = f"list_transform(string_split(text, ' '), lambda w: {WORD_SQL})"
 VAL = f"{H.uniform_text(repr('art'), 'doc_id')} < 0.1D"
 ART_SPLIT = f"if({VAL}, 'val', 'train') as split"
 ART_SPLIT_SQL = f"CASE WHEN {X.unif_sql(repr('art'), 'doc_id')} < 0.1 THEN 'val' ELSE 'train' END AS split"
@@ -22,8 +25,12 @@ ART_SPLIT_SQL = f"CASE WHEN {X.unif_sql(repr('art'), 'doc_id')} < 0.1 THEN 'val'
 cte("docs_tok", f"SELECT doc_id, source, lang, {ART_SPLIT_SQL}, {X.rank_sql(repr('pack'), 'doc_id')} AS h, {TOK_SQL} AS toks FROM documents")
 
 
+def docs(spark, sf):
+    return spread(table(spark, sf, "documents"))
+
+
 def docs_tok(spark, sf):
-    return table(spark, sf, "documents").selectExpr("doc_id", "source", "lang", ART_SPLIT, f"{H.rank_text(repr('pack'), 'doc_id')} as h", f"{TOK} as toks")
+    return docs(spark, sf).selectExpr("doc_id", "source", "lang", ART_SPLIT, f"{H.rank_text(repr('pack'), 'doc_id')} as h", f"{TOK} as toks")
 
 
 QTOK = "transform(sequence(1, cast(1 + doc_id % 80 as int)), i -> bigint(5 + i))"
@@ -43,7 +50,7 @@ def tk_cut_token(spark, sf):
 SELECT s.doc_id, CASE WHEN s IS NULL THEN total WHEN s = 1 OR c = 60 THEN 60 ELSE c - n END::INTEGER AS tokens, CASE WHEN s IS NULL THEN np WHEN s = 1 OR c = 60 THEN s ELSE s - 1 END::INTEGER AS used,
   CASE WHEN s IS NULL THEN false WHEN s = 1 THEN c > 60 OR np > 1 WHEN c = 60 THEN s < np ELSE true END AS truncated FROM s LEFT JOIN p ON p.doc_id = s.doc_id AND p.i = s.s""")
 def wn_paragraph_budget(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("doc_id", f"transform({PARAS}, p -> size(split(p, ' '))) as n").filter("size(n) > 0")
+    d = docs(spark, sf).selectExpr("doc_id", f"transform({PARAS}, p -> size(split(p, ' '))) as n").filter("size(n) > 0")
     return d.selectExpr("doc_id", f"{K.paragraph_budget('n', 60)} as b").select("doc_id", "b.tokens", "b.used", "b.truncated")
 
 
@@ -89,7 +96,7 @@ def wn_stop_at_target(spark, sf):
 SELECT split, count(*) AS articles_read, count(*) FILTER (np = 0) AS dropped_empty, count(*) FILTER (np > 0 AND chars < 200) AS dropped_short, count(*) FILTER (chars >= 200) AS articles_used,
   count(*) FILTER (chars >= 200 AND tokens > 400) AS over_budget, (sum(np) FILTER (chars >= 200))::BIGINT AS paragraphs, (sum(chars) FILTER (chars >= 200))::BIGINT AS chars, round(sum(tokens) FILTER (chars >= 200) / sum(chars) FILTER (chars >= 200), 6) AS tokens_per_char FROM d GROUP BY split""")
 def ag_lm_stats(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("doc_id", ART_SPLIT, f"{PARAS} as ps")
+    d = docs(spark, sf).selectExpr("doc_id", ART_SPLIT, f"{PARAS} as ps")
     d = d.selectExpr("split", "size(ps) as np", "aggregate(ps, 0L, (a, p) -> a + length(p)) as chars", "aggregate(ps, 0L, (a, p) -> a + size(split(p, ' '))) as tokens")
     d = d.withColumn("used", F.col("chars") >= 200)
     u = lambda c: F.sum(F.when(F.col("used"), F.col(c)))
@@ -138,23 +145,23 @@ WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT ch FROM chars WHERE ch NOT IN (
 , v AS (SELECT ch AS piece, n AS score, 0 AS kind FROM covered UNION ALL SELECT piece, score, 1 FROM pieces_ok)
 SELECT piece, score::BIGINT AS score, id::INTEGER AS id FROM (SELECT *, row_number() OVER (ORDER BY kind, score DESC, piece) + {K.PIECES_FROM - 1} AS id FROM v) WHERE id < {VOCAB}""")
 def ud_vocab(spark, sf):
-    return K.learn_vocab(table(spark, sf, "documents"), VOCAB, "text")
+    return K.learn_vocab(docs(spark, sf), VOCAB, "text")
 
 
 def encoded(spark, sf, docs):
-    enc = K.encoder(docs, K.learn_vocab(table(spark, sf, "documents"), VOCAB, "text"))
+    enc = K.encoder(docs, K.learn_vocab(docs(spark, sf), VOCAB, "text"))
     return docs.withColumn("ids", enc("text"))
 
 
 @query("ud_encode")
 def ud_encode(spark, sf):
-    d = encoded(spark, sf, table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    d = encoded(spark, sf, docs(spark, sf).select("doc_id", "lang", "text"))
     nb = f"size(filter(ids, i -> i >= {K.BYTES_FROM} and i < {K.PIECES_FROM}))"
     return d.selectExpr("doc_id", "lang", "size(ids) as n_tokens", f"{nb} as n_bytes", "sha1(array_join(ids, ',')) as h")
 
 
 @query("ud_prefix")
 def ud_prefix(spark, sf):
-    d = encoded(spark, sf, table(spark, sf, "documents").select("doc_id", "text"))
+    d = encoded(spark, sf, docs(spark, sf).select("doc_id", "text"))
     d = d.selectExpr("doc_id", "ids", "transform(sequence(1, cast(1 + doc_id % 80 as int)), i -> 300 + i) as q")
     return d.selectExpr("doc_id", f"{K.cut_prefix('q', 'ids', 128)} as p").selectExpr("doc_id", "size(p) as n", "sha1(array_join(p, ',')) as h")

@@ -61,6 +61,9 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even partitions ahead of a step that multiplies its input, when the input itself is small."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    """Even partitions ahead of a heavy per-row step, when the input comes in fewer pieces than there are cores.
+
+    Input with enough pieces, the normal case on a cluster, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
