@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from decant.functions.dist import ratio
 from decant.operators.quantiles import median
+from decant.session import attach
 
 
 def reference_hashes(results: DataFrame, reference: str) -> DataFrame:
@@ -37,9 +38,9 @@ def config_report(results: DataFrame, reference: str, draft_max: int = 3) -> Dat
     long = ok.select("config", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("v")) for c in ("gen_rate", "wall_rate")])).alias("x"))
     med = median(long.select("config", "x.*"), ["config", "kind"], "v", "m")
     med = med.groupBy("config").agg(*[F.max(F.when(F.col("kind") == c, F.col("m"))).alias(c) for c in ("gen_rate", "wall_rate")])
-    d = base.join(med, "config", "left").withColumn("one", F.lit(1))
-    ref = d.filter(F.col("config") == reference).select("one", F.col("gen_rate").alias("ref_gen"), F.col("wall_rate").alias("ref_wall"))
-    d = d.join(F.broadcast(ref), "one", "left")
+    d = base.join(med, "config", "left")
+    ref = d.filter(F.col("config") == reference).select(F.col("gen_rate").alias("ref_gen"), F.col("wall_rate").alias("ref_wall"))
+    d = attach(d, ref)
     r = lambda c, n: F.round(c, 6).alias(n)
     accept = ratio(F.col("draft_ok"), F.col("draft_n"))
     return d.select(

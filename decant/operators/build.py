@@ -16,6 +16,7 @@ from decant.functions import hashing as H
 from decant.functions import text as T
 from decant.operators.items import soft
 from decant.operators.prefix import hash_bucket, prefix
+from decant.session import attach
 
 Phrases = Mapping[str, tuple[Sequence[str], Sequence[str]]]
 
@@ -91,9 +92,8 @@ def hard_negatives(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
     ``dim`` is the label table (name, grp): one row per label the task has, so it travels as one array.
     """
-    one = dim.groupBy().agg(F.sort_array(F.collect_list(F.struct("name", "grp"))).alias("dim")).withColumn("one", F.lit(1))
-    d = df.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").drop("one")
-    d = d.selectExpr("*", f"{weighted(H.uniform_text(repr('k'), key), K_WEIGHTS)} as k")
+    one = dim.groupBy().agg(F.sort_array(F.collect_list(F.struct("name", "grp"))).alias("dim"))
+    d = attach(df, one).selectExpr("*", f"{weighted(H.uniform_text(repr('k'), key), K_WEIGHTS)} as k")
     same = "transform(filter(dim, x -> x.grp = grp and x.name <> gold_name), x -> x.name)"
     rest = "transform(filter(dim, x -> x.grp <> grp), x -> x.name)"
     d = d.selectExpr("*", f"slice({H.shuffled_text(same, repr('same'), key)}, 1, cast(1 + {H.int_text(repr('n'), key)} % (k - 1) as int)) as near")
@@ -170,10 +170,10 @@ def group_table(df: DataFrame, group: str, need_val: int, need_test: int) -> Dat
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.withColumn("_h", H.rank_key("group", F.col(group)))
     sizes = prefix(sizes, ["_h"], hash_bucket("_h"), rank=None, sums={"before": "size"})
-    val_total = sizes.filter(F.col("before") < need_val).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("v")).withColumn("one", F.lit(1))
-    s = sizes.withColumn("one", F.lit(1)).join(F.broadcast(val_total), "one")
+    val_total = sizes.filter(F.col("before") < need_val).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("v"))
+    s = attach(sizes, val_total)
     split = F.when(F.col("before") < need_val, "val").when(F.col("before") - F.col("v") < need_test, "test").otherwise("train")
-    return s.withColumn("split", split).drop("one", "v", "_h")
+    return s.withColumn("split", split).drop("v", "_h")
 
 
 def group_split(df: DataFrame, group: str, need_val: int, need_test: int) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decant.session import materialise
+from decant.session import attach, materialise
 
 # Assumed board power in watts for the energy estimate.
 BOARD_WATTS = {"S": 49.0, "M": 19.0, "L": 30.0, "teacher": 53.0}
@@ -121,8 +121,7 @@ def search_thresholds(aligned: DataFrame, names: Sequence[str], grid: Sequence[f
         rem = x.filter(~taken).groupBy(*taus, f"t{i}", *later).agg(
             F.sum("n").alias("n"), F.sum("tl").alias("tl"), *[F.sum(f"l{j}").alias(f"l{j}") for j in range(i + 1, n_st)])
     keys = [f"t{j}" for j in range(n_st)]
-    size = cube.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1))
-    d = acc.join(rem.select(*keys, "n", "tl"), keys, "left").withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
+    d = attach(acc.join(rem.select(*keys, "n", "tl"), keys, "left"), cube.agg(F.sum("n").alias("total")))
     left = F.coalesce("n", F.lit(0))
     value = F.array(*[F.lit(float(x)) for x in grid], F.lit(1e6))
     d = d.select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from decant.functions import dist as D
 from decant.functions import hashing as H
 from decant.operators.prefix import hash_bucket, id_bucket, prefix
-from decant.session import SMALL_BYTES, is_small
+from decant.session import SMALL_BYTES, attach, is_small
 
 BLOCK_ROWS = 2048
 # Fixed values of the closeness verdict.
@@ -205,10 +205,10 @@ def recall_at_k(queries: DataFrame, pool: DataFrame, ks: Sequence[int] = (1, 5,
     t = nearest(queries, pool, k_max).select("qid", "pid", F.col("rank").alias("rt"))
     s = nearest(student(queries), student(pool), k_max).select("qid", "pid", F.col("rank").alias("rs"))
     j = t.join(s, ["qid", "pid"])
-    hits = j.agg(*[F.count_if((F.col("rt") <= k) & (F.col("rs") <= k)).alias(f"h{k}") for k in ks]).withColumn("one", F.lit(1))
-    size = queries.agg(F.count(F.lit(1)).alias("nq")).withColumn("one", F.lit(1)).join(pool.agg(F.count(F.lit(1)).alias("np")).withColumn("one", F.lit(1)), "one")
+    hits = j.agg(*[F.count_if((F.col("rt") <= k) & (F.col("rs") <= k)).alias(f"h{k}") for k in ks])
+    nq, n_pool = queries.agg(F.count(F.lit(1)).alias("nq")), pool.agg(F.count(F.lit(1)).alias("np"))
     rows = [F.struct(F.lit(k).alias("k"), F.round(F.col(f"h{k}") / (F.col("nq") * k), 6).alias("recall"), F.round(F.lit(k) / (F.col("np") - 1), 6).alias("chance")) for k in ks]
-    return hits.join(size, "one").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return attach(hits, nq, n_pool).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 # ---- linear algebra over partial sums ------------------------------------------------------

@@ -11,7 +11,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decant.session import attach, is_small
+
 BUCKETS = 4096
+# Below this many rows the built-in exact aggregate (which holds a group's distinct values in memory) is used.
+IN_MEMORY_ROWS = 2_000_000
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str, **extra: Column) -> DataFrame:
@@ -23,7 +27,7 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str, **extra: Colum
     if g:
         c = c.join(lim, g)
     else:
-        c = c.withColumn("_k", F.lit(1)).join(F.broadcast(lim.withColumn("_k", F.lit(1))), "_k").drop("_k")
+        c = attach(c, lim)
     pos = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * BUCKETS
     return c.withColumn("_b", F.coalesce(F.least(F.floor(pos), F.lit(BUCKETS - 1)), F.lit(0)).cast("int"))
 
@@ -35,6 +39,8 @@ def quantiles(
     """One row per group: linearly interpolated quantiles and index-based ones (element ⌊q·n⌋, clipped)."""
     linear, index = dict(linear or {}), dict(index or {})
     g = list(group)
+    if not index and is_small(df.select(value), IN_MEMORY_ROWS):
+        return df.filter(F.col(value).isNotNull()).groupBy(*g).agg(*[F.percentile(value, q).alias(n) for n, q in linear.items()])
     counts = value_counts(df, g, value)
     n = F.col("_n")
     ranks: dict[str, Column] = {}

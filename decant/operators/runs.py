@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from decant.functions.dist import ratio
 from decant.operators.prefix import prefix
+from decant.session import attach
 
 
 def add_steps(log: DataFrame, bucket: Column, order: Sequence[str] = ("at_us", "okey")) -> DataFrame:
@@ -40,8 +41,8 @@ def train_log(log: DataFrame, every: int) -> DataFrame:
 
 def compare(metrics: DataFrame, target: int, base_runs: str, cols: Sequence[str], n_col: str) -> DataFrame:
     """Target run against the mean and sample deviation of baseline runs, with a binomial standard error."""
-    base = metrics.filter(base_runs).agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]).withColumn("one", F.lit(1))
-    t = metrics.filter(F.col("run") == target).withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
+    base = metrics.filter(base_runs).agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    t = attach(metrics.filter(F.col("run") == target), base)
     r = lambda c, n: F.round(c, 6).alias(n)
     rows = [F.struct(F.lit(c).alias("metric"), r(F.col(c), "value"), r(F.col(f"{c}_mean"), "base_mean"), r(F.col(f"{c}_sd"), "base_sd"), r(F.col(c) - F.col(f"{c}_mean"), "delta"),
                      r(F.sqrt(F.when(F.col(c).between(0, 1), F.col(c) * (1 - F.col(c)) / F.col(n_col))), "se")) for c in cols]

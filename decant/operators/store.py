@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decant.operators.config import PUBLIC, SPLITS
+from decant.session import attach
 
 
 def source_filter(sources: Sequence[str] | None, col: str = "source") -> Column:
@@ -106,8 +107,8 @@ def quota_stages(items: DataFrame, scored: DataFrame, stages, pend: DataFrame, b
         cond = (F.col("split") == split) & source_filter(sources)
         d = pend.filter(cond).withColumn("stage", F.lit(n))
         if cap is not None:
-            have = scored.filter(cond).agg((F.lit(cap) - F.count(F.lit(1))).alias("left")).withColumn("_k", F.lit(1))
-            d = d.withColumn("_k", F.lit(1)).join(F.broadcast(have), "_k").drop("_k")
+            have = scored.filter(cond).agg((F.lit(cap) - F.count(F.lit(1))).alias("left"))
+            d = attach(d, have)
             d = prefix(d, ["item_id"], bucket, keep_below=("rn", F.col("left"))).drop("rn", "left")
         out = d if out is None else out.unionByName(d)
     first = out.groupBy("item_id").agg(F.min("stage").alias("stage"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from decant.functions import text as T
 from decant.operators.prefix import prefix
-from decant.session import materialise, spread
+from decant.session import attach, materialise, spread
 
 # Special ids, then one id per byte, then learned pieces.
 PAD, UNK, BOS, EOS, SEP = range(5)
@@ -44,8 +44,8 @@ def covered_chars(chars: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Most frequent characters until the coverage is reached; as many rows as the script has characters."""
     w = Window.orderBy(F.desc("n"), "ch")
     d = chars.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = chars.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1))
-    d = d.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
+    total = chars.agg(F.sum("n").alias("total"))
+    d = attach(d, total)
     return d.filter(F.col("before") < F.col("total") * coverage).select("ch", "n")
 
 

@@ -11,7 +11,7 @@ from decant.operators.prefix import hash_bucket, prefix
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
 from decant.plans.texts import txt_items
-from decant.session import materialise
+from decant.session import attach, materialise
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 
@@ -131,8 +131,8 @@ def jn_cross_cosine(spark, sf):
     d = spaces(spark, sf)
     q, seen = d.filter("unseen"), d.filter("not unseen")
     per_lang = E.group_sums(seen, ["lang"], "vec", X.DIMS)
-    both = per_lang.withColumn("one", F.lit(1)).groupBy("one").agg(F.sum("n").alias("n_all"), E.vector_sum("s", X.DIMS).alias("s_all"))
-    j = q.withColumn("one", F.lit(1)).join(F.broadcast(both), "one").join(F.broadcast(per_lang), "lang", "left")
+    both = per_lang.agg(F.sum("n").alias("n_all"), E.vector_sum("s", X.DIMS).alias("s_all"))
+    j = attach(q, both).join(per_lang, "lang", "left")
     m = j.select(F.col("id").alias("qid"), D.r6(f"{D.dot('vec', 's_all')} / n_all", "mean_cos"), D.r6(f"{D.dot('vec', 's')} / n", "mean_cos_samelang"))
     top = E.nearest(q, seen, 1).select("qid", F.col("cos").alias("max_cos"))
     return m.join(top, "qid")
@@ -150,8 +150,8 @@ def jn_sibling_exclude(spark, sf):
     hit = lab.join(top, "id").join(lab.select(F.col("id").alias("pid"), F.col("intent").alias("found")), "pid")
     by_sib = lab.groupBy("intent", "sib").agg(F.count(F.lit(1)).alias("n_sib"))
     by_int = by_sib.groupBy("intent").agg(F.sum("n_sib").alias("n_int"))
-    n = by_sib.groupBy().agg(F.sum("n_sib").alias("n_all")).withColumn("one", F.lit(1))
-    ch = by_sib.join(by_int, "intent").withColumn("one", F.lit(1)).join(F.broadcast(n), "one")
+    n = by_sib.groupBy().agg(F.sum("n_sib").alias("n_all"))
+    ch = attach(by_sib.join(by_int, "intent"), n)
     ch = ch.select("sib", ((F.col("n_int") - F.col("n_sib")) / (F.col("n_all") - F.col("n_sib"))).alias("chance"))
     return hit.join(ch, "sib").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("intent") == F.col("found")).cast("double")), "intent_acc"), r6(F.avg("chance"), "intent_chance"))
 
@@ -162,26 +162,23 @@ def paraphrase(d):
     labels = seen.select(F.col("id").alias("pid"), F.col("intent").alias("found"))
     own = q.select(F.col("id").alias("qid"), "intent")
     acc = lambda require, name: E.nearest(q, seen, 1, require=require).join(labels, "pid").join(own, "qid").agg(
-        F.avg((F.col("found") == F.col("intent")).cast("double")).alias(name)).withColumn("one", F.lit(1))
+        F.avg((F.col("found") == F.col("intent")).cast("double")).alias(name))
     # sums per (side, label, language): every pair mean below is a dot product of two of these few rows
     g = E.group_sums(d, ["unseen", "intent", "lang"], "vec", X.DIMS)
     keep = lambda side, keys: g.filter("unseen" if side else "not unseen").groupBy(*keys).agg(F.sum("n").alias(f"n{side}"), E.vector_sum("s", X.DIMS).alias(f"s{side}"))
 
     def total(keys, name):
-        k = keys or ["one"]
-        a, b = (keep(s, keys) if keys else keep(s, []).withColumn("one", F.lit(1)) for s in (1, 0))
-        j = a.join(b, k)
-        return j.agg(F.sum(F.expr(D.dot("s1", "s0"))).alias(f"c_{name}"), F.sum(F.col("n1") * F.col("n0")).alias(f"n_{name}")).withColumn("one", F.lit(1))
+        a, b = (keep(s, keys) for s in (1, 0))
+        j = a.join(b, keys) if keys else attach(a, b)
+        return j.agg(F.sum(F.expr(D.dot("s1", "s0"))).alias(f"c_{name}"), F.sum(F.col("n1") * F.col("n0")).alias(f"n_{name}"))
 
-    n = g.agg(F.sum(F.when(F.col("unseen"), F.col("n"))).alias("n_unseen"), F.sum(F.when(~F.col("unseen"), F.col("n"))).alias("n_seen")).withColumn("one", F.lit(1))
+    n = g.agg(F.sum(F.when(F.col("unseen"), F.col("n"))).alias("n_unseen"), F.sum(F.when(~F.col("unseen"), F.col("n"))).alias("n_seen"))
     lang_seen = g.filter("not unseen").groupBy("lang").agg(F.sum("n").alias("nl"))
     cl = g.filter("unseen").select("intent", "lang", F.col("n").alias("nu")).join(lang_seen, "lang", "left").join(
         g.filter("not unseen").select("intent", "lang", F.col("n").alias("ns")), ["intent", "lang"], "left")
-    cl = cl.agg((F.sum(F.col("nu") * F.coalesce("ns", F.lit(0)) / F.greatest(F.coalesce("nl", F.lit(0)), F.lit(1))) / F.sum("nu")).alias("chance_l")).withColumn("one", F.lit(1))
-    auc = E.pair_auc(q, seen).select("auc").withColumn("one", F.lit(1))
-    out = n
-    for p in (acc((), "acc"), acc(("lang",), "acc_l"), cl, auc, total([], "all"), total(["intent"], "same"), total(["lang"], "lang"), total(["intent", "lang"], "same_l")):
-        out = out.join(p, "one")
+    cl = cl.agg((F.sum(F.col("nu") * F.coalesce("ns", F.lit(0)) / F.greatest(F.coalesce("nl", F.lit(0)), F.lit(1))) / F.sum("nu")).alias("chance_l"))
+    auc = E.pair_auc(q, seen).select("auc")
+    out = attach(n, acc((), "acc"), acc(("lang",), "acc_l"), cl, auc, total([], "all"), total(["intent"], "same"), total(["lang"], "lang"), total(["intent", "lang"], "same_l"))
     div = lambda a, b: a / F.nullif(b, F.lit(0))
     c = F.col
     same, diff = div(c("c_same"), c("n_same")), div(c("c_all") - c("c_same"), c("n_all") - c("n_same"))
@@ -251,15 +248,14 @@ SELECT round(acc, 4) AS intent_acc, round(tacc, 4) AS teacher_acc, round(chance,
   round(acc, 4) >= 0.7 * round(tacc, 4) AND round(acc, 4) >= 5 * round(chance, 4) AND round(cu, 4) >= 0.8 * round(cs, 4) AS close_enough FROM m, c""")
 def ag_verdict(spark, sf):
     d = spaces(spark, sf)
-    one = F.lit(1).alias("one")
     lab = d.filter("not unseen").select(F.col("id").alias("pid"), F.col("intent").alias("found"))
     own = d.filter("unseen").select(F.col("id").alias("qid"), "intent")
     acc = lambda x, n: E.nearest(x.filter("unseen"), x.filter("not unseen"), 1).join(lab, "pid").join(own, "qid").agg(
-        F.round(F.avg((F.col("found") == F.col("intent")).cast("double")), 4).alias(n)).select("*", one)
+        F.round(F.avg((F.col("found") == F.col("intent")).cast("double")), 4).alias(n))
     cnt = d.groupBy("intent").agg(F.count_if("unseen").alias("a"), F.count_if(~F.col("unseen")).alias("b"))
-    ch = cnt.agg(F.round(F.sum(F.col("a") * F.col("b")) / (F.sum("a") * F.sum("b")), 4).alias("chance")).select("*", one)
-    cs = student_rows(spark, sf).agg(F.round(F.avg(F.when(F.col("unseen"), F.col("own"))), 4).alias("cos_unseen"), F.round(F.avg(F.when(~F.col("unseen"), F.col("own"))), 4).alias("cos_seen")).select("*", one)
-    j = acc(d.drop("vec").withColumnRenamed("svec", "vec"), "intent_acc").join(acc(d, "teacher_acc"), "one").join(ch, "one").join(cs, "one").drop("one")
+    ch = cnt.agg(F.round(F.sum(F.col("a") * F.col("b")) / (F.sum("a") * F.sum("b")), 4).alias("chance"))
+    cs = student_rows(spark, sf).agg(F.round(F.avg(F.when(F.col("unseen"), F.col("own"))), 4).alias("cos_unseen"), F.round(F.avg(F.when(~F.col("unseen"), F.col("own"))), 4).alias("cos_seen"))
+    j = attach(acc(d.drop("vec").withColumnRenamed("svec", "vec"), "intent_acc"), acc(d, "teacher_acc"), ch, cs)
     j = j.withColumns({"near_teacher": F.col("intent_acc") >= E.TEACHER_RATIO * F.col("teacher_acc"), "above_chance": F.col("intent_acc") >= E.CHANCE_FACTOR * F.col("chance"),
                        "cos_close": F.col("cos_unseen") >= E.SEEN_RATIO * F.col("cos_seen")})
     return j.withColumn("close_enough", F.col("near_teacher") & F.col("above_chance") & F.col("cos_close"))
@@ -374,9 +370,9 @@ SELECT list(m ORDER BY d) AS m FROM (SELECT d, avg(x) AS m FROM (SELECT unnest(v
 
 
 def centred(spark, sf):
-    d = spaces(spark, sf).withColumn("one", F.lit(1))
-    m = E.group_sums(d, ["one"], "vec", X.DIMS).selectExpr("one", "transform(s, x -> x / n) as m")
-    return d.join(F.broadcast(m), "one").withColumn("e", F.expr(D.unit("zip_with(vec, m, (a, b) -> a - b)"))).drop("one", "m")
+    d = spaces(spark, sf)
+    m = E.group_sums(d, [], "vec", X.DIMS).selectExpr("transform(s, x -> x / n) as m")
+    return attach(d, m).withColumn("e", F.expr(D.unit("zip_with(vec, m, (a, b) -> a - b)"))).drop("m")
 
 
 @query("ml_center_unit", with_("u", "mu") + """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from decant.functions import dist as D
 from decant.functions import hashing as H
 from decant.plans.registry import cte, table
+from decant.session import attach
 
 DIMS = 64
 CUTS = (16, 32, 48, 64)
@@ -31,14 +32,14 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
 def score_arrays(spark: SparkSession, sf: str, labels: str) -> DataFrame:
     """Item rows with ``labs`` and aligned score arrays s16, s32, s48, t.
 
-    The centroid table has one row per label and 64 numbers per row, so it is shipped as one map.
+    The centroid table has one row per label and 64 numbers per row, so it is one small value.
     """
-    e = table(spark, sf, "embeddings").withColumns({"labs": F.expr(labels), "ck": F.lit(1)})
+    e = table(spark, sf, "embeddings").withColumn("labs", F.expr(labels))
     c = centroids(spark, sf).groupBy().agg(F.expr("map_from_entries(collect_list(struct(label, c)))").alias("cents"))
     parts = ", ".join(
         D.dot(f"slice(embedding, {lo + 1}, {hi - lo})", f"slice(element_at(cents, lab), {lo + 1}, {hi - lo})")
         for lo, hi in zip((0, *CUTS[:-1]), CUTS))
-    d = e.join(F.broadcast(c.withColumn("ck", F.lit(1))), "ck").withColumn("parts", F.expr(f"transform(labs, lab -> array({parts}))"))
+    d = attach(e, c).withColumn("parts", F.expr(f"transform(labs, lab -> array({parts}))"))
     prefix = [
         f"transform(parts, p -> round({' + '.join(f'p[{j}]' for j in range(i + 1))}, 6)) as {n}" for i, n in enumerate(SCORE_NAMES)]
     return d.selectExpr("vec_id as item_id", "label as gold_label", "labs", *prefix)

@@ -14,7 +14,7 @@ from decant.operators import telemetry as T
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
 from decant.plans.texts import txt_items
-from decant.session import materialise, scratch
+from decant.session import attach, materialise, scratch
 from decant.streaming import jobs as J
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -152,9 +152,9 @@ def student_rows(spark, sf):
     """Per-candidate features: products of item vector and label centroid, summed into cells by dimension modulo."""
     base = X.item_base(spark, sf).select("item_id", "split", "k", "gold", "labs", F.expr(f"transform(t, x -> x * {X.SCALE}D)").alias("t"))
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    c = X.centroids(spark, sf).groupBy().agg(F.expr("map_from_entries(collect_list(struct(label, c)))").alias("cents")).withColumn("ck", F.lit(1))
+    c = X.centroids(spark, sf).groupBy().agg(F.expr("map_from_entries(collect_list(struct(label, c)))").alias("cents"))
     cells = ", ".join("(" + " + ".join(f"embedding[{i}] * c[{i}]" for i in range(b, X.DIMS, DIMS)) + ") * 60D" for b in range(DIMS))
-    d = base.join(e, "item_id").withColumn("ck", F.lit(1)).join(F.broadcast(c), "ck")
+    d = attach(base.join(e, "item_id"), c)
     return d.withColumn("feats", F.expr(f"transform(labs, l -> element_at(transform(array(element_at(cents, l)), c -> array({cells})), 1))")).select("item_id", "split", "k", "gold", "t", "feats")
 
 

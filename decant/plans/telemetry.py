@@ -12,7 +12,7 @@ from decant.operators.prefix import neighbours, prefix, report_windows, running_
 from decant.operators.quantiles import auc, average_ranks, median
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
-from decant.session import scratch
+from decant.session import attach, scratch
 from decant.sources import readers as R
 
 GAP = 2 * T.HOUR
@@ -293,8 +293,8 @@ SELECT report, n, round((n - 1) / nullif((t1 - t0) / 1e6, 0), 9) AS rate, round(
 def wn_rate200(spark, sf):
     d = table(spark, sf, "events").select("event_id", (F.col("value") / 1.0007).alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     d = prefix(d, ["t", "event_id"], T.time_bucket("t", 24 * T.HOUR), rank="rn")
-    last = d.agg(F.ceil(F.max("rn") / 50).cast("bigint").alias("last")).withColumn("one", F.lit(1))
-    w = report_windows(d, "rn", 200, 50).withColumn("one", F.lit(1)).join(F.broadcast(last), "one").filter("report <= last")
+    last = d.agg(F.ceil(F.max("rn") / 50).cast("bigint").alias("last"))
+    w = attach(report_windows(d, "rn", 200, 50), last).filter("report <= last")
     # at most 200 values per report
     w = w.groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.avg("v").alias("m"), F.array_sort(F.collect_list("v")).alias("l"))
     at = lambda q, n: F.round(F.get("l", F.least(F.col("n") - 1, F.floor(F.col("n") * q)).cast("int")), 6).alias(n)

@@ -10,7 +10,7 @@ from decant.functions import text as T
 from decant.operators.prefix import hash_bucket, id_bucket, prefix
 from decant.plans import fixtures as X
 from decant.plans.registry import cte, query, table, with_
-from decant.session import spread
+from decant.session import attach, spread
 from decant.sources import readers as R
 
 DOCS = "documents"
@@ -223,9 +223,8 @@ def txt_items(spark, sf):
     u = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
     a = c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reply"))
     d = u.join(a, ["conv_id", "turn"]).withColumns({"item_id": F.col("conv_id") * 1000 + F.col("turn") - 1, "h": H.rank_key("reply", F.col("conv_id"), F.col("turn"))})
-    d = prefix(d, ["h", "item_id"], hash_bucket("h"), rank="r").withColumns({"r": F.col("r") - 1, "one": F.lit(1)})
-    n = d.groupBy("one").agg(F.count(F.lit(1)).alias("total"))
-    d = d.join(F.broadcast(n), "one").drop("one")
+    d = prefix(d, ["h", "item_id"], hash_bucket("h"), rank="r").withColumn("r", F.col("r") - 1)
+    d = attach(d, d.agg(F.count(F.lit(1)).alias("total")))
     want = d.selectExpr("item_id", "conv_id", "explode(sequence(1, 6)) as d", "r", "total").selectExpr("item_id", "conv_id", "d", "(r + d) % total as r")
     other = want.join(d.selectExpr("r", "conv_id as oc", "reply as text"), "r").filter("oc <> conv_id")
     # at most six rows per item reach this group

@@ -148,9 +148,9 @@ def ud_vocab(spark, sf):
     return K.learn_vocab(docs(spark, sf), VOCAB, "text")
 
 
-def encoded(spark, sf, docs):
-    enc = K.encoder(docs, K.learn_vocab(docs(spark, sf), VOCAB, "text"))
-    return docs.withColumn("ids", enc("text"))
+def encoded(spark, sf, rows):
+    enc = K.encoder(rows, K.learn_vocab(docs(spark, sf), VOCAB, "text"))
+    return rows.withColumn("ids", enc("text"))
 
 
 @query("ud_encode")

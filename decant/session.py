@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Rows a side may have before it is treated as too large to ship to every task.
 SMALL_ROWS = 200_000
@@ -67,3 +68,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def attach(df: DataFrame, *totals: DataFrame) -> DataFrame:
+    """Add the columns of one-row aggregates as scalar subqueries: nothing is joined or shuffled."""
+    for t in totals:
+        row = t.select(F.struct(*t.columns).alias("_t")).scalar()
+        df = df.withColumn("_t", row).select(*df.columns, "_t.*")
+    return df
