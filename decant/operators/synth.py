@@ -17,7 +17,7 @@ from decant.functions.text import q
 from decant.operators.build import strings, weighted
 from decant.operators.config import largest_remainder
 from decant.operators.items import permute
-from decant.operators.prefix import hash_bucket, prefix
+from decant.operators.prefix import hash_bucket, id_bucket, prefix
 from decant.session import materialise
 
 # Category and language shares, candidate count weights, context length ranges, variant kinds.
@@ -252,7 +252,9 @@ def plan(ids: DataFrame, ident: str = "idx", shares: dict[str, int] = CATEGORY_S
         edge += n
         arms.append(f"when rn <= {edge} then '{c}'")
     lang = f"if({H.uniform_text(q('lang'), ident)} < {LANG_SHARES['ja'] / 100}D, 'ja', 'en')"
-    return d.selectExpr(*[c for c in ids.columns], f"case {' '.join(arms)} end as category", f"{lang} as lang")
+    d = d.selectExpr(*[c for c in ids.columns], f"case {' '.join(arms)} end as category", f"{lang} as lang")
+    # rows are bare keys here, the projection that follows is heavy: spread the keys evenly before it
+    return d.repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), ident)
 
 
 def scenarios(rows: DataFrame, only: str | None = None) -> DataFrame:
@@ -342,7 +344,7 @@ def robust_pick(items: DataFrame, n: int, first_id: int) -> DataFrame:
     """``n`` hashed test items with their six variants; new ids follow on in (item, variant) order."""
     d = items.filter("split = 'test'").withColumn("_h", H.rank_key("robust", F.col("item_id")))
     base = prefix(d, ["_h"], hash_bucket("_h"), keep_below=("rn", n)).drop("_h", "rn")
-    base = prefix(base, ["item_id"], F.lit(0), rank="b")  # n rows by construction
+    base = prefix(base, ["item_id"], id_bucket("item_id"), rank="b")
     v = variants(base.drop("b"))
     return v.join(base.select(F.col("item_id").alias("variant_of"), "b"), "variant_of").withColumn("item_id", F.lit(first_id) + (F.col("b") - 1) * len(VARIANTS) + F.col("variant_no")).drop("b", "variant_no")
 

@@ -135,8 +135,8 @@ def cut_prefix(question: str, context: str, width: int) -> str:
 def paragraph_budget(lengths: str, limit: int) -> str:
     """Struct (tokens, used, truncated): paragraphs are taken whole until the limit; only a first one is ever cut."""
     start = "named_struct('s', 0, 'u', 0, 'stop', false)"
-    step = (f"case when a.stop then a when a.u > 0 and a.s + n > {limit} then named_struct('s', a.s, 'u', a.u, 'stop', true) "
-            f"else named_struct('s', a.s + n, 'u', a.u + 1, 'stop', a.s + n >= {limit}) end")
+    step = (f"case when a.stop then a when a.u > 0 and a.s + int(n) > {limit} then named_struct('s', a.s, 'u', a.u, 'stop', true) "
+            f"else named_struct('s', a.s + int(n), 'u', a.u + 1, 'stop', a.s + int(n) >= {limit}) end")
     done = f"named_struct('tokens', least(a.s, {limit}), 'used', a.u, 'truncated', a.s > {limit} or a.u < size({lengths}))"
     return f"aggregate({lengths}, {start}, (a, n) -> {step}, a -> {done})"
 
