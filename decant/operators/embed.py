@@ -7,7 +7,7 @@ block leave a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from decant.functions import dist as D
 from decant.functions import hashing as H
 from decant.operators.prefix import hash_bucket, id_bucket, prefix
-from decant.session import SMALL_BYTES, attach, is_small
+from decant.session import SMALL_BYTES, attach
 
 BLOCK_ROWS = 2048
 # Fixed values of the closeness verdict.
@@ -115,86 +115,78 @@ def _best(q: pd.DataFrame, p: pd.DataFrame, pm: np.ndarray, k: int, exclude: Seq
     return pd.DataFrame({"qid": cols[0].astype("int64"), "pid": cols[1].astype("int64"), "cos": cols[2].astype("float64")})
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, exclude: Sequence[str] = ("id",), require: Sequence[str] = (), block: int = BLOCK_ROWS) -> DataFrame:
-    """Exact top-k by cosine; both sides have (id, unit vector ``vec``) plus the columns named in the conditions.
+def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, schema: str, block: int) -> DataFrame:
+    """Run ``kernel(query rows, pool rows, pool matrix)`` so that every query meets every pool row exactly once.
 
-    ``exclude``: pairs equal in that column never count; ``require``: only pairs equal in it count. Cosines
-    are compared after rounding to six digits, ties go to the smaller id. A pool whose size is checked to be
-    small goes to every task; otherwise queries and pool meet block by block.
+    A pool counted to be small goes to every task as one matrix. Otherwise both sides are cut into blocks, each
+    block is copied along the other side's blocks, and the pairs of blocks are separate tasks.
     """
-    spark = queries.sparkSession
-    cols = ["id", "vec", *[c for c in (*exclude, *require) if c != "id"]]
-    schema = "qid bigint, pid bigint, cos double"
-    ex, rq = tuple(exclude), tuple(require)
-    queries, pool = queries.select(*cols), pool.select(*cols)
-    if is_small(pool, max(1, SMALL_BYTES // (8 * 64))):
+    first = pool.select(F.size("vec").alias("d")).first()
+    dims = first.d if first else 1
+    n_pool = pool.count()
+    if n_pool * dims * 8 <= SMALL_BYTES:
         held = pool.toPandas()
-        n_dims = len(held["vec"].iat[0]) if len(held) else 0
-        if len(held) and held.shape[0] * n_dims * 8 <= SMALL_BYTES:
-            shared = spark.sparkContext.broadcast((held.drop(columns="vec"), np.stack(held["vec"].to_numpy())))
+        matrix = np.stack(held["vec"].to_numpy()) if len(held) else np.zeros((0, dims))
+        shared = queries.sparkSession.sparkContext.broadcast((held.drop(columns="vec"), matrix))
 
-            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                p, pm = shared.value
-                for q in batches:
-                    if len(q):
-                        yield _best(q, p, pm, k, ex, rq)
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            p, pm = shared.value
+            for q in batches:
+                if len(q) and len(p):
+                    yield kernel(q, p, pm)
 
-            return _ranked(queries.mapInPandas(scan, schema), k, merge=False)
-    return _ranked(_block_scan(queries, pool, k, ex, rq, block), k, merge=True)
+        return queries.mapInPandas(scan, schema)
 
+    nq, np_ = max(1, -(-queries.count() // block)), max(1, -(-n_pool // block))
+    side = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = queries.withColumns({"qb": side(nq), "pb": F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)))})
+    p = pool.withColumns({"pb": side(np_), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+    empty = pool.sparkSession.createDataFrame([], schema).toPandas()
 
-def _block_scan(queries: DataFrame, pool: DataFrame, k: int, ex: Sequence[str], rq: Sequence[str], block: int) -> DataFrame:
-    """Every query block meets every pool block in its own task; both copies are exploded over the grid."""
-    nq = max(1, -(-queries.count() // block))
-    np_ = max(1, -(-pool.count() // block))
-    side = lambda d, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = queries.withColumns({"qb": side(queries, nq), "pb": F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)))})
-    p = pool.withColumns({"pb": side(pool, np_), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+    def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return kernel(x, y, np.stack(y["vec"].to_numpy())) if len(x) and len(y) else empty
 
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "pid": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
-        return _best(a, b, np.stack(b["vec"].to_numpy()), k, ex, rq)
+    return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(cell, schema)
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int, exclude: Sequence[str] = ("id",), require: Sequence[str] = (), block: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top-k by cosine; both sides have (id, unit vector ``vec``) plus the columns named in the conditions.
 
-    return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(cell, "qid bigint, pid bigint, cos double")
+    ``exclude``: pairs equal in that column never count; ``require``: only pairs equal in it count. Cosines
+    are compared after rounding to six digits, ties go to the smaller id.
+    """
+    cols = ["id", "vec", *[c for c in (*exclude, *require) if c != "id"]]
+    ex, rq = tuple(exclude), tuple(require)
+    found = _meet(queries.select(*cols), pool.select(*cols), lambda q, p, pm: _best(q, p, pm, k, ex, rq), "qid bigint, pid bigint, cos double", block)
+    return _ranked(found, k)
 
 
-def _ranked(found: DataFrame, k: int, merge: bool) -> DataFrame:
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("cos"), "pid")
-    d = found.withColumn("rank", F.row_number().over(w))
-    return d.filter(F.col("rank") <= k) if merge else d
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def pair_auc(queries: DataFrame, pool: DataFrame, digits: int = 4, require: Sequence[str] = ("lang",), label: str = "intent") -> DataFrame:
+def pair_auc(queries: DataFrame, pool: DataFrame, digits: int = 4, require: Sequence[str] = ("lang",), label: str = "intent", block: int = BLOCK_ROWS) -> DataFrame:
     """AUC of same-label against other-label pair cosines, from counts per cosine rounded to ``digits``.
 
     Tasks emit one row per distinct cosine value, at most 2·10^digits + 1 of them, never the pairs.
     """
     from decant.operators.quantiles import auc_from_counts
 
-    spark = queries.sparkSession
-    cols = ["id", "vec", label, *require]
     rq = tuple(require)
-    if not is_small(pool, max(1, SMALL_BYTES // (8 * 64))):
-        raise ValueError("pool too large for one broadcast; split it by language first")
-    held = pool.select(*cols).toPandas()
-    shared = spark.sparkContext.broadcast((held.drop(columns="vec"), np.stack(held["vec"].to_numpy())))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, pm = shared.value
-        for q in batches:
-            if not len(q):
-                continue
-            sim = np.round(np.stack(q["vec"].to_numpy()) @ pm.T, digits) + 0.0
-            same = q[label].to_numpy()[:, None] == p[label].to_numpy()[None, :]
-            ok = np.ones(sim.shape, bool)
-            for c in rq:
-                ok &= q[c].to_numpy()[:, None] == p[c].to_numpy()[None, :]
-            v, inv = np.unique(sim[ok], return_inverse=True)
-            pos = np.bincount(inv, weights=same[ok], minlength=len(v))
-            yield pd.DataFrame({"v": v, "pos": pos.astype("int64"), "neg": (np.bincount(inv, minlength=len(v)) - pos).astype("int64")})
-
-    c = queries.select(*cols).mapInPandas(count, "v double, pos bigint, neg bigint")
+
+    def count(q: pd.DataFrame, p: pd.DataFrame, pm: np.ndarray) -> pd.DataFrame:
+        sim = np.round(np.stack(q["vec"].to_numpy()) @ pm.T, digits) + 0.0
+        same = q[label].to_numpy()[:, None] == p[label].to_numpy()[None, :]
+        ok = np.ones(sim.shape, bool)
+        for c in rq:
+            ok &= q[c].to_numpy()[:, None] == p[c].to_numpy()[None, :]
+        v, inv = np.unique(sim[ok], return_inverse=True)
+        pos = np.bincount(inv, weights=same[ok], minlength=len(v))
+        return pd.DataFrame({"v": v, "pos": pos.astype("int64"), "neg": (np.bincount(inv, minlength=len(v)) - pos).astype("int64")})
+
+    cols = ["id", "vec", label, *require]
+    c = _meet(queries.select(*cols), pool.select(*cols), count, "v double, pos bigint, neg bigint", block)
     return auc_from_counts(c.groupBy("v").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 

@@ -41,7 +41,7 @@ def jn_dictionary(spark, sf):
 @query("jn_leak_guard", with_("slot") + """
 , emb AS (SELECT DISTINCT h FROM slot WHERE split = 'train' OR pos = 0)
 SELECT 'slot of split ' || split AS problem, count(*) AS n FROM slot WHERE split <> 'train' GROUP BY split
-UNION ALL SELECT 'string without a train slot', count(*) FROM emb WHERE h NOT IN (SELECT h FROM slot WHERE split = 'train')""")
+UNION ALL SELECT 'string without a train slot', count(*) FROM emb WHERE h NOT IN (SELECT h FROM slot WHERE split = 'train') HAVING count(*) > 0""")
 def jn_leak_guard(spark, sf):
     s = slots(spark, sf)
     return E.leaks(s, s.filter("split = 'train' or pos = 0").select("h").distinct())

@@ -435,15 +435,13 @@ def sg_quota_stages(spark, sf):
 
 @query("ag_content_hash", with_("item_attr") + """
 , r AS (SELECT item_id, sha256(item_id || '|' || context || '|' || question || '|' || array_to_string(candidates, '|')) AS h FROM item_attr),
- p AS (SELECT item_id // 4096 AS b, sha256(string_agg(h, '' ORDER BY item_id)) AS h FROM r GROUP BY 1)
-SELECT (SELECT count(*) FROM r) AS n, (SELECT bit_xor(('0x' || substr(h, 1, 15))::BIGINT) FROM r) AS bits, (SELECT sha256(string_agg(h, '' ORDER BY b)) FROM p) AS ordered""")
+ p AS (SELECT item_id // 64 AS b, sha256(string_agg(h, '' ORDER BY item_id)) AS h FROM r GROUP BY 1),
+ p2 AS (SELECT b // 64 AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM p GROUP BY 1)
+SELECT (SELECT count(*) FROM r) AS n, (SELECT bit_xor(('0x' || substr(h, 1, 15))::BIGINT) FROM r) AS bits, (SELECT sha256(string_agg(h, '' ORDER BY b)) FROM p2) AS ordered""")
 def ag_content_hash(spark, sf):
     h = F.sha2(F.concat_ws("|", "item_id", "context", "question", F.array_join("candidates", "|")), 256)
-    d = X.dec_items(spark, sf).select("item_id", h.alias("h"), id_bucket("item_id", 4096).alias("b"))
-    # ordered fingerprint in two levels: rows of an id range, then the ranges; the order-free one is an xor
-    joined = lambda key, col: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, col))), lambda x: x[col]), ""), 256)
-    p = d.groupBy("b").agg(joined("item_id", "h").alias("ph"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring("h", 1, 15), 16, 10).cast("bigint")).alias("bits"))
-    return p.agg(F.sum("n").alias("n"), F.bit_xor("bits").alias("bits"), joined("b", "ph").alias("ordered"))
+    d = X.dec_items(spark, sf).select("item_id", h.alias("h"))
+    return W.content_hash(d, "item_id", "h", fan=64, levels=2)
 
 
 @query("fn_stable_seed", f"SELECT doc_id, {X.seed_sql('doc', 'doc_id')} AS seed FROM documents")

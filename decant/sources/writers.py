@@ -28,6 +28,24 @@ def fingerprint(df: DataFrame, keys: Sequence[str] | None = None) -> Column:
     return F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("bits"), F.sum(h.cast("decimal(38,0)")).alias("total"))
 
 
+def content_hash(rows: DataFrame, ident: str, h: str, fan: int = 4096, levels: int = 3) -> DataFrame:
+    """Row count, order-free xor, and an ordered fingerprint built as a tree.
+
+    Each level hashes the hashes of ``fan`` neighbouring ids, so no group is larger than ``fan``; the root holds
+    1 / fan ** levels of the rows' hashes.
+    """
+
+    def joined(key: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), ""), 256)
+
+    bits = F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+    d = rows.select(F.col(ident).alias("k"), F.col(h).alias("h"), F.lit(1).alias("n"), bits.alias("bits"))
+    for _ in range(levels):
+        d = d.groupBy(F.floor(F.col("k") / fan).cast("bigint").alias("up")).agg(joined("k").alias("h"), F.sum("n").alias("n"), F.bit_xor("bits").alias("bits"))
+        d = d.withColumnRenamed("up", "k")
+    return d.agg(F.sum("n").alias("n"), F.bit_xor("bits").alias("bits"), joined("k").alias("ordered"))
+
+
 def snapshot(df: DataFrame, path: str) -> DataFrame:
     """Copy that refuses to overwrite, then compares both sides' counts and fingerprints."""
     df.write.mode("errorifexists").parquet(path)

@@ -282,7 +282,9 @@ def test_nearest_block_and_small_paths_agree(spark, monkeypatch):
     x, d = vectors(spark)
     q = d.filter("id < 20")
     small = rows(embed.nearest(q, d, 3, require=("lang",)).select("qid", "pid", "rank"))
-    monkeypatch.setattr(embed, "is_small", lambda *_: False)
+    auc = embed.pair_auc(q, d, label="lang", require=()).first().auc
+    monkeypatch.setattr(embed, "SMALL_BYTES", 0)
+    assert auc == pytest.approx(embed.pair_auc(q, d, label="lang", require=(), block=7).first().auc)
     assert small == rows(embed.nearest(q, d, 3, require=("lang",), block=7).select("qid", "pid", "rank"))
     for i in range(20):
         sim = np.round(x @ x[i], 6)
