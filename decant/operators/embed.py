@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from decant.functions import dist as D
 from decant.functions import hashing as H
 from decant.operators.prefix import hash_bucket, id_bucket, prefix
-from decant.session import SMALL_BYTES, attach
+from decant.session import SMALL_BYTES, attach, materialise
 
 BLOCK_ROWS = 2048
 # Fixed values of the closeness verdict.
@@ -146,7 +146,8 @@ def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, schema: str, bl
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         return kernel(x, y, np.stack(y["vec"].to_numpy())) if len(x) and len(y) else empty
 
-    return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(cell, schema)
+    # the product is the costly part and its result is small: written once, never computed again
+    return materialise(q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(cell, schema), "blocks")
 
 
 def nearest(queries: DataFrame, pool: DataFrame, k: int, exclude: Sequence[str] = ("id",), require: Sequence[str] = (), block: int = BLOCK_ROWS) -> DataFrame:
