@@ -42,11 +42,120 @@ def one_category(cat):
     return build
 
 
-for _c in ("state_action", "agent_gate", "nli", "intent", "ranking", "sentiment", "ambiguous"):
-    query(f"syn_{_c}")(one_category(_c))
+# ---- SQL twins of the category builders ----------------------------------------------------
 
+def qs(x):
+    return "'" + x.replace("'", "''") + "'"
 
-@query("syn_tool_choice")
+
+def ls(xs):
+    return "[" + ", ".join(qs(x) for x in xs) + "]"
+
+
+def i_sql(*salt):
+    return f"('0x' || substr({X.rank_sql(*[qs(x) for x in salt], 'key')}, 1, 8))::BIGINT"
+
+
+def u_sql(*salt):
+    return X.unif_sql(*[qs(x) for x in salt], "key")
+
+
+def pick_sql(xs, *salt):
+    return f"({xs})[{i_sql(*salt)} % len({xs}) + 1]"
+
+
+def shuf_sql(xs, *salt):
+    return f"list_transform(list_sort(list_transform({xs}, lambda e: {{'h': {X.rank_sql(*[qs(x) for x in salt], 'key', 'e')}, 'e': e}})), lambda s: s.e)"
+
+
+def lang_sql(pair):
+    return f"replace(CASE WHEN lang = 'en' THEN {qs(pair[0])} ELSE {qs(pair[1])} END, '{{n}}', (2 + {i_sql('n')} % 97)::VARCHAR)"
+
+
+def case_sql(on, entries):
+    return f"CASE {on} " + " ".join(f"WHEN {qs(k)} THEN {lang_sql(v)}" for k, v in entries.items()) + " END"
+
+
+def filler_sql(salt):
+    return f"CASE WHEN lang = 'en' THEN {pick_sql(ls(Y.FILLERS['en']), salt)} ELSE {pick_sql(ls(Y.FILLERS['ja']), salt)} END"
+
+
+def ask_sql(kind):
+    return f"CASE WHEN lang = 'en' THEN {qs(Y.QUESTIONS[kind][0])} ELSE {qs(Y.QUESTIONS[kind][1])} END"
+
+
+K_SQL = f"CASE WHEN {u_sql('k')} < 0.1 THEN 2 WHEN {u_sql('k')} < 0.45 THEN 3 WHEN {u_sql('k')} < 0.75 THEN 4 ELSE 5 END"
+BASE_SQL = f"WITH b AS (SELECT c_custkey AS idx, 'train:' || c_custkey || ':0' AS key, CASE WHEN {X.unif_sql(repr('lang'), 'c_custkey')} < 0.6 THEN 'ja' ELSE 'en' END AS lang FROM customer)"
+
+
+def shown_sql(body):
+    """Shuffle the roles of ``d(idx, key, lang, core, question, roles, gold)`` and move gold along."""
+    return f"""{BASE_SQL}, {body},
+ o AS (SELECT *, list_transform(list_sort(list_transform(range(0, len(roles)), lambda i: {{'h': {X.rank_sql("'show'", 'key', 'i')}, 'i': i}})), lambda s: s.i) AS ord FROM d)
+SELECT idx, lang, len(roles)::INTEGER AS k, (list_position(ord, gold) - 1)::INTEGER AS gold, array_to_string(core, ' ') AS core, question, array_to_string(list_transform(ord, lambda i: roles[i + 1]), '|') AS roles FROM o"""
+
+
+def tool_sql(src):
+    return f"""t0 AS (SELECT *, {pick_sql(ls([*Y.TOOLS, 'none', 'none']), 'need')} AS need, 2 + {i_sql('ntools')} % 3 AS nt FROM {src}),
+ t1 AS (SELECT *, {shuf_sql(f"list_filter({ls(Y.TOOLS)}, lambda t: t <> need)", 'tools')} AS others FROM t0),
+ tool AS (SELECT idx, key, lang, [{case_sql('need', Y.TOOL_TEXT)}] AS core, {ask_sql('state')} AS question, list_append(list_transform(CASE WHEN need = 'none' THEN others[1:nt] ELSE list_concat([need], others[1:nt - 1]) END, lambda t: 'tool ' || t), 'no tool') AS roles,
+   CASE WHEN need = 'none' THEN nt ELSE 0 END AS gold FROM t1)"""
+
+INTENT_SQL = shown_sql(f"""w AS (SELECT *, {pick_sql(ls(Y.INTENTS), 'want')} AS want, {K_SQL} AS k FROM b),
+ x AS (SELECT *, CASE WHEN lang = 'en' THEN 'User: ' || want || ' request ' || (2 + {i_sql('n')} % 97) || ', please' ELSE '利用者: ' || want || 'の依頼' || (2 + {i_sql('n')} % 97) || 'をお願い' END AS said FROM w),
+ d AS (SELECT *, CASE WHEN {u_sql('fill')} < 0.3 THEN [{filler_sql('fill')}, said] ELSE [said] END AS core, {ask_sql('intent')} AS question,
+   list_concat([want], ({shuf_sql(f"list_filter({ls(Y.INTENTS)}, lambda x: x <> want)", 'others')})[1:k - 1]) AS roles, 0 AS gold FROM x)""")
+
+SENTIMENT_SQL = shown_sql(f"""r AS (SELECT *, CASE WHEN {u_sql('pol')} < 0.72 THEN {ls(Y.POLARITY)} ELSE {ls(Y.PRIORITY)} END AS rs FROM b),
+ x AS (SELECT *, rs[{i_sql('kind')} % 3 + 1] AS kind FROM r), y AS (SELECT *, list_filter(rs, lambda e: e <> kind) AS wrong FROM x),
+ z AS (SELECT *, CASE WHEN {u_sql('cut')} < 0.15 THEN list_filter(rs, lambda e: e <> wrong[{i_sql('drop')} % 2 + 1]) ELSE rs END AS roles FROM y),
+ d AS (SELECT *, [{case_sql('kind', Y.SENTIMENT_TEXT)}] AS core, CASE WHEN {u_sql('pol')} < 0.72 THEN {ask_sql('sent')} ELSE {ask_sql('prio')} END AS question, list_position(roles, kind) - 1 AS gold FROM z)""")
+
+
+def nli_part(i):
+    return case_sql("frame", {f: (t[0][i], t[1][i]) for f, t in Y.NLI_TEXT.items()})
+
+
+NLI_SQL = shown_sql(f"""f AS (SELECT *, {pick_sql(ls(list(Y.NLI_TEXT)), 'frame')} AS frame, {u_sql('two')} < 0.2 AS two FROM b),
+ l AS (SELECT *, CASE WHEN two THEN {i_sql('lab')} % 2 ELSE {i_sql('lab')} % 3 END AS gold FROM f),
+ d AS (SELECT *, CASE WHEN {u_sql('back')} < 0.4 THEN [{nli_part(0)}, {filler_sql('back')}] ELSE [{nli_part(0)}] END AS core,
+   replace({ask_sql('nli')}, '{{h}}', CASE gold WHEN 0 THEN {nli_part(1)} WHEN 1 THEN {nli_part(2)} ELSE {nli_part(3)} END) AS question, CASE WHEN two THEN {ls(Y.RELATIONS[:2])} ELSE {ls(Y.RELATIONS)} END AS roles FROM l)""")
+
+AXIS_CASE = "CASE axis " + " ".join(f"WHEN {qs(a)} THEN {ls(r)}" for a, r in Y.AXES.items()) + " END"
+AXIS_SAID = case_sql("(axis || side)", {f"{a}{i}": t[i] for a, t in Y.AXIS_TEXT.items() for i in (0, 1)})
+GATE_AXIS = f"CASE WHEN {u_sql('axis')} < 0.375 THEN 'gate' WHEN {u_sql('axis')} < 0.625 THEN 'model_route' WHEN {u_sql('axis')} < 0.75 THEN 'safe_defer' WHEN {u_sql('axis')} < 0.875 THEN 'ask_act' ELSE 'continue_stop' END"
+SIDE = f"CASE WHEN {u_sql('side')} < 0.5 THEN 0 ELSE 1 END"
+
+
+def axis_sql(axis, pool, more, most, ask, no_gold):
+    """Items of one axis: two roles, sometimes more roles and then no gold."""
+    return f"""ax AS (SELECT *, {axis} AS axis, {SIDE} AS side, {u_sql('more')} < {more} AS more FROM b), ay AS (SELECT *, {AXIS_CASE} AS two FROM ax),
+ az AS (SELECT *, CASE WHEN more THEN list_concat(two, ({shuf_sql(f"list_filter({ls(pool)}, lambda r: NOT list_contains(two, r))", 'extra')})[1:1 + {i_sql('nextra')} % {most}]) ELSE two END AS roles FROM ay),
+ axis_d AS (SELECT idx, key, lang, [{AXIS_SAID}] AS core, {ask_sql(ask)} AS question, roles, CASE WHEN more OR {no_gold} THEN NULL ELSE side END AS gold FROM az)"""
+
+
+GATE_SQL = shown_sql(axis_sql(GATE_AXIS, Y.GATE_EXTRAS, 0.25, 2, "gate", f"{u_sql('keep')} >= 0.7") + ", d AS (SELECT * FROM axis_d)")
+ACTION_POOL = [r for rs in Y.AXES.values() for r in rs if r not in ("speak", "silent")]
+ACTION_SQL = shown_sql(tool_sql("b") + ", " + axis_sql(pick_sql(ls(list(Y.AXES)), "axis"), ACTION_POOL, 0.3, 3, "state", f"{u_sql('nogold')} < 0.12")
+                       + f", d AS (SELECT * FROM tool WHERE {u_sql('tool')} < 0.18 UNION ALL SELECT * FROM axis_d WHERE NOT {u_sql('tool')} < 0.18)")
+
+
+def level_sql(attr, words):
+    draw = f"('0x' || substr({X.rank_sql(qs(attr), 'key', 'j')}, 1, 8))::BIGINT"
+    return f"({ls(words)})[CASE WHEN crit <> {qs(attr)} THEN {draw} % 3 WHEN j = gold THEN 0 ELSE 1 + {draw} % 2 END + 1]"
+
+
+CRIT_TEXT = {"price": ("The user wants the cheapest, request {n}.", "利用者は最安を望む。依頼{n}。"), "time": ("The user wants the fastest, request {n}.", "利用者は最速を望む。依頼{n}。"), "rating": ("The user wants the best rated, request {n}.", "利用者は高評価を望む。依頼{n}。")}
+RANK_SQL = shown_sql(f"""n AS (SELECT *, {pick_sql(ls(list(Y.LEVELS)), 'crit')} AS crit, ({shuf_sql(ls(Y.NOUNS), 'nouns')})[1:{K_SQL}] AS nouns FROM b),
+ g AS (SELECT *, {i_sql('best')} % len(nouns) AS gold FROM n),
+ d AS (SELECT *, [{case_sql('crit', CRIT_TEXT)}] AS core, {ask_sql('rank')} AS question, list_transform(range(0, len(nouns)), lambda j: nouns[j + 1] || ': ' || {level_sql('price', Y.LEVELS['price'])} || ', ' || {level_sql('time', Y.LEVELS['time'])} || ', ' || {level_sql('rating', Y.LEVELS['rating'])}) AS roles FROM g)""")
+
+TWINS = {"state_action": ACTION_SQL, "agent_gate": GATE_SQL, "nli": NLI_SQL, "intent": INTENT_SQL, "ranking": RANK_SQL, "sentiment": SENTIMENT_SQL, "ambiguous": None}
+for _c, _sql in TWINS.items():
+    query(f"syn_{_c}", _sql)(one_category(_c))
+
+
+@query("syn_tool_choice", "WITH e AS (SELECT c_custkey AS idx, 'train:' || c_custkey || ':0' AS key, 'en' AS lang FROM customer), " + tool_sql("e") + " SELECT idx, core[1] AS core, array_to_string(roles, '|') AS roles, gold::INTEGER AS gold FROM tool")
 def syn_tool_choice(spark, sf):
     d = keyed(ids(spark, sf)).withColumn("lang", F.lit("en")).withColumn("s", F.expr(Y.tool_choice()))
     return d.selectExpr("idx", "s.core[0] as core", "array_join(s.roles, '|') as roles", "s.gold")
