@@ -150,7 +150,30 @@ RANK_SQL = shown_sql(f"""n AS (SELECT *, {pick_sql(ls(list(Y.LEVELS)), 'crit')}
  g AS (SELECT *, {i_sql('best')} % len(nouns) AS gold FROM n),
  d AS (SELECT *, [{case_sql('crit', CRIT_TEXT)}] AS core, {ask_sql('rank')} AS question, list_transform(range(0, len(nouns)), lambda j: nouns[j + 1] || ': ' || {level_sql('price', Y.LEVELS['price'])} || ', ' || {level_sql('time', Y.LEVELS['time'])} || ', ' || {level_sql('rating', Y.LEVELS['rating'])}) AS roles FROM g)""")
 
-TWINS = {"state_action": ACTION_SQL, "agent_gate": GATE_SQL, "nli": NLI_SQL, "intent": INTENT_SQL, "ranking": RANK_SQL, "sentiment": SENTIMENT_SQL, "ambiguous": None}
+QUIET_POOL = ("answer", "search", "ask", "defer", "continue", "retrieve", "silent", "speak", "local")
+
+
+def mixed_level(attr, first, second):
+    words = Y.LEVELS[attr]
+    draw = f"('0x' || substr({X.rank_sql(qs(attr), 'key', 'j')}, 1, 8))::BIGINT"
+    if attr == "rating":
+        return f"({ls(words)})[{draw} % 3 + 1]"
+    return f"CASE j WHEN 0 THEN {qs(words[first])} WHEN 1 THEN {qs(words[second])} ELSE ({ls(words)})[1 + {draw} % 2 + 1] END"
+
+
+AMB_U = u_sql("amb")
+AMBIGUOUS_SQL = shown_sql(f"""ax AS (SELECT *, {pick_sql(ls(list(Y.AXES)), 'axis')} AS axis, ({shuf_sql(ls(Y.NOUNS), 'nouns')})[1:greatest({K_SQL}, 3)] AS nouns FROM b),
+ s0 AS (SELECT *, 0 AS side FROM ax), s1 AS (SELECT key, {AXIS_SAID} AS one FROM (SELECT *, 1 AS side FROM ax)), s AS (SELECT s0.*, {AXIS_SAID} AS zero, s1.one FROM s0 JOIN s1 USING (key)),
+ d AS (SELECT idx, key, lang, NULL::BIGINT AS gold,
+  CASE WHEN {AMB_U} < 0.25 THEN [{lang_sql(('Two jobs are open: export {n} and import.', '作業は書き出し{n}と取り込みの二つ。'))}, {lang_sql(('User: do that one', '利用者: それをやって'))}]
+   WHEN {AMB_U} < 0.6 THEN CASE WHEN {u_sql('first')} < 0.5 THEN [zero, one] ELSE [one, zero] END WHEN {AMB_U} < 0.7 THEN [{lang_sql(('Nothing has changed for {n} minutes.', '{n}分間なにも変わらない。'))}]
+   WHEN {AMB_U} < 0.85 THEN [{case_sql("'positive'", Y.SENTIMENT_TEXT)}, {case_sql("'negative'", Y.SENTIMENT_TEXT)}] ELSE [{lang_sql(('The user wants it cheap and fast, request {n}.', '利用者は安さと早さの両方を望む。依頼{n}。'))}] END AS core,
+  CASE WHEN {AMB_U} < 0.6 THEN {ask_sql('state')} WHEN {AMB_U} < 0.7 THEN {ask_sql('gate')} WHEN {AMB_U} < 0.85 THEN {ask_sql('sent')} ELSE {ask_sql('rank')} END AS question,
+  CASE WHEN {AMB_U} < 0.25 THEN CASE WHEN {u_sql('defer')} < 0.5 THEN ['ask', 'do export', 'do import', 'defer'] ELSE ['ask', 'do export', 'do import'] END WHEN {AMB_U} < 0.6 THEN {AXIS_CASE}
+   WHEN {AMB_U} < 0.7 THEN ({shuf_sql(ls(QUIET_POOL), 'pool')})[1:3 + {i_sql('npool')} % 3] WHEN {AMB_U} < 0.85 THEN {ls(Y.POLARITY)}
+   ELSE list_transform(range(0, len(nouns)), lambda j: nouns[j + 1] || ': ' || {mixed_level('price', 0, 2)} || ', ' || {mixed_level('time', 2, 0)} || ', ' || {mixed_level('rating', 0, 0)}) END AS roles FROM s)""")
+
+TWINS = {"state_action": ACTION_SQL, "agent_gate": GATE_SQL, "nli": NLI_SQL, "intent": INTENT_SQL, "ranking": RANK_SQL, "sentiment": SENTIMENT_SQL, "ambiguous": AMBIGUOUS_SQL}
 for _c, _sql in TWINS.items():
     query(f"syn_{_c}", _sql)(one_category(_c))
 
@@ -218,7 +241,28 @@ def syn_robust_pick(spark, sf):
     return Y.robust_pick(X.dec_items(spark, sf), 40, 100000).selectExpr("item_id", "variant_of", "variant", CAND)
 
 
-@query("syn_fake_scores")
+def matrix_sql(name):
+    from decant.operators.embed import gaussian_matrix
+
+    m = gaussian_matrix(Y.ACTIVE, Y.FEATURES, name) * Y.FEATURES ** 0.5
+    return "[" + ", ".join("[" + ", ".join(f"{float(x)!r}" for x in r) + "]" for r in m) + "]::DOUBLE[][]"
+
+
+def tok_sql(*parts):
+    return f"('0x' || substr({X.rank_sql(*parts)}, 1, 8))::BIGINT % {Y.ACTIVE}"
+
+
+@query("syn_fake_scores", f"""
+WITH b AS (SELECT c_custkey AS idx, c_custkey::VARCHAR AS key FROM customer), m AS (SELECT {matrix_sql('W')} AS w, {matrix_sql('U')} AS u),
+ p AS (SELECT *, 2 + {i_sql('k')} % 4 AS k, 11 + {i_sql('len')} % 30 AS n, ([{', '.join(map(str, Y.TEMPERATURES))}]::DOUBLE[])[{i_sql('temp')} % 5 + 1] AS temp FROM b),
+ t AS (SELECT p.*, f, (SELECT sum(m.w[x + 1][f]) FROM (SELECT unnest(list_transform(range(1, n + 1), lambda i: {tok_sql("'p'", 'key', 'i')})) AS x)) / sqrt(n) AS pv FROM p, m, (SELECT unnest([1, 2, 3]) AS f)),
+ c AS (SELECT idx, key, k, n, temp, c, 1 + ('0x' || substr({X.rank_sql("'cl'", 'key', 'c')}, 1, 8))::BIGINT % 8 AS cl FROM (SELECT *, unnest(range(1, k + 1)) AS c FROM p)),
+ v AS (SELECT c.*, f, (SELECT sum(m.u[x + 1][f]) FROM (SELECT unnest(list_transform(range(1, cl + 1), lambda i: {tok_sql("'c'", 'key', 'c', 'i')})) AS x)) / sqrt(cl) AS cv FROM c, m, (SELECT unnest([1, 2, 3]) AS f)),
+ l AS (SELECT v.idx, v.key, v.c, any_value(v.k) AS k, any_value(v.n) AS n, any_value(v.temp) AS temp, 3.0 * any_value(v.temp) * sum(pv * cv) / sqrt(3) AS z FROM v JOIN t ON t.idx = v.idx AND t.f = v.f GROUP BY v.idx, v.key, v.c),
+ q AS (SELECT *, exp(z - max(z) OVER w) AS e FROM l WINDOW w AS (PARTITION BY idx)),
+ r AS (SELECT *, sum(e) OVER (PARTITION BY idx ORDER BY c) / sum(e) OVER (PARTITION BY idx) AS cum FROM q)
+SELECT idx, any_value(k)::INTEGER AS k, any_value(temp) AS temp, any_value(n)::INTEGER AS prefix_len, round(max(z), 6) AS top_logit, round(min(z), 6) AS low_logit,
+  CASE WHEN {u_sql('has')} < 0.7 THEN count(*) FILTER (c < k AND cum <= {u_sql('gold')}) END::INTEGER AS gold FROM r GROUP BY idx, key""")
 def syn_fake_scores(spark, sf):
     d = Y.fake_scores(ids(spark, sf))
-    return d.selectExpr("idx", "k", "temp", "size(prefix) as prefix_len", "array_join(transform(t_logits, x -> round(x, 6)), '|') as t_logits", "gold")
+    return d.selectExpr("idx", "k", "temp", "size(prefix) as prefix_len", "round(array_max(t_logits), 6) as top_logit", "round(array_min(t_logits), 6) as low_logit", "gold")
