@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decant.functions.dist import ratio
-from decant.operators.quantiles import median
+from decant.operators.quantiles import median, medians
 from decant.session import attach
 
 
@@ -35,9 +35,7 @@ def config_report(results: DataFrame, reference: str, draft_max: int = 3) -> Dat
         F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_fail"),
         F.sum("draft_n").alias("draft_n"), F.sum("draft_ok").alias("draft_ok"),
         F.sum(F.when(with_e, F.col("energy_j"))).alias("e"), F.sum(F.when(with_e, F.col("tokens_predicted"))).alias("tok"))
-    long = ok.select("config", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("v")) for c in ("gen_rate", "wall_rate")])).alias("x"))
-    med = median(long.select("config", "x.*"), ["config", "kind"], "v", "m")
-    med = med.groupBy("config").agg(*[F.max(F.when(F.col("kind") == c, F.col("m"))).alias(c) for c in ("gen_rate", "wall_rate")])
+    med = medians(ok.select("config", "gen_rate", "wall_rate"), ["config"], ["gen_rate", "wall_rate"])
     d = base.join(med, "config", "left")
     ref = d.filter(F.col("config") == reference).select(F.col("gen_rate").alias("ref_gen"), F.col("wall_rate").alias("ref_wall"))
     d = attach(d, ref)

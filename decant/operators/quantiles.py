@@ -72,6 +72,16 @@ def median(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFr
     return quantiles(df, group, value, {name: 0.5})
 
 
+def medians(df: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Medians of several columns in one pass over the data."""
+    g = list(group)
+    if is_small(df, IN_MEMORY_ROWS):
+        return df.groupBy(*g).agg(*[F.median(v).alias(v) for v in values])
+    long = df.select(*g, F.explode(F.array(*[F.struct(F.lit(v).alias("_kind"), F.col(v).cast("double").alias("_value")) for v in values])).alias("x")).select(*g, "x.*")
+    m = quantiles(long, [*g, "_kind"], "_value", {"_m": 0.5})
+    return m.groupBy(*g).agg(*[F.max(F.when(F.col("_kind") == v, F.col("_m"))).alias(v) for v in values])
+
+
 def auc(df: DataFrame, score: str, positive: str, group: Sequence[str] = ()) -> DataFrame:
     """P(score of a positive > score of a negative), ties one half; null when a side is empty."""
     g = list(group)

@@ -304,7 +304,7 @@ def pred_repr(spark, sf):
     d = d.selectExpr("run", "item_id", "pred", "tpred", "get(labs, tpred) as target", "posexplode(arrays_zip(labs, ps)) as (pos, x)")
     d = d.selectExpr("run", "item_id", "pred", "tpred", "target", "pos", "x.labs as lab", "x.ps as p")
     # vectors per label: as many rows as there are labels
-    d = d.join(F.broadcast(z), d.lab == z.label).drop("label").join(F.broadcast(c.withColumnRenamed("label", "target")), "target")
+    d = d.join(z, d.lab == z.label).drop("label").join(c.withColumnRenamed("label", "target"), "target")
     return d.select("run", "item_id", "pred", "tpred", "pos", "lab", "p", D.r6(D.cosine("z", "c"), "sim"))
 
 
