@@ -8,6 +8,7 @@ their rank among the pieces of the same length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -19,31 +20,48 @@ from pyspark.sql import functions as F
 from decant.operators.prefix import prefix
 from decant.session import materialise
 
-#: Words whose ids a task keeps at a time; the memo only saves work.
-MEMO = 300_000
+#: Word parts whose ids a task keeps at a time; the memo only saves work.
+MEMO = 1_000_000
 
 PIECES = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
+#: How the vocabulary cuts lower-case text, for the characters below; others take the tokenizer's own way.
+PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
-class Encoder:
-    """Token ids of whole texts. White space always ends a token here, so words are encoded once and looked up."""
+
+class Encoder(dict):
+    """Token ids of whole texts as little-endian unsigned 32-bit numbers.
+
+    White space always ends a token here and merges never cross the parts of a word, so parts are encoded once and
+    looked up. Words with characters beyond Latin-1, or with special tokens, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # the byte alphabet of the vocabulary: printable bytes stand for themselves, the rest follow from 256 on
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(odd)}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        shown = part.encode().decode("latin-1").translate(self.alphabet)
+        ids = self[part] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.memo]
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo, new = {}, list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([self.memo[w] for w in words])
+        if not PLAIN.search(text):
+            return b"".join(map(self.__getitem__, PARTS.findall(text.lower())))
+        return b"".join([self._whole(w) if PLAIN.search(w) else self(w) for w in text.split(" ")])
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def default_path() -> str:
