@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import mixing, packing, sharding
+from decant.llm import mixing, packing, pii, sharding
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op5(spark, sf):
 @query("op6_mixing", mixing.SQL)
 def op6(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).drop("copies")
+
+
+@query("op9_pii", pii.SQL)
+def op9(spark, sf):
+    return pii.report(table(spark, sf, "documents"))
