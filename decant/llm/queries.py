@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import mixing, packing, pii, sharding
+from decant.llm import mixing, packing, pii, rules, sharding
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op6(spark, sf):
 @query("op9_pii", pii.SQL)
 def op9(spark, sf):
     return pii.report(table(spark, sf, "documents"))
+
+
+@query("op4_rules")
+def op4(spark, sf):
+    return rules.judge(table(spark, sf, "documents"))
