@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import mixing, packing, pii, rules, sharding
+from decant.llm import minhash, mixing, packing, pii, rules, sharding
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op9(spark, sf):
 @query("op4_rules")
 def op4(spark, sf):
     return rules.judge(table(spark, sf, "documents"))
+
+
+@query("op1_near_dedup")
+def op1(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"), width=4)
