@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import minhash, mixing, packing, pii, rules, sharding
+from decant.llm import minhash, mixing, packing, pii, rules, sharding, substrings
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op4(spark, sf):
 @query("op1_near_dedup")
 def op1(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"), width=4)
+
+
+@query("op10_substrings")
+def op10(spark, sf):
+    return substrings.strip(table(spark, sf, "documents")).drop("kept")
