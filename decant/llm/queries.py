@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import minhash, mixing, packing, pii, rules, sharding, substrings
+from decant.llm import langid, minhash, mixing, packing, pii, rules, sharding, substrings
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op1(spark, sf):
 @query("op10_substrings")
 def op10(spark, sf):
     return substrings.strip(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op7_language")
+def op7(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
