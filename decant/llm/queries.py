@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import langid, minhash, mixing, packing, pii, rules, sharding, substrings
+from decant.llm import langid, minhash, mixing, packing, pii, rules, sharding, substrings, vectors
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op10(spark, sf):
 @query("op7_language")
 def op7(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
+
+
+@query("op8_vectors")
+def op8(spark, sf):
+    return vectors.near_duplicates(table(spark, sf, "embeddings"))
