@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import langid, minhash, mixing, packing, pii, rules, sharding, substrings, vectors
+from decant.llm import langid, licenses, minhash, mixing, packing, pii, rules, sharding, substrings, vectors
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op7(spark, sf):
 @query("op8_vectors")
 def op8(spark, sf):
     return vectors.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op2_licenses")
+def op2(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
