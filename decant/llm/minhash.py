@@ -197,14 +197,8 @@ def _across(least: float, percent: int, most: int | None):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``n_shingles``, ``component_id`` (least key reachable by links) and ``kept``.
-
-    Words are lower-cased (A to Z only). Two documents are linked when their sets of ``width``-word shingles have at
-    least ``percent`` hundredths of their union in common. Texts that are null or have no word are linked with
-    nothing. Repeated rows share their component. A null key never names a component that has another key.
-    Other columns are not read; empty input gives no rows.
-    """
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, cls, n) of the documents, and classes (cls, component, component_id); both are written tables."""
     least = margin(percent / 100)
     rows = materialise(signatures(docs, key, text, width), "signatures")
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -228,14 +222,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     named = classes.select("cls", "key").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = materialise(named, "named")
     ids = named.groupBy("component").agg(F.min("key").alias("component_id"))
-    of = named.join(ids, "component").select("cls", "component_id")
-    out = rows.select("key", "cls", "n").join(of, "cls", "left")
+    return rows.select("key", "cls", "n"), materialise(named.join(ids, "component").select("cls", "component", "component_id"), "groups")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``n_shingles``, ``component_id`` (least key reachable by links) and ``kept``.
+
+    Words are lower-cased (A to Z only). Two documents are linked when their sets of ``width``-word shingles have at
+    least ``percent`` hundredths of their union in common. Texts that are null or have no word are linked with
+    nothing. Repeated rows share their component. A null key never names a component that has another key.
+    Other columns are not read; empty input gives no rows.
+    """
+    rows, of = groups(docs, key, text, width, percent)
+    out = rows.join(of, "cls", "left")
     return out.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group: the one with the least key, a null key last.
+
+    Documents without a word are in no group and stay. Of rows that repeat both key and set one stays.
+    """
+    rows, of = groups(docs, key, text, width, percent)
+    members = rows.join(of, "cls")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "cls")).alias("m"))
+    first = materialise(first.select(F.col("m.key").alias("_key"), F.col("m.cls").alias("_cls")), "first")
+    repeated = members.join(first, F.col("cls") == F.col("_cls")).filter(F.col("key").eqNullSafe(F.col("_key"))).groupBy("_cls").agg(F.count("*").alias("n")).filter("n > 1")
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].cast("bigint").alias("k"), docs[text].cast("binary").alias("t"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
+        for b in batches:
+            cls = [_set_id(shingles(memo.of((t.as_py() or b"").lower().split()), width)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary())], names=["doc", "k", "cls"])
+
+    d = d.mapInArrow(run, f"doc {docs.schema.simpleString()}, k bigint, cls binary")
+    j = d.join(first, F.col("cls") == F.col("_cls"), "left")
+    kept = j.filter(F.col("cls").isNull() | (F.col("_cls").isNotNull() & F.col("k").eqNullSafe(F.col("_key"))))
+    if not repeated.isEmpty():
+        kept = kept.filter(F.col("cls").isNull()).unionByName(kept.filter(F.col("cls").isNotNull()).dropDuplicates(["cls"]))
+    return kept.select("doc.*")
+
+
 def _likely(a: str, b: str, least: float):
     @F.pandas_udf("boolean")
     def likely(x: pd.Series, y: pd.Series) -> pd.Series:

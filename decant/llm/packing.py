@@ -44,6 +44,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.short = self.tokenizer.get_vocab_size() <= 1 << 16
         # the byte alphabet of the vocabulary: printable bytes stand for themselves, the rest follow from 256 on
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.alphabet = {b: 256 + i for i, b in enumerate(odd)}
@@ -64,6 +65,10 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def _narrow(ids: bytes, short: bool) -> bytes:
+    return np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if short else ids
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -73,8 +78,8 @@ def default_path() -> str:
 def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece of each document: ids of the whole text, the id ``end``, cut every ``capacity`` ids.
 
-    Null and empty texts give one piece with ``end`` alone. ``with_ids`` adds the ids themselves (32-bit little
-    endian). ``path`` must be readable on every executor.
+    Null and empty texts give one piece with ``end`` alone. ``with_ids`` adds the ids themselves, little endian: 16
+    bits each if the vocabulary has no more, else 32. ``path`` must be readable on every executor.
     """
     where = path or default_path()
 
@@ -87,7 +92,7 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
                 ids = encode(t.as_py() or "") + tail
                 for p, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
-                    rows.append((k, p, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
+                    rows.append((k, p, at // 4, len(own) // 4, zlib.crc32(own), _narrow(own, encode.short) if with_ids else None))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             names = ["key", "piece", "start", "length", "ids_crc32", "ids"]
