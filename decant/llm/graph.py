@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +39,53 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         nearer = rounds.pop()
         out = nearer.join(out.select(F.col("u").alias("to"), F.col("to").alias("end")), "to", "left").select("u", F.coalesce("end", "to").alias("to"))
     return out.select(F.col("u.id").alias("node"), F.col("to.id").alias("component"))
+
+
+class Forest:
+    """Components of ``size`` nodes from links that come in pieces; what is kept does not grow with the links."""
+
+    def __init__(self, size: int):
+        self.root = np.arange(size)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        while len(a):
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root != root[root]).any():
+                root[:] = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        a = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return a, self.root[a]
+
+
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` over the rows of each group, as an Arrow table. For many small groups, which grouped pandas calls are slow at.
+
+    Groups must be of bounded size.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))])
+            cuts = np.append(0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1)
+            if held and tuple(ids[:, 0]) != last:
+                yield fn(pa.Table.from_batches(held))
+                held = []
+            for i, j in zip(cuts, np.append(cuts[1:], b.num_rows), strict=True):
+                if held and i:
+                    yield fn(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(i, j - i))
+            last = tuple(ids[:, -1])
+        if held:
+            yield fn(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

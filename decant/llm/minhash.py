@@ -7,9 +7,10 @@
 4. What is left is confirmed on the full sets.
 
 Connected groups are wanted, not pairs. Each class first meets the least class of its buckets. Links found so far make
-components, and only pairs across components are looked at again: within a bucket, the members of its largest
-component lie in blocks, and the others visit every block. Of what they meet, the likeliest partners are confirmed
-first and, in the last round, all that remain.
+components, and only pairs across components are looked at again. Within a bucket, the members of its largest
+component lie in blocks, and the others visit every block; what is likely there is returned as a spanning forest.
+Classes that likely pairs connect make a cluster, and the full sets of a cluster meet once, in blocks: every likely
+pair is confirmed whose ends are not connected yet. No step returns more rows than it has nodes.
 """
 
 from __future__ import annotations
@@ -19,21 +20,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decant.llm.graph import components
+from decant.llm.graph import Forest, by_group, components
 from decant.session import materialise
 
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 #: Words whose hashes a task keeps at a time; the memo only saves work.
 MEMO = 1_000_000
-#: Members of a bucket in one block.
-BLOCK = 4096
-#: Likeliest partners confirmed for a class and block in the rounds after the first; None: all of them.
-ROUNDS: tuple[int | None, ...] = (4, None)
+#: Members of a bucket, and sets of a cluster, in one block.
+BLOCK, SETS = 4096, 512
 
 _rng = np.random.default_rng(20240601)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -164,35 +164,67 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                keep.append(_similar(s, t, percent))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _across(least: float, percent: int, most: int | None):
-    """Likely pairs across components in one block of a bucket: each visitor with what lies in the block."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(block["sig"]), dtype=np.uint64).reshape(len(block), -1)
-        cls, n = block["cls"].to_numpy(), block["n"].to_numpy()
-        group = pd.factorize(block["component"])[0]
-        here, visits = np.flatnonzero(block["here"].to_numpy()), np.flatnonzero(block["visits"].to_numpy())
-        a, b = [], []
-        step = max(1, 2_000_000 // max(1, len(here)))
-        for i in range(0, len(visits), step):
-            v = visits[i : i + step]
-            e = estimate(sig[v][:, None, :], sig[here][None, :, :]) if len(here) * len(v) <= 200_000 else np.stack([estimate(sig[x], sig[here]) for x in v])
-            low, high = np.minimum(n[v][:, None], n[here]), np.maximum(n[v][:, None], n[here])
-            e = np.where((group[v][:, None] != group[here]) & (100 * low >= percent * high), e, -1.0)
-            if most is not None and len(here) > most:
-                e = np.where(e >= np.partition(e, -most, axis=1)[:, -most, None], e, -1.0)
-            x, y = np.nonzero(e >= least)
-            a += cls[v[x]].tolist()
-            b += cls[here[y]].tolist()
-        return pd.DataFrame({"a": [min(p) for p in zip(a, b, strict=True)], "b": [max(p) for p in zip(a, b, strict=True)]}, dtype=object)
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _likely_pairs(sig: np.ndarray, n: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of ``a`` with ``b`` in different groups that may be similar enough, with their estimates, in pieces."""
+    step = max(1, 200_000 // max(1, len(b)))
+    for i in range(0, len(a), step):
+        v = a[i : i + step]
+        e = estimate(sig[v][:, None, :], sig[b][None, :, :])
+        low, high = np.minimum(n[v][:, None], n[b]), np.maximum(n[v][:, None], n[b])
+        x, y = np.nonzero((e >= least) & (group[v][:, None] != group[b]) & (100 * low >= percent * high))
+        yield v[x], b[y], e[x, y]
+
+
+def _across(least: float, percent: int):
+    """Spanning forest of the likely pairs across components in one block of a bucket."""
+
+    def run(block: pa.Table) -> pa.RecordBatch:
+        sig, n, cls = _signatures(block["sig"]), block["n"].to_numpy(), block["cls"].to_pylist()
+        group = pa.compute.dictionary_encode(block["component"].combine_chunks()).indices.to_numpy()
+        here, visits = np.flatnonzero(block["here"].to_numpy(zero_copy_only=False)), np.flatnonzero(block["visits"].to_numpy(zero_copy_only=False))
+        forest = Forest(len(cls))
+        for a, b, _ in _likely_pairs(sig, n, group, visits, here, least, percent):
+            forest.link(a, b)
+        a, b = forest.edges()
+        return pa.RecordBatch.from_arrays([pa.array([cls[i] for i in a], pa.binary()), pa.array([cls[i] for i in b], pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _settle(least: float, percent: int):
+    """Links that connect components within two blocks of a cluster, confirmed on the full sets, likeliest first."""
+
+    def run(block: pa.Table) -> pa.RecordBatch:
+        sig, n, cls = _signatures(block["sig"]), block["n"].to_numpy(), block["cls"].to_pylist()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in block["items"].to_pylist()]
+        group = pa.compute.dictionary_encode(block["component"].combine_chunks()).indices.to_numpy()
+        left, right = np.flatnonzero(block["left"].to_numpy(zero_copy_only=False)), np.flatnonzero(block["right"].to_numpy(zero_copy_only=False))
+        found = list(_likely_pairs(sig, n, group, left, right, least, percent))
+        a, b, e = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in range(3))
+        forest = Forest(int(group.max()) + 1)
+        links = []
+        for k in np.argsort(-e, kind="stable"):
+            i, j = a[k], b[k]
+            if forest.root[group[i]] != forest.root[group[j]] and _similar(sets[i], sets[j], percent):
+                forest.link(group[i : i + 1], group[j : j + 1])
+                links.append((cls[i], cls[j]))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -214,12 +246,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(_likely("siga", "sigb", least)).select("a", "b")
     links = materialise(_confirm(pairs, sets, percent), "links")
     labels = materialise(components(links, "a", "b"), "labels")
-    for most in ROUNDS:
-        more = materialise(_confirm(_meet(shared, facts, labels, least, percent, most), sets, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = materialise(components(links, "a", "b"), "labels")
-    named = classes.select("cls", "key").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    labels = labels.withColumnRenamed("node", "cls")
+    likely = materialise(_meet(shared, facts, labels, least, percent), "likely")
+    more = materialise(_confirm_clusters(likely, facts, sets, labels, least, percent), "links")
+    if not more.isEmpty():
+        labels = materialise(components(links.union(more), "a", "b"), "labels").withColumnRenamed("node", "cls")
+    named = classes.select("cls", "key").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = materialise(named, "named")
     ids = named.groupBy("component").agg(F.min("key").alias("component_id"))
     return rows.select("key", "cls", "n"), materialise(named.join(ids, "component").select("cls", "component", "component_id"), "groups")
@@ -278,9 +310,9 @@ def _likely(a: str, b: str, least: float):
     return likely(a, b)
 
 
-def _meet(shared: DataFrame, facts: DataFrame, labels: DataFrame, least: float, percent: int, most: int | None) -> DataFrame:
-    """Likely pairs (a, b) of classes that share a bucket and lie in different components."""
-    at = shared.select("bucket", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+def _meet(shared: DataFrame, facts: DataFrame, labels: DataFrame, least: float, percent: int) -> DataFrame:
+    """Forest (a, b) of likely pairs of classes that share a bucket and lie in different components."""
+    at = shared.select("bucket", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     at = materialise(at, "members")
     sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("base"), F.sum("m").alias("m"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
@@ -290,4 +322,17 @@ def _meet(shared: DataFrame, facts: DataFrame, labels: DataFrame, least: float,
     d = d.withColumn("visits", F.col("component") != F.col("base")).withColumn("own", own)
     d = d.withColumn("block", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
     d = d.select("bucket", "block", "cls", "n", "sig", "component", "visits", (F.col("own") == F.col("block")).alias("here"))
-    return d.groupBy("bucket", "block").applyInPandas(_across(least, percent, most), "a binary, b binary").distinct()
+    return by_group(d, ["bucket", "block"], _across(least, percent), "a binary, b binary")
+
+
+def _confirm_clusters(likely: DataFrame, facts: DataFrame, sets: DataFrame, labels: DataFrame, least: float, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between the components of each cluster of likely pairs."""
+    clusters = materialise(components(likely, "a", "b").select(F.col("node").alias("cls"), F.xxhash64("component").alias("cluster")), "clusters")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / SETS).cast("int").alias("blocks"))
+    d = clusters.join(blocks, "cluster").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    d = d.join(facts, "cls").join(sets, "cls")
+    d = d.select("cluster", "i", "j", "cls", "n", "sig", "items", "component", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"))
+    return by_group(d, ["cluster", "i", "j"], _settle(least, percent), "a binary, b binary")

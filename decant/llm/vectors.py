@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decant.llm.graph import components
+from decant.llm.graph import Forest, components
 from decant.session import materialise
 
 #: Bytes of the sample that the centres are fitted on, and vectors in it for each centre.
@@ -101,7 +101,7 @@ def _compare(least: float):
         lists = block["cells"].to_list()
         top = int(max(max(c) for c in lists)) + 1
         visited = np.unique(np.concatenate([i * top + np.asarray(lists[i], dtype=np.int64) for i in here])) if len(here) else np.zeros(0, np.int64)
-        links, label, linked = np.zeros(len(block), dtype=np.int64), np.arange(len(block)), np.zeros(len(block), dtype=bool)
+        links, forest = np.zeros(len(block), dtype=np.int64), Forest(len(block))
         for i in range(0, len(here), 512):
             own = here[i : i + 512]
             a, b = np.nonzero(x[own] @ x[meet].T >= least)
@@ -111,18 +111,10 @@ def _compare(least: float):
             # a visitor whose own cell does not see this vector is credited here
             blind = (home[b] != cell) & ~np.isin(a * top + home[b], visited)
             np.add.at(links, b[blind], n[a[blind]])
-            linked[a] = linked[b] = True
-            while len(a):
-                low = np.minimum(label[a], label[b])
-                np.minimum.at(label, label[a], low)
-                np.minimum.at(label, label[b], low)
-                while (label != label[label]).any():
-                    label = label[label]
-                open_ = label[a] != label[b]
-                a, b = a[open_], b[open_]
+            forest.link(a, b)
         cls = block["cls"].to_numpy()
-        some, tied = np.flatnonzero(links), np.flatnonzero(linked & (label != np.arange(len(block))))
-        return pd.DataFrame({"a": np.append(cls[some], cls[tied]), "b": np.append(np.full(len(some), None), cls[label[tied]]), "n": np.append(links[some], np.zeros(len(tied), np.int64))})
+        some, (tied, root) = np.flatnonzero(links), forest.edges()
+        return pd.DataFrame({"a": np.append(cls[some], cls[tied]), "b": np.append(np.full(len(some), None), cls[root]), "n": np.append(links[some], np.zeros(len(tied), np.int64))})
 
     return run
 
