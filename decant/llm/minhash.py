@@ -31,7 +31,7 @@ from decant.session import materialise
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 #: Words whose hashes a task keeps at a time; the memo only saves work.
-MEMO = 1_000_000
+MEMO = 200_000
 #: Members of a bucket, and sets of a cluster, in one block.
 BLOCK, SETS = 4096, 512
 

@@ -69,7 +69,7 @@ def _spans(k: Kind) -> str:
 
 
 def find(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
-    """Add ``name``: spans (kind, start, end, score) in code points, by kind as listed in ``KINDS``, then start.
+    """Add (or replace) ``name``: spans (kind, start, end, score) in code points, by kind as listed in ``KINDS``, then start.
 
     Null texts are empty and have no spans. A match that fails its check is dropped and not tried again shorter.
     Spans of different kinds may overlap. Works row by row: repeated rows get the same spans, empty input gives no
@@ -77,7 +77,7 @@ def find(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
     """
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs[text], F.lit("")).alias("t"))
     found = F.concat(*[F.expr(_spans(k)) for k in KINDS])
-    return d.select("doc", found.alias(name)).select("doc.*", name)
+    return d.select("doc", found.alias(name)).select(*[f"doc.{c}" for c in docs.columns if c != name], name)
 
 
 def written(spans: Column) -> Column:

@@ -17,7 +17,7 @@ from decant.session import materialise
 #: Words in a window of the repetition rule.
 SPAN = 5
 #: Common words of a language, and the length up to which a word counts as one.
-COMMON, LONGEST = 32, 8
+COMMON, LONGEST = 24, 6
 #: Share of all words above which a language has references of its own; smaller ones share the pooled reference.
 #: At most ``1 / OWN`` languages can reach it, which bounds the reference tables.
 OWN = 0.001

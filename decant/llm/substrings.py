@@ -69,16 +69,25 @@ class Rolling:
         at = np.arange(n - SEED + 1)
         seeds = self.of(at, at + SEED, 0)
         reach = WINDOW - SEED + 1
-        chosen = np.lib.stride_tricks.sliding_window_view(seeds, reach).argmin(axis=1) + at[: n - WINDOW + 1]
+        view = np.lib.stride_tricks.sliding_window_view(seeds, reach)
+        # argmin copies what it looks at, so a long text is looked at in parts
+        chosen = np.concatenate([view[i : i + 8192].argmin(axis=1) for i in range(0, len(view), 8192)]) + at[: n - WINDOW + 1]
         first = np.flatnonzero(np.diff(chosen, prepend=-1))
         last = np.append(first[1:], len(chosen)) - 1
         return seeds[chosen[first]], first, last + WINDOW
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few documents: what a task holds follows the longest of them."""
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            yield b.slice(i, 256)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Rolling()
-        for b in batches:
+        for b in _parts(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 anchor, start, end = r.blocks(r.load(t.as_py().split()))
@@ -96,7 +105,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Rolling()
-        for b in batches:
+        for b in _parts(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(4)]
             for k, t, blocks in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 _, start, end = r.blocks(r.load(t.as_py().split()))
@@ -151,7 +160,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     j = d.join(spans, F.col("key") == F.col("_key"), "left").select("key", "text", "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             n, removed, kept, sha = [], [], [], []
             for t, s in zip(b.column(1), b.column(2), strict=True):
                 words = (t.as_py() or b"").split()
