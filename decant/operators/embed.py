@@ -8,6 +8,7 @@ block leave a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from decant.functions import hashing as H
 from decant.operators.prefix import hash_bucket, id_bucket, prefix
 from decant.session import SMALL_BYTES, attach, materialise
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS, QUERY_ROWS = 2048, 256
 # Fixed values of the closeness verdict.
 TEACHER_RATIO, CHANCE_FACTOR, SEEN_RATIO = 0.70, 5.0, 0.80
 
@@ -132,8 +133,9 @@ def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, schema: str, bl
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p, pm = shared.value
             for q in batches:
-                if len(q) and len(p):
-                    yield kernel(q, p, pm)
+                if len(p):  # a product of few queries at a time, whatever the batch and the pool
+                    for i in range(0, len(q), QUERY_ROWS):
+                        yield kernel(q.iloc[i : i + QUERY_ROWS], p, pm)
 
         return queries.mapInPandas(scan, schema)
 
@@ -144,7 +146,10 @@ def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, schema: str, bl
     empty = pool.sparkSession.createDataFrame([], schema).toPandas()
 
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return kernel(x, y, np.stack(y["vec"].to_numpy())) if len(x) and len(y) else empty
+        if not (len(x) and len(y)):
+            return empty
+        matrix = np.stack(y["vec"].to_numpy())
+        return pd.concat([kernel(x.iloc[i : i + QUERY_ROWS], y, matrix) for i in range(0, len(x), QUERY_ROWS)])
 
     # the product is the costly part and its result is small: written once, never computed again
     return materialise(q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(cell, schema), "blocks")
@@ -233,19 +238,30 @@ def _moments(df: DataFrame, cols: Sequence[str], key: str | None = None) -> dict
     return out
 
 
-def pca_fit(df: DataFrame, vec: str, d: int) -> dict:
-    """Principal axes of unit vectors; signs fixed by the largest component."""
-    g = _moments(df.select(F.expr(D.unit(vec)).alias("u")), ["u"])[0]
-    n = g[0, 0]
-    mean = g[0, 1:] / n
-    cov = (g[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
-    w, v = np.linalg.eigh(cov)
-    w, v = np.clip(w[::-1], 0, None), v[:, ::-1]
-    d = int(min(d, len(mean), n - 1))
-    comp = v[:, :d].T
-    lead = comp[np.arange(d), np.abs(comp).argmax(axis=1)]
-    comp = comp * np.where(lead < 0, -1.0, 1.0)[:, None]
-    return {"mean": mean, "components": comp, "variance": w[:d], "ratio": w[:d] / max(w.sum(), 1e-300), "total": float(w.sum()), "n": int(n)}
+@dataclass(frozen=True)
+class Axes:
+    """Orthonormal directions (rows) of falling variance about a mean."""
+
+    mean: np.ndarray
+    rows: np.ndarray
+    variance: np.ndarray
+    total: float
+    n: int
+
+    @property
+    def share(self) -> np.ndarray:
+        return self.variance / self.total if self.total > 0 else np.zeros_like(self.variance)
+
+
+def principal_axes(df: DataFrame, vec: str, d: int) -> Axes:
+    """The ``d`` main directions of the unit vectors; each points where its entries sum to more than zero."""
+    sums = _moments(df.select(F.expr(D.unit(vec)).alias("u")), ["u"])[0]
+    n, mean = int(sums[0, 0]), sums[0, 1:] / sums[0, 0]
+    spread = (sums[1:, 1:] / n - np.outer(mean, mean)) * n / (n - 1)
+    _, sizes, directions = np.linalg.svd((spread + spread.T) / 2, hermitian=True)
+    most = min(d, mean.size, n - 1)
+    turn = np.where(directions[:most].sum(axis=1) < 0, -1.0, 1.0)
+    return Axes(mean, turn[:, None] * directions[:most], sizes[:most], float(sizes.sum()), n)
 
 
 def project(df: DataFrame, vec: str, mean: np.ndarray, matrix: np.ndarray, out: str) -> DataFrame:
@@ -275,94 +291,109 @@ def gaussian_matrix(rows: int, cols: int, seed: str) -> np.ndarray:
     return np.array(z) / np.sqrt(cols)
 
 
-def ridge_crossfit(df: DataFrame, x: str, y: str, group: str, folds: int = 5, alphas: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)):
-    """Grouped cross-fit ridge from x to y. Returns (rows with ``pred``, chosen alpha, mean cosine per alpha).
+#: Penalties tried, as shares of the mean variance of an input.
+PENALTIES = tuple(10.0 ** -k for k in (4, 3, 2, 1, 0))
 
-    Each fold's model comes from subtracting that fold's cross-products from the total, so the data is read
-    once to fit and once to score, whatever the number of folds and penalties. ``df`` has a boolean
-    ``seen``; unseen rows are predicted by the model of all seen rows.
-    """
-    spark = df.sparkSession
-    g = df.filter("seen").select(group).distinct().withColumn("gh", H.rank_key("fold", F.col(group)))
-    g = prefix(g, ["gh"], hash_bucket("gh"), rank="gr").select(group, ((F.col("gr") - 1) % folds).cast("int").alias("fold"))
-    d = df.join(g, group, "left").withColumn("fold", F.when(F.col("seen"), F.col("fold")).otherwise(-1))
-    m = _moments(d.filter("fold >= 0"), [x, y], "fold")
-    dx = len(df.select(x).first()[0])
-    total = sum(m.values())
-
-    def solve(gram, a):
-        n = gram[0, 0]
-        mean = gram[0, 1:] / n
-        c = gram[1:, 1:] - n * np.outer(mean, mean)
-        xx, xy = c[:dx, :dx], c[:dx, dx:]
-        w = np.linalg.solve(xx + a * np.trace(xx) / dx * np.eye(dx), xy)
-        return w, mean[:dx], mean[dx:]
-
-    models = {(f, i): solve(total - gr, a) for f, gr in m.items() for i, a in enumerate(alphas)}
-    models |= {(-1, i): solve(total, a) for i, a in enumerate(alphas)}
-    shared = spark.sparkContext.broadcast(models)
-    n_alpha = len(alphas)
-
-    def predict(b: pd.DataFrame, i: int) -> np.ndarray:
-        xs, fs = np.stack(b[x].to_numpy()).astype(float), b["fold"].to_numpy()
-        out = None
-        for f in np.unique(fs):
-            w, xm, ym = shared.value[(int(f), i)]
-            p = (xs[fs == f] - xm) @ w + ym
-            out = np.zeros((len(xs), p.shape[1])) if out is None else out
-            out[fs == f] = p
-        return out
-
-    def cosines(batches):
-        for b in batches:
-            if len(b):
-                ys = np.stack(b[y].to_numpy()).astype(float)
-                for i in range(n_alpha):
-                    p = predict(b, i)
-                    c = (p * ys).sum(1) / np.maximum(np.linalg.norm(p, axis=1) * np.linalg.norm(ys, axis=1), 1e-12)
-                    yield pd.DataFrame({"i": [i], "s": [c.sum()], "n": [len(c)]})
 
-    sc = d.filter("fold >= 0").select(x, y, "fold").mapInPandas(cosines, "i int, s double, n bigint").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("c"))
-    scores = {alphas[r["i"]]: r["c"] for r in sc.toLocalIterator()}
-    best = max(range(n_alpha), key=lambda i: (scores[alphas[i]], -i))
+@dataclass(frozen=True)
+class Ridge:
+    """Linear maps between two centred spaces for several penalties, from one eigenvalue problem."""
+
+    at: np.ndarray
+    to: np.ndarray
+    basis: np.ndarray
+    values: np.ndarray
+    targets: np.ndarray  # inputs turned into the basis, times outputs
+
+    @classmethod
+    def of(cls, sums: np.ndarray, inputs: int) -> Ridge:
+        mean = sums[0, 1:] / sums[0, 0]
+        centred = sums[1:, 1:] - sums[0, 0] * np.outer(mean, mean)
+        values, basis = np.linalg.eigh(centred[:inputs, :inputs])
+        return cls(mean[:inputs], mean[inputs:], basis, values, basis.T @ centred[:inputs, inputs:])
+
+    def __call__(self, x: np.ndarray, penalty: float) -> np.ndarray:
+        shrunk = ((x - self.at) @ self.basis) / (self.values + penalty * self.values.mean())
+        return shrunk @ self.targets + self.to
+
+
+def ridge_by_groups(df: DataFrame, x: str, y: str, group: str, parts: int = 5):
+    """Ridge maps from x to y judged on groups they have not seen: rows with ``part`` and ``pred``, penalty, scores.
+
+    Groups are dealt out over ``parts`` in hash order. Sums over everything but a part are the total less that part's,
+    so the data is read once to fit and once to judge, for all parts and penalties. Rows whose boolean ``seen`` is
+    false (part -1) take no part in fitting and are predicted from all seen rows.
+    """
+    names = df.filter("seen").select(group).distinct().withColumn("_h", H.rank_key("fold", F.col(group)))
+    dealt = prefix(names, ["_h"], hash_bucket("_h"), rank="_r").select(group, F.pmod(F.col("_r") - 1, F.lit(parts)).cast("int").alias("_p"))
+    d = df.join(dealt, group, "left").withColumn("part", F.when(F.col("seen"), F.col("_p")).otherwise(-1)).drop("_p")
+    sums = _moments(d.filter("part >= 0"), [x, y], "part")
+    whole = np.sum(list(sums.values()), axis=0)
+    inputs = len(df.select(x).first()[0])
+    maps = df.sparkSession.sparkContext.broadcast({-1: Ridge.of(whole, inputs)} | {k: Ridge.of(whole - v, inputs) for k, v in sums.items()})
+
+    def mapped(xs: np.ndarray, part: np.ndarray, penalty: float) -> np.ndarray:
+        order = np.argsort(part, kind="stable")
+        pieces = [maps.value[int(part[run[0]])](xs[run], penalty) for run in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)]
+        return np.concatenate(pieces)[np.argsort(order, kind="stable")]
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in filter(len, batches):
+            xs, ys = (np.array(b[c].tolist(), dtype=float) for c in (x, y))
+            for i, penalty in enumerate(PENALTIES):
+                ps = mapped(xs, b["part"].to_numpy(), penalty)
+                lengths = np.sqrt(np.einsum("ij,ij->i", ps, ps) * np.einsum("ij,ij->i", ys, ys))
+                yield pd.DataFrame({"i": [i], "total": [(np.einsum("ij,ij->i", ps, ys) / np.maximum(lengths, 1e-12)).sum()], "n": [len(b)]})
+
+    by = d.filter("part >= 0").select(x, y, "part").mapInPandas(judged, "i int, total double, n bigint").groupBy("i").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    scores = {PENALTIES[r["i"]]: r["mean"] for r in by.collect()}
+    chosen = max(scores, key=lambda k: (scores[k], k))
 
     @F.pandas_udf("array<double>")
-    def pred(xs: pd.Series, fs: pd.Series) -> pd.Series:
-        return pd.Series(list(predict(pd.DataFrame({x: xs, "fold": fs}), best)))
+    def pred(xs: pd.Series, part: pd.Series) -> pd.Series:
+        return pd.Series(list(mapped(np.array(xs.tolist(), dtype=float), part.to_numpy(), chosen)))
 
-    return d.withColumn("pred", pred(x, "fold")), alphas[best], scores
+    return d.withColumn("pred", pred(x, "part")), chosen, scores
 
 
 # ---- batch losses --------------------------------------------------------------------------
 
-def batch_losses(df: DataFrame, batch: str, tau_t: float = 0.1, tau_s: float = 0.1, tau_nce: float = 0.07) -> DataFrame:
-    """Relation and contrastive losses per mini-batch; a batch has a fixed number of rows by construction.
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each row; rows of minus infinity stay so."""
+    top = np.maximum(x.max(axis=1), -1e300)
+    return top + np.log(np.maximum(np.exp(x - top[:, None]).sum(axis=1), 1e-300))
+
 
-    ``df`` has uid, student vector z, aligned teacher vector t, and centred unit teacher vector e.
+def _relation(teacher: np.ndarray, student: np.ndarray, others: np.ndarray) -> float:
+    """Mean over rows of the divergence between the softmax of two similarity matrices over ``others``.
+
+    With weights w of the teacher's row it is the expected difference of the two similarities less the difference of
+    their log sums. Rows without others do not count.
     """
+    some = others.any(axis=1)
+    if not some.any():
+        return 0.0
+    t, s, m = teacher[some], student[some], others[some]
+    lt, ls = (_log_sum(np.where(m, v, -np.inf)) for v in (t, s))
+    w = np.where(m, np.exp(np.minimum(t - lt[:, None], 0.0)), 0.0)
+    return float(((w * (t - s)).sum(axis=1) - lt + ls).mean())
+
 
-    def unit(a):
-        return a / np.sqrt((a * a).sum(1, keepdims=True) + 1e-12)
-
-    def log_softmax(x, ok):
-        x = np.where(ok, x, -np.inf)
-        top = x.max(axis=1, keepdims=True)
-        top = np.where(np.isfinite(top), top, 0.0)
-        return x - top - np.log(np.maximum(np.exp(x - top).sum(1, keepdims=True), 1e-300))
-
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        z, t, e = (np.stack(b[c].to_numpy()).astype(float) for c in ("z", "t", "e"))
-        z, t = unit(z), unit(t)
-        u = b["uid"].to_numpy()
-        same = u[:, None] == u[None, :]
-        ok = ~same
-        rows = ok.any(1)
-        lt, ls = log_softmax(e @ e.T / tau_t, ok), log_softmax(z @ z.T / tau_s, ok)
-        kl = np.where(ok, np.exp(lt) * (np.where(ok, lt, 0) - np.where(ok, ls, 0)), 0.0).sum(1)
-        rkd = float(kl[rows].mean()) if rows.any() else 0.0
-        keep = ~(same & ~np.eye(len(u), dtype=bool))
-        sim = z @ t.T / tau_nce
-        nce = -0.5 * (np.diag(log_softmax(sim, keep)).mean() + np.diag(log_softmax(sim.T, keep.T)).mean())
-        return pd.DataFrame({"batch": [int(b[batch].iat[0])], "n": [len(b)], "rkd": [rkd], "infonce": [float(nce)]})
-
-    return df.groupBy(batch).applyInPandas(one, "batch bigint, n bigint, rkd double, infonce double")
+def pair_losses(df: DataFrame, batch: str, relation: tuple[float, float] = (0.1, 0.1), contrast: float = 0.07) -> DataFrame:
+    """Relation and contrastive losses per mini-batch; a batch has a fixed number of rows by construction.
+
+    ``df`` has uid, student vector z, aligned teacher vector t, and centred unit teacher vector e. ``relation`` holds
+    the temperatures of teacher and student. Rows with one uid never count as each other's negatives.
+    """
+    def losses(rows: pd.DataFrame) -> pd.DataFrame:
+        z, t, e = (np.array(rows[c].tolist(), dtype=float) for c in "zte")
+        z, t = (v / np.sqrt(np.einsum("ij,ij->i", v, v) + 1e-12)[:, None] for v in (z, t))
+        apart = np.not_equal.outer(rows["uid"].to_numpy(), rows["uid"].to_numpy())
+        both = z @ t.T / contrast
+        own = np.diag(both)
+        seen = np.where(apart | np.eye(len(own), dtype=bool), both, -np.inf)
+        nce = (_log_sum(seen) + _log_sum(seen.T) - 2 * own).mean() / 2
+        rkd = _relation(e @ e.T / relation[0], z @ z.T / relation[1], apart)
+        return pd.DataFrame({"batch": [int(rows[batch].iloc[0])], "n": [len(rows)], "rkd": [rkd], "infonce": [float(nce)]})
+
+    return df.groupBy(batch).applyInPandas(losses, "batch bigint, n bigint, rkd double, infonce double")

@@ -223,6 +223,10 @@ def sentiment() -> str:
     return f"element_at(transform(array({kind}), kind -> {body}), 1)"
 
 
+# Roles offered where nothing was observed.
+QUIET_ROLES = ("wait", "look around", "ask back", "report", "hand over", "note it", "stay quiet", "check the log")
+
+
 def ambiguous() -> str:
     """No gold: unclear reference, conflicting evidence, nothing observed, mixed feeling, mixed ranking."""
     u = U("amb")
@@ -231,8 +235,7 @@ def ambiguous() -> str:
     refer = spec(f"array({two}, {vague})", question("state"), f"if({U('defer')} < 0.5D, array('ask', 'do export', 'do import', 'defer'), array('ask', 'do export', 'do import'))", "null")
     both = f"if({U('first')} < 0.5D, array({axis_text('0')}, {axis_text('1')}), array({axis_text('1')}, {axis_text('0')}))"
     conflict = f"element_at(transform(array({H.pick_text(strings(list(AXES)), *S('axis'))}), axis -> {spec(both, question('state'), axis_roles(), 'null')}), 1)"
-    pool = ("answer", "search", "ask", "defer", "continue", "retrieve", "silent", "speak", "local")
-    quiet = spec(f"array({by_lang(('Nothing has changed for {n} minutes.', '{n}分間なにも変わらない。'))})", question("gate"), f"slice({H.shuffled_text(strings(pool), *S('pool'))}, 1, cast(3 + {I('npool')} % 3 as int))", "null")
+    quiet = spec(f"array({by_lang(('Nothing has changed for {n} minutes.', '{n}分間なにも変わらない。'))})", question("gate"), f"slice({H.shuffled_text(strings(QUIET_ROLES), *S('pool'))}, 1, cast(3 + {I('npool')} % 3 as int))", "null")
     mixed = spec(f"array({table(SENTIMENT_TEXT, q('positive'))}, {table(SENTIMENT_TEXT, q('negative'))})", question("sent"), strings(POLARITY), "null")
     return f"case when {u} < 0.25D then {refer} when {u} < 0.6D then {conflict} when {u} < 0.7D then {quiet} when {u} < 0.85D then {mixed} else {ranking(mixed=True)} end"
 
@@ -302,23 +305,24 @@ def generate(rows: DataFrame) -> DataFrame:
 def unique(ids: DataFrame, split: str, existing: DataFrame | None = None, ident: str = "idx", rounds: int = 200) -> DataFrame:
     """Items with no repeated (context, question, candidates): losers of a clash are drawn again.
 
-    Only rows still without an item go into the next round; each round is written once. ``existing`` holds
-    hashes (column h) that are already taken.
+    Only rows still without an item go into the next round. What a round won and left over is written, and the next
+    round reads it back, so that its plan is as long as the first one's. ``existing`` holds hashes (column h) that
+    are already taken.
     """
-    todo = ids
-    taken, done = existing.select("h") if existing is not None else None, None
+    spark, todo, won = ids.sparkSession, ids, []
     for attempt in range(rounds):
         d = generate(todo.withColumn("key", F.concat_ws(":", F.lit(split), F.col(ident).cast("string"), F.lit(str(attempt)))))
         d = materialise(d.withColumn("h", F.sha1(F.to_json(F.struct("context", "question", "candidates")))), "synth-round")
-        win = d.groupBy("h").agg(F.min(ident).alias(ident))
-        if taken is not None:
-            win = win.join(taken, "h", "left_anti")
-        won = d.join(win.select(ident), ident, "left_semi")
-        done = won if done is None else done.unionByName(won)
-        taken = won.select("h") if taken is None else taken.unionByName(won.select("h"))
-        todo = todo.join(win.select(ident), ident, "left_anti")
+        first = d.groupBy("h").agg(F.min(ident).alias(ident))
+        if existing is not None:
+            first = first.join(existing.select("h"), "h", "left_anti")
+        if won:
+            first = first.join(spark.read.schema(won[0].schema).parquet(*[p for w in won for p in w.inputFiles()]).select("h"), "h", "left_anti")
+        winners = materialise(first, "synth-winners")
+        won.append(materialise(d.join(winners.select(ident), ident, "left_semi"), "synth-won"))
+        todo = materialise(todo.join(winners.select(ident), ident, "left_anti"), "synth-todo")
         if todo.isEmpty():
-            return done
+            return spark.read.schema(won[0].schema).parquet(*[p for w in won for p in w.inputFiles()])
     raise RuntimeError("could not make every item unique")
 
 

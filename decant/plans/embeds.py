@@ -345,23 +345,23 @@ def wn_spearman(spark, sf):
 
 @query("ml_pca_fit")
 def ml_pca_fit(spark, sf):
-    p = E.pca_fit(X.emb_roles(spark, sf).filter("not unseen"), "vec", 16)
-    rows = [(i, float(v), float(r), p["n"]) for i, (v, r) in enumerate(zip(p["variance"], p["ratio"]))]
+    p = E.principal_axes(X.emb_roles(spark, sf).filter("not unseen"), "vec", 16)
+    rows = [(i, float(v), float(r), p.n) for i, (v, r) in enumerate(zip(p.variance, p.share))]
     return spark.createDataFrame(rows, "component int, explained_variance double, ratio double, n bigint")
 
 
 @query("ml_pca_apply")
 def ml_pca_apply(spark, sf):
     d = X.emb_roles(spark, sf)
-    p = E.pca_fit(d.filter("not unseen"), "vec", 16)
-    d = E.project(d.select("uid", "unseen", "vec"), "vec", p["mean"], p["components"].T, "pc")
+    p = E.principal_axes(d.filter("not unseen"), "vec", 16)
+    d = E.project(d.select("uid", "unseen", "vec"), "vec", p.mean, p.rows.T, "pc")
     return d.selectExpr("uid", "unseen", "round(pc[0], 6) as pc1", "round(pc[1], 6) as pc2", f"round({D.norm('pc')}, 6) as length")
 
 
 @query("ml_ridge_cv")
 def ml_ridge_cv(spark, sf):
     d = X.emb_roles(spark, sf).selectExpr("uid", "grp", "not unseen as seen", "svec", "vec")
-    fit, alpha, _ = E.ridge_crossfit(d, "svec", "vec", "grp")
+    fit, alpha, _ = E.ridge_by_groups(d, "svec", "vec", "grp")
     return fit.select("seen", F.expr(D.cosine("pred", "vec")).alias("c")).groupBy("seen").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("c"), "cos")).withColumn("alpha", F.lit(float(alpha)))
 
 
@@ -438,16 +438,16 @@ def ls_mse(spark, sf):
 
 @query("ls_rkd", with_("rkd") + "SELECT batch, round(rkd, 6) AS rkd FROM rkd")
 def ls_rkd(spark, sf):
-    return E.batch_losses(pairs(spark, sf), "batch").select("batch", r6("rkd", "rkd"))
+    return E.pair_losses(pairs(spark, sf), "batch").select("batch", r6("rkd", "rkd"))
 
 
 @query("ls_infonce", with_("nce") + "SELECT batch, round(nce, 6) AS infonce FROM nce")
 def ls_infonce(spark, sf):
-    return E.batch_losses(pairs(spark, sf), "batch").select("batch", r6("infonce", "infonce"))
+    return E.pair_losses(pairs(spark, sf), "batch").select("batch", r6("infonce", "infonce"))
 
 
 @query("ls_combined", with_("lcos", "rkd", "nce") + "SELECT batch, round(1.0 * cos + 0.5 * rkd + 0.25 * nce, 6) AS total FROM lcos JOIN rkd USING (batch) JOIN nce USING (batch)")
 def ls_combined(spark, sf):
     p = pairs(spark, sf)
-    j = cos_losses(p).join(E.batch_losses(p, "batch").drop("n"), "batch")
+    j = cos_losses(p).join(E.pair_losses(p, "batch").drop("n"), "batch")
     return j.select("batch", r6(F.col("cos") + 0.5 * F.col("rkd") + 0.25 * F.col("infonce"), "total"))

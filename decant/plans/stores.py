@@ -68,7 +68,7 @@ def src_label_check(spark, sf):
 SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, 0::BIGINT AS first_idx, count(*) - 1 AS last_idx, round(sum(c_acctbal), 2) AS balance FROM customer""")
 def src_tsv(spark, sf):
     path = scratch(spark, "tsv")
-    table(spark, sf, "customer").coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+    table(spark, sf, "customer").repartition(3).write.option("sep", "\t").option("header", True).csv(path)
     d = R.tsv(spark, path, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
     return d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("keys"), F.min("_idx").alias("first_idx"),
                  F.max("_idx").alias("last_idx"), F.round(F.sum("c_acctbal"), 2).alias("balance"))

@@ -150,7 +150,7 @@ RANK_SQL = shown_sql(f"""n AS (SELECT *, {pick_sql(ls(list(Y.LEVELS)), 'crit')}
  g AS (SELECT *, {i_sql('best')} % len(nouns) AS gold FROM n),
  d AS (SELECT *, [{case_sql('crit', CRIT_TEXT)}] AS core, {ask_sql('rank')} AS question, list_transform(range(0, len(nouns)), lambda j: nouns[j + 1] || ': ' || {level_sql('price', Y.LEVELS['price'])} || ', ' || {level_sql('time', Y.LEVELS['time'])} || ', ' || {level_sql('rating', Y.LEVELS['rating'])}) AS roles FROM g)""")
 
-QUIET_POOL = ("answer", "search", "ask", "defer", "continue", "retrieve", "silent", "speak", "local")
+QUIET_POOL = Y.QUIET_ROLES
 
 
 def mixed_level(attr, first, second):

@@ -261,19 +261,20 @@ def ag_collect_runs(spark, sf):
     return d.groupBy("plan", "run").agg(F.bool_or(F.col("kind") == "metrics").alias("has_metrics"), F.bool_or(F.col("kind") == "eval").alias("has_eval"))
 
 
-NAME = r"^(.+?)_((?:gt|wx)\d+(?:s\d+)?)_(best|p\d+)$"
-SCREEN = """concat(lower(replace(p_type, ' ', '-')), '_', if(p_partkey % 2 = 0, 'gt', 'wx'), p_size, if(p_partkey % 3 = 0, 's1', ''), '_', if(p_partkey % 5 = 0, 'p050', if(p_partkey % 7 = 0, 'last', 'best')))"""
-SCREEN_SQL = """lower(replace(p_type, ' ', '-')) || '_' || CASE WHEN p_partkey % 2 = 0 THEN 'gt' ELSE 'wx' END || p_size || CASE WHEN p_partkey % 3 = 0 THEN 's1' ELSE '' END || '_' || CASE WHEN p_partkey % 5 = 0 THEN 'p050' WHEN p_partkey % 7 = 0 THEN 'last' ELSE 'best' END"""
+# A screened run is named condition@card#checkpoint; a reference has no checkpoint.
+SCREEN = """concat(lower(replace(p_type, ' ', '-')), '@card', p_size, case when p_partkey % 11 = 0 then '' when p_partkey % 5 = 0 then '#step50' when p_partkey % 7 = 0 then '#last' else '#best' end)"""
+SCREEN_SQL = """lower(replace(p_type, ' ', '-')) || '@card' || p_size || CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN '#step50' WHEN p_partkey % 7 = 0 THEN '#last' ELSE '#best' END"""
 
 
 @query("ag_screen_table", rf"""
-SELECT p_partkey, regexp_extract(s, '{NAME}', 1) AS cond, regexp_extract(s, '{NAME}', 2) AS gpu, round(p_retailprice / 2000, 6) AS acc
-FROM (SELECT *, {SCREEN_SQL} AS s FROM part) WHERE regexp_extract(s, '{NAME}', 3) = 'best'""")
+SELECT p_partkey, split_part(s, '@', 1) AS cond, split_part(split_part(s, '@', 2), '#', 1) AS card, NOT contains(s, '#') AS reference, round(p_retailprice / 2000, 6) AS acc
+FROM (SELECT *, {SCREEN_SQL} AS s FROM part) WHERE split_part(s, '#', 2) IN ('', 'best')""")
 def ag_screen_table(spark, sf):
+    """Best checkpoint of every screened run, and all references, by accuracy."""
     d = table(spark, sf, "part").selectExpr("p_partkey", f"{SCREEN} as s", """to_json(named_struct('head', named_struct('paraphrase', named_struct('acc', round(p_retailprice / 2000, 6))))) as doc""")
-    ex = lambda i: F.regexp_extract("s", NAME, i)
-    d = d.select("p_partkey", ex(1).alias("cond"), ex(2).alias("gpu"), ex(3).alias("ck"), R.nested("doc", "head.paraphrase.acc").alias("acc"))
-    return d.filter("ck = 'best'").select("p_partkey", "cond", "gpu", "acc").orderBy(F.desc("acc"), "p_partkey")
+    part = lambda c, mark, i: F.split_part(c, F.lit(mark), F.lit(i))
+    d = d.select("p_partkey", part("s", "@", 1).alias("cond"), part(part("s", "@", 2), "#", 1).alias("card"), (~F.contains("s", F.lit("#"))).alias("reference"), part("s", "#", 2).alias("ck"), R.nested("doc", "head.paraphrase.acc").alias("acc"))
+    return d.filter("reference or ck = 'best'").drop("ck").orderBy(F.desc("acc"), "p_partkey")
 
 
 @query("ag_prod_table", with_("evals") + """

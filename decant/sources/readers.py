@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decant.operators.prefix import prefix
+from decant.session import materialise
 
 ITEM_SCHEMA = (
     "item_id bigint, split string, category string, lang string, context string, question string, candidates array<string>, "
@@ -38,14 +39,22 @@ def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated file with a header row and an optional byte-order mark; adds the file-order row index ``_idx``.
+    """Tab-separated file or folder of files, each with a header row and an optional byte-order mark.
 
-    Rows are numbered inside their file block and offset by the blocks before it, so nothing is pulled together.
+    Adds the row index ``_idx`` over all files in the order of their names. Rows are numbered inside their file block
+    and offset by the blocks before it, so nothing is pulled together.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("mid"))
-    lines = prefix(raw.filter("value <> ''"), ["mid"], F.col("blk"), rank="n")
+    raw = spark.read.text(path).filter("value <> ''").select(
+        "value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("block"), F.monotonically_increasing_id().alias("mid"))
+    # written before it is numbered: row order inside a block comes from the read itself
+    raw = materialise(raw, "tsv")
+    lines = prefix(raw, ["mid"], F.col("block"), rank="n")
+    heads = lines.groupBy("block.file").agg(F.min("n").alias("head"), F.count("*").alias("rows"))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per file
+    heads = heads.select(F.col("file").alias("_file"), "head", F.count("*").over(before).alias("heads"))
     r = F.from_csv("value", schema, {"sep": "\t", "mode": "PERMISSIVE"})
-    return lines.filter("n > 1").select(r.alias("r"), (F.col("n") - 2).alias("_idx")).select("r.*", "_idx")
+    d = lines.join(heads, F.col("block.file") == F.col("_file")).filter(F.col("n") > F.col("head"))
+    return d.select(r.alias("r"), (F.col("n") - F.col("heads") - 1).alias("_idx")).select("r.*", "_idx")
 
 
 def csv_nullable(spark: SparkSession, path: str, schema: str) -> DataFrame:

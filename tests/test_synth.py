@@ -39,6 +39,20 @@ def test_unique_and_append_never_repeat(spark, plan):
     assert u.count() == 2400 and u.distinct().count() == 2400
 
 
+def test_unique_plans_stay_short_over_many_rounds(spark, monkeypatch):
+    """A small phrase space: most draws clash, so it takes many rounds."""
+    seen = []
+
+    def draw(rows):
+        seen.append(len(rows._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return rows.select("*", F.pmod(F.xxhash64("key"), F.lit(44)).cast("string").alias("context"), F.lit("q").alias("question"), F.array(F.lit("c")).alias("candidates"))
+
+    monkeypatch.setattr(synth, "generate", draw)
+    got = synth.unique(spark.range(40).withColumnRenamed("id", "idx"), "t")
+    assert got.count() == 40 and got.select("context").distinct().count() == 40
+    assert len(seen) > 8 and max(seen[1:]) == min(seen[1:])
+
+
 def test_tiers_do_not_overlap(spark, plan):
     d = synth.scenarios(plan.withColumn("key", F.col("idx").cast("string")))
     tiers = [d.selectExpr(f"explode({synth.render(t)}) as c").distinct() for t in ("train", "unseen")]
