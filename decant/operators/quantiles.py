@@ -11,11 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decant.session import attach, is_small
+from decant.session import attach
 
-BUCKETS = 4096
-# Below this many rows the built-in exact aggregate (which holds a group's distinct values in memory) is used.
-IN_MEMORY_ROWS = 2_000_000
+#: Edges between histogram buckets, at even steps of the approximate distribution of the distinct values.
+EDGES = 127
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str, **extra: Column) -> DataFrame:
@@ -23,13 +22,11 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str, **extra: Colum
     g = list(group)
     c = df.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), *[e.alias(n) for n, e in extra.items()])
-    lim = c.groupBy(*g).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    if g:
-        c = c.join(lim, g)
-    else:
-        c = attach(c, lim)
-    pos = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * BUCKETS
-    return c.withColumn("_b", F.coalesce(F.least(F.floor(pos), F.lit(BUCKETS - 1)), F.lit(0)).cast("int"))
+    steps = [(i + 1) / (EDGES + 1) for i in range(EDGES)]
+    lim = c.groupBy(*g).agg(F.percentile_approx("_v", steps, 4 * EDGES).alias("_e"), F.sum("_c").alias("_n"))
+    c = c.join(lim, g) if g else attach(c, lim)
+    # equal edges leave buckets empty; outliers and infinities take one bucket
+    return c.withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
 
 
 def quantiles(
@@ -39,8 +36,6 @@ def quantiles(
     """One row per group: linearly interpolated quantiles and index-based ones (element ⌊q·n⌋, clipped)."""
     linear, index = dict(linear or {}), dict(index or {})
     g = list(group)
-    if not index and is_small(df.select(value), IN_MEMORY_ROWS):
-        return df.filter(F.col(value).isNotNull()).groupBy(*g).agg(*[F.percentile(value, q).alias(n) for n, q in linear.items()])
     counts = value_counts(df, g, value)
     n = F.col("_n")
     ranks: dict[str, Column] = {}
@@ -73,13 +68,12 @@ def median(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFr
 
 
 def medians(df: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Medians of several columns in one pass over the data."""
+    """Medians of several columns in one pass over the data; null for a group without values."""
     g = list(group)
-    if is_small(df, IN_MEMORY_ROWS):
-        return df.groupBy(*g).agg(*[F.median(v).alias(v) for v in values])
     long = df.select(*g, F.explode(F.array(*[F.struct(F.lit(v).alias("_kind"), F.col(v).cast("double").alias("_value")) for v in values])).alias("x")).select(*g, "x.*")
     m = quantiles(long, [*g, "_kind"], "_value", {"_m": 0.5})
-    return m.groupBy(*g).agg(*[F.max(F.when(F.col("_kind") == v, F.col("_m"))).alias(v) for v in values])
+    m = m.groupBy(*g).agg(*[F.max(F.when(F.col("_kind") == v, F.col("_m"))).alias(v) for v in values])
+    return df.select(*g).distinct().join(m, g, "left")
 
 
 def auc(df: DataFrame, score: str, positive: str, group: Sequence[str] = ()) -> DataFrame:

@@ -74,10 +74,28 @@ def next_batch(pend: DataFrame, n: int, splits: Sequence[str] = SPLITS) -> DataF
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "item_id", version: str = "created_at") -> DataFrame:
-    """Newest row per key. Aggregates whole rows, so equal keys combine before the shuffle."""
+    """Newest row per key; of equally new rows the one from ``new``. Equal keys combine before the shuffle."""
     cols = old.columns
-    both = old.select(*cols).unionByName(new.select(*cols))
-    return both.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(version)).alias("r")).select("r.*")
+    both = old.select(*cols, F.lit(0).alias("_side")).unionByName(new.select(*cols, F.lit(1).alias("_side")))
+    return both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(version, "_side")).alias("r")).select("r.*")
+
+
+def bad_distribution(probs: str = "probs") -> Column:
+    """True where an array is no distribution: null, empty, negative or non-finite entries, or a sum off 1 by over 1e-4."""
+    p = F.col(probs)
+    entries = F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf")))
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return F.coalesce((F.size(p) == 0) | entries | (F.abs(total - 1) > 1e-4), F.lit(True))
+
+
+def record_scores(old: DataFrame, new: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores after an update, errors that remain, and the new rows that were refused.
+
+    A new row replaces its item's row and ends its item's error; a row without a proper distribution does neither.
+    """
+    judged = new.withColumn("_bad", bad_distribution())
+    good = judged.filter(~F.col("_bad")).drop("_bad")
+    return upsert(old, good), errors.join(good.select("item_id"), "item_id", "left_anti"), judged.filter("_bad").drop("_bad")
 
 
 def upsert_errors(old: DataFrame, failures: DataFrame, clip: int = 500) -> DataFrame:

@@ -141,14 +141,19 @@ def sink_items(spark, sf):
 
 
 @query("sink_teacher_upsert", with_("teacher_keys") + """
-SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'teacher-b' ELSE 'teacher-a' END AS teacher_model,
-  round(CASE WHEN item_id % 4 = 0 THEN coalesce(latency_ms, 0) + 5 ELSE latency_ms END, 3) AS latency_ms FROM teacher_keys""")
+, t AS (SELECT *, item_id % 4 = 0 AND item_id % 20 <> 0 AS replaced FROM teacher_keys)
+SELECT item_id, CASE WHEN replaced THEN 'teacher-b' ELSE 'teacher-a' END AS teacher_model,
+  round(CASE WHEN replaced THEN coalesce(latency_ms, 0) + 5 ELSE latency_ms END, 3) AS latency_ms, CASE WHEN item_id % 6 = 0 AND NOT replaced THEN 2 END::INTEGER AS attempts FROM t""")
 def sink_teacher_upsert(spark, sf):
+    """A fourth of the items are scored again, some of them without a proper distribution; a sixth had errors before."""
     i = F.col("item_id")
-    old = X.dec_teacher_keys(spark, sf).select(i, F.lit("teacher-a").alias("teacher_model"), "latency_ms", F.timestamp_seconds(F.lit(1790000000) + i).alias("created_at"))
+    old = X.dec_teacher_keys(spark, sf).select(i, F.lit("teacher-a").alias("teacher_model"), "latency_ms", F.array(F.lit(0.5), F.lit(0.5)).alias("probs"), F.timestamp_seconds(F.lit(1790000000) + i).alias("created_at"))
+    half = F.when(i % 20 == 0, F.lit(0.25)).otherwise(F.lit(0.5))
     new = old.filter(i % 4 == 0).select(i, F.lit("teacher-b").alias("teacher_model"), (F.coalesce("latency_ms", F.lit(0.0)) + 5).alias("latency_ms"),
-                                        F.timestamp_seconds(F.lit(1800000000) + i).alias("created_at"))
-    return S.upsert(old, new).select("item_id", "teacher_model", F.round("latency_ms", 3).alias("latency_ms"))
+                                        F.array(half, half).alias("probs"), "created_at")
+    errors = old.filter(i % 6 == 0).select(i, F.lit(2).alias("attempts"))
+    scores, left, _ = S.record_scores(old, new, errors)
+    return scores.join(left, "item_id", "left").select("item_id", "teacher_model", F.round("latency_ms", 3).alias("latency_ms"), "attempts")
 
 
 @query("sink_error_upsert", """

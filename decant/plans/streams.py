@@ -111,16 +111,15 @@ def sg_score_loop(spark, sf):
 
 @query("sg_resume_chunks", with_("dict") + "SELECT uid, uid // 64 AS chunk, uid // 64 < 2 AS was_stored FROM dict", )
 def sg_resume_chunks(spark, sf):
-    from decant.sources.writers import fingerprint
+    from decant.sources.writers import guard_strings
 
     s = E.slots(txt_items(spark, sf).filter("split = 'train'"))
     strings = materialise(E.dictionary(s).selectExpr("uid", "text", "uid div 64 as chunk"), "strings")
     store = scratch(spark, "chunks")
+    guard_strings(strings, store + "-mark")
     first = V.embed(strings.filter("chunk < 2"), "ngram64")
     first.join(strings.select("uid", "chunk"), "uid").write.partitionBy("chunk").parquet(store)
-    mark = strings.agg(fingerprint(strings, ["uid", "text"]).alias("f")).select("f.*")
-    if mark.exceptAll(strings.agg(fingerprint(strings, ["uid", "text"]).alias("f")).select("f.*")).count():
-        raise ValueError("string set differs from the stored one")
+    guard_strings(strings, store + "-mark")  # what a resumed run does first
     have = spark.read.parquet(store).select("chunk").distinct()
     rest = strings.join(have, "chunk", "left_anti")
     V.embed(rest, "ngram64").join(strings.select("uid", "chunk"), "uid").write.mode("append").partitionBy("chunk").parquet(store)

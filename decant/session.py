@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is treated as too large to ship to every task.
-SMALL_ROWS = 200_000
 # Bytes a driver-side matrix may take before it is no longer broadcast.
 SMALL_BYTES = 64 << 20
 
@@ -56,11 +54,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows. A count combines on the map side; a limit would gather rows in one task."""
-    return df.count() <= rows
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Even partitions ahead of a heavy per-row step, when the input comes in fewer pieces than there are cores.
 

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decant.operators.store import item_problem
+from decant.session import materialise
 
 
 def insert_items(new: DataFrame, existing: DataFrame, path: str) -> int:
-    """Append items when all are valid and no id exists yet; otherwise nothing is written."""
-    bad = new.filter(item_problem().isNotNull()).limit(1).count()
-    clash = new.join(existing.select("item_id"), "item_id", "left_semi").limit(1).count()
-    twice = new.groupBy("item_id").count().filter("count > 1").limit(1).count()
-    if bad or clash or twice:
-        raise ValueError(f"rejected: invalid={bool(bad)} existing id={bool(clash)} repeated id={bool(twice)}")
+    """Append items when all are valid and no id exists yet; otherwise nothing is written. Returns how many were added."""
+    new = materialise(new, "incoming")
+    per_id = new.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count(item_problem()).alias("bad"))
+    seen = per_id.join(existing.select("item_id", F.lit(1).alias("old")), "item_id", "left")
+    found = seen.agg(F.sum("n").alias("n"), F.sum("bad").alias("invalid"), F.count_if(F.col("n") > 1).alias("repeated"), F.count("old").alias("existing")).first()
+    if found.invalid or found.repeated or found.existing:
+        raise ValueError(f"rejected: invalid={bool(found.invalid)} existing id={bool(found.existing)} repeated id={bool(found.repeated)}")
     new.write.mode("append").partitionBy("split", "source").parquet(path)
-    return new.sparkSession.read.parquet(path).count()
+    return found.n or 0
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str] | None = None) -> Column:
@@ -70,3 +73,18 @@ def report_lines(df: DataFrame, columns: Sequence[str], digits: int = 3) -> Data
 
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
     return df.select(row.alias("line"))
+
+
+def guard_strings(strings: DataFrame, path: str) -> None:
+    """Remember the fingerprint of a string set (uid, text) at ``path``, or refuse a set that differs from the one there."""
+    spark = strings.sparkSession
+    mark = strings.agg(fingerprint(strings, ["uid", "text"]).alias("f"))
+    try:
+        before = spark.read.parquet(path).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        mark.write.parquet(path)
+        return
+    if before != mark.first():
+        raise ValueError("string set differs from the stored one")

@@ -101,7 +101,8 @@ def retry_attempts(failures: DataFrame, max_attempts: int = 2) -> DataFrame:
 class EnergyState(StatefulProcessor):
     """Joules and seconds per card and hour from time-ordered samples; the last sample is carried in state.
 
-    A batch brings each key's samples in any order; they are sorted before integrating.
+    A batch brings each key's samples in any order; they are sorted before integrating. A sample older than what an
+    earlier batch has integrated up to is late and left out, so no interval counts twice.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -110,7 +111,10 @@ class EnergyState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = tuple(self.state.get()) if self.state.exists() else None
         parts = [r[["ts_us", "event_id", "power_w"]] for r in rows]
+        reached = s[2] if s else None
         for t, _, p in pd.concat(parts).dropna().sort_values(["ts_us", "event_id"]).itertuples(index=False):
+            if reached is not None and int(t) < reached:
+                continue
             if s is None:
                 s = (int(t), float(p), int(t), float(p), 0.0, 0.0, 1)
             else:

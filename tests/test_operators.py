@@ -68,9 +68,7 @@ def test_neighbours_cross_empty_buckets(spark):
     assert [r.a for r in out] == [1.0, 2.0, 2.0, 2.0, 3.0, 3.0]
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_quantiles_match_numpy(spark, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "IN_MEMORY_ROWS", limit)
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 4000, p=[0.8, 0.15, 0.05]), "v": np.where(rng.random(4000) < 0.3, 7.0, rng.normal(size=4000))})
     got = {r.g: r for r in quantiles.quantiles(spark.createDataFrame(pdf), ["g"], "v", {"m": 0.5, "p": 0.95}).collect()}
@@ -89,9 +87,7 @@ def test_auc_golden(spark):
     assert value([1], []) is None
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_medians_of_several_columns(spark, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "IN_MEMORY_ROWS", limit)
+def test_medians_of_several_columns(spark):
     d = spark.createDataFrame([("a", float(i), float(i * i)) for i in range(7)] + [("b", 1.0, None)], "g string, x double, y double")
     assert rows(quantiles.medians(d, ["g"], ["x", "y"])) == [("a", 3.0, 9.0), ("b", 1.0, None)]
 
@@ -215,6 +211,52 @@ def test_tsv_over_a_folder_of_files(spark, tmp_path):
     assert rows(readers.tsv(spark, str(tmp_path), "a int, b string")) == [(i, f"x{i}", i) for i in range(9)]
 
 
+def test_scores_are_checked_and_end_errors(spark):
+    schema = "item_id long, probs array<double>, created_at long, teacher_model string"
+    old = spark.createDataFrame([(i, [0.5, 0.5], 10, "old") for i in range(5)], schema)
+    new = spark.createDataFrame([(0, [0.9, 0.1], 10, "new"), (1, [0.9, 0.2], 20, "new"), (2, None, 20, "new"), (3, [float("nan"), 1.0], 20, "new"), (7, [1.0], 5, "new")], schema)
+    errors = spark.createDataFrame([(i, 1) for i in (0, 1, 7, 8)], "item_id long, attempts int")
+    scores, left, refused = store.record_scores(old, new, errors)
+    assert {r.item_id: r.teacher_model for r in scores.collect()} == {0: "new", 1: "old", 2: "old", 3: "old", 4: "old", 7: "new"}
+    assert rows(left) == [(1, 1), (8, 1)] and sorted(r.item_id for r in refused.collect()) == [1, 2, 3]
+
+
+def test_a_changed_string_is_refused(spark, tmp_path):
+    d = spark.createDataFrame([(0, "a"), (1, "b")], "uid long, text string")
+    writers.guard_strings(d, str(tmp_path / "mark"))
+    writers.guard_strings(d.orderBy(F.desc("uid")), str(tmp_path / "mark"))
+    with pytest.raises(ValueError):
+        writers.guard_strings(d.withColumn("text", F.upper("text")), str(tmp_path / "mark"))
+
+
+def test_quantile_buckets_follow_the_data(spark):
+    """One outlier and infinities leave the rest spread out; a group of nulls keeps its row."""
+    data = [("a", float(i)) for i in range(2000)] + [("a", 1e12), ("a", float("inf")), ("a", float("-inf"))] + [("b", None)] * 3
+    d = spark.createDataFrame(data, "g string, v double")
+    assert rows(quantiles.medians(d, ["g"], ["v"])) == [("a", 1000.0), ("b", None)]
+    counts = quantiles.value_counts(d, ["g"], "v").groupBy("_b").count().collect()
+    assert len(counts) > 100 and max(r["count"] for r in counts) < 60
+
+
+def test_late_samples_do_not_count_twice():
+    from decant.streaming.jobs import EnergyState
+
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, v):
+            self.value = v
+
+    s = EnergyState()
+    s.state = Held()
+    batch = lambda *r: iter([pd.DataFrame(r, columns=["ts_us", "event_id", "power_w"])])
+    list(s.handleInputRows(("c", 0), batch((0, 0, 10.0), (4_000_000, 1, 10.0)), None))
+    out = list(s.handleInputRows(("c", 0), batch((1_000_000, 2, 99.0), (6_000_000, 3, 10.0)), None))[0]
+    assert (out.joules[0], out.seconds[0], out.n[0]) == (60.0, 6.0, 3)
+
+
 # ---- cascade -------------------------------------------------------------------------------
 
 def test_threshold_search_on_two_stages(spark):
