@@ -9,7 +9,7 @@ from decant.functions import hashing as H
 from decant.functions import text as T
 from decant.operators.prefix import hash_bucket, id_bucket, prefix
 from decant.plans import fixtures as X
-from decant.plans.registry import cte, query, table, with_
+from decant.plans.registry import crc32_sql, cte, query, table, with_
 from decant.session import attach, spread
 from decant.sources import readers as R
 
@@ -122,7 +122,9 @@ def fn_prefix_key(spark, sf):
     return table(spark, sf, "part").selectExpr("p_partkey", "substring_index(replace(p_name, ' ', '_'), '_', 1) as grp")
 
 
-@query("fn_hash_bucket")
+@query("fn_hash_bucket", f"""
+SELECT doc_id, {crc32_sql('key')} % 100 < 2 AS held_out, (CASE WHEN doc_id % 10 = 0 THEN {crc32_sql('key')} ELSE doc_id END) % 4 = 1 AS picked
+FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'd' ELSE '' END || doc_id AS key FROM documents)""")
 def fn_hash_bucket(spark, sf):
     d = docs(spark, sf)
     key = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
@@ -134,7 +136,8 @@ def fn_hash_bucket_sha1(spark, sf):
     return docs(spark, sf).select("doc_id", (H.hex_int(F.sha1(F.col("doc_id").cast("string"))) % 100 < 2).alias("held_out"), (F.col("doc_id") % 4 == 1).alias("picked"))
 
 
-@query("fn_order_key")
+@query("fn_order_key", f"""
+SELECT doc_id, key, row_number() OVER (ORDER BY key, doc_id) AS position FROM (SELECT doc_id, {crc32_sql('s')} AS key FROM (SELECT doc_id, '{H.SEED}:' || doc_id AS s FROM documents))""")
 def fn_order_key(spark, sf):
     d = docs(spark, sf).select("doc_id", F.crc32(H.joined(H.SEED, F.col("doc_id"))).alias("key"))
     return prefix(d, ["key", "doc_id"], F.floor(F.col("key") / (1 << 20)), rank="position")
