@@ -16,12 +16,6 @@ from decant.functions.hashing import hex_int
 BETA1, BETA2, EPS, DECAY, CLIP = 0.9, 0.999, 1e-8, 0.01, 1.0
 
 
-def hashed_features(question: str, candidate: str, dims: int) -> str:
-    """Counts of (question word, candidate word) pairs hashed into ``dims`` cells, scaled by the pair count."""
-    pairs = f"flatten(transform(split({question}, ' '), a -> transform(split({candidate}, ' '), b -> cast(pmod(xxhash64(a, b), {dims}) as int))))"
-    return D.let(pairs, lambda p: f"transform(sequence(0, {dims - 1}), d -> size(filter({p}, x -> x = d)) / sqrt(size({p})))")
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
     return e / e.sum()
@@ -76,7 +70,3 @@ def predict(data: DataFrame, w: np.ndarray) -> DataFrame:
     """Adds score array ``s``: one dot product per candidate; the weights travel inside the expression."""
     lit = "array(" + ", ".join(f"{float(x)!r}D" for x in w) + ")"
     return data.withColumn("s", F.expr(f"transform(feats, f -> {D.dot('f', lit)})"))
-
-
-def split_bucket(key: str):
-    return hex_int(F.sha1(key)) % 100

@@ -105,15 +105,6 @@ def entropy_block(items: DataFrame, keys: Sequence[str], uncertain: float = UNCE
     )
 
 
-def uncertain_examples(items: DataFrame, n: int = 20, uncertain: float = UNCERTAIN, confident: float = CONFIDENT) -> DataFrame:
-    """Items where the teacher is unsure and the student is sure, widest gap first."""
-    hit = F.col("multi") & (F.round("nht", 9) >= uncertain) & (F.round("smax", 9) >= confident)
-    return (
-        items.filter(hit).withColumn("gap", F.round(F.col("smax") - F.col("tmax"), 6))
-        .orderBy(F.desc("gap"), "item_id").limit(n)
-    )
-
-
 def position_bias(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of predictions, teacher choices and gold labels at each position, and their distance."""
     long = items.select(

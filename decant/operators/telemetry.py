@@ -87,7 +87,3 @@ def pauses(states: DataFrame, keys: Sequence[str] = ("card",), order: Sequence[s
     change = d.filter(F.col("paused") != F.coalesce("was", F.lit(0)))
     pairs = neighbours(change, keys, order, time_bucket(), lag={"since": "ts_us"})
     return pairs.filter("paused = 0 and since is not null").select(*keys, F.col("since").alias("start_us"), F.col("ts_us").alias("end_us"), ((F.col("ts_us") - F.col("since")) / 1e6).alias("seconds"))
-
-
-def peaks(samples: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return samples.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_max") for c in cols])

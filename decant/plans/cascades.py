@@ -9,7 +9,7 @@ from decant.operators import metrics as M
 from decant.operators import scoring as P
 from decant.operators.config import parse_grid
 from decant.plans import fixtures as X
-from decant.plans.registry import cte, query, table, with_
+from decant.plans.registry import cte, query, with_
 
 NAMES = ("S", "M", "L")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from decant.functions import dist as D
 from decant.functions import hashing as H
 from decant.operators import store as S
-from decant.operators.prefix import hash_bucket, id_bucket, prefix
+from decant.operators.prefix import id_bucket, prefix
 from decant.plans import fixtures as X
 from decant.plans.registry import query, table, with_
 from decant.session import scratch

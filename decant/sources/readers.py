@@ -83,12 +83,6 @@ def nested(doc: str | Column, path: str, kind: str = "double", default=None) ->
     return v if default is None else F.coalesce(v, F.lit(default))
 
 
-def documents_by_file(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON documents, one per file, with the file they came from."""
-    d = spark.read.option("wholetext", True).text(path)
-    return d.select(F.input_file_name().alias("file"), F.col("value").alias("doc"))
-
-
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Bytes and sha256 per file; file contents are hashed where they are read."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
