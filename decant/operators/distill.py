@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decant.functions import dist as D
-from decant.functions.hashing import hex_int
 
 # Fixed values of the optimiser.
 BETA1, BETA2, EPS, DECAY, CLIP = 0.9, 0.999, 1e-8, 0.01, 1.0
