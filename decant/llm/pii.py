@@ -27,6 +27,7 @@ class Kind:
     context: str
     bonus: float
     hint: str = "true"  # SQL over the text ``t``: false only where nothing can match
+    ahead: int = 0  # characters that a match takes, if it sees the span (its first group) ahead; 0 if the span is the match
 
 
 _DIGITS = "regexp_replace(w, '[^0-9]', '')"
@@ -36,6 +37,16 @@ _TIGHT = "replace(w, ' ', '')"
 _MOD97 = f"""(length({_TIGHT}) between 15 and 34 and aggregate(split(concat(substr({_TIGHT}, 5), substr({_TIGHT}, 1, 4)), ''), 0, (s, c) ->
     case when c = '' then s when c between '0' and '9' then (s * 10 + cast(c as int)) % 97 else (s * 100 + ascii(c) - 55) % 97 end) = 1)"""
 
+#: Characters of an IBAN by country. A match is its first four characters and sees the rest ahead, so that one which
+#: fails hides none behind it.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_FIXED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
+_IBAN = rf"(?<![A-Za-z0-9])(?=((?:{_IBAN_FIXED}|(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
 #: In the order in which spans are listed. The first four are the base kinds, reported whatever stands near them.
 KINDS = (
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -46,7 +57,8 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+", _LUHN, 0.8, "card|visa|credit|debit|payment|carte|karte|tarjeta", 0.2),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15", 0.6, "phone|call|tel|fax|mobile", 0.3, "contains(t, '+')"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _MOD97, 0.9, "iban|bank|account|konto|compte|cuenta", 0.1),
+    # [A-Z]{2}[0-9]{2}(\x20?[A-Z0-9])+ of the length of its country; other countries take up whatever follows, up to 34
+    Kind("iban", _IBAN, _MOD97, 0.9, "iban|bank|account|konto|compte|cuenta", 0.1, ahead=4),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substr(w, 1, 3) not in ('000', '666') and substr(w, 1, 1) != '9'", 0.3, "ssn|social security|tax id", 0.5),
 )
 BASE = tuple(k.name for k in KINDS[:4])
@@ -56,23 +68,24 @@ def _spans(k: Kind) -> str:
     """SQL over ``t``: spans of one kind in order. ``m`` holds the matches, ``p`` the pieces around them."""
     kind = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
     rx = "'" + k.pattern.replace("\\", "\\\\") + "'"
-    near = f"concat_ws(' ', right(p[i], {NEAR}), left(p[i + 1], {NEAR}))"
+    taken, behind = (str(k.ahead), f"substr(p[i + 1], length(m[i]) - {k.ahead} + 1)") if k.ahead else ("length(m[i])", "p[i + 1]")
+    near = f"concat_ws(' ', right(p[i], {NEAR}), left({behind}, {NEAR}))"
     score = f"{k.score}D + if(lower({near}) rlike '{k.context}', {k.bonus}D, 0D)"
     start = "a.at + length(p[i])"
     span = f"named_struct('kind', '{k.name}', 'start', {start}, 'end', {start} + length(m[i]), 'score', {score})"
     valid = f"exists(array(m[i]), w -> {k.valid})"
     found = f"""aggregate(sequence(0, size(m) - 1), named_struct('at', 0L, 'out', cast(array() as {kind})),
-        (a, i) -> named_struct('at', {start} + length(m[i]), 'out', if({valid}, concat(a.out, array({span})), a.out)), a -> a.out)"""
+        (a, i) -> named_struct('at', {start} + {taken}, 'out', if({valid}, concat(a.out, array({span})), a.out)), a -> a.out)"""
     none = f"cast(array() as {kind})"
-    return f"""if({k.hint}, get(transform(array(regexp_extract_all(t, {rx}, 0)), m -> if(size(m) = 0, {none},
+    return f"""if({k.hint}, get(transform(array(regexp_extract_all(t, {rx}, {int(k.ahead > 0)})), m -> if(size(m) = 0, {none},
         get(transform(array(split(t, {rx}, -1)), p -> filter({found}, s -> s.score >= {LEAST}D)), 0))), 0), {none})"""
 
 
 def find(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
     """Add (or replace) ``name``: spans (kind, start, end, score) in code points, by kind as listed in ``KINDS``, then start.
 
-    Null texts are empty and have no spans. A match that fails its check is dropped and not tried again shorter.
-    Spans of different kinds may overlap. Works row by row: repeated rows get the same spans, empty input gives no
+    Null texts are empty and have no spans. A match that fails its check is dropped and not tried again shorter
+    (an IBAN has the length of its country). Spans of different kinds may overlap. Works row by row: repeated rows get the same spans, empty input gives no
     rows, no other column is read.
     """
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs[text], F.lit("")).alias("t"))

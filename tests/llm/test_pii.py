@@ -58,3 +58,17 @@ def test_long_runs_are_linear(make):
     got = {r.doc_id: r for r in pii.report(make(rows)).collect()}
     assert [got[i].n_email for i in range(1, 6)] == [0, 0, 0, 1, 0]
     assert pii.report(make([])).collect() == []
+
+
+def test_iban_ends_where_its_country_says(make):
+    iban = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE89370400440532013000", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    texts = [f"{before}{x}{behind}" for x in iban for before in ("IBAN ", "account ", "é AT10 2024 ") for behind in (" BIC COBADEFFXXX", " ON 3 May", " 100 EUR", " A B C 1 2 3", ", x", "")]
+    texts += ["DE89370400440532013000 GB82 WEST 1234 5698 7654 32 END", "DE89370400440532013000X", "GB82 WEST 1234 5698 7654 33 BIC"]
+    got = {r.doc_id: r.spans for r in pii.report(make(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts[:-3]):
+        x = next(x for x in iban if x in t)
+        assert f"iban:{t.index(x)}:{t.index(x) + len(x)}" in got[i].split(","), (t, got[i])
+        assert got[i].count("iban") == 1
+    assert got[len(texts) - 3].endswith("iban:0:22,iban:23:50") and "iban" not in got[len(texts) - 2] + got[len(texts) - 1]
+    out = pii.redact(make([(1, "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX")])).first()
+    assert out.text == "IBAN <IBAN> BIC COBADEFFXXX"
