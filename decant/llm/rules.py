@@ -3,7 +3,8 @@
 Built-in expressions only. Two histograms of a document are compared with a reference by Jensen-Shannon distance
 (base 2, so 0 to 1): its characters by class, and its words over the language's most common words and a rest. The
 references are the sums over all documents of a language. Distances of short texts are noise, so each comparison has
-a least length below which it passes.
+a least length below which it passes. A document whose language has no reference is held against all documents, by
+classes in which scripts do not differ (digits, symbols and all else) and not by words.
 """
 
 from __future__ import annotations
@@ -11,18 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decant.llm.common import word_list
-from decant.session import materialise
+from decant.llm.common import join_checked, word_list
+from decant.session import attach, materialise
 
 #: Words in a window of the repetition rule.
 SPAN = 5
-#: Common words of a language, and the length up to which a word counts as one.
-COMMON, LONGEST = 24, 6
-#: Share of all words above which a language has references of its own; smaller ones share the pooled reference.
-#: At most ``1 / OWN`` languages can reach it, which bounds the reference tables.
-OWN = 0.001
-#: Least characters and words for the two comparisons, and the distances beyond which a document fails.
-LEAST_CHARS, LEAST_WORDS = 200, 50
+#: Common words of a language.
+COMMON = 24
+#: Least characters and words for the two comparisons, and how many times as many a language needs for its references.
+LEAST_CHARS, LEAST_WORDS, ENOUGH = 200, 50, 20
+#: Distances beyond which a document fails.
 FAR_CHARS, FAR_WORDS = 0.3, 0.5
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
@@ -45,63 +44,63 @@ def _repeated() -> tuple[str, str, str]:
     return codes, positions, covered
 
 
-def measure(docs: DataFrame, text: str = "text", common: Column | None = None) -> DataFrame:
-    """Add the base counts, ``chars`` (characters by class) and, given common words, ``words`` (their counts, then the rest).
+def measure(docs: DataFrame, text: str = "text", common: str | None = None) -> DataFrame:
+    """Add the base counts, ``chars`` (characters by class) and, given the column of common words, ``words`` (their counts, then the rest).
 
     Null texts count as empty: all zero.
     """
     codes, positions, covered = _repeated()
     d = docs.withColumn("t", F.coalesce(F.col(text), F.lit(""))).withColumn("w", word_list(F.col(text)))
     d = d.withColumn("codes", F.expr(codes))
-    hit = "''"
-    if common is not None:
-        d = d.withColumn("common", common)
-        # a letter for each common word, in the order of the words; its count is what removing it takes away
-        hit = f"array_join(transform(w, x -> char(64 + if(length(x) <= {LONGEST}, array_position(common, x), 0))), '')"
+    # a common word with a space on either side stands in the joined words as often as in the text
+    joined = "concat(' ', array_join(w, '  '), ' ')" if common else "''"
 
     def size_of(rx: str) -> Column:
         return F.length(F.regexp_replace("t", rx, "")).cast("bigint")
 
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        *docs.columns, F.expr(positions).alias("positions"), F.expr(hit).alias("hit"), lines.alias("lines"),
+        *docs.columns, F.expr(positions).alias("positions"), F.expr(joined).alias("joined"), lines.alias("lines"),
         F.size("w").cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         size_of(r"[^#*$%&|<>]+").alias("n_symbols"), F.length("t").cast("bigint").alias("n_chars"),
         size_of(r"\P{Ll}+").alias("lower"), size_of(r"\P{Lu}+").alias("upper"), size_of(r"[^0-9]+").alias("digit"),
     )
     space = F.col("n_chars") - F.col("word_chars")
     chars = [F.col("lower"), F.col("upper"), F.col("digit"), space, F.col("n_symbols")]
-    counts = F.expr(f"transform(sequence(1, {COMMON}), b -> cast(length(hit) - length(replace(hit, char(64 + b), '')) as bigint))")
+    counts = f"transform({common}, x -> cast((octet_length(joined) - octet_length(replace(joined, concat(' ', x, ' '), ''))) div (octet_length(x) + 2) as bigint))"
+    rest = f"concat(c, array_repeat(0L, {COMMON} - size(c)), array(n_words - aggregate(c, 0L, (a, x) -> a + x)))"
     return d.select(
         *docs.columns, "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), F.expr(covered).alias("n_repeat_words"),
         F.array(*chars, F.col("n_chars") - sum(chars[1:], chars[0])).alias("chars"),
-        *([] if common is None else [counts.alias("words")]),
+        *([] if common is None else [F.expr(f"get(transform(array({counts}), c -> {rest}), 0)").alias("words")]),
     )
 
 
-def common_words(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], DataFrame]:
-    """Languages with references of their own, and one row ``lists``: language to its common words, most frequent first.
+def common_words(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """Every language with its ``COMMON`` most frequent words (``common``), most frequent first."""
+    words = docs.filter(F.col(lang) != "").select(F.col(lang).alias("lang"), F.explode(word_list(F.col(text))).alias("w"))
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= COMMON)
+    lists = top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("common"))
+    return materialise(lists, "common")
 
-    All other languages, and documents without one, share the list under the empty name. Both results are bounded:
-    at most ``1 / OWN`` languages and ``COMMON`` words each.
-    """
-    spark = docs.sparkSession
-    words = docs.select(F.col(lang).alias("lang"), F.explode(F.filter(word_list(F.col(text)), lambda x: F.length(x) <= LONGEST)).alias("w"))
-    counts = materialise(words.groupBy("lang", "w").agg(F.count("*").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    own = [r["lang"] for r in counts.filter(F.col("lang") != "").groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= OWN * total).collect()]
-    grouped = counts.groupBy(group(F.col("lang"), own).alias("g"), "w").agg(F.sum("n").alias("n"))
-    top = grouped.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= COMMON)
-    lists: dict[str, list[str]] = {"": []}
-    for r in top.orderBy("g", "r").collect():
-        lists.setdefault(r["g"], []).append(r["w"])
-    return own, spark.createDataFrame([(lists,)], "lists map<string,array<string>>")
+
+def _shares(c: str, n: int, least: int) -> Column:
+    sums = [F.sum(F.col(c)[i]) for i in range(n)]
+    total = sum(sums[1:], sums[0])
+    return F.when(total >= ENOUGH * least, F.array(*[x / total for x in sums])).alias(f"ref_{c}")
+
+
+def references(measures: DataFrame) -> DataFrame:
+    """Every language with the shares of its characters (``ref_chars``) and words (``ref_words``); null where it has too few."""
+    refs = measures.filter(F.col("lang") != "").groupBy("lang").agg(_shares("chars", len(CLASSES), LEAST_CHARS), _shares("words", COMMON + 1, LEAST_WORDS))
+    return materialise(refs, "references")
 
 
-def group(lang: Column, own: list[str]) -> Column:
-    """The language whose references a document is held against; empty for the pooled ones."""
-    return F.when(lang.isin(own), lang).otherwise(F.lit(""))
+def script_free(p: str) -> Column:
+    """Digits, symbols and all else of the shares of character classes."""
+    return F.array(F.col(p)[2], F.col(p)[4], F.col(p)[0] + F.col(p)[1] + F.col(p)[3] + F.col(p)[5])
 
 
 def distance(p: str, q: str) -> Column:
@@ -113,30 +112,18 @@ def distance(p: str, q: str) -> Column:
 def judge(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """Base counts, ``base_failed``, both distances and ``kept`` of every document.
 
-    A distance is null where its guard applies, and passes. Null texts are empty and fail the base rule; null and
-    rare languages are held against the pooled references; repeated rows are judged alike and count in the
-    references each. Other columns are not read. Empty input gives no rows.
+    A distance is null where its guard applies, and passes. Null texts are empty and fail the base rule; documents
+    without a language, or whose language has too little text, have only the distance of script-free classes from all
+    documents; repeated rows are judged alike and count in the references each. Other columns are not read. Empty input gives no rows.
     """
     d = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    own, lists = common_words(d)
-    g = group(F.col("lang"), own)
-    listed = lists.select("lists").scalar()
-    d = d.select("key", g.alias("g"), "text")
-    m = measure(d, "text", F.coalesce(F.element_at(listed, F.col("g")), F.array().cast("array<string>"))).drop("text")
-    m = materialise(m.withColumn("words", F.concat("words", F.array(F.col("n_words") - F.aggregate("words", F.lit(0).cast("bigint"), lambda a, x: a + x)))), "measures")
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("chars", len(CLASSES)), ("words", COMMON + 1)) for i in range(n)]
-    refs = {r["g"]: r for r in m.groupBy("g").agg(*sums).collect()}  # a row for each language of its own and the pool
-
-    def shares(r, c: str, n: int) -> list[float]:
-        v = [r[f"{c}{i}"] for i in range(n)]
-        return [x / max(1, sum(v)) for x in v]
-
-    rows = [({k: (shares(r, "chars", len(CLASSES)), shares(r, "words", COMMON + 1)) for k, r in refs.items()},)]
-    table = docs.sparkSession.createDataFrame(rows, "refs map<string,struct<chars:array<double>,words:array<double>>>")
-    m = m.withColumn("ref", F.element_at(table.select("refs").scalar(), F.col("g")))
+    m = materialise(measure(join_checked(d, common_words(d), "lang", "left"), "text", "common").drop("text", "common"), "measures")
+    m = attach(join_checked(m, references(m), "lang", "left"), m.agg(_shares("chars", len(CLASSES), LEAST_CHARS).alias("all_chars")))
     n_chars = F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, x: a + x)
     m = m.withColumn("p_chars", F.transform("chars", lambda x: x / F.greatest(n_chars, F.lit(1)))).withColumn("p_words", F.transform("words", lambda x: x / F.greatest("n_words", F.lit(1))))
-    m = m.withColumn("chars_js", F.when(n_chars >= LEAST_CHARS, distance("p_chars", "ref.chars"))).withColumn("words_js", F.when(F.col("n_words") >= LEAST_WORDS, distance("p_words", "ref.words")))
+    m = m.withColumn("p_free", script_free("p_chars")).withColumn("all_free", script_free("all_chars"))
+    m = m.withColumn("chars_js", F.when(n_chars >= LEAST_CHARS, F.when(F.col("ref_chars").isNotNull(), distance("p_chars", "ref_chars")).when(F.col("all_chars").isNotNull(), distance("p_free", "all_free"))))
+    m = m.withColumn("words_js", F.when(F.col("ref_words").isNotNull() & (F.col("n_words") >= LEAST_WORDS), distance("p_words", "ref_words")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.coalesce("chars_js", F.lit(0.0)) > FAR_CHARS) | (F.coalesce("words_js", F.lit(0.0)) > FAR_WORDS)
     return m.select(

@@ -47,3 +47,14 @@ def test_distance(spark):
 
 def test_empty(make):
     assert rules.judge(make([])).collect() == []
+
+
+def test_every_language_has_its_own_reference(make, prose):
+    """A small language without spaces is held against itself, and its verdicts do not change when others grow."""
+    page = lambda i: "。 ".join("".join(chr(0x4E00 + (i * 131 + j * 17 + k * 7) % 3000) for k in range(12)) for j in range(60))
+    small = [(i, page(i), "zh") for i in range(8)] + [(20, page(20), "yy"), (21, page(21), None)]
+    big = [(100 + i, prose(i, 400), ["en", None][i % 2]) for i in range(200)]
+    got = {r.doc_id: r for r in rules.judge(make(small + big)).collect()}
+    assert all(got[i].kept and got[i].chars_js is not None for i, *_ in small)
+    alone = {r.doc_id: r for r in rules.judge(make(small)).collect()}
+    assert all(alone[i] == got[i] for i in range(8))
