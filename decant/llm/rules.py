@@ -4,7 +4,8 @@ Built-in expressions only. Two histograms of a document are compared with a refe
 (base 2, so 0 to 1): its characters by class, and its words over the language's most common words and a rest. The
 references are the sums over all documents of a language. Distances of short texts are noise, so each comparison has
 a least length below which it passes. A document whose language has no reference is held against all documents, by
-classes in which scripts do not differ (digits, symbols and all else) and not by words.
+classes in which scripts do not differ (digits, symbols and all else) and not by words. A text with hardly any of
+its language's common words is not far by this distance, so their number has a limit of its own.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from decant.session import attach, materialise
 #: Words in a window of the repetition rule.
 SPAN = 5
 #: Common words of a language.
-COMMON = 24
+COMMON = 32
 #: Least characters and words for the two comparisons, and how many times as many a language needs for its references.
 LEAST_CHARS, LEAST_WORDS, ENOUGH = 200, 50, 20
 #: Distances beyond which a document fails.
 FAR_CHARS, FAR_WORDS = 0.3, 0.5
+#: A document also fails with less than this share of the common words to expect at its length, if those are enough.
+#: On sf0.1, 310 of 8,861 documents lie below, 43 more below half, all others around 1.
+FEW, EXPECTED = 0.1, 20
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 
@@ -124,8 +128,10 @@ def judge(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str =
     m = m.withColumn("p_free", script_free("p_chars")).withColumn("all_free", script_free("all_chars"))
     m = m.withColumn("chars_js", F.when(n_chars >= LEAST_CHARS, F.when(F.col("ref_chars").isNotNull(), distance("p_chars", "ref_chars")).when(F.col("all_chars").isNotNull(), distance("p_free", "all_free"))))
     m = m.withColumn("words_js", F.when(F.col("ref_words").isNotNull() & (F.col("n_words") >= LEAST_WORDS), distance("p_words", "ref_words")))
+    expected = F.col("n_words") * (1 - F.col("ref_words")[COMMON])
+    few = F.coalesce((expected >= EXPECTED) & (F.col("n_words") - F.col("words")[COMMON] < FEW * expected), F.lit(False))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = (F.coalesce("chars_js", F.lit(0.0)) > FAR_CHARS) | (F.coalesce("words_js", F.lit(0.0)) > FAR_WORDS)
+    far = (F.coalesce("chars_js", F.lit(0.0)) > FAR_CHARS) | (F.coalesce("words_js", F.lit(0.0)) > FAR_WORDS) | few
     return m.select(
         F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~far).alias("kept"), "chars_js", "words_js",

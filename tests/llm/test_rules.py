@@ -58,3 +58,14 @@ def test_every_language_has_its_own_reference(make, prose):
     assert all(got[i].kept and got[i].chars_js is not None for i, *_ in small)
     alone = {r.doc_id: r for r in rules.judge(make(small)).collect()}
     assert all(alone[i] == got[i] for i in range(8))
+
+
+def test_texts_without_common_words_fail(make, prose):
+    """Also where the common words are long."""
+    long = lambda t: " ".join(w * 5 if len(w) == 2 else w for w in t.split())
+    salad = " ".join("".join("aeiou"[(k >> s) % 5] + "vwxz"[(k >> s) % 4] for s in (0, 2, 4, 6)) + str(k % 3) * (k % 40 == 0) for k in range(0, 2400, 7))
+    rows = [(i, prose(i, 200), "en") for i in range(100)] + [(100 + i, long(prose(i, 200)), "ag") for i in range(100)]
+    got = {r.doc_id: r for r in rules.judge(make(rows + [(1000, salad, "en"), (1001, salad, "ag")])).collect()}
+    assert all(got[i].kept for i, *_ in rows if not got[i].base_failed)
+    for i in (1000, 1001):
+        assert got[i].chars_js < rules.FAR_CHARS and got[i].words_js < rules.FAR_WORDS and not got[i].base_failed and not got[i].kept
