@@ -25,6 +25,8 @@ SHARP = 4.0
 #: Texts scored by one product.
 BATCH = 128
 UNKNOWN = "und"
+#: Share of held-out labelled texts that a model must get right to decide anything, and the share of those that its least score admits.
+RELIABLE, ADMIT = 0.9, 0.999
 
 #: Symbols: 32 is whatever is not a letter, 97 to 122 are the letters a to z, 0 to 31 share all other characters.
 _SYMBOLS = 128
@@ -161,6 +163,25 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(texts) if texts else None
 
 
+def least_score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float | None:
+    """Score from which a prediction counts: ``ADMIT`` of the held-out labelled texts that are predicted right reach it.
+
+    Found on a sample of the held-out fold, bounded as that of the fit. None where the model cannot decide: it has fewer
+    than two languages, or the held-out labels are not known or not ``RELIABLE``.
+    """
+    if model is None or len(model.languages) < 2:
+        return None
+    held = [(k, g) for k, g in sample(docs.filter(fold(F.col(key)) == 1), key, text, lang) if k in model.languages]
+    right = []
+    for k, g in held:
+        value = model.weights[_rows(model.codes, g)].sum(axis=0) / np.sqrt(len(g)) + model.bias
+        if model.languages[value.argmax()] == k:
+            right.append(1 / np.exp(SHARP * (value - value.max())).sum())
+    if not held or len(right) < RELIABLE * len(held):
+        return None
+    return float(np.quantile(right, 1 - ADMIT, method="lower")) - 1e-6  # sums in another order differ by less
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Train on the documents outside the held-out fold and predict all of them."""
     out = predict(docs, train(docs, key, text, lang), key, text)

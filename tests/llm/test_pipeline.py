@@ -63,3 +63,20 @@ def test_empty(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, "unused")
     assert frame.collect() == []
+
+
+def test_the_language_decides(spark, make):
+    rng = np.random.default_rng(3)
+    pools = {"xa": "ka lo mi ne ru".split(), "xb": "stra schi ung keit en".split(), "xc": "wy qo fjo vux zig".split()}
+    text = lambda pool: " ".join("".join(rng.choice(pool, 3)) for _ in range(40))
+    rows = [(i, text(pools[k]), k) for i in range(300) for k in [list(pools)[i % 3]]]
+    new = [(1000 + i, text(pools[k]), None) for i, k in enumerate(pools)]
+    none = [(2000, text("привет да нет мир я".split()), None), (2001, text("αβγ δεζ ηθι κλμ".split()), "xa"), (2002, text("привет да нет мир я".split()), "zz")]
+    docs = make(rows + new + none, clash=False)
+    got = {r.doc_id: r for r in corpus_pipeline.language(spark, docs, "unused").collect()}
+    assert all(got[i].lang == k for i, _, k in rows)
+    assert [got[1000 + i].lang for i in range(3)] == list(pools)
+    assert 2000 not in got and got[2002].lang == "zz"
+    # without a label there is no model: only documents without a letter go
+    bare = make([(1, "some words", None), (2, "12 !", None), (3, None, None)], clash=False)
+    assert [(r.doc_id, r.lang) for r in corpus_pipeline.language(spark, bare, "unused").collect()] == [(1, None)]
