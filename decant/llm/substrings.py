@@ -1,6 +1,6 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against indexed blocks.
+"""Removal of repeated passages by winnowed blocks and window hashes, in place of a relative Lempel-Ziv parse.
 
-A document is factored into blocks that are found in documents with smaller ids. A passage of ``WINDOW`` words is
+No factor is extended to its longest match. A document is cut into blocks that are found in documents with smaller ids. A passage of ``WINDOW`` words is
 long enough to count. In each such window the anchor, the ``SEED`` words with the least hash, is chosen by content
 alone, so equal windows have equal anchors, wherever they stand. Neighbouring windows with one anchor make a block:
 all words of these windows.
