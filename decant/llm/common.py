@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,10 @@ def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner") -> D
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often and inside whatever lambda ``body`` uses it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def few(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: what a task holds follows the longest documents, not their number."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import langid, licenses, minhash, mixing, packing, pii, rules, sharding, substrings, vectors
+from decant.llm import bytebpe, langid, licenses, minhash, mixing, packing, pii, rules, sharding, substrings, vectors
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op8(spark, sf):
 @query("op2_licenses")
 def op2(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
+
+
+@query("op13_byte_bpe")
+def op13(spark, sf):
+    return bytebpe.digest(table(spark, sf, "documents"))
