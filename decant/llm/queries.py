@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decant.llm import bytebpe, langid, licenses, minhash, mixing, packing, pii, rules, sharding, substrings, vectors
+from decant.llm import bytebpe, crosstok, langid, licenses, merkle, minhash, mixing, packing, pii, rules, sharding, substrings, vectors
 from decant.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,13 @@ def op2(spark, sf):
 @query("op13_byte_bpe")
 def op13(spark, sf):
     return bytebpe.digest(table(spark, sf, "documents"))
+
+
+@query("op11_alignment")
+def op11(spark, sf):
+    return crosstok.score(table(spark, sf, "documents"))
+
+
+@query("op12_manifest", merkle.SQL)
+def op12(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents"))
