@@ -9,9 +9,9 @@ end together.
 * Only the links of other groups are pairs that cross the network. The ``HEAVY`` most frequent of those pairs go to every
   task as a table of that size, so no key of the join that is left holds many rows.
 
-Neither vocabulary merges across the start of a word (a space behind something that is no white space), so words are
-encoded and aligned once and remembered. Texts with characters that the tokenizer's Unicode tables may class otherwise
-are encoded as a whole.
+A merges within the parts of its pattern only, and no piece of B goes on across the start of a word (a space behind
+something that is no white space), so parts and words are encoded once and remembered. Texts with characters that A's
+Unicode tables may class otherwise are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +34,8 @@ from decant.llm.bytebpe import alphabet
 from decant.llm.common import few
 from decant.session import materialise
 
-#: Words whose alignment a worker keeps at a time; the memo only saves work.
-MEMO = 100_000
+#: Parts and words whose ids a worker keeps at a time; the memo only saves work.
+MEMO = 150_000
 #: Pairs that are looked up in every task; all others are joined by shuffle.
 HEAVY = 1 << 16
 #: White space that does not end a word: a space counts as the start of a word only behind something else.
@@ -45,72 +46,105 @@ SPACE = "\u2581"
 ODD = re.compile("[^\u0000-\u0557\u0590-\u086f\u0900-\u0c5b\u0e00-\u208e\u20a0-\ua7cd\uac00-\uffff\U0001f000-\U0001faff]")
 
 #: n_a, n_b, n_groups, groups as text, A-ids of mapped groups, other links (A-id in the high half)
-Aligned = tuple[int, int, int, str, bytes, bytes]
+Aligned = tuple[int, int, int, str, np.ndarray, np.ndarray]
 
 
-class Aligner(dict):
-    """Alignment of words (without the space in front of them) and of whole texts; None where bytes differ."""
+class Memo(dict):
+    """Ids of text parts as unsigned 32-bit numbers; what was not asked for during ``MEMO`` new parts is forgotten."""
 
-    def __init__(self, path_a: str, path_b: str, pattern: str):
+    def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.pop(part, None)
+        if ids is None:
+            ids = array("I", self.encode(part)).tobytes()
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def all(self, parts: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, parts)), dtype=np.uint32)
+
+
+class Side:
+    """Bytes of a vocabulary's tokens and their lengths."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.sizes = tokens, np.array([len(x) for x in tokens], dtype=np.int64)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+
+class Aligner:
+    """Both tokenizers, and the alignment of a text's tokens."""
+
+    def __init__(self, path_a: str, path_b: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
-        self.merge, self.parts = self.a.model.tokenize, regex.compile(pattern).findall
-        self.shown = alphabet()
-        back = {c: b for b, c in self.shown.items()}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
+        shown, merge = alphabet(), self.a.model.tokenize
+        back = {c: b for b, c in shown.items()}
+        tokens = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(back[ord(c)] for c in token) if all(ord(c) in back for c in token) else token.encode()
+            tokens[i] = bytes(back[ord(c)] for c in token) if all(ord(c) in back for c in token) else token.encode()
+        self.side_a = Side(tokens)
+        self.parts = regex.compile(pattern).findall
+        self.memo_a = Memo(lambda p: [t.id for t in merge(p.encode().decode("latin-1").translate(shown))])
+
         self.b = SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        # the least of several B-ids with the same bytes; the others are pairs like any other
-        ids = {x: i for i, x in reversed(list(enumerate(self.bytes_b))) if not (self.b.is_control(i) or self.b.is_unknown(i))}
-        self.same = np.array([ids.get(x, -1) for x in self.bytes_a], dtype=np.int64)
+        self.side_b = Side([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.front = len(self.b.encode("."))
+        front = len(self.b.encode("."))
+        self.memo_b = Memo(lambda w: self.b.encode(". " + w)[front:])
 
-    def __missing__(self, word: str) -> Aligned | None:
-        if len(self) >= MEMO:
-            self.clear()
-        text = " " + word
-        a = [t.id for p in self.parts(text) for t in self.merge(p.encode().decode("latin-1").translate(self.shown))]
-        out = self[word] = self.align(a, self.b.encode("." + text)[self.front :], text.encode())
-        return out
-
-    def align(self, a: list[int], b: list[int], raw: bytes) -> Aligned | None:
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        ends_a, ends_b = np.cumsum([len(x) for x in of_a]), np.cumsum([len(x) for x in of_b])
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, mapped, other, i, j = [], [], [], 0, 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            if x - i == 1 and y - j == 1 and self.same[a[i]] == b[j]:
-                mapped.append(a[i])
-            else:
-                other.append(a[x - 1] << 32 | b[y - 1])
-            i, j = x, y
-        return len(a), len(b), len(groups), ";".join(groups), np.array(mapped, dtype="<u4").tobytes(), np.array(other, dtype="<i8").tobytes()
+        # the least of several B-ids with the same bytes; the others are pairs like any other
+        ids = {x: i for i, x in reversed(list(enumerate(self.side_b.tokens))) if not (self.b.is_control(i) or self.b.is_unknown(i))}
+        self.same = np.array([ids.get(x, -1) for x in tokens], dtype=np.int64)
+        self.size = max(len(tokens), len(pieces))
+        self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(self.size)]
 
     def text(self, text: str) -> Aligned | None:
         """Alignment of a whole text; None if it has no tokens."""
         if not text:
             return None
-        if not self.by_word or not (text.isascii() or not ODD.search(text)):
-            whole = " " + text
-            return self.align(self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(text), whole.encode())
-        words = CUT.split(text) if DOUBLE.search(text) else text.split(" ")
-        found = list(map(self.__getitem__, words))
-        if None in found:
-            return None
-        n_a, n_b, n, groups, mapped, other = zip(*found, strict=True)
-        return sum(n_a), sum(n_b), sum(n), ";".join(groups), b"".join(mapped), b"".join(other)
+        whole = " " + text
+        if text.isascii() or not ODD.search(text):
+            a = self.memo_a.all(self.parts(whole))
+        else:
+            a = np.array(self.a.encode(whole, add_special_tokens=False).ids, dtype=np.uint32)
+        if self.by_word:
+            b = self.memo_b.all(CUT.split(text) if DOUBLE.search(text) else text.split(" "))
+        else:
+            b = np.array(self.b.encode(text), dtype=np.uint32)
+        raw = whole.encode()
+        return self.align(a, b) if self.side_a.joined(a) == raw == self.side_b.joined(b) else None
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> Aligned:
+        """Groups between the offsets where tokens of both end; both join to the same bytes."""
+        ends_a, ends_b = np.cumsum(self.side_a.sizes[a]), np.cumsum(self.side_b.sizes[b])
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = np.flatnonzero(ends_b[at] == ends_a)
+        last_b = at[last_a]
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        link_a, link_b = a[last_a].astype(np.int64), b[last_b].astype(np.int64)
+        mapped = (n_a == 1) & (n_b == 1) & (self.same[link_a] == link_b)
+        # a group's A-ids stand behind the B-ids of the groups before it, its B-ids behind its own A-ids
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        codes[np.arange(len(a)) + np.repeat(last_b + 1 - n_b, n_a)] = a
+        codes[np.arange(len(b)) + np.repeat(last_a + 1, n_b)] = b
+        codes[last_a + last_b + 1 - n_b] += self.size
+        codes[last_a + last_b + 1] += 2 * self.size
+        text = "".join(map(self.shown.__getitem__, codes.tolist()))[:-1]
+        return len(a), len(b), len(last_a), text, link_a[mapped], (link_a << 32 | link_b)[~mapped]
 
 
 @lru_cache(maxsize=2)
@@ -138,15 +172,14 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", with_groups:
     empty texts, and texts whose tokens do not join to a space and the text, have no tokens: zeros and an empty string.
     """
     paths = defaults(where.get("path_a"), where.get("path_b"), where.get("pattern"))
-    none = (0, 0, 0, "", b"", b"")
+    none = (0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(*paths)
         row = TaskContext.get().partitionId() << 33
         for b in few(batches):
             found = [tool.text((t.as_py() or b"").decode("utf-8", "replace")) or none for t in b.column(1)]
-            mapped = [np.unique(np.frombuffer(f[4], dtype="<u4"), return_counts=True) for f in found]
-            other = [np.unique(np.frombuffer(f[5], dtype="<i8"), return_counts=True) for f in found]
+            mapped, other = ([np.unique(f[i], return_counts=True) for f in found] for i in (4, 5))
             cols = [b.column(0), pa.array(np.arange(row, row + len(found)))]
             cols += [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
             cols.append(pa.array([hashlib.sha256(f[3].encode()).hexdigest() if f[2] else "" for f in found], pa.string()))
@@ -200,7 +233,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     pairs = materialise(pair_counts(aligned), "pairs")
 
     # the best count of each B-id: as many numbers as B has ids
-    best = np.zeros(len(tool.bytes_b), dtype=np.int64)
+    best = np.zeros(len(tool.side_b.tokens), dtype=np.int64)
     mapped = np.flatnonzero(same)
     np.maximum.at(best, tool.same[mapped], same[mapped])
     of_b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
