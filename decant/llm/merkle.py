@@ -236,8 +236,8 @@ def _sql(tree_levels: int = 25, over_levels: int = 12) -> str:
         for i in range(count):
             left, right = f"substr(r.r, 1, {HEX} * r.s)", f"substr(r.r, {HEX} * (r.s + 1) + 1)"
             blocks.append(
-                f"{name}p{i} AS MATERIALIZED (SELECT p.* EXCLUDE (at, p, x), p.at // {ARITY} AS at, CASE WHEN r.n = 1 THEN p.p ELSE p.p || {left} || {right} END AS p, "
-                f"CASE WHEN r.n = 1 THEN p.x ELSE sha256({left} || p.x || {right}) END AS x FROM {source} p JOIN {name}{i}r r ON r.tree = p.tree AND r.pos = p.at)")
+                f"{name}p{i} AS MATERIALIZED (SELECT p.* EXCLUDE (place, p, x), p.place // {ARITY} AS place, CASE WHEN r.n = 1 THEN p.p ELSE p.p || {left} || {right} END AS p, "
+                f"CASE WHEN r.n = 1 THEN p.x ELSE sha256({left} || p.x || {right}) END AS x FROM {source} p JOIN {name}{i}r r ON r.tree = p.tree AND r.pos = p.place)")
             source = f"{name}p{i}"
         return source
 
@@ -247,9 +247,9 @@ def _sql(tree_levels: int = 25, over_levels: int = 12) -> str:
     levels("SELECT tree, pos, leaf AS digest FROM n", tree_levels, "t")
     blocks.append(f"s AS MATERIALIZED (SELECT tree AS name, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM t{tree_levels})")
     levels("SELECT '' AS tree, pos, subroot AS digest FROM s", over_levels, "o")
-    blocks.append("tp AS MATERIALIZED (SELECT doc_id, tree, leaf, pos AS at, '' AS p, x FROM n)")
+    blocks.append("tp AS MATERIALIZED (SELECT doc_id, tree, leaf, pos AS place, '' AS p, x FROM n)")
     below = follow("t", tree_levels)
-    blocks.append(f"op AS MATERIALIZED (SELECT b.doc_id, b.leaf, s.subroot, '' AS tree, s.pos AS at, b.p, b.x FROM {below} b JOIN s ON s.name = b.tree)")
+    blocks.append(f"op AS MATERIALIZED (SELECT b.doc_id, b.leaf, s.subroot, '' AS tree, s.pos AS place, b.p, b.x FROM {below} b JOIN s ON s.name = b.tree)")
     above = follow("o", over_levels)
     return "WITH " + ",\n".join(blocks) + f"\nSELECT a.doc_id, a.leaf, a.subroot, o.digest AS root, sha256(a.p) AS proof_sha256, a.x AS folded_root, a.x = o.digest AS verified FROM {above} a JOIN o{over_levels} o ON true"
 
