@@ -9,23 +9,20 @@ end together.
 * Only the links of other groups are pairs that cross the network. The ``HEAVY`` most frequent of those pairs go to every
   task as a table of that size, so no key of the join that is left holds many rows.
 
-A merges within the parts of its pattern only, and no piece of B goes on across the start of a word (a space behind
-something that is no white space), so parts and words are encoded once and remembered. Texts with characters that A's
-Unicode tables may class otherwise are encoded as a whole.
+Texts with characters that A's Unicode tables may class otherwise than the faster encoder's go through A's own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,50 +31,25 @@ from decant.llm.bytebpe import alphabet
 from decant.llm.common import few
 from decant.session import materialise
 
-#: Parts and words whose ids a worker keeps at a time; the memo only saves work.
-MEMO = 150_000
 #: Pairs that are looked up in every task; all others are joined by shuffle.
 HEAVY = 1 << 16
-#: White space that does not end a word: a space counts as the start of a word only behind something else.
-DOUBLE, CUT = re.compile(r"(?:\A|\s) "), re.compile(r"(?<=\S) ")
 #: Fixed value: how pieces show a space.
 SPACE = "\u2581"
-#: Characters outside these blocks are encoded by the tokenizer as a whole, as Unicode versions differ there.
+#: Texts with characters outside these blocks are encoded by the tokenizer itself, as Unicode versions differ there.
 ODD = re.compile("[^\u0000-\u0557\u0590-\u086f\u0900-\u0c5b\u0e00-\u208e\u20a0-\ua7cd\uac00-\uffff\U0001f000-\U0001faff]")
 
 #: n_a, n_b, n_groups, groups as text, A-ids of mapped groups, other links (A-id in the high half)
 Aligned = tuple[int, int, int, str, np.ndarray, np.ndarray]
 
 
-class Memo(dict):
-    """Ids of text parts as unsigned 32-bit numbers; what was not asked for during ``MEMO`` new parts is forgotten."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.pop(part, None)
-        if ids is None:
-            ids = array("I", self.encode(part)).tobytes()
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[part] = ids
-        return ids
-
-    def all(self, parts: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, parts)), dtype=np.uint32)
-
-
 class Side:
     """Bytes of a vocabulary's tokens and their lengths."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens, self.sizes = tokens, np.array([len(x) for x in tokens], dtype=np.int64)
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class Aligner:
@@ -90,21 +62,17 @@ class Aligner:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
-        shown, merge = alphabet(), self.a.model.tokenize
-        back = {c: b for b, c in shown.items()}
+        back = {c: b for b, c in alphabet().items()}
+        vocab = self.a.get_vocab()
         tokens = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
+        for token, i in vocab.items():
             tokens[i] = bytes(back[ord(c)] for c in token) if all(ord(c) in back for c in token) else token.encode()
         self.side_a = Side(tokens)
-        self.parts = regex.compile(pattern).findall
-        self.memo_a = Memo(lambda p: [t.id for t in merge(p.encode().decode("latin-1").translate(shown))])
+        self.fast = self._ranked(path_a, tokens, pattern)
 
         self.b = SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.side_b = Side([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
-        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        front = len(self.b.encode("."))
-        self.memo_b = Memo(lambda w: self.b.encode(". " + w)[front:])
 
         # the least of several B-ids with the same bytes; the others are pairs like any other
         ids = {x: i for i, x in reversed(list(enumerate(self.side_b.tokens))) if not (self.b.is_control(i) or self.b.is_unknown(i))}
@@ -112,21 +80,35 @@ class Aligner:
         self.size = max(len(tokens), len(pieces))
         self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(self.size)]
 
-    def text(self, text: str) -> Aligned | None:
-        """Alignment of a whole text; None if it has no tokens."""
-        if not text:
+    def _ranked(self, path: str, tokens: list[bytes], pattern: str):
+        """The same encoder from ranks, which is faster, if A's merges are its ids in order and lead to every token."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        whole = all(len(self.a.model.tokenize(t)) == 1 for t in model["vocab"])
+        if made != sorted(made) or len(made) + 256 != len(model["vocab"]) or not whole:
             return None
-        whole = " " + text
-        if text.isascii() or not ODD.search(text):
-            a = self.memo_a.all(self.parts(whole))
-        else:
-            a = np.array(self.a.encode(whole, add_special_tokens=False).ids, dtype=np.uint32)
-        if self.by_word:
-            b = self.memo_b.all(CUT.split(text) if DOUBLE.search(text) else text.split(" "))
-        else:
-            b = np.array(self.b.encode(text), dtype=np.uint32)
-        raw = whole.encode()
-        return self.align(a, b) if self.side_a.joined(a) == raw == self.side_b.joined(b) else None
+        return tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={tokens[i]: i for i in model["vocab"].values()}, special_tokens={})
+
+    def texts(self, texts: list[str]) -> list[Aligned | None]:
+        """Alignment of whole texts; None for those without tokens."""
+        out = []
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            if not text:
+                out.append(None)
+                continue
+            whole = " " + text
+            raw = whole.encode()
+            if self.fast is not None and (text.isascii() or not ODD.search(text)):
+                a, same = self.fast.encode_ordinary(whole), True  # merging bytes loses none
+            else:
+                a = self.a.encode(whole, add_special_tokens=False).ids
+                same = self.side_a.joined(a) == raw
+            same = same and self.side_b.joined(b) == raw
+            out.append(self.align(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if same else None)
+        return out
 
     def align(self, a: np.ndarray, b: np.ndarray) -> Aligned:
         """Groups between the offsets where tokens of both end; both join to the same bytes."""
@@ -135,7 +117,7 @@ class Aligner:
         last_a = np.flatnonzero(ends_b[at] == ends_a)
         last_b = at[last_a]
         n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        link_a, link_b = a[last_a].astype(np.int64), b[last_b].astype(np.int64)
+        link_a, link_b = a[last_a], b[last_b]
         mapped = (n_a == 1) & (n_b == 1) & (self.same[link_a] == link_b)
         # a group's A-ids stand behind the B-ids of the groups before it, its B-ids behind its own A-ids
         codes = np.empty(len(a) + len(b), dtype=np.int64)
@@ -177,8 +159,8 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", with_groups:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(*paths)
         row = TaskContext.get().partitionId() << 33
-        for b in few(batches):
-            found = [tool.text((t.as_py() or b"").decode("utf-8", "replace")) or none for t in b.column(1)]
+        for b in few(batches, 64):
+            found = [f or none for f in tool.texts([(t.as_py() or b"").decode("utf-8", "replace") for t in b.column(1)])]
             mapped, other = ([np.unique(f[i], return_counts=True) for f in found] for i in (4, 5))
             cols = [b.column(0), pa.array(np.arange(row, row + len(found)))]
             cols += [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]

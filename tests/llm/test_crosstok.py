@@ -47,7 +47,7 @@ class Brute:
         for e in both:
             out.append(([i for i, x in ea if before < x <= e], [i for i, x in eb if before < x <= e]))
             before = e
-        links = [(i, j) for i, x in ea for j, y in eb if x == y] if len(ea) * len(eb) < 1e6 else [(g[0][-1], g[1][-1]) for g in out]
+        links = [(i, j) for i, x in ea for j, y in eb if x == y] if len(ea) * len(eb) < 1e4 else [(g[0][-1], g[1][-1]) for g in out]
         return len(a), len(b), out, links
 
     def corpus(self, rows):
@@ -77,11 +77,11 @@ def own():
 LETTERS = st.one_of(st.characters(codec="utf-8"), st.sampled_from("   \n\t\r's1.aéß日Ж\x00\x1c\x85　▁<>|"))
 
 
-@settings(max_examples=500, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=LETTERS, max_size=50))
 def test_groups_as_both_libraries_have_them(brute, own, text):
     n_a, n_b, groups, _ = brute.groups(text)
-    got = own.text(text)
+    got = own.texts([text])[0]
     if not n_a:
         assert got is None
     else:
@@ -89,19 +89,19 @@ def test_groups_as_both_libraries_have_them(brute, own, text):
         assert got[3] == ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
 
 
-def test_words_of_every_plain_character(brute, own):
-    for at in range(0, 0x11000, 32):
-        chars = [chr(c) for c in range(at, at + 32) if not 0xD800 <= c < 0xE000]
+def test_every_plain_character(brute, own):
+    for at in range(0, 0x11000, 128):
+        chars = [chr(c) for c in range(at, at + 128) if not 0xD800 <= c < 0xE000]
         for text in ("".join(f"a{c}1 {c} {c}{c}b" for c in chars if not crosstok.ODD.search(c)), " ".join(chars)):
             n_a, n_b, groups, _ = brute.groups(text)
-            got = own.text(text)
+            got = own.texts([text])[0]
             assert (got[:3] if got else (0, 0, 0)) == (n_a, n_b, len(groups)), hex(at)
 
 
 ODD = ["", None, " ", "  ", "a ▁b", "<|endoftext|> x", "<s> </s>", "x\n y", "\n\n  a  b ", "½ 日本語 naïve", "\x00", "\u088f odd", "<0x41>", "é" * 40]
 
 
-@pytest.mark.parametrize("heavy", [0, 3, crosstok.HEAVY])
+@pytest.mark.parametrize("heavy", [3, crosstok.HEAVY])
 def test_documents(make, prose, brute, heavy):
     rows = [(i, prose(i % 25, 1 + i * 37 % 300)) for i in range(50)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(7, prose(3, 40)), (7, prose(3, 40)), (None, "a b"), (None, None), (200, prose(9, 5000))]
     got = crosstok.score(make(rows), heavy=heavy)
@@ -118,3 +118,13 @@ def test_groups_as_text(make, brute):
 
 def test_empty_table(make):
     assert crosstok.score(make([])).collect() == []
+
+
+def test_without_ranks(brute, own):
+    """A vocabulary whose merges are not its ids in order is encoded by its own library."""
+    fast, own.fast = own.fast, None
+    try:
+        got = own.texts(["it's a  naïve test\n\n x"])[0]
+    finally:
+        own.fast = fast
+    assert fast is not None and got[3] == own.texts(["it's a  naïve test\n\n x"])[0][3]

@@ -67,3 +67,29 @@ def test_grams_are_the_distinct_ones(prose):
 def test_no_labels_and_empty(make):
     assert [r.lang_pred for r in langid.identify(make([(0, "abc", None)])).collect()] == ["und"]
     assert langid.identify(make([])).collect() == []
+
+
+@pytest.mark.parametrize("languages", [200, 400])
+def test_every_one_of_many_languages(make, languages):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    pools = ["".join(rng.choice(letters, 3)) for _ in range(6 * languages)]
+    rows = []
+    for i in range(12 * languages):
+        k = i % languages
+        pool = pools[6 * k : 6 * k + 6]
+        rows.append((None if i % 10 == 9 else i, " ".join("".join(rng.choice(pool, rng.integers(1, 4))) for _ in range(60)), f"l{k:03d}"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(make(rows)).collect() if r.doc_id is not None and r.held_out}
+    right = [0] * languages
+    seen = [0] * languages
+    for i, said in got.items():
+        seen[i % languages] += 1
+        right[i % languages] += said == f"l{i % languages:03d}"
+    assert sum(right) >= 0.95 * sum(seen)
+    assert sum(right[128:]) >= 0.95 * sum(seen[128:])
+
+
+def test_rows_without_a_key_are_drawn_one_by_one(make, rows):
+    nameless = [(None, t, k) for _, t, k in rows]
+    texts = langid.sample(make(nameless), "doc_id", "text", "lang")
+    assert len({x[1].tobytes() for x in texts}) > 100
