@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 from collections import Counter
 
@@ -43,10 +44,10 @@ class Brute:
 
         ea, eb = ends(a), ends(b)
         both = sorted({e for _, e in ea} & {e for _, e in eb})
-        before, out = 0, []
-        for e in both:
-            out.append(([i for i, x in ea if before < x <= e], [i for i, x in eb if before < x <= e]))
-            before = e
+        out = [([], []) for _ in both]
+        for side, ends_ in enumerate((ea, eb)):
+            for i, x in ends_:
+                out[bisect.bisect_left(both, x)][side].append(i)
         links = [(i, j) for i, x in ea for j, y in eb if x == y] if len(ea) * len(eb) < 1e4 else [(g[0][-1], g[1][-1]) for g in out]
         return len(a), len(b), out, links
 
