@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled texts in the sample, landmarks among them, and languages (the most frequent ones).
-SAMPLE, LANDMARKS, LANGUAGES = 1600, 128, 256
+from decant.llm.common import join_checked
+from decant.session import materialise
+
+#: Bounds of the fit: labelled texts in the sample and landmarks among them, but ``EACH`` texts and ``MARKS`` landmarks of
+#: every labelled language at least, however many there are.
+SAMPLE, LANDMARKS, EACH, MARKS = 1600, 128, 6, 2
 RIDGE = 1e-3
 #: Sharpness of the soft maximum that turns regression values into a score.
 SHARP = 4.0
@@ -69,15 +73,19 @@ def fold(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, np.ndarray]]:
-    """Language and n-grams of at most ``SAMPLE`` labelled texts, equally many per language, least hash first."""
-    d = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(7), F.col(key)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    """Language and n-grams of ``SAMPLE`` labelled texts or ``EACH`` per language, equally many of all, least hash first.
+
+    The hash takes in the text, so rows without a key are drawn one by one.
+    """
+    d = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(7), F.col(key), F.col(text)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = materialise(d.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return []
-    each = max(1, SAMPLE // len(counts))
+    each = max(EACH, SAMPLE // languages)
     # three times as many as needed by hash, so that the window below sorts a bounded number of rows
-    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3.0 * max(each, 30) / r["n"]))])
-    few = d.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.element_at(limits, F.col("lang")))
+    limits = counts.select("lang", F.least(F.lit(1.0), F.lit(3.0 * max(each, 30)) / F.col("n")).alias("limit"))
+    few = join_checked(d, limits, "lang").filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.col("limit"))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= each)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +100,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, n
 def fit(texts: list[tuple[str, np.ndarray]]) -> Model:
     """Kernel ridge regression, one language against the rest, on landmark features. ``texts`` come in sampling order."""
     languages = sorted({k for k, _ in texts})
-    marks = [g for _, g in texts[:LANDMARKS]]
+    marks = [g for _, g in texts[: max(LANDMARKS, MARKS * len(languages))]]
     codes = np.unique(np.concatenate(marks))
     presence = np.zeros((len(marks), len(codes)), dtype=np.float64)
     for i, g in enumerate(marks):
@@ -118,43 +126,42 @@ def _rows(codes: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep_docs: bool = False) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to each document; only its text counts.
+    """Add ``lang_pred`` and ``score`` to each document; only its text counts, and only its text leaves the JVM.
 
     Texts that are null or have no letter are ``und`` with score 0, and so is everything under an empty model. With
     ``keep_docs`` all columns of ``docs`` stay. Repeated rows are predicted alike; empty input gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs if keep_docs else docs.select(key, text)
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    carried = d.select(F.struct(*[d[c] for c in d.columns]).alias("doc"), F.when(letters, d[text]).alias("text"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def classify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, g = shared.value, Grams()
         rows = np.full(CODES, -1, dtype=np.int32)
         if m is not None:
             rows[m.codes] = np.arange(len(m.codes), dtype=np.int32)
-        for b in batches:
-            for i in range(0, b.num_rows, BATCH):
-                part = b.slice(i, BATCH)
-                names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                if m is not None:
-                    seen, size = np.zeros((part.num_rows, len(m.codes)), dtype=np.float32), np.ones(part.num_rows)
-                    some = [j for j, t in enumerate(part.column(1)) if t.is_valid]
-                    for j in some:
-                        grams = g.of(part.column(1)[j].as_py())
-                        at = rows[grams]
-                        seen[j, at[at >= 0]] = 1
-                        size[j] = len(grams)
-                    value = (seen @ m.weights) / np.sqrt(size)[:, None] + m.bias
-                    soft = np.exp(SHARP * (value - value.max(axis=1, keepdims=True)))
-                    best = value.argmax(axis=1)
-                    for j in some:
-                        names[j], scores[j] = m.languages[best[j]], 1 / soft[j].sum()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc", "lang_pred", "score"])
-
-    kind = d.schema.simpleString()
-    out = carried.mapInArrow(run, f"doc {kind}, lang_pred string, score double")
-    return out.select("doc.*", "lang_pred", "score") if keep_docs else out.select(f"doc.{key}", "lang_pred", "score")
+        for batch in texts:
+            names, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
+            for i in range(0, len(batch) if m is not None else 0, BATCH):
+                part = batch.slice(i, BATCH)
+                seen, size = np.zeros((len(part), len(m.codes)), dtype=np.float32), np.ones(len(part))
+                some = [j for j, t in enumerate(part) if t.is_valid]
+                for j in some:
+                    grams = g.of(part[j].as_py())
+                    at = rows[grams]
+                    seen[j, at[at >= 0]] = 1
+                    size[j] = len(grams)
+                value = (seen @ m.weights) / np.sqrt(size)[:, None] + m.bias
+                soft = np.exp(SHARP * (value - value.max(axis=1, keepdims=True)))
+                best = value.argmax(axis=1)
+                for j in some:
+                    names[i + j], scores[i + j] = m.languages[best[j]], 1 / soft[j].sum()
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    d = docs if keep_docs else docs.select(key, text)
+    letters = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
+    # a filter on the result must not run the model a second time
+    out = d.withColumn("_said", classify.asNondeterministic()(letters))
+    return out.select(*(d.columns if keep_docs else [key]), F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:

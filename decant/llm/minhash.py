@@ -276,27 +276,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one with the least key, a null key last.
 
-    Documents without a word are in no group and stay. Of rows that repeat both key and set one stays.
+    Documents without a word are in no group and stay. Of rows that repeat both key and set one stays. A key that
+    stands on one row only decides by itself, so no document is hashed again and none leaves the JVM; only rows whose
+    key is null or repeats are told apart by their sets.
     """
     rows, of = groups(docs, key, text, width, percent)
     members = rows.join(of, "cls")
     first = members.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "cls")).alias("m"))
     first = materialise(first.select(F.col("m.key").alias("_key"), F.col("m.cls").alias("_cls")), "first")
-    repeated = members.join(first, F.col("cls") == F.col("_cls")).filter(F.col("key").eqNullSafe(F.col("_key"))).groupBy("_cls").agg(F.count("*").alias("n")).filter("n > 1")
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].cast("bigint").alias("k"), docs[text].cast("binary").alias("t"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = materialise(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.first("cls").alias("cls")), "keys")
+    stays = first.filter(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), F.col("_cls").alias("cls"))
+    unique = keys.filter((F.col("n") == 1) & F.col("cls").isNotNull()).select("key", "cls")
+    several = keys.filter(F.col("n") > 1).select(F.col("key").alias("_k"))
+    away = materialise(unique.join(stays, ["key", "cls"], "left_anti").select(F.col("key").alias("_k")).union(several), "away")
+    own = docs[key].cast("bigint")
+    kept = docs.filter(docs[key].isNotNull()).join(away, own == F.col("_k"), "left_anti")
+    if several.isEmpty() and rows.filter(F.col("key").isNull()).isEmpty():
+        return kept
+
+    @F.arrow_udf("binary")
+    def set_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = Words()
-        for b in batches:
-            cls = [_set_id(shingles(memo.of((t.as_py() or b"").lower().split()), width)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary())], names=["doc", "k", "cls"])
-
-    d = d.mapInArrow(run, f"doc {docs.schema.simpleString()}, k bigint, cls binary")
-    j = d.join(first, F.col("cls") == F.col("_cls"), "left")
-    kept = j.filter(F.col("cls").isNull() | (F.col("_cls").isNotNull() & F.col("k").eqNullSafe(F.col("_key"))))
-    if not repeated.isEmpty():
-        kept = kept.filter(F.col("cls").isNull()).unionByName(kept.filter(F.col("cls").isNotNull()).dropDuplicates(["cls"]))
-    return kept.select("doc.*")
+        for batch in texts:
+            yield pa.array([_set_id(shingles(memo.of((t.as_py() or b"").lower().split()), width)) for t in batch], pa.binary())
+
+    odd = docs.join(several, own == F.col("_k"), "left_semi").unionByName(docs.filter(docs[key].isNull()))
+    odd = odd.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(key).cast("bigint").alias("k"), set_of.asNondeterministic()(F.col(text).cast("binary")).alias("cls"))
+    j = odd.join(first, F.col("cls") == F.col("_cls"), "left")
+    odd = j.filter(F.col("cls").isNull() | (F.col("_cls").isNotNull() & F.col("k").eqNullSafe(F.col("_key")))).select("doc", "cls")
+    odd = odd.filter(F.col("cls").isNull()).unionByName(odd.filter(F.col("cls").isNotNull()).dropDuplicates(["cls"]))
+    return kept.unionByName(odd.select("doc.*"))
 
 
 def _likely(a: str, b: str, least: float):
