@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decant.operators.prefix import neighbours
+from decant.operators.prefix import neighbours, prefix
 
 HOUR = 3_600_000_000
 # Pause at or above, resume at or below (degrees).
@@ -36,30 +36,56 @@ def trapezoid(seg: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.col("dt") * (F.col("power_w") + F.col("prev.power_w")) / 2).alias("joules"), F.sum("dt").alias("seconds"))
 
 
-def interval_energy(requests: DataFrame, seg: DataFrame, pad_us: int, bucket_us: int = HOUR, keys: Sequence[str] = ("card",)) -> DataFrame:
+def running_joules(seg: DataFrame, keys: Sequence[str] = ("card",), order: Sequence[str] = ("ts_us", "event_id")) -> DataFrame:
+    """Add ``joules``: energy of a card from its first sample up to each one.
+
+    Pieces are decimals, so the sums are exact: a difference of two of them loses nothing, however long the log is, and
+    does not depend on the order of summing.
+    """
+    dt = (F.col("ts_us") - F.col("prev.ts_us")) / 1e6
+    piece = F.coalesce(F.when(dt > 0, dt * (F.col("power_w") + F.col("prev.power_w")) / 2), F.lit(0.0)).cast("decimal(28,9)")
+    d = prefix(seg.withColumn("_piece", piece), list(order), time_bucket(), list(keys), rank=None, sums={"_earlier": "_piece"})
+    return d.withColumn("joules", F.col("_earlier") + F.col("_piece")).drop("_piece", "_earlier")
+
+
+def interval_energy(requests: DataFrame, seg: DataFrame, pad_us: int, keys: Sequence[str] = ("card",), order: Sequence[str] = ("ts_us", "event_id")) -> DataFrame:
     """Energy used during [t0, t1] per request, from samples within ``pad_us`` of the window.
 
-    Window ends are interpolated; an end beyond the samples takes the nearest reading when that is within
-    ``pad_us``, otherwise the request has no answer. Requests are exploded over the few time buckets they
-    touch and joined by equality on (card, bucket), so a sample meets a request once.
+    Window ends are interpolated; an end beyond the samples takes the nearest reading when that is within ``pad_us``,
+    otherwise the request has no answer. A request never meets the samples inside its window: four as-of lookups (both
+    ends, and both ends of the padded window) find its outermost samples and the running joules at its ends, and their
+    difference is the answer. The work is linear in samples plus requests.
     """
-    r = requests.withColumn("b", F.explode(F.sequence(F.floor((F.col("t0") - pad_us) / bucket_us), F.floor((F.col("t1") + pad_us) / bucket_us))))
-    s = seg.select(*keys, "ts_us", "power_w", "prev", F.floor(F.col("ts_us") / bucket_us).alias("b"))
-    j = r.join(s, [*keys, "b"]).filter(F.col("ts_us").between(F.col("t0") - pad_us, F.col("t1") + pad_us))
-    ta, pa, tb, pb = F.col("prev.ts_us"), F.col("prev.power_w"), F.col("ts_us"), F.col("power_w")
-    lo, hi = F.greatest(ta, F.col("t0")), F.least(tb, F.col("t1"))
-    at = lambda t: F.when(tb == ta, pa).otherwise(pa + (pb - pa) * (t - ta) / (tb - ta))
-    piece = F.when((ta >= F.col("t0") - pad_us) & (hi > lo), (hi - lo) / 1e6 * (at(lo) + at(hi)) / 2).otherwise(0.0)
-    order = F.struct("ts_us", "power_w")
-    agg = j.groupBy("req_id").agg(
-        F.sum(piece).alias("inner"), F.min_by(order, F.col("ts_us")).alias("first"), F.max_by(order, F.col("ts_us")).alias("last"))
-    d = requests.join(agg, "req_id", "left")
-    t0, t1 = F.col("t0"), F.col("t1")
-    left = F.greatest(F.least(F.col("first.ts_us"), t1) - t0, F.lit(0)) / 1e6 * F.col("first.power_w")
-    right = F.greatest(t1 - F.greatest(F.col("last.ts_us"), t0), F.lit(0)) / 1e6 * F.col("last.power_w")
-    near = (F.col("first.ts_us") - t0 <= pad_us) & (t1 - F.col("last.ts_us") <= pad_us)
-    joules = F.when(t1 < t0, None).when(F.col("first").isNull(), None).when(t1 == t0, 0.0).when(near, F.col("inner") + left + right)
-    return d.select(*requests.columns, joules.alias("joules"))
+    point = ("ts_us", "power_w", "joules")
+    s = running_joules(seg, keys, order).select(*keys, F.col("ts_us").alias("t"), F.struct(*point).alias("pt"))
+    ends = {"pad0": F.col("t0") - pad_us, "end0": F.col("t0"), "end1": F.col("t1"), "pad1": F.col("t1") + pad_us}
+    e = requests.select(*keys, F.struct(*requests.columns).alias("req"), F.explode(F.array(*[F.struct(F.lit(n).alias("end"), t.alias("t")) for n, t in ends.items()])).alias("e"))
+    e = e.select(*keys, "e.t", "req", "e.end")
+    u = s.unionByName(e, allowMissingColumns=True).withColumn("side", F.when(F.col("end").isNull(), 0).otherwise(1))
+    d = neighbours(u, keys, ["t", "side"], time_bucket("t"), fill={"a": "pt"}, fill_next={"b": "pt"}).filter("end is not null")
+    look = F.struct("a", F.when(F.col("a.ts_us") == F.col("t"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    d = d.groupBy("req.req_id").agg(F.first("req").alias("req"), *[F.max_by(look, F.col("end") == n).alias(n) for n in ends])
+    t0, t1, first, last = F.col("req.t0"), F.col("req.t1"), "pad0.b", "pad1.a"
+    first_t, first_p, last_t, last_p = F.col(f"{first}.ts_us"), F.col(f"{first}.power_w"), F.col(f"{last}.ts_us"), F.col(f"{last}.power_w")
+
+    def joules_at(end: str, t: Column) -> tuple[Column, Column]:
+        """Running joules of the sample at or before ``t``, and the rest of the way to ``t``."""
+        a, b = f"{end}.a", f"{end}.b"
+        ta, pa, tb, pb = F.col(f"{a}.ts_us"), F.col(f"{a}.power_w"), F.col(f"{b}.ts_us"), F.col(f"{b}.power_w")
+        at = F.when(tb == ta, pa).otherwise(pa + (pb - pa) * (t - ta) / (tb - ta))
+        return F.col(f"{a}.joules"), (t - ta) / 1e6 * (pa + at) / 2
+
+    (e0, r0), (e1, r1) = joules_at("end0", t0), joules_at("end1", t1)
+    # an end outside the samples of the padded window starts (stops) at the outermost of them
+    e0, r0 = F.when(t0 <= first_t, F.col(f"{first}.joules")).otherwise(e0), F.when(t0 <= first_t, 0.0).otherwise(r0)
+    e1, r1 = F.when(t1 >= last_t, F.col(f"{last}.joules")).otherwise(e1), F.when(t1 >= last_t, 0.0).otherwise(r1)
+    inner = F.when(F.least(t1, last_t) > F.greatest(t0, first_t), (e1 - e0).cast("double") + r1 - r0).otherwise(0.0)
+    left = F.greatest(F.least(first_t, t1) - t0, F.lit(0)) / 1e6 * first_p
+    right = F.greatest(t1 - F.greatest(last_t, t0), F.lit(0)) / 1e6 * last_p
+    none = (t1 < t0) | first_t.isNull() | last_t.isNull() | (first_t > t1 + pad_us) | (last_t < t0 - pad_us)
+    near = (first_t - t0 <= pad_us) & (t1 - last_t <= pad_us)
+    joules = F.when(F.coalesce(none, F.lit(True)), None).when(t1 == t0, 0.0).when(near, inner + left + right)
+    return d.select("req.*", joules.alias("joules"))
 
 
 def edge_power(edges: DataFrame, samples: DataFrame, max_gap_us: int, keys: Sequence[str] = ("card",)) -> DataFrame:

@@ -14,6 +14,7 @@ from decant.plans import fixtures as X
 from decant.plans.registry import query, table, with_
 from decant.plans.texts import txt_items
 from decant.session import attach, materialise, scratch
+from decant.streaming import guard as G
 from decant.streaming import jobs as J
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -21,10 +22,10 @@ r3 = lambda c, n: F.round(c, 3).alias(n)
 
 
 def tel_stream(spark, sf, files=4):
-    """The events table as a stream of telemetry samples, cut into files in time order."""
+    """The events table as a stream of telemetry samples: files in time order, one to a batch."""
     d = X.tel(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = J.split_files(d, "ts_us", files, scratch(spark, "tel-files"))
-    return J.read(spark, folder, d.schema, per_trigger=files)
+    folder = J.arrivals(d, "ts_us", files, scratch(spark, "tel-files"))
+    return J.read(spark, folder, d.schema, per_trigger=1)
 
 
 @query("sg_telemetry_windows", with_("tel") + """
@@ -38,15 +39,102 @@ def sg_telemetry_windows(spark, sf):
 
 
 @query("sg_progress", """
-WITH d AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS start, value AS latency_ms FROM events)
-SELECT epoch_us(start) AS start_us, count(*) AS n, round(count(*) / 21600.0, 9) AS per_second, round(avg(latency_ms), 6) AS latency_mean, max(latency_ms) AS latency_max FROM d GROUP BY start""")
+WITH d AS (SELECT event_type AS stage, time_bucket(INTERVAL '6 hours', ts) AS start, value AS v FROM events), m AS (SELECT max(ts) - INTERVAL '30 seconds' AS mark FROM events),
+ t AS (SELECT event_type AS stage, count(*) + 100 AS total FROM events GROUP BY 1),
+ w AS (SELECT stage, start, count(*) AS n, avg(v) AS mean, max(v) AS top, list_sort(list(v)) AS l FROM d, m WHERE start + INTERVAL '6 hours' <= mark GROUP BY stage, start),
+ r AS (SELECT *, (sum(n) OVER (PARTITION BY stage ORDER BY start))::BIGINT AS done FROM w)
+SELECT stage, epoch_us(start) AS start_us, n, done, round(n / 21600.0, 9) AS per_second, round(mean, 6) AS latency_mean, l[ceil(0.5 * n)::BIGINT] AS latency_p50, l[ceil(0.95 * n)::BIGINT] AS latency_p95,
+  top AS latency_max, round((total - done) / (n / 21600.0) / 60, 6) AS eta_min FROM r JOIN t USING (stage)""")
 def sg_progress(spark, sf):
-    d = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
-    folder = J.split_files(d, "ts", 3, scratch(spark, "done-files"))
+    """Completions of every stage in three batches; each stage has a hundred items more than it completes."""
+    e = table(spark, sf, "events")
+    d = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("latency_ms"))
+    totals = e.groupBy(F.col("event_type").alias("stage")).agg((F.count(F.lit(1)) + 100).alias("total"))
+    folder = J.arrivals(d, "ts", 3, scratch(spark, "done-files"))
     out, ck = J.new_paths(spark, "progress")
-    J.per_batch(J.progress(J.read(spark, folder, d.schema, per_trigger=1), "40 days", "6 hours").select(F.unix_micros("w.start").alias("start_us"), "n", "latency_sum", "latency_max"), out, ck)
-    p = J.latest(spark, out, ["start_us"])
-    return p.select("start_us", "n", F.round(F.col("n") / 21600.0, 9).alias("per_second"), r6(F.col("latency_sum") / F.col("n"), "latency_mean"), "latency_max")
+    J.to_table(J.progress(J.read(spark, folder, d.schema, per_trigger=1), totals, "30 seconds", "6 hours", "stage"), out, ck)
+    p = J.progress_report(spark.read.parquet(out), "stage")
+    return p.select("stage", F.unix_micros("start").alias("start_us"), "n", "done", F.round("per_second", 9).alias("per_second"), r6("latency_mean", "latency_mean"),
+                    "latency_p50", "latency_p95", "latency_max", r6("eta_min", "eta_min"))
+
+
+#: What a request may lie from its samples, and how long it is at most.
+NEAR, LONGEST = 60_000_000, 1_800_000_000
+
+
+@query("sg_late_policy", with_("seg", "tel_requests") + f"""
+, j AS (SELECT q.req_id, q.t0, q.t1, s.ts_us, s.power_w, CASE WHEN s.pt >= q.t0 - {NEAR} THEN s.pt END AS pt, s.pp, greatest(s.pt, q.t0) AS lo, least(s.ts_us, q.t1) AS hi
+   FROM tel_requests q JOIN seg s ON s.card = q.card AND s.ts_us BETWEEN q.t0 - {NEAR} AND q.t1 + {NEAR}),
+ a AS (SELECT req_id, sum(CASE WHEN pt IS NOT NULL AND hi > lo THEN (hi - lo) / 1e6 * ((pp + (power_w - pp) * (lo - pt) / (ts_us - pt)) + (pp + (power_w - pp) * (hi - pt) / (ts_us - pt))) / 2 ELSE 0 END) AS inner_j,
+   min(ts_us) AS ft, arg_min(power_w, ts_us) AS fp, max(ts_us) AS lt, arg_max(power_w, ts_us) AS lp FROM j GROUP BY req_id)
+SELECT q.req_id, q.card, round(CASE WHEN ft - t0 <= {NEAR} AND t1 - lt <= {NEAR} THEN inner_j + greatest(least(ft, t1) - t0, 0) / 1e6 * fp + greatest(t1 - greatest(lt, t0), 0) / 1e6 * lp END, 3) AS joules
+FROM tel_requests q LEFT JOIN a USING (req_id)""")
+def sg_late_policy(spark, sf):
+    """Requests and samples as two streams. A last row of each, far ahead, moves the watermarks past everything before."""
+    s = X.tel(spark, sf).select("card", "ts_us", "power_w")
+    q = X.tel_requests(spark, sf)
+    end = s.agg((F.max("ts_us") + 10 * LONGEST).alias("t"))
+    s = s.unionByName(end.select(F.lit("end").alias("card"), F.col("t").alias("ts_us"), F.lit(0.0).alias("power_w")))
+    q = q.unionByName(end.select(F.lit(None).cast("bigint").alias("req_id"), F.lit("end").alias("card"), F.col("t").alias("t0"), F.col("t").alias("t1")))
+    requests = J.read(spark, J.arrivals(q, "t0", 3, scratch(spark, "request-files")), q.schema, per_trigger=1)
+    samples = J.read(spark, J.arrivals(s, "ts_us", 3, scratch(spark, "sample-files")), s.schema, per_trigger=1)
+    out, ck = J.new_paths(spark, "late")
+    J.to_table(J.request_samples(requests, samples, NEAR, LONGEST), out, ck)
+    return J.request_energy(spark.read.parquet(out).filter("req_id is not null"), NEAR).select("req_id", "card", r3("joules", "joules"))
+
+
+#: A guard gives up after this long (microseconds).
+MAX_WAIT = 1_800_000_000
+
+
+@query("sg_temp_guard_stream", with_("tel").replace("WITH", "WITH RECURSIVE", 1) + f"""
+, c AS MATERIALIZED (SELECT card, ts_us, (SELECT min(ts_us) FROM tel b WHERE b.card = a.card AND b.temp_c < 78 AND b.ts_us > a.ts_us) AS cool FROM tel a WHERE temp_c >= 88),
+ h AS MATERIALIZED (SELECT card, ts_us AS start_us, cool IS NULL OR cool > ts_us + {MAX_WAIT} AS gave_up, least(coalesce(cool, ts_us + {MAX_WAIT}), ts_us + {MAX_WAIT}) AS end_us FROM c),
+ p AS (SELECT h.* FROM h JOIN (SELECT card, min(start_us) AS start_us FROM h GROUP BY card) USING (card, start_us)
+   UNION ALL SELECT h.* FROM (SELECT p.card, (SELECT min(start_us) FROM h n WHERE n.card = p.card AND n.start_us > p.end_us) AS start_us FROM p) x JOIN h USING (card, start_us))
+SELECT card, start_us, end_us, gave_up FROM p WHERE NOT gave_up OR end_us < (SELECT max(ts_us) - 2000000 FROM tel)""")
+def sg_temp_guard_stream(spark, sf):
+    out, ck = J.new_paths(spark, "guard")
+    with rocksdb(spark):
+        J.to_table(G.guard(tel_stream(spark, sf), strict=True, max_wait_us=MAX_WAIT), out, ck)
+    return spark.read.parquet(out)
+
+
+def in_two_runs(spark, d, time, job, name):
+    """Result table of a job that is stopped after half of the rows and started again from its checkpoint, two batches each."""
+    half = d.agg(((F.min(time) + F.max(time)) / 2).alias("t"))
+    folder = scratch(spark, f"{name}-files")
+    out, ck = J.new_paths(spark, name)
+    with rocksdb(spark):
+        for part in (F.col(time) <= F.col("t"), F.col(time) > F.col("t")):
+            J.arrivals(attach(d, half).filter(part).drop("t"), time, 2, folder)
+            J.to_table(job(J.read(spark, folder, d.schema, per_trigger=1)), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("sg_session_pauses_stream", with_("pauses") + """
+, o AS (SELECT *, max(end_us) OVER (ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM pauses),
+ s AS (SELECT *, sum((past IS NULL OR past < start_us)::INT) OVER (ORDER BY start_us, end_us) AS session FROM o)
+SELECT min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM s GROUP BY session""")
+def sg_session_pauses_stream(spark, sf):
+    """Times in which any card paused: session windows over the pauses that a guard stream has found."""
+    d = X.tel(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "card", "ts_us", "event_id", "temp_c")
+    p = in_two_runs(spark, d, "ts_us", G.guard, "pauses").select("card", "start_us", "end_us")
+    # one more pause, far ahead, closes all sessions before it
+    end = p.agg((F.max("end_us") + 1_000_000_000_000).alias("start_us")).select(F.lit("end").alias("card"), "start_us", (F.col("start_us") + 1).alias("end_us"))
+    p = p.unionByName(end.filter("start_us is not null")).withColumn("host", F.lit("host"))
+    folder = J.arrivals(p, "start_us", 3, scratch(spark, "pause-files"))
+    out, ck = J.new_paths(spark, "sessions")
+    J.to_table(G.sessions(J.read(spark, folder, p.schema, per_trigger=1)), out, ck)
+    return spark.read.parquet(out).select("start_us", "end_us", "n")
+
+
+@query("sg_best_so_far_stream", with_("runlog") + """
+SELECT run, okey, min(val_kl) OVER (PARTITION BY run ORDER BY at_us, okey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_kl FROM runlog""")
+def sg_best_so_far_stream(spark, sf):
+    d = X.run_metrics(spark, sf).select("run", "at_us", "okey", "val_kl")
+    out = in_two_runs(spark, d, "at_us", lambda log: G.best_so_far(log, "val_kl"), "best")
+    return out.select("run", "okey", F.col("best").alias("best_kl"))
 
 
 @query("sg_retry_state", """
@@ -82,30 +170,45 @@ class rocksdb:  # noqa: N801
 @query("sg_energy_state", with_("seg") + "SELECT card, count(*) AS n, round(sum((ts_us - pt) / 1e6 * (power_w + pp) / 2), 3) AS joules, round(sum((ts_us - pt) / 1e6), 3) AS seconds FROM seg GROUP BY card")
 def sg_energy_state(spark, sf):
     d = X.tel(spark, sf).select("card", "ts_us", "event_id", "power_w")
-    folder = J.split_files(d, "ts_us", 3, scratch(spark, "power-files"))
+    folder = J.arrivals(d, "ts_us", 3, scratch(spark, "power-files"))
     out, ck = J.new_paths(spark, "energy")
     with rocksdb(spark):
         # files arrive in time order, one per batch; state carries the last sample over
-        J.per_batch(J.energy_pieces(ordered(spark, folder, d)), out, ck)
+        J.per_batch(J.energy_pieces(J.read(spark, folder, d.schema, per_trigger=1)), out, ck)
     e = J.stitch(J.latest(spark, out, ["card", "hour"]))
     return e.select("card", "n", r3("joules", "joules"), r3("seconds", "seconds"))
 
 
-def ordered(spark, folder, d):
-    return J.read(spark, folder, d.schema, per_trigger=3)
+#: Attempts before an item is given up in the loop's query.
+TRIES = 3
 
 
-@query("sg_score_loop", with_("item_attr") + """
-SELECT item_id, k::INTEGER AS k, item_id % 3 AS part FROM item_attr""")
+@query("sg_score_loop", with_("perm_fill") + f"""
+, m AS (SELECT item_id, any_value(k) AS k, cand_pos, avg(lp) AS lp FROM perm_fill GROUP BY item_id, cand_pos),
+ z AS (SELECT *, lp - max(lp) OVER (PARTITION BY item_id) AS x FROM m),
+ p AS (SELECT item_id, k, cand_pos, x - ln(sum(exp(x)) OVER (PARTITION BY item_id)) AS logit FROM z)
+SELECT item_id, any_value(k)::INTEGER AS k, (item_id % 4)::INTEGER AS attempts, item_id % 4 < {TRIES} AS scored, CASE WHEN item_id % 4 >= {TRIES} THEN 'attempt ' || {TRIES - 1} || ' refused' END AS error,
+  CASE WHEN item_id % 4 < {TRIES} THEN round(arg_min(logit, cand_pos), 6) END AS first_logit, CASE WHEN item_id % 4 < {TRIES} THEN round(max(exp(logit)), 6) END AS p_max FROM p GROUP BY item_id""")
 def sg_score_loop(spark, sf):
+    """Recorded label scores answer the loop, after refusing an item as often as its id says (0 to 3 times)."""
     d = X.dec_items(spark, sf).select("item_id", "context", "question", "candidates")
     # a third of the items arrive twice: the loop must score them once
     again = d.unionByName(d.filter("item_id % 3 = 0"))
-    folder = J.split_files(again, "item_id", 3, scratch(spark, "item-files"))
-    store, ck = J.new_paths(spark, "teacher")
-    score = lambda todo: P.aggregate(P.per_order(V.label_table(todo, V.OverlapScorer()))).select("item_id", "k", "logits", "probs")
-    J.scoring_loop(spark, J.read(spark, folder, d.schema, per_trigger=1), score, store, ck)
-    return spark.read.parquet(store).select("item_id", "k", (F.col("item_id") % 3).alias("part"))
+    folder = J.arrivals(again, "item_id", 3, scratch(spark, "item-files"))
+    recorded = X.dec_perm_logprobs(spark, sf)
+
+    def score(todo):
+        got = P.aggregate(P.per_order(recorded.join(todo.select("item_id"), "item_id", "left_semi")))
+        refused = F.when(F.col("attempts") < F.col("item_id") % 4, F.concat(F.lit("attempt "), F.col("attempts").cast("string"), F.lit(" refused")))
+        return got.join(todo.select("item_id", "attempts"), "item_id").withColumn("error", F.coalesce(refused, F.when(F.col("failed"), F.lit("no label found"))))
+
+    loop = J.ScoringLoop(spark, score, scratch(spark, "teacher"), TRIES)
+    loop.run(J.read(spark, folder, d.schema, per_trigger=1), scratch(spark, "teacher-checkpoint"))
+    tried = spark.read.parquet(f"{loop.store}/errors").groupBy("item_id").agg(F.max("attempts").alias("attempts"))
+    scored = loop.teacher().selectExpr("item_id", "round(logits[0], 6) as first_logit", "round(array_max(probs), 6) as p_max", "true as scored")
+    k = d.select("item_id", F.size("candidates").alias("k"))
+    out = k.join(tried, "item_id", "left").join(scored, "item_id", "left").join(loop.errors().select("item_id", "error"), "item_id", "left")
+    return out.select("item_id", "k", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("scored", F.lit(False)).alias("scored"), "error", "first_logit", "p_max")
 
 
 @query("sg_resume_chunks", with_("dict") + "SELECT uid, uid // 64 AS chunk, uid // 64 < 2 AS was_stored FROM dict", )

@@ -57,19 +57,6 @@ def jn_asof_edge(spark, sf):
     return T.edge_power(e, X.tel(spark, sf), GAP).select("edge_id", "card", r6("power_w", "power_w"))
 
 
-@query("sg_late_policy", with_("tel", "tel_requests") + """
-, n AS (SELECT q.req_id, count(s.event_id) AS usable FROM tel_requests q LEFT JOIN tel s ON s.card = q.card AND s.power_w IS NOT NULL AND s.ts_us BETWEEN q.t0 - 60000000 AND q.t1 + 60000000 GROUP BY q.req_id)
-SELECT usable = 0 AS no_answer, count(*) AS n FROM n GROUP BY 1""")
-def sg_late_policy(spark, sf):
-    d = T.interval_energy(X.tel_requests(spark, sf), T.segments(X.tel(spark, sf)), 60_000_000)
-    q = X.tel_requests(spark, sf)
-    pad, w = 60_000_000, T.HOUR
-    q = q.withColumn("b", F.explode(F.sequence(F.floor((F.col("t0") - pad) / w), F.floor((F.col("t1") + pad) / w))))
-    s = X.tel(spark, sf).filter("power_w is not null").select("card", "ts_us", F.floor(F.col("ts_us") / w).alias("b"))
-    near = q.join(s, ["card", "b"]).filter(F.col("ts_us").between(F.col("t0") - pad, F.col("t1") + pad)).select("req_id").distinct().withColumn("hit", F.lit(True))
-    return d.select("req_id").join(near, "req_id", "left").groupBy(F.col("hit").isNull().alias("no_answer")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("sg_temp_guard", with_("guard") + """
 SELECT card, count(*) AS n, sum(paused)::BIGINT AS n_paused, round(sum(CASE WHEN pp = 1 THEN (ts_us - pt) / 1e6 ELSE 0 END), 3) AS paused_s FROM (
   SELECT *, lag(paused) OVER w AS pp, lag(ts_us) OVER w AS pt FROM guard WINDOW w AS (PARTITION BY card ORDER BY ts_us, event_id)) GROUP BY card""")

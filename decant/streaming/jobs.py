@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from decant.session import scratch
+from decant.operators.store import bad_distribution
+from decant.session import materialise, scratch
 
 
 def read(spark: SparkSession, folder: str, schema, pattern: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -65,10 +67,64 @@ def telemetry_windows(samples: DataFrame, delay: str = "2 seconds", size: str =
         F.count(F.lit(1)).alias("n"), F.avg("power_w").alias("power_mean"), F.max("temp_c").alias("temp_max"))
 
 
-def progress(done: DataFrame, delay: str = "30 seconds", size: str = "30 seconds") -> DataFrame:
-    """Completions per window with mean latency: the running report of a scoring job."""
-    return done.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("latency_ms").alias("latency_sum"), F.max("latency_ms").alias("latency_max"))
+#: Size of the latency sketches: ranks are right within 1.4 % (exact while a window has no more values than this).
+SKETCH = 200
+
+
+def progress(done: DataFrame, totals: DataFrame, delay: str = "30 seconds", size: str = "30 seconds", by: str = "split") -> DataFrame:
+    """Completions per window and ``by`` with the state of a latency sketch, joined with the static ``totals`` (by, total).
+
+    The state of a window is a count, a sum, a maximum and a mergeable sketch, whatever it has seen. Windows leave it
+    when the watermark has passed them.
+    """
+    w = done.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("latency_ms").alias("latency_sum"), F.max("latency_ms").alias("latency_max"),
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), SKETCH).alias("sketch"))
+    return w.join(totals, by, "left").select(by, F.col("w.start").alias("start"), F.unix_seconds(F.col("w.end")).alias("end_s"), F.unix_seconds(F.col("w.start")).alias("start_s"), "n", "latency_sum", "latency_max", "sketch", "total")
+
+
+def progress_report(windows: DataFrame, by: str = "split") -> DataFrame:
+    """Rate, latencies and remaining minutes of every reported window; what is done is the running count of ``by``.
+
+    Minutes are null where nothing is known of the total or nothing is left to divide by.
+    """
+    so_far = F.sum("n").over(Window.partitionBy(by).orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    rate = F.col("n") / (F.col("end_s") - F.col("start_s"))
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    d = windows.withColumn("done", so_far)
+    return d.select(
+        by, "start", "n", "done", rate.alias("per_second"), (F.col("latency_sum") / F.col("n")).alias("latency_mean"), at(0.5).alias("latency_p50"), at(0.95).alias("latency_p95"),
+        "latency_max", (F.greatest(F.col("total") - F.col("done"), F.lit(0)) / rate / 60).alias("eta_min"))
+
+
+# ---- stream-stream join --------------------------------------------------------------------
+
+def request_samples(requests: DataFrame, samples: DataFrame, pad_us: int, longest_us: int, delay: str = "2 seconds") -> DataFrame:
+    """Each request with every sample of its card from ``pad_us`` before its start to ``pad_us`` after its end.
+
+    A request that no sample answers appears once with nulls, when the watermarks of both sides have passed its padded
+    window. Samples that come behind the watermark change nothing. State holds requests and samples only as long as a
+    request of ``longest_us`` can still meet them.
+    """
+    q = requests.select("req_id", F.col("card").alias("q_card"), "t0", "t1", F.timestamp_micros("t1").alias("ended")).withWatermark("ended", delay)
+    s = samples.filter(F.col("power_w").isNotNull()).select("card", "ts_us", "power_w", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", delay)
+    near = F.expr(f"q_card = card and ts_us >= t0 - {pad_us} and at >= ended - interval '{(longest_us + pad_us) / 1e6:.6f}' second and at <= ended + interval '{pad_us / 1e6:.6f}' second")
+    return q.join(s, near, "left_outer").select("req_id", F.col("q_card").alias("card"), "t0", "t1", "ts_us", "power_w")
+
+
+def request_energy(pairs: DataFrame, pad_us: int) -> DataFrame:
+    """Joules of every request from its own samples, the batch operator's rule: ends interpolated, else the nearest reading
+    within ``pad_us``, else no answer."""
+    d = pairs.groupBy("req_id", "card", "t0", "t1").agg(F.array_sort(F.collect_list(F.when(F.col("ts_us").isNotNull(), F.struct("ts_us", "power_w")))).alias("s"))
+    piece = """(a, b) -> if(b.ts_us = a.ts_us or least(b.ts_us, t1) <= greatest(a.ts_us, t0), 0D, (least(b.ts_us, t1) - greatest(a.ts_us, t0)) / 1e6 *
+        (a.power_w + (b.power_w - a.power_w) * ((greatest(a.ts_us, t0) + least(b.ts_us, t1)) / 2 - a.ts_us) / (b.ts_us - a.ts_us)))"""
+    inner = F.expr(f"aggregate(zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), {piece}), 0D, (x, y) -> x + y)")
+    d = d.selectExpr("*", "get(s, 0) as first", "get(s, size(s) - 1) as last")
+    left = F.greatest(F.least("first.ts_us", "t1") - F.col("t0"), F.lit(0)) / 1e6 * F.col("first.power_w")
+    right = F.greatest(F.col("t1") - F.greatest("last.ts_us", "t0"), F.lit(0)) / 1e6 * F.col("last.power_w")
+    near = (F.col("first.ts_us") - F.col("t0") <= pad_us) & (F.col("t1") - F.col("last.ts_us") <= pad_us)
+    joules = F.when((F.col("t1") < F.col("t0")) | F.col("first").isNull(), None).when(F.col("t1") == F.col("t0"), 0.0).when(near, inner + left + right)
+    return d.select("req_id", "card", joules.alias("joules"))
 
 
 # ---- keyed state ---------------------------------------------------------------------------
@@ -102,37 +158,44 @@ class EnergyState(StatefulProcessor):
     """Joules and seconds per card and hour from time-ordered samples; the last sample is carried in state.
 
     A batch brings each key's samples in any order; they are sorted before integrating. A sample older than what an
-    earlier batch has integrated up to is late and left out, so no interval counts twice.
+    earlier batch has integrated up to is late and left out, so no interval counts twice. An hour's state goes when the
+    watermark has passed it: what it came to has been reported by then.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("energy", "t0 long, p0 double, t long, p double, joules double, seconds double, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = tuple(self.state.get()) if self.state.exists() else None
-        parts = [r[["ts_us", "event_id", "power_w"]] for r in rows]
-        reached = s[2] if s else None
-        for t, _, p in pd.concat(parts).dropna().sort_values(["ts_us", "event_id"]).itertuples(index=False):
-            if reached is not None and int(t) < reached:
-                continue
-            if s is None:
-                s = (int(t), float(p), int(t), float(p), 0.0, 0.0, 1)
-            else:
-                dt = max(0.0, (int(t) - s[2]) / 1e6)
-                s = (s[0], s[1], int(t), float(p), s[4] + dt * (float(p) + s[3]) / 2, s[5] + dt, s[6] + 1)
+        d = pd.concat([r[["ts_us", "event_id", "power_w"]] for r in rows]).dropna().sort_values(["ts_us", "event_id"])
+        t, p = d["ts_us"].to_numpy(np.int64), d["power_w"].to_numpy(float)
         if s is not None:
-            self.state.update(s)
-            yield pd.DataFrame([[*key, *s]], columns=["card", "hour", "t0", "p0", "t", "p", "joules", "seconds", "n"])
+            fresh = t >= s[2]
+            t, p = np.append(s[2], t[fresh]), np.append(s[3], p[fresh])
+        if not len(t):
+            return
+        if s is None:
+            s = (int(t[0]), float(p[0]), int(t[0]), float(p[0]), 0.0, 0.0, 1)
+            self.handle.registerTimer((int(key[1]) + 1) * 3_600_000)
+        dt = np.diff(t) / 1e6
+        s = (s[0], s[1], int(t[-1]), float(p[-1]), s[4] + float(dt @ (p[1:] + p[:-1]) / 2), s[5] + float(dt.sum()), s[6] + len(dt))
+        self.state.update(s)
+        yield pd.DataFrame([[*key, *s]], columns=["card", "hour", "t0", "p0", "t", "p", "joules", "seconds", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def energy_pieces(samples: DataFrame) -> DataFrame:
+def energy_pieces(samples: DataFrame, delay: str = "2 seconds") -> DataFrame:
     """Energy per (card, hour): short keys keep any one key's state and batch small. Pieces are joined by ``stitch``."""
-    d = samples.select("card", F.floor(F.col("ts_us") / 3_600_000_000).cast("bigint").alias("hour"), "ts_us", "event_id", "power_w")
-    return d.groupBy("card", "hour").transformWithStateInPandas(
-        EnergyState(), "card string, hour bigint, t0 bigint, p0 double, t bigint, p double, joules double, seconds double, n bigint", "Update", "None")
+    d = samples.select(F.timestamp_micros("ts_us").alias("ts"), "card", F.floor(F.col("ts_us") / 3_600_000_000).cast("bigint").alias("hour"), "ts_us", "event_id", "power_w")
+    return d.withWatermark("ts", delay).groupBy("card", "hour").transformWithStateInPandas(
+        EnergyState(), "card string, hour bigint, t0 bigint, p0 double, t bigint, p double, joules double, seconds double, n bigint", "Update", "EventTime")
 
 
 def stitch(pieces: DataFrame) -> DataFrame:
@@ -149,32 +212,103 @@ def stitch(pieces: DataFrame) -> DataFrame:
 
 # ---- scoring loop --------------------------------------------------------------------------
 
-def scoring_loop(spark: SparkSession, items: DataFrame, score: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, available_now: bool = True):
-    """Score arriving items that have no teacher row yet.
+#: Rounds that may follow a batch before the next one; a step is the batch id times this, plus the round.
+ROUNDS = 1 << 20
 
-    A batch writes its own folder, named by its id, so a replay after a failure rewrites the same rows; items
-    already scored by earlier batches are left out by an anti-join.
+
+class ScoringLoop:
+    """Scores arriving items once; items that fail become error rows, are tried again, and are given up in the end.
+
+    Below ``store`` lie three tables, each with one folder per step: ``teacher`` (scores), ``errors`` (one row per failed
+    attempt) and ``queue`` (what is still to be tried after that step, with its attempts). A step reads only what earlier
+    steps wrote and overwrites its own folders, so a replay after a failure writes the same rows again and counts no
+    attempt twice. Back-off doubles: after its n-th failure an item waits for 2 ** (n - 1) - 1 steps.
+
+    ``score`` takes items with their failed ``attempts`` so far and returns item_id, k, logits, probs and ``error`` (null
+    if it went well). An item without a row, or without a proper distribution, has failed too.
     """
-    from pyspark.errors import AnalysisException
 
-    def scored_before(batch_id: int) -> DataFrame | None:
+    ANSWER = ("item_id", "k", "logits", "probs")
+
+    def __init__(self, spark: SparkSession, score: Callable[[DataFrame], DataFrame], store: str, max_attempts: int = 2, clip: int = 500):
+        self.spark, self.score, self.store, self.max_attempts, self.clip = spark, score, store, max_attempts, clip
+
+    def _before(self, table: str, step: int) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
+
         try:
-            d = spark.read.parquet(store)
+            d = self.spark.read.parquet(f"{self.store}/{table}")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
-        return d.filter(F.col("batch") < batch_id).select("item_id")
-
-    def run(df: DataFrame, batch_id: int) -> None:
-        before = scored_before(batch_id)
-        todo = df.dropDuplicates(["item_id"])
-        if before is not None:
-            todo = todo.join(before, "item_id", "left_anti")
-        score(todo).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
-    w = items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _start(w, available_now, "30 seconds")
+        return d.filter(F.col("step") < step)
+
+    def _queue(self, step: int) -> DataFrame | None:
+        """What the last earlier step left to be tried. Every step leaves a row without an item, to be found by."""
+        d = self._before("queue", step)
+        last = d.agg(F.max("step")).first()[0] if d is not None else None
+        return None if last is None else d.filter((F.col("step") == last) & F.col("item_id").isNotNull()).drop("step")
+
+    def _write(self, d: DataFrame, table: str, step: int) -> None:
+        d.write.mode("overwrite").parquet(f"{self.store}/{table}/step={step}")
+
+    def step(self, arrived: DataFrame | None, step: int) -> None:
+        queue, items = self._queue(step), None
+        todo = None
+        if arrived is not None:
+            items = [c for c in arrived.columns]
+            todo = arrived.dropDuplicates(["item_id"])
+            for table in ("teacher", "errors"):  # scored, waiting or given up: no attempt of its own
+                known = self._before(table, step)
+                if known is not None:
+                    todo = todo.join(known.select("item_id"), "item_id", "left_anti")
+            todo = todo.select(*items, F.lit(0).alias("attempts"))
+        waiting = None
+        if queue is not None:
+            due = queue.filter("waits = 0").drop("waits")
+            waiting = queue.filter("waits > 0").withColumn("waits", F.col("waits") - 1)
+            todo = due if todo is None else todo.unionByName(due)
+        self._write(todo, "tried", step)
+        todo = self.spark.read.schema(todo.schema).parquet(f"{self.store}/tried/step={step}")
+        answers = self.score(todo).withColumn("bad", bad_distribution())
+        self._write(answers.select(*self.ANSWER, F.col("error").cast("string").alias("error"), "bad"), "answers", step)
+        answers = self.spark.read.parquet(f"{self.store}/answers/step={step}").dropDuplicates(["item_id"])
+        good = answers.filter("error is null and not bad")
+        message = F.coalesce("error", F.when(F.col("bad"), F.lit("not a distribution")), F.lit("no answer"))
+        failed = todo.join(good.select("item_id"), "item_id", "left_anti").join(answers.select("item_id", "error", "bad"), "item_id", "left")
+        failed = failed.withColumn("attempts", F.col("attempts") + 1).withColumn("error", F.substring(message, 1, self.clip))
+        again = failed.filter(F.col("attempts") < self.max_attempts).drop("error", "bad").withColumn("waits", (F.pow(F.lit(2), F.col("attempts") - 1) - 1).cast("int"))
+        left = again if waiting is None else again.unionByName(waiting)
+        mark = self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema])
+        self._write(good.select(*self.ANSWER), "teacher", step)
+        self._write(failed.select("item_id", "attempts", "error"), "errors", step)
+        self._write(left.unionByName(mark), "queue", step)
+
+    def run(self, items: DataFrame, checkpoint: str, available_now: bool = True, every: str = "30 seconds"):
+        """Follow a stream of items; with ``available_now`` also go on until nothing is left to be tried."""
+        w = items.writeStream.foreachBatch(lambda df, batch: self.step(df, batch * ROUNDS)).option("checkpointLocation", checkpoint)
+        q = _start(w, available_now, every)
+        if available_now:
+            self.drain()
+        return q
+
+    def drain(self) -> None:
+        """Further rounds until the queue is empty: each lowers every wait, so there are at most 2 ** max_attempts."""
+        while True:
+            d = self._before("queue", 1 << 62)
+            last = d.agg(F.max("step")).first()[0] if d is not None else None
+            if last is None or self._queue(last + 1).isEmpty():
+                return
+            self.step(None, last + 1)
+
+    def teacher(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store}/teacher").drop("step")
+
+    def errors(self) -> DataFrame:
+        """Failed attempts of items that have no score: how many, and the last message."""
+        e = self.spark.read.parquet(f"{self.store}/errors").groupBy("item_id").agg(F.max("attempts").alias("attempts"), F.max_by("error", "attempts").alias("error"))
+        return e.join(self.teacher().select("item_id"), "item_id", "left_anti")
 
 
 def split_files(df: DataFrame, order: str, files: int, folder: str) -> str:
@@ -183,5 +317,16 @@ def split_files(df: DataFrame, order: str, files: int, folder: str) -> str:
     return folder
 
 
+def arrivals(df: DataFrame, order: str, files: int, folder: str) -> str:
+    """Write a table as files that arrive in order: a stream with one file per trigger sees them as that many batches.
+
+    A file source goes by modification time, so each file is written after the one before it.
+    """
+    parts = materialise(df.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()), "parts")
+    for i in range(files):
+        parts.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def new_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return scratch(spark, name), scratch(spark, f"{name}-checkpoint")

@@ -249,8 +249,11 @@ def test_late_samples_do_not_count_twice():
         def update(self, v):
             self.value = v
 
+    class Timers:
+        registerTimer = lambda self, at: None  # noqa: E731,N815
+
     s = EnergyState()
-    s.state = Held()
+    s.state, s.handle = Held(), Timers()
     batch = lambda *r: iter([pd.DataFrame(r, columns=["ts_us", "event_id", "power_w"])])
     list(s.handleInputRows(("c", 0), batch((0, 0, 10.0), (4_000_000, 1, 10.0)), None))
     out = list(s.handleInputRows(("c", 0), batch((1_000_000, 2, 99.0), (6_000_000, 3, 10.0)), None))[0]
@@ -283,7 +286,7 @@ def energy(spark, samples, t0, t1, pad=2.0):
     us = lambda t: int(t * 1e6)
     s = spark.createDataFrame([("c", us(t), i, p) for i, (t, p) in enumerate(samples)], "card string, ts_us long, event_id long, power_w double")
     r = spark.createDataFrame([(1, "c", us(t0), us(t1))], "req_id long, card string, t0 long, t1 long")
-    return telemetry.interval_energy(r, telemetry.segments(s), us(pad), bucket_us=us(3)).first().joules
+    return telemetry.interval_energy(r, telemetry.segments(s), us(pad)).first().joules
 
 
 def test_interval_energy_is_the_integral(spark):
@@ -299,6 +302,41 @@ def test_interval_energy_is_the_integral(spark):
     assert energy(spark, [(3.0, 8.0), (4.0, 8.0)], 9, 11) is None
 
 
+def test_interval_energy_against_every_sample(spark):
+    """Many samples, cards and windows, with gaps, unread samples and windows beyond all samples."""
+    rng = random.Random(11)
+    us = lambda t: int(t * 1e6)
+    samples, t = [], {"a": 0.0, "b": 500.0}
+    for i in range(900):
+        card = rng.choice("aab")
+        t[card] += rng.choice([0.3, 1.0, 2.5, 400.0])
+        samples.append((card, us(t[card]), i, None if rng.random() < 0.1 else round(rng.uniform(1, 90), 3)))
+    requests = []
+    for i in range(300):
+        start = rng.uniform(-5, max(t.values()) + 5)
+        requests.append((i, rng.choice("abc"), us(start), us(start + rng.choice([0, 0.5, 7, 900, -1]))))
+    pad = us(3)
+
+    def brute(card, t0, t1):
+        pts = sorted((x, p) for c, x, _, p in samples if c == card and p is not None and t0 - pad <= x <= t1 + pad)
+        if not pts or t1 < t0:
+            return None
+        if t0 == t1:
+            return 0.0
+        if pts[0][0] - t0 > pad or t1 - pts[-1][0] > pad:
+            return None
+        knots = sorted({t0, t1} | {x for x, _ in pts if t0 < x < t1})
+        p = np.interp(knots, *zip(*pts))
+        return float(np.trapezoid(p, np.array(knots) / 1e6))
+
+    s = spark.createDataFrame(samples, "card string, ts_us long, event_id long, power_w double")
+    r = spark.createDataFrame(requests, "req_id long, card string, t0 long, t1 long")
+    got = {x.req_id: x.joules for x in telemetry.interval_energy(r, telemetry.segments(s), pad).collect()}
+    assert len(got) == len(requests)
+    for i, card, t0, t1 in requests:
+        assert got[i] == pytest.approx(brute(card, t0, t1), abs=1e-6), (card, t0, t1)
+
+
 def test_hysteresis_and_pauses(spark):
     temps = [70, 88, 85, 79, 78, 87, 90, 80, 77]
     d = spark.createDataFrame([("c", t * 1_000_000, t, float(x)) for t, x in enumerate(temps)], "card string, ts_us long, event_id long, temp_c double")

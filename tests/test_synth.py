@@ -92,16 +92,3 @@ def test_energy_stream_resumes_where_it_stopped(spark, sf):
     got = {r.card: r for r in jobs.stitch(jobs.latest(spark, out, ["card", "hour"])).collect()}
     for r in telemetry.trapezoid(telemetry.segments(d), ["card"]).collect():
         assert got[r.card].joules == pytest.approx(r.joules) and got[r.card].n == r.n
-
-
-def test_scoring_loop_skips_what_is_scored(spark, sf):
-    d = fixtures.dec_items(spark, sf).select("item_id", "context", "question", "candidates")
-    folder = jobs.scratch(spark, "loop")
-    store, ck = jobs.new_paths(spark, "loop-store")
-    score = lambda t: t.select("item_id", F.size("candidates").alias("k"))
-    d.filter("item_id < 300").write.mode("append").parquet(folder)
-    jobs.scoring_loop(spark, jobs.read(spark, folder, d.schema), score, store, ck)
-    d.filter("item_id >= 200").write.mode("append").parquet(folder)
-    jobs.scoring_loop(spark, jobs.read(spark, folder, d.schema), score, store, ck)
-    got = spark.read.parquet(store)
-    assert got.count() == d.count() == got.select("item_id").distinct().count()
