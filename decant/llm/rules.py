@@ -31,21 +31,26 @@ FEW, EXPECTED = 0.1, 20
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 
 
-def _repeated() -> tuple[str, str, str]:
-    """SQL of three steps over words ``w``: sorted window codes, positions of repeated windows, words they cover.
-
-    A code is a window's hash with its position in the low bits (as many as the text needs). Windows that occur
-    twice are neighbours after sorting; equal hashes are confirmed on the words.
+def _repeated() -> tuple[str, str, str, str]:
+    """SQL of four steps over words ``w`` and their hashes ``h``: a hash per window, sorted window codes, positions of
+    repeated windows, words they cover.
+
+    Every word is hashed once, a window is the hash of its words' hashes. If all windows differ, as in most texts, the
+    other steps see nothing. Else a code is a window's hash with its position in the low bits (as many as the text
+    needs): windows that occur twice are neighbours after sorting, and equal hashes are confirmed on the words. Two
+    different windows between two equal ones, with one hash in the bits that are left (64 less those of the position),
+    would hide a repeat: in texts below a million words, each one with a chance below 1 in 10^7.
     """
-    n, words = f"(size(w) - {SPAN} + 1)", ", ".join(f"w[i + {k}]" for k in range(SPAN))
-    codes = f"""sort_array(if({n} < 2, cast(array() as array<bigint>),
-        transform(sequence(0, greatest({n}, 2) - 1), i -> shiftleft(shiftrightunsigned(xxhash64({words}), length(bin(size(w)))), length(bin(size(w)))) | cast(i as bigint))))"""
+    n, words = f"(size(h) - {SPAN} + 1)", ", ".join(f"h[i + {k}]" for k in range(SPAN))
+    windows = f"if({n} < 2, cast(array() as array<bigint>), transform(sequence(0, greatest({n}, 2) - 1), i -> xxhash64({words})))"
+    codes = """if(size(array_distinct(g)) = size(g), cast(array() as array<bigint>),
+        sort_array(transform(g, (x, i) -> shiftleft(shiftrightunsigned(x, length(bin(size(w)))), length(bin(size(w)))) | cast(i as bigint))))"""
     same = f"slice(w, cast(p & bits as int) + 1, {SPAN}) = slice(w, cast(q & bits as int) + 1, {SPAN})"
     near = " or ".join(f"exists(array(get(codes, j {d})), q -> q is not null and ((p ^ q) & ~bits) = 0 and {same})" for d in ("- 1", "+ 1"))
     positions = f"""array_sort(transform(filter(codes, (p, j) -> exists(array(shiftleft(1L, length(bin(size(w)))) - 1), bits -> {near})),
         p -> p & (shiftleft(1L, length(bin(size(w)))) - 1)))"""
     covered = f"aggregate(positions, named_struct('past', 0L, 'n', 0L), (a, p) -> named_struct('past', p + {SPAN}, 'n', a.n + p + {SPAN} - greatest(p, a.past)), a -> a.n)"
-    return codes, positions, covered
+    return windows, codes, positions, covered
 
 
 def measure(docs: DataFrame, text: str = "text", common: str | None = None) -> DataFrame:
@@ -53,8 +58,10 @@ def measure(docs: DataFrame, text: str = "text", common: str | None = None) -> D
 
     Null texts count as empty: all zero.
     """
-    codes, positions, covered = _repeated()
+    windows, codes, positions, covered = _repeated()
     d = docs.withColumn("t", F.coalesce(F.col(text), F.lit(""))).withColumn("w", word_list(F.col(text)))
+    d = d.withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    d = d.withColumn("g", F.expr(windows))
     d = d.withColumn("codes", F.expr(codes))
     # a common word with a space on either side stands in the joined words as often as in the text
     joined = "concat(' ', array_join(w, '  '), ' ')" if common else "''"
