@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decant.llm.common import few
 from decant.operators.prefix import prefix
 from decant.session import materialise
 
 #: Word parts whose ids a task keeps at a time; the memo only saves work.
-MEMO = 1_000_000
+MEMO = 250_000
 
 PIECES = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -86,7 +87,7 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = Encoder(where), np.array([end], dtype="<u4").tobytes()
         step = 4 * capacity
-        for b in batches:
+        for b in few(batches):
             rows: list[tuple] = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encode(t.as_py() or "") + tail
