@@ -11,22 +11,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decant.session import attach
+from decant.session import attach, materialise
 
-#: Edges between histogram buckets, at even steps of the approximate distribution of the distinct values.
+#: Edges between histogram buckets, at even steps of the approximate distribution of the distinct values; one less than a
+#: power of two, so that they can be bisected.
 EDGES = 127
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str, **extra: Column) -> DataFrame:
-    """Rows per distinct value (plus extra aggregates), with the value's histogram bucket in ``_b``."""
+    """Rows per distinct value (plus extra aggregates), with the value's histogram bucket in ``_b``.
+
+    The input is read once: the counts are written, and whatever is asked of them reads that table.
+    """
     g = list(group)
     c = df.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), *[e.alias(n) for n, e in extra.items()])
+    c = materialise(c, "counts")
     steps = [(i + 1) / (EDGES + 1) for i in range(EDGES)]
     lim = c.groupBy(*g).agg(F.percentile_approx("_v", steps, 4 * EDGES).alias("_e"), F.sum("_c").alias("_n"))
     c = c.join(lim, g) if g else attach(c, lim)
-    # equal edges leave buckets empty; outliers and infinities take one bucket
-    return c.withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
+    # equal edges leave buckets empty; outliers and infinities take one bucket; the number of edges below is bisected
+    halves = ", ".join(str(1 << i) for i in reversed(range(EDGES.bit_length())))
+    below = F.expr(f"aggregate(array({halves}), 0, (b, s) -> b + if(_e[b + s - 1] < _v, s, 0))")
+    return c.withColumn("_b", below).drop("_e")
 
 
 def quantiles(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +31,20 @@ def local_session(cpus: int | str = "*", app: str = "decant", partitions: int =
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a fresh temporary folder.
+    Only a ``local[...]`` session, whose tasks all run in this process, may do without: it gets one temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
