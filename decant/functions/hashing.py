@@ -59,3 +59,26 @@ def pick_text(array: str, *parts: str) -> str:
 def shuffled_text(array: str, *salt: str) -> str:
     """An array of strings in hash order."""
     return f"transform(array_sort(transform({array}, e -> struct({rank_text(*salt, 'e')} as h, e as e))), s -> s.e)"
+
+
+#: Rounds of the keyed permutation.
+ROUNDS = 24
+
+
+def permuted_text(x: str, n: str, key: str) -> str:
+    """Place of ``x`` in a permutation of 0 to ``n - 1`` fixed by the text ``key``, as SQL text; arithmetic, no sort.
+
+    Swap-or-not: every round pairs x with (k - x) mod n and swaps the pair or not, by one hash bit of the larger of both.
+    Either is its own inverse, so each round, and all of them, are a permutation whatever n is.
+    """
+    k = f"cast(conv(substr(sha1(concat_ws(':', {key}, r)), 1, 8), 16, 10) as bigint)"
+    bit = f"substr(sha1(concat_ws(':', {key}, r, greatest(x, y))), 1, 1) >= '8'"
+    step = f"transform(array(pmod({k} - x, {n})), y -> if({bit}, y, x))[0]"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), cast({x} as bigint), (x, r) -> {step})"
+
+
+def permuted_sql(x: str, n: str, key: str) -> str:
+    """The same for the checking engine."""
+    y = f"((('0x' || substr(sha1({key} || ':' || r), 1, 8))::BIGINT - x) % {n} + {n}) % {n}"
+    bit = f"substr(sha1({key} || ':' || r || ':' || greatest(x, {y})), 1, 1) >= '8'"
+    return f"list_reduce(list_prepend(({x})::BIGINT, range(0, {ROUNDS})), lambda x, r: CASE WHEN {bit} THEN {y} ELSE x END)"

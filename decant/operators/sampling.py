@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from decant.functions import hashing as H
 from decant.operators.config import caps_table
 from decant.operators.prefix import hash_bucket, prefix
+from decant.session import attach
 
 
 def cap_per_source(df: DataFrame, caps: dict[str, int], ident: str, only: str | None = None, source: str = "source") -> DataFrame:
@@ -33,29 +34,39 @@ def equal_cap(df: DataFrame, cap: int, ident: str, source: str = "source") -> Da
     return prefix(d, ["_h"], hash_bucket("_h"), [source], keep_below=("rn", cap)).select(*df.columns)
 
 
-def epoch_order(df: DataFrame, ident: str, group: Sequence[str], key: Sequence[str] = ("epoch",)) -> DataFrame:
-    """Position of each row in the permutation fixed by (seed, key, id), counted inside ``group``."""
-    d = df.withColumn("_h", H.rank_key(*[F.col(k) for k in key], F.col(ident)))
-    d = prefix(d, ["_h", ident], hash_bucket("_h"), group, rank="position")
-    return d.withColumn("position", F.col("position") - 1).drop("_h")
+def dense_ids(pool: DataFrame, ident: str, group: Sequence[str] = ()) -> DataFrame:
+    """Add ``dense``, 0 to n - 1 in hash order inside ``group``, and ``n``: numbered once, whatever the number of epochs.
+
+    Repeated ids keep a number each. The groups' sizes are one row per group.
+    """
+    d = pool.withColumn("_h", H.rank_key("dense", F.col(ident)))
+    d = prefix(d, ["_h", ident], hash_bucket("_h"), list(group), rank="dense").drop("_h")
+    sizes = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    d = d.join(sizes, list(group)) if group else attach(d, sizes)
+    return d.withColumn("dense", F.col("dense") - 1)
+
+
+def epoch_position(dense: str, n: str, *key: str) -> Column:
+    """Position of a dense id in the epoch that ``key`` (SQL expressions) names: a keyed permutation, no sort."""
+    return F.expr(H.permuted_text(dense, n, f"concat_ws(':', '{H.SEED}', {', '.join(key)})"))
 
 
-def stratified_batches(pool: DataFrame, ident: str, quota: dict[str, int], steps: int, source: str = "source") -> DataFrame:
-    """Rows of every batch: ``quota[s]`` per source, each source walking its own epoch permutations.
+def stratified_batches(pool: DataFrame, ident: str, quota: dict[str, int], first: int = 0, past: int | None = None, source: str = "source") -> DataFrame:
+    """Rows of the batches from step ``first`` to before ``past``: ``quota[s]`` per source, each on its own endless walk.
 
-    The draw at (step, j) is position ``step * q + j`` of the source's endless walk, so any step can be
-    recomputed alone.
+    The draw at (step, j) is position ``step * q + j`` of its source's walk, hence an epoch and a place there, and a
+    keyed permutation says which dense id stands at that place. Any range of steps costs what it returns; without
+    ``past`` every source is walked through once at least. Sources without a quota, and quotas without rows, give none.
     """
     spark = pool.sparkSession
-    sizes = pool.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
     q = spark.createDataFrame([(s, n) for s, n in quota.items() if n > 0], f"{source} string, q int")
-    plan = q.join(sizes, source).selectExpr(source, "n", "q", f"explode(sequence(0L, {steps}L - 1)) as step")
-    plan = plan.selectExpr(source, "n", "step", "q", "explode(sequence(0, q - 1)) as j").selectExpr(
-        source, "step", "j", "int(floor((step * q + j) / n)) as epoch", "(step * q + j) % n as position")
-    last = sizes.join(q, source).selectExpr(source, f"int(floor(({steps}L * q - 1) / n)) as last_epoch")
-    walks = pool.join(last, source).selectExpr(source, ident, "explode(sequence(0, last_epoch)) as epoch")
-    walks = epoch_order(walks, ident, [source, "epoch"])
-    return plan.join(walks, [source, "epoch", "position"])
+    numbered = dense_ids(pool.join(F.broadcast(q.select(source)), source, "left_semi").select(source, ident), ident, [source])
+    sizes = q.join(numbered.groupBy(source).agg(F.count(F.lit(1)).alias("n")), source)
+    steps = F.lit(past) if past is not None else sizes.agg(F.max(F.ceil(F.col("n") / F.col("q")))).scalar()
+    plan = sizes.withColumn("past", steps.cast("bigint")).filter(f"past > {first}").selectExpr(source, "n", "q", f"explode(sequence({first}L, past - 1)) as step")
+    plan = plan.selectExpr(source, "n", "step", "q", "explode(sequence(0, q - 1)) as j").selectExpr(source, "n", "step", "j", "step * q + j as at")
+    plan = plan.withColumn("dense", epoch_position("at % n", "n", source, "at div n"))
+    return plan.drop("n", "at").join(numbered.drop("n"), [source, "dense"]).drop("dense")
 
 
 def learning_rate(step: Column, peak: float, floor: float, warmup: int, total: int) -> Column:

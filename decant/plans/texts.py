@@ -285,13 +285,15 @@ def wn_first_seen(spark, sf):
 
 
 @query("wn_epoch_order", f"""
-SELECT doc_id, e AS epoch, row_number() OVER (PARTITION BY e ORDER BY {X.rank_sql('e', 'doc_id')}, doc_id) - 1 AS position,
-  (row_number() OVER (PARTITION BY e ORDER BY {X.rank_sql('e', 'doc_id')}, doc_id) - 1) // 32 AS step FROM documents, (SELECT unnest(range(0, 2))::INTEGER AS e)""")
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY {X.rank_sql("'dense'", 'doc_id')}, doc_id) - 1 AS dense, count(*) OVER () AS n FROM documents),
+ p AS (SELECT doc_id, e AS epoch, {H.permuted_sql('dense', 'n', f"('{H.SEED}:' || e)")} AS position FROM d, (SELECT unnest(range(0, 2))::INTEGER AS e))
+SELECT doc_id, epoch, position, position // 32 AS step FROM p""")
 def wn_epoch_order(spark, sf):
-    from decant.operators.sampling import epoch_order
+    from decant.operators.sampling import dense_ids, epoch_position
 
-    d = table(spark, sf, DOCS).selectExpr("doc_id", "explode(sequence(0, 1)) as epoch")
-    return epoch_order(d, "doc_id", ["epoch"]).withColumn("step", F.floor(F.col("position") / 32).cast("bigint"))
+    d = dense_ids(table(spark, sf, DOCS).select("doc_id"), "doc_id").selectExpr("*", "explode(sequence(0, 1)) as epoch")
+    d = d.withColumn("position", epoch_position("dense", "n", "epoch"))
+    return d.select("doc_id", "epoch", "position", F.floor(F.col("position") / 32).cast("bigint").alias("step"))
 
 
 @query("wn_lr_schedule", """
@@ -307,17 +309,18 @@ BATCH_QUOTA = {"a": 3, "b": 3, "c": 2}
 
 
 @query("wn_strat_batches", with_("item_attr") + f"""
-, n AS (SELECT source, count(*) AS n FROM item_attr WHERE source <> 'synth' GROUP BY source),
- q AS (SELECT n.source, n.n, v.q FROM n JOIN (VALUES ('a', 3), ('b', 3), ('c', 2)) v(source, q) USING (source)),
- p AS (SELECT st.s AS step, q.source, j.j, (st.s * q.q + j.j) // q.n AS epoch, (st.s * q.q + j.j) % q.n AS off FROM q, (SELECT unnest(range(0, 60)) AS s) st, (SELECT unnest(range(0, 3)) AS j) j WHERE j.j < q.q),
- o AS (SELECT item_id, source, e.e AS epoch, row_number() OVER (PARTITION BY source, e.e ORDER BY {X.rank_sql('e.e', 'item_id')}, item_id) - 1 AS off
-   FROM item_attr, (SELECT unnest(range(0, 3)) AS e) e WHERE source <> 'synth')
-SELECT p.step, p.source, p.j::INTEGER AS j, o.item_id FROM p JOIN o USING (source, epoch, off)""")
+, d AS (SELECT item_id, source, row_number() OVER (PARTITION BY source ORDER BY {X.rank_sql("'dense'", 'item_id')}, item_id) - 1 AS dense, count(*) OVER (PARTITION BY source) AS n FROM item_attr WHERE source <> 'synth'),
+ q AS (SELECT DISTINCT source, n, v.q FROM d JOIN (VALUES ('a', 3), ('b', 3), ('c', 2)) v(source, q) USING (source)),
+ t AS (SELECT unnest(range(0, (SELECT max(ceil(n / q))::BIGINT FROM q))) AS step),
+ p AS (SELECT step, source, j, n, step * q + j AS at_ FROM q, t, (SELECT unnest(range(0, 3)) AS j) WHERE j < q),
+ k AS (SELECT step, source, j, {H.permuted_sql('at_ % n', 'n', f"('{H.SEED}:' || source || ':' || (at_ // n))")} AS dense FROM p)
+SELECT step, source, j::INTEGER AS j, item_id FROM k JOIN d USING (source, dense)""")
 def wn_strat_batches(spark, sf):
+    """Every step until each source has been walked through once."""
     from decant.operators.config import largest_remainder
     from decant.operators.sampling import stratified_batches
 
     pool = X.dec_items(spark, sf).filter("source <> 'synth'").select("item_id", "source")
     quota = largest_remainder(8, {"a": 1.0, "b": 1.0, "c": 1.0})
     assert quota == BATCH_QUOTA
-    return stratified_batches(pool, "item_id", quota, steps=60).select("step", "source", "j", "item_id")
+    return stratified_batches(pool, "item_id", quota).select("step", "source", "j", "item_id")
