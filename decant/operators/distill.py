@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,32 +16,41 @@ from decant.functions import dist as D
 BETA1, BETA2, EPS, DECAY, CLIP = 0.9, 0.999, 1e-8, 0.01, 1.0
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max())
-    return e / e.sum()
+def gradient_of(w: np.ndarray, x: np.ndarray, z: np.ndarray, size: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """Items, loss, divergence and gradient summed over items whose candidates lie one after the other.
 
-
-def _gradient(w: np.ndarray):
+    ``x`` has a row per candidate, ``z`` the teacher's scores, ``size`` the candidates of each item, ``gold`` a position or
+    -1. Sums within items are segment sums, so there is no loop over items.
+    """
     t = D.KD_TEMPERATURE
+    start, item = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+
+    def softmax(a: np.ndarray) -> np.ndarray:
+        e = np.exp(a - np.maximum.reduceat(a, start)[item])
+        return e / np.add.reduceat(e, start)[item]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    s = x @ w
+    pt, ps, p = softmax(z / t), softmax(s / t), softmax(s)
+    kl = np.add.reduceat(pt * (np.log(np.maximum(pt, 1e-300)) - np.log(np.maximum(ps, 1e-300))), start)
+    loss, ds, has = t * t * kl, t * (ps - pt), gold >= 0
+    hot = np.arange(len(item)) == (start + gold)[item]
+    of_gold = np.log(np.maximum(p[np.where(has, start + gold, 0)], 1e-300))
+    loss = np.where(has, D.W_KD_GOLD * loss - D.W_CE_GOLD * of_gold, loss)
+    ds = np.where(has[item], D.W_KD_GOLD * ds + D.W_CE_GOLD * (p - hot), ds)
+    return np.concatenate([[len(size), loss.sum(), kl.sum()], x.T @ ds])
+
+
+def _gradient(w: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(len(w) + 3)
         for b in batches:
-            for feats, logits, gold in zip(b["feats"], b["t"], b["gold"]):
-                x, z = np.stack(feats).astype(float), np.asarray(logits, float)
-                s = x @ w
-                pt, ps, p = _softmax(z / t), _softmax(s / t), _softmax(s)
-                kl = float((pt * (np.log(np.maximum(pt, 1e-300)) - np.log(np.maximum(ps, 1e-300)))).sum())
-                has = not pd.isna(gold)
-                loss, ds = t * t * kl, t * (ps - pt)
-                if has:
-                    hot = np.zeros(len(s))
-                    hot[int(gold)] = 1.0
-                    loss = D.W_KD_GOLD * loss - D.W_CE_GOLD * np.log(max(p[int(gold)], 1e-300))
-                    ds = D.W_KD_GOLD * ds + D.W_CE_GOLD * (p - hot)
-                acc[:3] += (1, loss, kl)
-                acc[3:] += x.T @ ds
-        yield pd.DataFrame({"g": [acc]})
+            some = b.filter(pa.compute.greater(pa.compute.list_value_length(b.column(0)), 0))
+            if some.num_rows:
+                x = some.column(0).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(w))
+                size = pa.compute.list_value_length(some.column(0)).to_numpy(zero_copy_only=False)
+                gold = some.column(2).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+                acc += gradient_of(w, x, some.column(1).flatten().to_numpy(zero_copy_only=False), size, gold)
+        yield pa.RecordBatch.from_arrays([pa.array([acc], pa.list_(pa.float64()))], names=["g"])
 
     return run
 
@@ -54,7 +64,7 @@ def fit(data: DataFrame, dims: int, steps: int, lr: float) -> tuple[np.ndarray,
     history = []
     cols = F.posexplode("g").alias("i", "x")
     for step in range(1, steps + 1):
-        parts = data.select("feats", "t", "gold").mapInPandas(_gradient(w), "g array<double>")
+        parts = data.select("feats", "t", "gold").mapInArrow(_gradient(w), "g array<double>")
         rows = parts.select(cols).groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")  # dims + 3 numbers
         total = rows["x"].to_numpy()
         n, loss, kl, g = total[0], total[1] / total[0], total[2] / total[0], total[3:] / total[0]

@@ -1,5 +1,6 @@
 """Invariants of the generator, distillation, and streams against their batch twins."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,26 @@ def test_distillation_lowers_the_loss(spark, sf):
     assert h[-1].kl < h[0].kl * 0.5
 
 
+def test_gradient_is_the_slope_of_the_loss():
+    """Items of 1 to 5 candidates, with and without gold, against finite differences of the summed loss."""
+    from decant.operators import distill
+
+    rng = np.random.default_rng(4)
+    size = np.array([3, 1, 5, 2, 4])
+    x, z, gold = rng.normal(size=(15, 6)), rng.normal(size=15) * 2, np.array([2, -1, 0, -1, 3])
+    w = rng.normal(size=6)
+    out = distill.gradient_of(w, x, z, size, gold)
+    assert out[0] == 5
+    # the divergence alone, item by item
+    softmax = lambda a: np.exp(a) / np.exp(a).sum()
+    parts = [(softmax(a / 2), softmax(b / 2)) for a, b in zip(np.split(z, np.cumsum(size)[:-1]), np.split(x @ w, np.cumsum(size)[:-1]))]
+    assert out[2] == pytest.approx(sum((p * np.log(p / q)).sum() for p, q in parts))
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        slope = (distill.gradient_of(w + step, x, z, size, gold)[1] - distill.gradient_of(w - step, x, z, size, gold)[1]) / 2e-6
+        assert out[3 + i] == pytest.approx(slope, abs=1e-5)
+
+
 def energy_run(spark, folder, schema, out, ck):
     with streams.rocksdb(spark):
         jobs.per_batch(jobs.energy_pieces(jobs.read(spark, folder, schema)), out, ck)
