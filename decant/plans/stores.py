@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decant.functions import dist as D
@@ -108,13 +111,33 @@ def src_nested_doc(spark, sf):
     return d.select("event_id", R.nested("props", "k", "double", -1.0).alias("k"), R.nested("props", "missing.path").isNull().alias("absent"))
 
 
+FILES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+def table_rows(spark, sf):
+    """Rows of every given table; a table may be a file or a folder of files."""
+    each = [table(spark, sf, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(f"{t}.parquet").alias("file"), "rows") for t in FILES]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("src_file_manifest")
 def src_file_manifest(spark, sf):
-    counts = None
-    for t in ("region", "nation", "supplier", "customer"):
-        c = table(spark, sf, t).agg(F.count(F.lit(1)).alias("rows")).withColumn("file", F.lit(f"{t}.parquet"))
-        counts = c if counts is None else counts.unionByName(c)
-    return R.file_manifest(spark, sf, "{region,nation,supplier,customer}.parquet").join(counts, "file")
+    return R.file_manifest(spark, sf, "*.parquet").join(table_rows(spark, sf), "file")
+
+
+@query("src_file_rows", " UNION ALL ".join(f"SELECT '{t}' AS file, 'parquet' AS kind, count(*) AS rows FROM {t}" for t in FILES)
+       + " UNION ALL SELECT 'nation', 'jsonl', count(*) FROM nation UNION ALL SELECT 'nation', 'tsv', count(*) FROM nation UNION ALL SELECT 'events', 'jsonl', count(*) FROM events UNION ALL SELECT 'events', 'tsv', count(*) FROM events")
+def src_file_rows(spark, sf):
+    """Rows by format: all given tables, and two of them written again as JSON lines and tab-separated text in several files."""
+    parts = [table_rows(spark, sf).select(F.regexp_replace("file", r"\.parquet$", "").alias("file"), F.lit("parquet").alias("kind"), "rows")]
+    for t in ("nation", "events"):
+        d = table(spark, sf, t).repartition(3)
+        text = d.select([F.col(c).cast("string").alias(c) for c in d.columns])
+        for kind, writer in (("jsonl", d.write.json), ("tsv", text.write.option("sep", "\t").option("header", True).csv)):
+            folder = scratch(spark, f"{t}-{kind}")
+            writer(folder)
+            parts.append(R.file_rows(spark, [folder], kind).agg(F.sum("rows").alias("rows")).select(F.lit(t).alias("file"), F.lit(kind).alias("kind"), "rows"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("src_schema_evolve", with_("item_attr") + """
