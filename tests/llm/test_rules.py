@@ -69,3 +69,79 @@ def test_texts_without_common_words_fail(make, prose):
     assert all(got[i].kept for i, *_ in rows if not got[i].base_failed)
     for i in (1000, 1001):
         assert got[i].chars_js < rules.FAR_CHARS and got[i].words_js < rules.FAR_WORDS and not got[i].base_failed and not got[i].kept
+
+
+def verdicts(rows):
+    """All of it once more in plain loops: histograms, common words, references, distances, guards."""
+    import unicodedata
+
+    def classes(text):
+        c = Counter()
+        for ch in text:
+            kind = unicodedata.category(ch)
+            if ch in " \t\n\x0b\x0c\r":
+                c["space"] += 1
+            elif kind in ("Ll", "Lu"):
+                c["lower" if kind == "Ll" else "upper"] += 1
+            elif ch in "0123456789":
+                c["digit"] += 1
+            elif ch in "#*$%&|<>":
+                c["symbol"] += 1
+            else:
+                c["other"] += 1
+        return [c[k] for k in rules.CLASSES]
+
+    def js(p, q):
+        d = 0.0
+        for x, y in zip(p, q):
+            d += (x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0)
+        return math.sqrt(max(d / 2, 0))
+
+    share = lambda v, n: [x / max(n, 1) for x in v]
+    free = lambda p: [p[2], p[4], p[0] + p[1] + p[3] + p[5]]
+    common, chars, words = {}, Counter(), {}
+    for lang in {r[2] for r in rows if r[2]}:
+        n = Counter(w for r in rows if r[2] == lang for w in W.findall(r[1] or ""))
+        common[lang] = sorted(n, key=lambda w: (-n[w], w.encode()))[: rules.COMMON]
+    def histogram(lang, ws):
+        c = Counter(ws)
+        own = [c[w] for w in common.get(lang, [])]
+        return own + [0] * (rules.COMMON - len(own)) + [len(ws) - sum(own)]
+    facts = [(r[0], r[2], classes(r[1] or ""), W.findall(r[1] or ""), plain(r[1])) for r in rows]
+    total = lambda vs: [sum(v) for v in zip(*vs)]
+    everything = total([f[2] for f in facts])
+    out = {}
+    for key, lang, cs, ws, base in facts:
+        failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+        ref = total([f[2] for f in facts if f[1] == lang]) if lang else None
+        chars_js = words_js = None
+        if sum(cs) >= rules.LEAST_CHARS:
+            if ref and sum(ref) >= rules.ENOUGH * rules.LEAST_CHARS:
+                chars_js = js(share(cs, sum(cs)), share(ref, sum(ref)))
+            elif sum(everything) >= rules.ENOUGH * rules.LEAST_CHARS:
+                chars_js = js(free(share(cs, sum(cs))), free(share(everything, sum(everything))))
+        few = False
+        if lang:
+            ref = total([histogram(lang, f[3]) for f in facts if f[1] == lang])
+            if sum(ref) >= rules.ENOUGH * rules.LEAST_WORDS:
+                own = histogram(lang, ws)
+                if len(ws) >= rules.LEAST_WORDS:
+                    words_js = js(share(own, len(ws)), share(ref, sum(ref)))
+                expected = len(ws) * (1 - ref[-1] / sum(ref))
+                few = expected >= rules.EXPECTED and len(ws) - own[-1] < rules.FEW * expected
+        far = (chars_js or 0) > rules.FAR_CHARS or (words_js or 0) > rules.FAR_WORDS or few
+        out[key] = (failed, not failed and not far, chars_js, words_js)
+    return out
+
+
+def test_verdicts_by_plain_loops(make, prose):
+    salad = " ".join("".join("aeiou"[(k >> s) % 5] + "vwxz"[(k >> s) % 4] for s in (0, 2, 4, 6)) for k in range(0, 2400, 7))
+    rows = [(i, prose(i % 70, 8 + i * 13 % 200), ["en", "fr", None, ""][i % 4 if i % 9 else 3]) for i in range(240)]
+    rows += [(1000, salad, "en"), (1001, "1 2 3 " * 200, "fr"), (1002, None, "en"), (1003, "", None), (1004, "Aa $# é1 " * 60, "zz"), (1005, prose(3, 300).upper(), "en"), (1006, " ".join(f"{w}$$$%%%" for w in prose(5, 100).split()), "en")]
+    want = verdicts(rows)
+    for r in rules.judge(make(rows)).collect():
+        failed, kept, chars_js, words_js = want[r.doc_id]
+        assert (r.base_failed, r.kept) == (failed, kept), r
+        for got, x in ((r.chars_js, chars_js), (r.words_js, words_js)):
+            assert (got is None) == (x is None) and (x is None or math.isclose(got, x, abs_tol=1e-9)), r
+    assert not want[1000][1] and not want[1006][1] and any(v[1] for v in want.values())

@@ -45,3 +45,30 @@ def test_weights_move_rows_only_towards_what_grew(make):
 
 def test_empty(make):
     assert sharding.shard(make([])).collect() == []
+
+
+def test_descent_by_plain_loops(spark, make):
+    """Every draw once more, with the same hash from another library."""
+    import math
+    import struct
+
+    import xxhash
+
+    def h(key, depth, node):
+        seed = 42
+        if key is not None:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", key), seed)
+        return xxhash.xxh64_intdigest(struct.pack("<i", node), xxhash.xxh64_intdigest(struct.pack("<i", depth), seed))
+
+    def walk(key, levels):
+        at = 0
+        for depth, nodes in enumerate(levels):
+            at = min((-math.log(((h(key, depth, n) >> 12) + 0.5) / 2**52) / w, n) for up, n, w in nodes if up == at)[1]
+        return at
+
+    weights = {3: 4.0, 7: 0.0, 20: 0.5}
+    keys = [None, 0, -1, 2**63 - 1, *range(1, 400, 3)]
+    now = sharding.tree(40, weights=weights)
+    more = [[*a, *b] for a, b in zip(now, sharding._one_more(40, 4, 8))]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard(make([(k, "x") for k in keys]), weights=weights).collect()}
+    assert got == {k: (walk(k, now), walk(k, more)) for k in keys}
