@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from decant.functions import dist as D
 from decant.functions import hashing as H
-from decant.operators.prefix import hash_bucket, id_bucket, prefix
+from decant.operators.prefix import edge_buckets, hash_bucket, prefix
 from decant.session import SMALL_BYTES, attach, materialise
 
 BLOCK_ROWS, QUERY_ROWS = 2048, 256
@@ -42,11 +42,11 @@ def slots(items: DataFrame) -> DataFrame:
     return d.withColumn("h", F.sha1("text"))
 
 
-def dictionary(slot: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """Unique strings numbered in first-occurrence order (item, position), from 0."""
+def dictionary(slot: DataFrame) -> DataFrame:
+    """Unique strings numbered in first-occurrence order (item, position), from 0. Item ids may be as sparse as they like."""
     first = slot.groupBy("h").agg(F.min_by("text", F.struct("item_id", "pos")).alias("text"), F.min(F.struct("item_id", "pos", "source")).alias("at"))
-    d = first.select("h", "text", "at.item_id", "at.pos", "at.source")
-    d = prefix(d, ["item_id", "pos"], id_bucket("item_id", width), rank="uid")
+    d = edge_buckets(materialise(first.select("h", "text", "at.item_id", "at.pos", "at.source"), "first"), "item_id")
+    d = prefix(d, ["item_id", "pos"], F.col("_bucket"), rank="uid").drop("_bucket")
     return d.withColumn("uid", F.col("uid") - 1)
 
 

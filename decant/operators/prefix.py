@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decant.functions.hashing import hex_int
+from decant.session import attach
 
 
 def hash_bucket(key: str | Column, digits: int = 3) -> Column:
@@ -27,6 +28,21 @@ def id_bucket(ident: str | Column, width: int = 1 << 20) -> Column:
     return F.floor(c / F.lit(width)).cast("bigint")
 
 
+def edge_buckets(df: DataFrame, value: str, name: str = "_bucket", buckets: int = 1024) -> DataFrame:
+    """Add the bucket of a number in its own distribution: even pieces of the order, however sparse or clustered it is.
+
+    Edges are approximate quantiles, one bounded array; the bucket rises with the value, and equal values share one.
+    ``df`` is read twice, so it should be a written table. Nulls come first, in bucket 0.
+    """
+    if buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
+    steps = [i / buckets for i in range(1, buckets)]
+    edges = df.agg(F.percentile_approx(value, steps, 10 * buckets).alias("_edges"))
+    halves = ", ".join(str(1 << i) for i in reversed(range(buckets.bit_length() - 1)))
+    below = F.expr(f"aggregate(array({halves}), 0, (b, s) -> b + if(_edges[b + s - 1] < `{value}`, s, 0))")
+    return attach(df, edges).withColumn(name, below).drop("_edges")
+
+
 def prefix(
     df: DataFrame,
     order: Sequence[Column | str],

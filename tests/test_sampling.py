@@ -46,3 +46,18 @@ def test_walks_meet_every_row_of_every_epoch_once(spark):
     assert sorted(map(tuple, part)) == sorted(tuple(r) for r in rows if 20 <= r.step < 23)
     assert max(r.step for r in sampling.stratified_batches(pool, "item_id", quota).collect()) == 6
     assert sampling.stratified_batches(pool.limit(0), "item_id", quota).collect() == []
+
+
+def test_buckets_follow_the_distribution(spark):
+    from pyspark.sql import functions as F
+
+    from decant.operators.prefix import edge_buckets
+
+    values = [None, None, *range(1000), *[10**12 + 7 * i for i in range(1000)], *[5] * 500]
+    d = spark.createDataFrame([(v,) for v in values], "v long")
+    got = edge_buckets(d, "v", buckets=16).collect()
+    pairs = sorted(((-1 if r.v is None else r.v), r._bucket) for r in got)
+    assert [b for _, b in pairs] == sorted(b for _, b in pairs) and len(got) == len(values)
+    assert max(sum(b == k for v, b in pairs if v != 5) for k in range(16)) < 400
+    assert edge_buckets(d.limit(0), "v").collect() == []
+    assert edge_buckets(d.filter(F.col("v").isNull()), "v").count() == 2
