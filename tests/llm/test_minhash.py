@@ -86,3 +86,21 @@ def test_hot_group_returns_one_row_a_document(make, prose):
 def test_empty(make):
     assert minhash.near_duplicates(make([])).collect() == []
     assert minhash.deduplicate(make([])).collect() == []
+
+
+def test_one_row_of_each_group_stays(make, prose):
+    """Keys that are null or stand on several rows are told apart by their texts; all others by the key alone."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [
+        (5, a), (9, a + " tail"), (None, a),  # a group whose least key is 5
+        (None, b), (None, b), (None, b + " tail"),  # a group without a key
+        (7, c), (7, c), (7, prose(4, 60)), (7, "")  # one key on several texts
+    ] + [(20, None), (20, None), (None, ""), (21, "...")]
+    key = lambda r: (str(r[0]), str(r[1]))
+    got = sorted(((r.doc_id, r.text) for r in minhash.deduplicate(make(rows)).collect()), key=key)
+    nameless = [r for r in got if r[0] is None and r[1]]
+    assert len(nameless) == 1 and nameless[0][1] in (b, b + " tail")
+    rest = [r for r in got if r not in nameless]
+    assert rest == sorted([(5, a), (7, c), (7, prose(4, 60)), (7, ""), (20, None), (20, None), (None, ""), (21, "...")], key=key)
+    assert minhash.deduplicate(make(rows)).columns == make(rows).columns
+    assert minhash.deduplicate(make([])).collect() == []
