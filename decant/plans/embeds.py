@@ -409,10 +409,10 @@ cte("pz", "SELECT id, id // 32 AS batch, CASE WHEN id % 4 = 1 THEN id - 1 ELSE i
 cte("pzn", """SELECT id, batch, uid, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z) + 1e-12)) AS z, list_transform(t, lambda x: x / sqrt(list_dot_product(t, t) + 1e-12)) AS t FROM pz""", "pz")
 cte("ce", """SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM (SELECT id, list_transform(range(1, 65), lambda i: vec[i] - m[i]) AS e FROM u, mu)""", "u", "mu")
 cte("rkd", """
-SELECT batch, count(*) AS n_rows, avg(kl) AS rkd FROM (SELECT batch, i, sum(pt * (ln(pt) - ln(ps))) AS kl FROM (
+SELECT batch, any_value(n) AS n_rows, coalesce(avg(kl), 0) AS rkd FROM (SELECT batch, count(*) AS n FROM pzn GROUP BY batch) LEFT JOIN (SELECT batch, i, sum(pt * (ln(pt) - ln(ps))) AS kl FROM (
   SELECT batch, i, exp(st) / sum(exp(st)) OVER w AS pt, exp(ss) / sum(exp(ss)) OVER w AS ps FROM (
     SELECT a.batch, a.id AS i, list_dot_product(x.e, y.e) / 0.1 AS st, list_dot_product(a.z, b.z) / 0.1 AS ss FROM pzn a JOIN pzn b ON a.batch = b.batch AND a.uid <> b.uid JOIN ce x ON x.id = a.id JOIN ce y ON y.id = b.id)
-  WINDOW w AS (PARTITION BY batch, i)) GROUP BY batch, i) GROUP BY batch""", "pzn", "ce")
+  WINDOW w AS (PARTITION BY batch, i)) GROUP BY batch, i) USING (batch) GROUP BY batch""", "pzn", "ce")
 cte("nce", """
 SELECT batch, 0.5 * (avg(CASE WHEN i = j THEN -lr END) + avg(CASE WHEN i = j THEN -lc END)) AS nce FROM (
   SELECT batch, i, j, s - ln(sum(exp(s)) OVER (PARTITION BY batch, i)) AS lr, s - ln(sum(exp(s)) OVER (PARTITION BY batch, j)) AS lc FROM (
@@ -438,6 +438,7 @@ def ls_mse(spark, sf):
 
 @query("ls_rkd", with_("rkd") + "SELECT batch, round(rkd, 6) AS rkd FROM rkd")
 def ls_rkd(spark, sf):
+    """One row per batch; a batch whose rows all have one uid has no relation and a loss of 0."""
     return E.pair_losses(pairs(spark, sf), "batch").select("batch", r6("rkd", "rkd"))
 
 
