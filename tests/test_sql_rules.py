@@ -21,7 +21,7 @@ def embeddings(spark, folder, vectors, labels):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
 
 
-@pytest.mark.parametrize("name", ["ls_rkd"])
+@pytest.mark.parametrize("name", ["ls_rkd", "ls_combined"])
 @pytest.mark.parametrize("left", [1, 2])
 def test_a_last_batch_without_pairs(spark, tmp_path, name, left):
     """One row, or two of one string, have no relation: the batch counts with a loss of 0."""
