@@ -80,7 +80,7 @@ def fn_argmax(spark, sf):
 
 @query("fn_permute", with_("item_attr", "item_pos", "dec_scores") + f"""
 SELECT p.item_id, string_agg('topic ' || p.lab, '|' ORDER BY {X.rank_sql("'perm'", 'p.item_id', 'p.lab')}) AS candidates,
-       string_agg(printf('%.6f', s.t), '|' ORDER BY {X.rank_sql("'perm'", 'p.item_id', 'p.lab')}) AS scores,
+       string_agg(printf('%.6f', s.t + 0.0), '|' ORDER BY {X.rank_sql("'perm'", 'p.item_id', 'p.lab')}) AS scores,
        (any_value(CASE WHEN a.gold IS NOT NULL THEN g.rk END))::INTEGER AS gold
 FROM item_pos p JOIN item_attr a USING (item_id) JOIN dec_scores s ON s.item_id = p.item_id AND s.cand = p.lab
 LEFT JOIN (SELECT item_id, rk FROM (SELECT item_id, lab, gold_label,
@@ -88,6 +88,7 @@ LEFT JOIN (SELECT item_id, rk FROM (SELECT item_id, lab, gold_label,
            WHERE lab = gold_label) g ON g.item_id = p.item_id
 GROUP BY p.item_id""")
 def fn_permute(spark, sf):
+    """Scores as text with six digits; one that rounds to zero has no sign."""
     from decant.operators.items import permute
 
     d = X.item_base(spark, sf)

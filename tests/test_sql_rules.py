@@ -28,3 +28,10 @@ def test_a_last_batch_without_pairs(spark, tmp_path, name, left):
     n = 32 + left
     embeddings(spark, tmp_path, np.random.default_rng(1).normal(size=(n, 64)), np.arange(n) % 10)
     assert not problems(spark, tmp_path, name, "embeddings")
+
+
+def test_scores_that_round_to_zero_have_no_sign(spark, tmp_path):
+    vectors = np.eye(10, 64)
+    vectors[1, 0] = -2e-7
+    embeddings(spark, tmp_path, vectors, np.arange(10))
+    assert not problems(spark, tmp_path, "fn_permute", "embeddings")
