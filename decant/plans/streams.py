@@ -41,21 +41,24 @@ def sg_telemetry_windows(spark, sf):
 @query("sg_progress", """
 WITH d AS (SELECT event_type AS stage, time_bucket(INTERVAL '6 hours', ts) AS start, value AS v FROM events), m AS (SELECT max(ts) - INTERVAL '30 seconds' AS mark FROM events),
  t AS (SELECT event_type AS stage, count(*) + 100 AS total FROM events GROUP BY 1),
- w AS (SELECT stage, start, count(*) AS n, avg(v) AS mean, max(v) AS top, list_sort(list(v)) AS l FROM d, m WHERE start + INTERVAL '6 hours' <= mark GROUP BY stage, start),
+ w AS (SELECT stage, start, count(*) AS n, sum((v::DECIMAL(18,6) * 1000000)::BIGINT) AS micro, max(v) AS top, list_sort(list(v)) AS l FROM d, m WHERE start + INTERVAL '6 hours' <= mark GROUP BY stage, start),
  r AS (SELECT *, (sum(n) OVER (PARTITION BY stage ORDER BY start))::BIGINT AS done FROM w)
-SELECT stage, epoch_us(start) AS start_us, n, done, round(n / 21600.0, 9) AS per_second, round(mean, 6) AS latency_mean, l[ceil(0.5 * n)::BIGINT] AS latency_p50, l[ceil(0.95 * n)::BIGINT] AS latency_p95,
+SELECT stage, epoch_us(start) AS start_us, n, done, round(n / 21600.0, 9) AS per_second, ((2 * micro + n) // (2 * n))::DOUBLE / 1000000 AS latency_mean, l[ceil(0.5 * n)::BIGINT] AS latency_p50, l[ceil(0.95 * n)::BIGINT] AS latency_p95,
   top AS latency_max, round((total - done) / (n / 21600.0) / 60, 6) AS eta_min FROM r JOIN t USING (stage)""")
 def sg_progress(spark, sf):
-    """Completions of every stage in three batches; each stage has a hundred items more than it completes."""
+    """Completions of every stage in three batches; each stage has a hundred items more than it completes.
+
+    Latencies are decimals, so a mean is that of the exact sum, rounded half up, in whatever order rows come.
+    """
     e = table(spark, sf, "events")
-    d = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("latency_ms"))
+    d = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").cast("decimal(18,6)").alias("latency_ms"))
     totals = e.groupBy(F.col("event_type").alias("stage")).agg((F.count(F.lit(1)) + 100).alias("total"))
     folder = J.arrivals(d, "ts", 3, scratch(spark, "done-files"))
     out, ck = J.new_paths(spark, "progress")
     J.to_table(J.progress(J.read(spark, folder, d.schema, per_trigger=1), totals, "30 seconds", "6 hours", "stage"), out, ck)
     p = J.progress_report(spark.read.parquet(out), "stage")
-    return p.select("stage", F.unix_micros("start").alias("start_us"), "n", "done", F.round("per_second", 9).alias("per_second"), r6("latency_mean", "latency_mean"),
-                    "latency_p50", "latency_p95", "latency_max", r6("eta_min", "eta_min"))
+    return p.select("stage", F.unix_micros("start").alias("start_us"), "n", "done", F.round("per_second", 9).alias("per_second"), F.round("latency_mean", 6).cast("double").alias("latency_mean"),
+                    *[F.col(c).cast("double").alias(c) for c in ("latency_p50", "latency_p95", "latency_max")], r6("eta_min", "eta_min"))
 
 
 #: What a request may lie from its samples, and how long it is at most.

@@ -35,3 +35,12 @@ def test_scores_that_round_to_zero_have_no_sign(spark, tmp_path):
     vectors[1, 0] = -2e-7
     embeddings(spark, tmp_path, vectors, np.arange(10))
     assert not problems(spark, tmp_path, "fn_permute", "embeddings")
+
+
+def test_percentiles_of_full_windows_are_exact(spark, tmp_path):
+    """Windows with more latencies than a sketch keeps apart."""
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(i, int(t), float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 100_000, 6000), rng.lognormal(3, 1, 6000).round(2)))], "event_id long, s long, value double")
+    d = d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")).cast("timestamp_ntz")).withColumn("event_type", F.lit("view"))
+    d.drop("s").write.parquet(f"{tmp_path}/events.parquet")
+    assert not problems(spark, tmp_path, "sg_progress", "events")
