@@ -122,7 +122,7 @@ SELECT min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM s GR
 def sg_session_pauses_stream(spark, sf):
     """Times in which any card paused: session windows over the pauses that a guard stream has found."""
     d = X.tel(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "card", "ts_us", "event_id", "temp_c")
-    p = in_two_runs(spark, d, "ts_us", G.guard, "pauses").select("card", "start_us", "end_us")
+    p = in_two_runs(spark, d, "ts_us", lambda samples: G.guard(samples, in_order=True), "pauses").select("card", "start_us", "end_us")
     # one more pause, far ahead, closes all sessions before it
     end = p.agg((F.max("end_us") + 1_000_000_000_000).alias("start_us")).select(F.lit("end").alias("card"), "start_us", (F.col("start_us") + 1).alias("end_us"))
     p = p.unionByName(end.filter("start_us is not null")).withColumn("host", F.lit("host"))

@@ -20,30 +20,34 @@ PAUSES = "card string, start_us bigint, end_us bigint, gave_up boolean"
 NEVER = np.iinfo(np.int64).max
 
 
-def pauses_of(ts: np.ndarray, hot: np.ndarray, cool: np.ndarray, since: int | None, max_wait: int | None) -> tuple[list[tuple[int, int, bool]], int | None]:
+def pauses_of(ts: np.ndarray, hot: np.ndarray, cool: np.ndarray, since: int | None, max_wait: int | None, in_order: bool = False) -> tuple[list[tuple[int, int, bool]], int | None]:
     """Closed pauses (start, end, given up) of sorted samples, and the start of the one left open.
 
     ``since`` is the start of a pause that is open already. A pause ends at the first cool sample, or ``max_wait`` after
     its start if that comes first; whether a given-up pause starts anew is for the next hot sample behind its end to say.
+    Samples of one instant follow each other if ``in_order``, and a pause may then take no time; else an instant neither
+    ends a pause that starts in it nor starts one that ends in it.
     """
-    hot_at, cool_at = ts[hot], ts[cool]
+    hot_at, cool_at = np.flatnonzero(hot), np.flatnonzero(cool)
     out: list[tuple[int, int, bool]] = []
-    after = None
+    at = 0 if since is None or in_order else int(np.searchsorted(ts, since, "right"))
     while True:
         if since is None:
-            i = 0 if after is None else np.searchsorted(hot_at, after, "right")
+            i = np.searchsorted(hot_at, at)
             if i >= len(hot_at):
                 return out, None
-            since = int(hot_at[i])
-        j = np.searchsorted(cool_at, since, "right")
-        end = int(cool_at[j]) if j < len(cool_at) else NEVER
+            at = int(hot_at[i])
+            since = int(ts[at])
+            at = at + 1 if in_order else int(np.searchsorted(ts, since, "right"))
+        j = np.searchsorted(cool_at, at)
+        end = int(ts[cool_at[j]]) if j < len(cool_at) else NEVER
         limit = NEVER if max_wait is None else since + max_wait
         # without a cool sample the wait is over once any later sample shows that its time has passed
         if end == NEVER and (limit == NEVER or not len(ts) or int(ts[-1]) <= limit):
             return out, since
         gave_up = limit < end
-        after = min(end, limit)
-        out.append((since, after, gave_up))
+        out.append((since, min(end, limit), gave_up))
+        at = int(cool_at[j]) + 1 if in_order and not gave_up else int(np.searchsorted(ts, min(end, limit), "right"))
         since = None
 
 
@@ -54,8 +58,8 @@ class Guard(StatefulProcessor):
     watermark says so.
     """
 
-    def __init__(self, hi: float, lo: float, strict: bool, max_wait: int | None):
-        self.hi, self.lo, self.strict, self.max_wait = hi, lo, strict, max_wait
+    def __init__(self, hi: float, lo: float, strict: bool, max_wait: int | None, in_order: bool = False):
+        self.hi, self.lo, self.strict, self.max_wait, self.in_order = hi, lo, strict, max_wait, in_order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -78,7 +82,7 @@ class Guard(StatefulProcessor):
             ts, temp = ts[fresh], temp[fresh]
         if len(ts):
             cool = temp < self.lo if self.strict else temp <= self.lo
-            closed, since = pauses_of(ts, temp >= self.hi, cool, since, self.max_wait)
+            closed, since = pauses_of(ts, temp >= self.hi, cool, since, self.max_wait, self.in_order)
             self.state.update((since, int(ts[-1])))
             new = self._timer(since)
             if new != old:
@@ -105,19 +109,24 @@ class Guard(StatefulProcessor):
         pass
 
 
-def guard(samples: DataFrame, hi: float = TEMP_PAUSE, lo: float = TEMP_RESUME, strict: bool = False, max_wait_us: int | None = None, delay: str = "2 seconds") -> DataFrame:
+def guard(samples: DataFrame, hi: float = TEMP_PAUSE, lo: float = TEMP_RESUME, strict: bool = False, max_wait_us: int | None = None, delay: str = "2 seconds", in_order: bool = False) -> DataFrame:
     """Closed pauses per card of a stream with ts, card, ts_us, event_id and temp_c. State is two numbers per card."""
     d = samples.select("ts", "card", "ts_us", "event_id", "temp_c").withWatermark("ts", delay)
-    return d.groupBy("card").transformWithStateInPandas(Guard(hi, lo, strict, max_wait_us), PAUSES, "Append", "EventTime")
+    return d.groupBy("card").transformWithStateInPandas(Guard(hi, lo, strict, max_wait_us, in_order), PAUSES, "Append", "EventTime")
 
 
 def sessions(pauses: DataFrame, by: str = "host", delay: str = "0 seconds") -> DataFrame:
-    """Times in which any card of a host paused: pauses that overlap are one session, as each one's gap is its length."""
-    start = F.timestamp_micros("start_us")
-    gap = F.concat(((F.col("end_us") - F.col("start_us")) / 1e6).cast("decimal(20,6)").cast("string"), F.lit(" seconds"))
-    d = pauses.withColumn("at", start).withColumn("gap", gap).withWatermark("at", delay)
+    """Times in which any card of a host paused: pauses that overlap or touch are one session, as each one's gap is its length.
+
+    A gap of no length opens no window, so the windows' clock runs at double speed and gaps are one tick longer: a pause of no
+    time counts, and one that starts a microsecond behind another's end still does not touch it.
+    """
+    twice = f"{round(2 * pd.Timedelta(delay) / pd.Timedelta(microseconds=1))} microseconds"
+    gap = F.concat((2 * (F.col("end_us") - F.col("start_us")) + 1).cast("string"), F.lit(" microseconds"))
+    d = pauses.withColumn("at", F.timestamp_micros(2 * F.col("start_us"))).withColumn("gap", gap).withWatermark("at", twice)
     g = d.groupBy(F.session_window("at", F.col("gap")).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(by, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+    half = lambda c: F.shiftright(F.unix_micros(c), 1)
+    return g.select(by, half("w.start").alias("start_us"), half("w.end").alias("end_us"), "n")
 
 
 class Best(StatefulProcessor):

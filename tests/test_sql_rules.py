@@ -44,3 +44,13 @@ def test_percentiles_of_full_windows_are_exact(spark, tmp_path):
     d = d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")).cast("timestamp_ntz")).withColumn("event_type", F.lit("view"))
     d.drop("s").write.parquet(f"{tmp_path}/events.parquet")
     assert not problems(spark, tmp_path, "sg_progress", "events")
+
+
+def test_pauses_of_samples_that_share_an_instant(spark, tmp_path):
+    """Samples of one instant follow each other by id, so a pause may take no time and another may start where one ends."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(s), int(u), float(v)) for i, (s, u, v) in enumerate(zip(rng.integers(0, 400, 3000), rng.integers(0, 2, 3000), rng.choice([5.0, 20.0, 30.0], 3000)))]
+    d = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double")
+    d = d.withColumn("ts", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("s") * 50).cast("timestamp_ntz")).withColumn("event_type", F.lit("view"))
+    d.drop("s").write.parquet(f"{tmp_path}/events.parquet")
+    assert not problems(spark, tmp_path, "sg_session_pauses_stream", "events")
