@@ -21,6 +21,8 @@ from decant.operators.prefix import edge_buckets, hash_bucket, prefix
 from decant.session import SMALL_BYTES, attach, materialise
 
 BLOCK_ROWS, QUERY_ROWS = 2048, 256
+#: Blocks on either side of a grid cell: fewer copies of the rows, one product at a time all the same.
+SIDE = 8
 # Fixed values of the closeness verdict.
 TEACHER_RATIO, CHANCE_FACTOR, SEEN_RATIO = 0.70, 5.0, 0.80
 
@@ -116,15 +118,27 @@ def _best(q: pd.DataFrame, p: pd.DataFrame, pm: np.ndarray, k: int, exclude: Seq
     return pd.DataFrame({"qid": cols[0].astype("int64"), "pid": cols[1].astype("int64"), "cos": cols[2].astype("float64")})
 
 
-def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, schema: str, block: int) -> DataFrame:
+def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, merge: Callable, schema: str, block: int) -> DataFrame:
     """Run ``kernel(query rows, pool rows, pool matrix)`` so that every query meets every pool row exactly once.
 
     A pool counted to be small goes to every task as one matrix. Otherwise both sides are cut into blocks, each
-    block is copied along the other side's blocks, and the pairs of blocks are separate tasks.
+    block is copied along the other side's blocks, and the pairs of blocks are separate tasks. Either way a product has
+    ``QUERY_ROWS`` by ``block`` cells at most, and ``merge(so far, result)`` joins the results of one group of queries
+    as they come, so a task holds one small product and what came of those before it.
     """
     first = pool.select(F.size("vec").alias("d")).first()
     dims = first.d if first else 1
     n_pool = pool.count()
+
+    def products(q: pd.DataFrame, p: pd.DataFrame, pm: np.ndarray) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(q), QUERY_ROWS):
+            part, got = q.iloc[i : i + QUERY_ROWS], None
+            for j in range(0, len(p), block):
+                new = kernel(part, p.iloc[j : j + block], pm[j : j + block])
+                got = new if got is None else merge(got, new)
+            if got is not None:
+                yield got
+
     if n_pool * dims * 8 <= SMALL_BYTES:
         held = pool.toPandas()
         matrix = np.stack(held["vec"].to_numpy()) if len(held) else np.zeros((0, dims))
@@ -133,13 +147,11 @@ def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, schema: str, bl
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p, pm = shared.value
             for q in batches:
-                if len(p):  # a product of few queries at a time, whatever the batch and the pool
-                    for i in range(0, len(q), QUERY_ROWS):
-                        yield kernel(q.iloc[i : i + QUERY_ROWS], p, pm)
+                yield from products(q, p, pm)
 
         return queries.mapInPandas(scan, schema)
 
-    nq, np_ = max(1, -(-queries.count() // block)), max(1, -(-n_pool // block))
+    nq, np_ = (max(1, -(-n // (SIDE * block))) for n in (queries.count(), n_pool))
     side = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     q = queries.withColumns({"qb": side(nq), "pb": F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)))})
     p = pool.withColumns({"pb": side(np_), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
@@ -148,13 +160,25 @@ def _meet(queries: DataFrame, pool: DataFrame, kernel: Callable, schema: str, bl
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not (len(x) and len(y)):
             return empty
-        matrix = np.stack(y["vec"].to_numpy())
-        return pd.concat([kernel(x.iloc[i : i + QUERY_ROWS], y, matrix) for i in range(0, len(x), QUERY_ROWS)])
+        return pd.concat(list(products(x, y, np.stack(y["vec"].to_numpy()))))
 
     # the product is the costly part and its result is small: written once, never computed again
     return materialise(q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(cell, schema), "blocks")
 
 
+def _keep_best(k: int) -> Callable:
+    """Best ``k`` per query of two lists."""
+    def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        both = {c: np.concatenate([a[c].to_numpy(), b[c].to_numpy()]) for c in ("qid", "pid", "cos")}
+        order = np.lexsort((both["pid"], -both["cos"], both["qid"]))
+        qid = both["qid"][order]
+        starts = np.flatnonzero(np.append(True, qid[1:] != qid[:-1])) if len(qid) else np.zeros(0, int)
+        rank = np.arange(len(qid)) - np.repeat(starts, np.diff(np.append(starts, len(qid))))
+        order = order[rank < k]
+        return pd.DataFrame({c: v[order] for c, v in both.items()})
+    return merge
+
+
 def nearest(queries: DataFrame, pool: DataFrame, k: int, exclude: Sequence[str] = ("id",), require: Sequence[str] = (), block: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k by cosine; both sides have (id, unit vector ``vec``) plus the columns named in the conditions.
 
@@ -163,7 +187,7 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, exclude: Sequence[str]
     """
     cols = ["id", "vec", *[c for c in (*exclude, *require) if c != "id"]]
     ex, rq = tuple(exclude), tuple(require)
-    found = _meet(queries.select(*cols), pool.select(*cols), lambda q, p, pm: _best(q, p, pm, k, ex, rq), "qid bigint, pid bigint, cos double", block)
+    found = _meet(queries.select(*cols), pool.select(*cols), lambda q, p, pm: _best(q, p, pm, k, ex, rq), _keep_best(k), "qid bigint, pid bigint, cos double", block)
     return _ranked(found, k)
 
 
@@ -179,20 +203,23 @@ def pair_auc(queries: DataFrame, pool: DataFrame, digits: int = 4, require: Sequ
     """
     from decant.operators.quantiles import auc_from_counts
 
-    rq = tuple(require)
+    rq, unit = tuple(require), 10**digits
 
     def count(q: pd.DataFrame, p: pd.DataFrame, pm: np.ndarray) -> pd.DataFrame:
-        sim = np.round(np.stack(q["vec"].to_numpy()) @ pm.T, digits) + 0.0
+        at = np.rint(np.stack(q["vec"].to_numpy()) @ pm.T * unit).astype(np.int32)
         same = q[label].to_numpy()[:, None] == p[label].to_numpy()[None, :]
-        ok = np.ones(sim.shape, bool)
+        ok = np.ones(at.shape, bool)
         for c in rq:
             ok &= q[c].to_numpy()[:, None] == p[c].to_numpy()[None, :]
-        v, inv = np.unique(sim[ok], return_inverse=True)
-        pos = np.bincount(inv, weights=same[ok], minlength=len(v))
-        return pd.DataFrame({"v": v, "pos": pos.astype("int64"), "neg": (np.bincount(inv, minlength=len(v)) - pos).astype("int64")})
+        low = int(at.min()) if at.size else 0
+        pos, all_ = (np.bincount(at[m] - low) for m in (ok & same, ok))
+        v = np.flatnonzero(all_)
+        pos = np.append(pos, np.zeros(len(all_) - len(pos), pos.dtype))[v]
+        return pd.DataFrame({"v": (v + low) / unit, "pos": pos.astype("int64"), "neg": (all_[v] - pos).astype("int64")})
 
     cols = ["id", "vec", label, *require]
-    c = _meet(queries.select(*cols), pool.select(*cols), count, "v double, pos bigint, neg bigint", block)
+    add = lambda a, b: pd.concat([a, b]).groupby("v", as_index=False).sum()
+    c = _meet(queries.select(*cols), pool.select(*cols), count, add, "v double, pos bigint, neg bigint", block)
     return auc_from_counts(c.groupBy("v").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 

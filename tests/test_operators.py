@@ -449,3 +449,22 @@ def test_prefix_cut(spark):
     assert cut([7, 8], [1, 2, 3], 10) == [7, 8, 4, 1, 2, 3]
     assert cut([7, 8], [1, 2, 3], 5) == [7, 8, 4, 2, 3]
     assert cut([7, 8, 9], [1], 3) == [7, 8, 4]
+
+
+@pytest.mark.parametrize("small_bytes", [0, embed.SMALL_BYTES])
+def test_products_stay_small_whatever_the_pool(spark, monkeypatch, small_bytes):
+    """No product meets more than a block of the pool at once, and lists of several blocks merge into the best of all."""
+    x, d = vectors(spark)
+    whole = embed._best
+
+    def checked(q, p, pm, *rest):
+        assert len(pm) == len(p) <= 7
+        return whole(q, p, pm, *rest)
+
+    monkeypatch.setattr(embed, "SMALL_BYTES", small_bytes)
+    monkeypatch.setattr(embed, "_best", checked)
+    got = rows(embed.nearest(d, d, 4, block=7).select("qid", "pid", "rank"))
+    sim = np.round(x @ x.T, 6)
+    for i in range(60):
+        want = sorted((j for j in range(60) if j != i), key=lambda j: (-sim[i, j], j))[:4]
+        assert [p for qid, p, _ in sorted(got, key=lambda r: r[2]) if qid == i] == want
