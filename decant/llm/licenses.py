@@ -3,7 +3,8 @@
 Texts that have a word of every notice are read for the words that decide. Wherever a template could stand, it is
 confirmed by the exact differences of wording between it and that part of the text: few words may differ, and none of
 those that decide which license it is. The words found are then compressed alone and with the template as a raw
-zstandard dictionary; of findings that overlap, the longest stays, and of equal ones that which saves most bytes.
+zstandard dictionary: what the template does not help to compress is no finding, and of findings that overlap that which
+saves most bytes stays, of equal ones the longest.
 """
 
 from __future__ import annotations
@@ -126,10 +127,11 @@ class Scanner:
             for a, b, n in _places(t, counts, words, at):
                 raw = " ".join(words[a:b]).encode("utf-8", "replace")
                 saved = len(self.alone.compress(raw)) - len(self.given[t.number].compress(raw))
-                out.append((t.license, t.number, spans[a][0], spans[b - 1][1], saved, n))
+                if saved > 0:
+                    out.append((t.license, t.number, spans[a][0], spans[b - 1][1], saved, n))
         best: list[tuple] = []
-        # one finding for a stretch of text: the one that covers most, then saves most, then differs least
-        for f in sorted(set(out), key=lambda f: (f[2] - f[3], -f[4], f[5], f[1])):
+        # one finding for a stretch of text: the one that saves most, then covers most, then differs least
+        for f in sorted(set(out), key=lambda f: (-f[4], f[2] - f[3], f[5], f[1])):
             if all(f[3] <= g[2] or f[2] >= g[3] for g in best):
                 best.append(f)
         return sorted(best, key=lambda f: f[2])

@@ -70,3 +70,16 @@ def test_whole_texts_and_tags(make, prose):
     n = len(licenses.TEMPLATES)
     assert [(i, x, k, d) for i, x, k, _, d in got[: len(rows)]] == [(i, x[0], n + i, 0) for i, x in enumerate(licenses.whole())]
     assert [(i, x, k) for i, x, k, _, _ in got[len(rows) :]] == [(100, "MIT", -1), (101, "GPL-2.0+", -1), (102, "(MIT OR Apache-2.0) AND BSD-3-Clause", -1), (103, "GPL-2.0-only WITH Classpath-exception-2.0", -1)]
+
+
+def test_compression_decides_between_findings_that_overlap():
+    """The longer template stands there with other words; the shorter one says what is there and saves more bytes."""
+    rng = random.Random(8)
+    words = ["license", *("%08x" % rng.getrandbits(32) for _ in range(39))]
+    text = list(words)
+    for i in (6, 12, 18, 24):
+        text[i] = "%024x" % rng.getrandbits(96)
+    rows = [("Long", "license", " ".join(words)), ("Near", "license", " ".join(text[:39]))]
+    scanner = licenses.Scanner(rows)
+    assert [(f[0], f[5]) for f in licenses.Scanner(rows[:1])(" ".join(text))] == [("Long", 4)]
+    assert [(f[0], f[5]) for f in scanner(" ".join(text))] == [("Near", 0)]
