@@ -31,6 +31,8 @@ BATCH = 128
 UNKNOWN = "und"
 #: Share of held-out labelled texts that a model must get right to decide anything, and the share of those that its least score admits.
 RELIABLE, ADMIT = 0.9, 0.999
+#: Steps of a score in which the least one is found.
+STEPS = 10_000
 
 #: Symbols: 32 is whatever is not a letter, 97 to 122 are the letters a to z, 0 to 31 share all other characters.
 _SYMBOLS = 128
@@ -173,20 +175,26 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def least_score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float | None:
     """Score from which a prediction counts: ``ADMIT`` of the held-out labelled texts that are predicted right reach it.
 
-    Found on a sample of the held-out fold, bounded as that of the fit. None where the model cannot decide: it has fewer
-    than two languages, or the held-out labels are not known or not ``RELIABLE``.
+    All of the held-out fold whose language is learned is predicted and counted by score, in steps of 1 / ``STEPS``; only
+    counts reach the driver. None where the model cannot decide: it has fewer than two languages, or the held-out labels
+    are not known or not ``RELIABLE``.
     """
     if model is None or len(model.languages) < 2:
         return None
-    held = [(k, g) for k, g in sample(docs.filter(fold(F.col(key)) == 1), key, text, lang) if k in model.languages]
-    right = []
-    for k, g in held:
-        value = model.weights[_rows(model.codes, g)].sum(axis=0) / np.sqrt(len(g)) + model.bias
-        if model.languages[value.argmax()] == k:
-            right.append(1 / np.exp(SHARP * (value - value.max())).sum())
-    if not held or len(right) < RELIABLE * len(held):
+    held = docs.filter((fold(F.col(key)) == 1) & F.col(lang).isin(model.languages) & F.col(text).rlike(r"\p{L}"))
+    said = predict(held.select(F.col(text).alias("text"), F.col(lang).alias("lang")), model, text="text", keep_docs=True)
+    # sums in another order differ by less than the addend
+    step = F.floor((F.col("score") + 1e-6) * STEPS).cast("int")
+    counts = {r["step"]: r["n"] for r in said.groupBy(F.when(F.col("lang_pred") == F.col("lang"), step).alias("step")).agg(F.count("*").alias("n")).collect()}
+    wrong = counts.pop(None, 0)
+    right = sum(counts.values())
+    if not right or right < RELIABLE * (right + wrong):
         return None
-    return float(np.quantile(right, 1 - ADMIT, method="lower")) - 1e-6  # sums in another order differ by less
+    below = int((1 - ADMIT) * (right - 1) + 1e-9)
+    for step in sorted(counts):
+        below -= counts[step]
+        if below < 0:
+            return step / STEPS - 1e-6
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

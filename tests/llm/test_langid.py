@@ -93,3 +93,15 @@ def test_rows_without_a_key_are_drawn_one_by_one(make, rows):
     nameless = [(None, t, k) for _, t, k in rows]
     texts = langid.sample(make(nameless), "doc_id", "text", "lang")
     assert len({x[1].tobytes() for x in texts}) > 100
+
+
+def test_least_score_counts_the_whole_held_out_fold(make, rows, monkeypatch):
+    """Nothing is drawn: the score is that of all held-out labels, however few a sample may hold."""
+    docs = make(rows)
+    model = langid.train(docs)
+    monkeypatch.setattr(langid, "sample", None)
+    held = [r for r in langid.predict(docs, model, keep_docs=True).filter((langid.fold(langid.F.col("doc_id")) == 1) & langid.F.col("lang").isin(model.languages)).collect()]
+    right = sorted(r.score for r in held if r.lang_pred == r.lang)
+    assert len(right) >= langid.RELIABLE * len(held)
+    least = langid.least_score(docs, model)
+    assert right[int((1 - langid.ADMIT) * (len(right) - 1))] - 1.1 / langid.STEPS <= least <= right[int((1 - langid.ADMIT) * (len(right) - 1))]
