@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from decant.llm.common import few
 from decant.operators.prefix import prefix
-from decant.session import materialise
+from decant.session import arrow_rows, materialise
 
 #: Word parts whose ids a task keeps at a time; the memo only saves work.
 MEMO = 250_000
@@ -207,7 +207,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     Null and empty texts are one token long; repeated rows are packed each; null keys are kept. Only texts longer
     than ``capacity`` are cut. Other columns are not read. Empty input gives no rows.
     """
-    pieces = materialise(tokenise(docs, key, text, capacity, with_ids=with_ids, **how), "pieces")
+    with arrow_rows(docs.sparkSession):
+        pieces = materialise(tokenise(docs, key, text, capacity, with_ids=with_ids, **how), "pieces")
     return place(pieces, capacity).withColumnRenamed("key", key)
 
 

@@ -80,3 +80,21 @@ def test_the_language_decides(spark, make):
     # without a label there is no model: only documents without a letter go
     bare = make([(1, "some words", None), (2, "12 !", None), (3, None, None)], clash=False)
     assert [(r.doc_id, r.lang) for r in corpus_pipeline.language(spark, bare, "unused").collect()] == [(1, None)]
+
+
+def test_whole_texts_reach_python_in_small_batches(spark, docs, tmp_path, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), {}
+
+    def noted(write):
+        def run(df, step):
+            seen[step] = int(spark.conf.get(name))
+            return write(df, step)
+        return run
+
+    for module in (corpus_pipeline, packing):
+        monkeypatch.setattr(module, "materialise", noted(module.materialise))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"language", "near_dedup", "personal_data", "mix", "pieces"} <= set(seen) and max(seen.values()) <= 256
+    assert spark.conf.get(name) == before and out.count() > 0
