@@ -307,7 +307,8 @@ def unique(ids: DataFrame, split: str, existing: DataFrame | None = None, ident:
 
     Only rows still without an item go into the next round. What a round won and left over is written, and the next
     round reads it back, so that its plan is as long as the first one's. ``existing`` holds hashes (column h) that
-    are already taken.
+    are already taken. Hashes and winners grow with the items, so they are shuffled however small their files look: a table
+    that is sent to every task passes through the driver.
     """
     spark, todo, won = ids.sparkSession, ids, []
     for attempt in range(rounds):
@@ -315,12 +316,12 @@ def unique(ids: DataFrame, split: str, existing: DataFrame | None = None, ident:
         d = materialise(d.withColumn("h", F.sha1(F.to_json(F.struct("context", "question", "candidates")))), "synth-round")
         first = d.groupBy("h").agg(F.min(ident).alias(ident))
         if existing is not None:
-            first = first.join(existing.select("h"), "h", "left_anti")
+            first = first.join(existing.select("h").hint("merge"), "h", "left_anti")
         if won:
-            first = first.join(spark.read.schema(won[0].schema).parquet(*[p for w in won for p in w.inputFiles()]).select("h"), "h", "left_anti")
+            first = first.join(spark.read.schema(won[0].schema).parquet(*[p for w in won for p in w.inputFiles()]).select("h").hint("merge"), "h", "left_anti")
         winners = materialise(first, "synth-winners")
-        won.append(materialise(d.join(winners.select(ident), ident, "left_semi"), "synth-won"))
-        todo = materialise(todo.join(winners.select(ident), ident, "left_anti"), "synth-todo")
+        won.append(materialise(d.join(winners.select(ident).hint("merge"), ident, "left_semi"), "synth-won"))
+        todo = materialise(todo.join(winners.select(ident).hint("merge"), ident, "left_anti"), "synth-todo")
         if todo.isEmpty():
             return spark.read.schema(won[0].schema).parquet(*[p for w in won for p in w.inputFiles()])
     raise RuntimeError("could not make every item unique")

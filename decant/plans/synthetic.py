@@ -213,7 +213,7 @@ def syn_append(spark, sf):
     plan = Y.plan(ids(spark, sf))
     have = Y.unique(plan.filter("idx % 3 <> 0"), "train")
     more = Y.unique(plan.filter("idx % 3 = 0").withColumn("idx", F.col("idx") + 1000000000), "train", existing=have.select("h"))
-    old = have.select("h", F.lit(True).alias("old"))
+    old = have.select("h", F.lit(True).alias("old")).hint("merge")
     return more.select("idx", "category", "h").join(old, "h", "left").select("idx", "category", "h", F.col("old").isNotNull().alias("clash"))
 
 

@@ -113,3 +113,22 @@ def test_energy_stream_resumes_where_it_stopped(spark, sf):
     got = {r.card: r for r in jobs.stitch(jobs.latest(spark, out, ["card", "hour"])).collect()}
     for r in telemetry.trapezoid(telemetry.segments(d), ["card"]).collect():
         assert got[r.card].joules == pytest.approx(r.joules) and got[r.card].n == r.n
+
+
+def test_hashes_and_winners_are_not_sent_to_every_task(spark, tmp_path, monkeypatch):
+    """They grow with the items, however small their files are."""
+    from decant.plans import synthetic
+
+    plans, write = [], synth.materialise
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(synth, "materialise", noted)
+    spark.range(60).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    out = synthetic.syn_append(spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for p in plans for line in p.split("\n") if "Join" in line and ("[h#" in line or "[idx#" in line)]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+    assert out.count() == 20 and out.filter("clash").count() == 0
