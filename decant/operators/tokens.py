@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def learn_vocab(lines: DataFrame, size: int, col: str = "line") -> DataFrame:
 
 
 def encoder(df: DataFrame, vocab: DataFrame):
-    """Pandas UDF text -> ids: greedy longest match per word, bytes for characters without a piece.
+    """Arrow UDF text -> ids: greedy longest match per word, bytes for characters without a piece.
 
     The vocabulary has a size the caller set, so it is shipped to the tasks; words repeat, so each task
     remembers the words it has seen.
@@ -103,22 +104,25 @@ def encoder(df: DataFrame, vocab: DataFrame):
                 i += 1
         return out
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces, memo = shared.value, {}
-        for s in batches:
-            rows = []
-            for text in s:
-                ids: list[int] = []
-                for w in (text or "").split():
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces, memo, unknown = shared.value, {}, np.array([UNK], dtype=np.int32).tobytes()
+        for texts in batches:
+            # ids of a batch stand in one buffer, four bytes each
+            ids, ends = bytearray(), np.zeros(len(texts) + 1, dtype=np.int32)
+            for i, t in enumerate(texts):
+                start = len(ids)
+                for w in (t.as_py() or "").split():
                     got = memo.get(w)
                     if got is None:
-                        got = word_ids(SPACE + w, pieces)
+                        got = np.array(word_ids(SPACE + w, pieces), dtype=np.int32).tobytes()
                         if len(memo) < limit:
                             memo[w] = got
                     ids += got
-                rows.append(ids or [UNK])
-            yield pd.Series(rows)
+                if len(ids) == start:
+                    ids += unknown
+                ends[i + 1] = len(ids) // 4
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, dtype=np.int32)))
 
     return encode
 

@@ -468,3 +468,17 @@ def test_products_stay_small_whatever_the_pool(spark, monkeypatch, small_bytes):
     for i in range(60):
         want = sorted((j for j in range(60) if j != i), key=lambda j: (-sim[i, j], j))[:4]
         assert [p for qid, p, _ in sorted(got, key=lambda r: r[2]) if qid == i] == want
+
+
+def test_encoder_keeps_ids_in_arrow_buffers(spark):
+    """A batch's ids are no Python lists; null, blank and unknown texts keep their ids."""
+    from pyspark.util import PythonEvalType
+
+    from decant.operators import tokens
+
+    vocab = spark.createDataFrame([("▁a", 300), ("b", 301), ("▁", 302)], "piece string, id int")
+    rows = spark.createDataFrame([(1, "ab a"), (2, None), (3, " \n"), (4, "é"), (5, "")], "k int, text string").coalesce(1)
+    enc = tokens.encoder(rows, vocab)
+    got = {r.k: r.ids for r in rows.withColumn("ids", enc("text")).collect()}
+    assert got == {1: [300, 301, 300], 2: [tokens.UNK], 3: [tokens.UNK], 4: [302, *[tokens.BYTES_FROM + b for b in "é".encode()]], 5: [tokens.UNK]}
+    assert enc.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
