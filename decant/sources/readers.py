@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from decant.operators.prefix import prefix
 from decant.session import materialise
+from decant.sources import digests
 
 ITEM_SCHEMA = (
     "item_id bigint, split string, category string, lang string, context string, question string, candidates array<string>, "
@@ -84,9 +86,20 @@ def nested(doc: str | Column, path: str, kind: str = "double", default=None) ->
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Bytes and sha256 per file; file contents are hashed where they are read."""
-    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return d.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Bytes and sha256 per file. Files of a slice at most are hashed where they are read, longer ones slice by slice, save
+    packed ones, which Spark reads as a whole only.
+    """
+    files = spark.read.format("binaryFile")
+    d = files.option("pathGlobFilter", pattern).load(folder)
+    short, long = F.col("length") <= digests.SLICE, F.col("length") > digests.SLICE  # bare, so that the reader skips by them
+    found = [tuple(r) for r in d.filter(long).select("path", "length").collect()]
+    sliced = [f for f in found if not f[0].lower().endswith(digests.PACKED)]
+    hashed = [(path, size, sha256) for (path, size), sha256 in zip(sliced, digests.sha256_in_slices(spark, sliced), strict=True)]
+    whole = [d.filter(short)] + [files.load(digests.exact(path)) for path, _ in found if path.lower().endswith(digests.PACKED)]
+    each = [w.select("path", "length", F.sha2("content", 256).alias("sha256")) for w in whole]
+    if hashed:
+        each.append(spark.createDataFrame(hashed, "path string, length bigint, sha256 string"))
+    return reduce(DataFrame.unionByName, each).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256")
 
 
 def file_rows(spark: SparkSession, paths: Sequence[str], kind: str) -> DataFrame:
