@@ -13,7 +13,7 @@ from decant.operators import scoring as P
 from decant.plans import fixtures as X
 from decant.plans.registry import query, table, with_
 from decant.plans.texts import txt_items
-from decant.session import attach, materialise, scratch
+from decant.session import arrow_rows, attach, materialise, scratch
 from decant.streaming import guard as G
 from decant.streaming import jobs as J
 
@@ -74,16 +74,17 @@ SELECT q.req_id, q.card, round(CASE WHEN ft - t0 <= {NEAR} AND t1 - lt <= {NEAR}
 FROM tel_requests q LEFT JOIN a USING (req_id)""")
 def sg_late_policy(spark, sf):
     """Requests and samples as two streams. A last row of each, far ahead, moves the watermarks past everything before."""
-    s = X.tel(spark, sf).select("card", "ts_us", "power_w")
+    s = X.tel(spark, sf).select("card", "ts_us", "event_id", "power_w")
     q = X.tel_requests(spark, sf)
     end = s.agg((F.max("ts_us") + 10 * LONGEST).alias("t"))
-    s = s.unionByName(end.select(F.lit("end").alias("card"), F.col("t").alias("ts_us"), F.lit(0.0).alias("power_w")))
+    s = s.unionByName(end.select(F.lit("end").alias("card"), F.col("t").alias("ts_us"), F.lit(None).cast("bigint").alias("event_id"), F.lit(0.0).alias("power_w")))
     q = q.unionByName(end.select(F.lit(None).cast("bigint").alias("req_id"), F.lit("end").alias("card"), F.col("t").alias("t0"), F.col("t").alias("t1")))
     requests = J.read(spark, J.arrivals(q, "t0", 3, scratch(spark, "request-files")), q.schema, per_trigger=1)
     samples = J.read(spark, J.arrivals(s, "ts_us", 3, scratch(spark, "sample-files")), s.schema, per_trigger=1)
     out, ck = J.new_paths(spark, "late")
-    J.to_table(J.request_samples(requests, samples, NEAR, LONGEST), out, ck)
-    return J.request_energy(spark.read.parquet(out).filter("req_id is not null"), NEAR).select("req_id", "card", r3("joules", "joules"))
+    with arrow_rows(spark, 1):  # a row holds a whole stretch
+        J.to_table(J.stretch_energy(J.request_stretches(requests, samples, NEAR, LONGEST), NEAR), out, ck)
+    return spark.read.parquet(out).filter("req_id is not null").select("req_id", "card", r3("joules", "joules"))
 
 
 #: A guard gives up after this long (microseconds).

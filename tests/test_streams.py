@@ -198,6 +198,39 @@ def test_requests_join_by_stretches_of_time(spark):
     assert "q_part" in plan and "part" in plan
 
 
+def test_requests_meet_gathered_samples(spark):
+    """A row per card and stretch instead of one per request and sample; joules are those of the pairs, late rows and expiry as well."""
+    q_schema, s_schema = "req_id long, card string, t0 long, t1 long", "card string, ts_us long, event_id long, power_w double"
+    second, pad, longest = 1_000_000, 5_000_000, 60_000_000
+    rng = random.Random(5)
+    q = [(i, "ab"[i % 2], t, t + rng.choice([0, 1, 30, 60]) * second) for i, t in enumerate(rng.randrange(900, 2400) * second for _ in range(80))]
+    s = [("ab"[i % 2], rng.randrange(950, 2300) * second, i, float(rng.randrange(50))) for i in range(1500)]
+    s = [r for r in s if not 1500 * second < r[1] < 1600 * second and not 279 < r[2] < 290] + [("a", 1000 * second, 280, None)]
+    s = list({r[:2]: r for r in s}.values())
+    far = 9000 * second
+    steps = [(q, s), ([(None, "end", far, far)], [("end", far, 0, 0.0)]), ([(99, "a", 1000 * second, 1001 * second)], [("a", 1000 * second, 9999, 1e6)]), ([(None, "end", 2 * far, 2 * far)], [("end", 2 * far, 0, 0.0)])]
+    got = {}
+    for name in ("pairs", "stretches"):
+        folders = [jobs.scratch(spark, n) for n in "qs"]
+        out, ck = jobs.new_paths(spark, name)
+        for rows in steps:
+            for r, schema, folder in zip(rows, (q_schema, s_schema), folders):
+                spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(folder)
+            requests, samples = (jobs.read(spark, f, spark.createDataFrame([], c).schema) for f, c in zip(folders, (q_schema, s_schema)))
+            job = jobs.request_samples if name == "pairs" else jobs.request_stretches
+            jobs.to_table(job(requests, samples.drop("event_id") if name == "pairs" else samples, pad, longest), out, ck)
+        d = spark.read.parquet(out)
+        if name == "stretches":
+            width = jobs.STRETCH * (longest + 2 * pad)
+            assert d.count() == len({(c, t1 // width) for _, c, _, t1 in q}) + 1  # and the first row far ahead
+            d = jobs.stretch_energy(d, pad)
+        else:
+            d = jobs.request_energy(d, pad)
+        got[name] = {r.req_id: r.joules for r in d.collect() if r.req_id is not None}
+    assert any(v is None for v in got["pairs"].values()) and sum(v is not None for v in got["pairs"].values()) > 40
+    assert got["stretches"] == {i: None if v is None else pytest.approx(v) for i, v in got["pairs"].items()}
+
+
 def test_attempts_are_counted_over_batches_without_python(spark):
     folder = jobs.scratch(spark, "failures")
     out, ck = jobs.new_paths(spark, "retry")
