@@ -129,8 +129,8 @@ def sg_session_pauses_stream(spark, sf):
     p = p.unionByName(end.filter("start_us is not null")).withColumn("host", F.lit("host"))
     folder = J.arrivals(p, "start_us", 3, scratch(spark, "pause-files"))
     out, ck = J.new_paths(spark, "sessions")
-    J.to_table(G.sessions(J.read(spark, folder, p.schema, per_trigger=1)), out, ck)
-    return spark.read.parquet(out).select("start_us", "end_us", "n")
+    J.to_table(G.sessions(J.read(spark, folder, p.schema, per_trigger=1), part_us=G.PART), out, ck)
+    return G.join_parts(spark.read.parquet(out)).select("start_us", "end_us", "n")
 
 
 @query("sg_best_so_far_stream", with_("runlog") + """

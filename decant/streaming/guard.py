@@ -1,16 +1,17 @@
 """State machines over telemetry and training logs that arrive as streams.
 
 Rows of one batch come in any order and are sorted per key; a row older than what an earlier batch has processed for its
-key is late and changes nothing. Loops run once per pause, not per sample.
+key is late and changes nothing, nor does one behind the guard's watermark. Loops run once per pause, not per sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -74,12 +75,11 @@ class Guard(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         since, reached = self._since()
         old = self._timer(since)
-        d = pd.concat([r[["ts_us", "event_id", "temp_c"]] for r in rows]).dropna(subset=["ts_us", "temp_c"])
-        d = d.sort_values(["ts_us", "event_id"])
-        ts, temp = d["ts_us"].to_numpy(np.int64), d["temp_c"].to_numpy(float)
-        if reached is not None:
-            fresh = ts >= reached
-            ts, temp = ts[fresh], temp[fresh]
+        packs = pd.concat(list(rows))
+        ts, ids, temp = (np.concatenate(packs[c].to_list()) for c in ("ts_us", "event_id", "temp_c"))
+        fresh = np.flatnonzero(ts >= max(1000 * timerValues.getCurrentWatermarkInMs(), 0 if reached is None else reached))
+        fresh = fresh[np.lexsort((ids[fresh], ts[fresh]))]
+        ts, temp = ts[fresh], temp[fresh]
         if len(ts):
             cool = temp < self.lo if self.strict else temp <= self.lo
             closed, since = pauses_of(ts, temp >= self.hi, cool, since, self.max_wait, self.in_order)
@@ -109,24 +109,59 @@ class Guard(StatefulProcessor):
         pass
 
 
+def packed(samples: DataFrame) -> DataFrame:
+    """Samples with a time and a temperature, as a row of arrays per card and Arrow batch: a keyed processor is handed its rows one by one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packs = pa.table(b).group_by("card").aggregate([("ts", "max"), *((c, "list") for c in ("ts_us", "event_id", "temp_c"))])
+            yield from packs.rename_columns(["card", "ts", "ts_us", "event_id", "temp_c"]).to_batches()
+
+    d = samples.filter(F.col("ts_us").isNotNull() & F.col("temp_c").isNotNull()).select("card", "ts", "ts_us", "event_id", F.col("temp_c").cast("double"))
+    return d.mapInArrow(run, "card string, ts timestamp, ts_us array<bigint>, event_id array<bigint>, temp_c array<double>")
+
+
 def guard(samples: DataFrame, hi: float = TEMP_PAUSE, lo: float = TEMP_RESUME, strict: bool = False, max_wait_us: int | None = None, delay: str = "2 seconds", in_order: bool = False) -> DataFrame:
     """Closed pauses per card of a stream with ts, card, ts_us, event_id and temp_c. State is two numbers per card."""
-    d = samples.select("ts", "card", "ts_us", "event_id", "temp_c").withWatermark("ts", delay)
+    d = packed(samples).withWatermark("ts", delay)
     return d.groupBy("card").transformWithStateInPandas(Guard(hi, lo, strict, max_wait_us, in_order), PAUSES, "Append", "EventTime")
 
 
-def sessions(pauses: DataFrame, by: str = "host", delay: str = "0 seconds") -> DataFrame:
+#: Stretch of starts whose pauses are joined by one key of the stream, in microseconds.
+PART = 3_600_000_000
+
+
+def sessions(pauses: DataFrame, by: str = "host", delay: str = "0 seconds", part_us: int | None = None) -> DataFrame:
     """Times in which any card of a host paused: pauses that overlap or touch are one session, as each one's gap is its length.
 
     A gap of no length opens no window, so the windows' clock runs at double speed and gaps are one tick longer: a pause of no
     time counts, and one that starts a microsecond behind another's end still does not touch it.
+
+    All open sessions of a key are compared with one another in every batch. With ``part_us`` the pauses that start in one
+    stretch of that length have a key of their own; ``join_parts`` makes whole sessions of what comes out.
     """
     twice = f"{round(2 * pd.Timedelta(delay) / pd.Timedelta(microseconds=1))} microseconds"
     gap = F.concat((2 * (F.col("end_us") - F.col("start_us")) + 1).cast("string"), F.lit(" microseconds"))
     d = pauses.withColumn("at", F.timestamp_micros(2 * F.col("start_us"))).withColumn("gap", gap).withWatermark("at", twice)
-    g = d.groupBy(F.session_window("at", F.col("gap")).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    keys = [by]
+    if part_us is not None:
+        d, keys = d.withColumn("part", F.floor(F.col("start_us") / F.lit(part_us)).cast("bigint")), [by, "part"]
+    g = d.groupBy(F.session_window("at", F.col("gap")).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     half = lambda c: F.shiftright(F.unix_micros(c), 1)
-    return g.select(by, half("w.start").alias("start_us"), half("w.end").alias("end_us"), "n")
+    return g.select(*keys, half("w.start").alias("start_us"), half("w.end").alias("end_us"), "n")
+
+
+def join_parts(pieces: DataFrame, by: str = "host") -> DataFrame:
+    """Whole sessions from those of parts. Within a part they lie apart, so only what earlier parts reach into is joined.
+
+    ``pieces`` is read three times, so it should be a written table; windows run over one row per part.
+    """
+    earlier = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = pieces.groupBy(by, "part").agg(F.max("end_us").alias("top")).select(by, "part", F.max("top").over(earlier).alias("reach"))
+    d = pieces.join(reach, [by, "part"]).withColumn("opens", F.col("reach").isNull() | (F.col("start_us") > F.col("reach")))
+    opened = d.groupBy(by, "part").agg(F.max(F.when(F.col("opens"), F.col("start_us"))).alias("last")).select(by, "part", F.max("last").over(earlier).alias("opened"))
+    d = d.join(opened, [by, "part"]).withColumn("session", F.when(F.col("opens"), F.col("start_us")).otherwise(F.col("opened")))
+    return d.groupBy(by, F.col("session").alias("start_us")).agg(F.max("end_us").alias("end_us"), F.sum("n").alias("n"))
 
 
 class Best(StatefulProcessor):

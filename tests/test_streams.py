@@ -178,6 +178,36 @@ def test_pauses_of_a_host_join_into_sessions(spark):
     assert got == [("g", 12, 22, 1), ("h", 10, 30, 3), ("h", 40, 50, 1)]
 
 
+def test_sessions_of_parts_are_whole_sessions(spark):
+    """Pauses over many parts, in three batches: a key of the stream holds one part, and what reaches over parts is one session."""
+    rng = random.Random(11)
+    rows = [("gh"[i % 2], t, t + rng.choice([0, 1, 3, 3, 40])) for i in range(400) for t in [rng.randrange(4000)]] + [("g", 100, 155), ("g", 155, 155)]
+    want = []
+    for host in "gh":
+        at = None
+        for _, a, b in sorted(r for r in rows if r[0] == host):
+            if at is None or a > at[2]:
+                at = [host, a, b, 0]
+                want.append(at)
+            at[2:] = max(at[2], b), at[3] + 1
+    folder = jobs.scratch(spark, "pauses")
+    out, ck = jobs.new_paths(spark, "sessions")
+    far = [(h, 10**12, 10**12 + 1) for h in "gh"]
+    d = spark.createDataFrame(rows + far, "host string, start_us long, end_us long")
+    jobs.to_table(guard.sessions(jobs.read(spark, jobs.arrivals(d, "start_us", 3, folder), d.schema, per_trigger=1), part_us=10), out, ck)
+    pieces = spark.read.parquet(out)
+    assert pieces.filter("part <> start_us div 10").count() == 0 and pieces.count() > len(want)
+    got = sorted((r.host, r.start_us, r.end_us, r.n) for r in guard.join_parts(pieces).collect())
+    assert got == sorted(tuple(w) for w in want)
+
+
+def test_samples_reach_the_guard_as_arrays(spark):
+    d = spark.createDataFrame([("ab"[i % 2], i, i, None if i == 7 else float(i)) for i in range(1000)], "card string, ts_us long, event_id long, temp_c double")
+    got = {r.card: r for r in guard.packed(d.withColumn("ts", F.timestamp_micros("ts_us")).coalesce(1)).withColumn("us", F.unix_micros("ts")).collect()}
+    assert sorted(got) == ["a", "b"] and (got["a"].us, got["b"].us) == (998, 999)
+    assert sorted(got["b"].ts_us) == [i for i in range(1, 1000, 2) if i != 7] and [int(t) for t in got["b"].temp_c] == got["b"].event_id == got["b"].ts_us
+
+
 def test_requests_join_by_stretches_of_time(spark):
     """The join is keyed by card and stretch of time, and every request meets all its samples once, whatever edge they lie on."""
     q_schema, s_schema = "req_id long, card string, t0 long, t1 long", "card string, ts_us long, power_w double"
