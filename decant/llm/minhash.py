@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +61,19 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each text (bytes; null has none), lower-cased; a word is hashed once however often a batch has it."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    words = pc.ascii_split_whitespace(trimmed)
+    codes = words.flatten().dictionary_encode()
+    known = codes.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))[codes.indices.to_numpy()]
+    ends = np.cumsum(pc.list_value_length(words).to_numpy())
+    # splitting a text without words gives one empty word
+    first = np.where(pc.binary_length(trimmed).to_numpy() > 0, np.append(0, ends)[:-1], ends)
+    return [hashes[i:j] for i, j in zip(first, ends, strict=True)]
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter sequence is one shingle, an empty one none."""
     n = min(width, len(words))
@@ -69,20 +82,31 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     h = np.full(len(words) - n + 1, n, dtype=np.uint64)
     for i in range(n):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
-    return np.unique(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def minima(s: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(s), 2048):
-        np.minimum(out, (_MUL * s[i : i + 2048] + _ADD).min(axis=1), out=out)
+    for i in range(0, len(s), 1024):
+        h = _MUL * s[i : i + 1024]
+        h += _ADD
+        np.minimum(out, h.min(axis=1), out=out)
     return out
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """Low bits of the minima, ``64 / BITS`` to a number. Minima keep their order bits on top, so low bits are mixed first."""
-    low = (mix(m) & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
-    return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
+    """Low bits of the minima (last axis), ``64 / BITS`` to a number. Minima keep their order bits on top, so low bits are mixed first."""
+    low = (mix(m) & np.uint64((1 << BITS) - 1)).reshape(*m.shape[:-1], -1, 64 // BITS)
+    return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=-1)
+
+
+def bands_of(m: np.ndarray) -> np.ndarray:
+    """Bucket keys of the minima (last axis), one for each band."""
+    h = np.arange(BANDS, dtype=np.uint64)
+    for r in np.moveaxis(m.reshape(*m.shape[:-1], BANDS, ROWS), -1, 0):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + r)
+    return h
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,24 +135,12 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, cls (16-byte id of the set, null if empty), n (its size), bands, sig."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
-        number = np.arange(BANDS, dtype=np.uint64)
         for b in batches:
-            cls, n, bands, sig = [], [], [], []
-            for t in b.column(1):
-                s = shingles(memo.of((t.as_py() or b"").lower().split()), width)
-                cls.append(_set_id(s))
-                n.append(len(s))
-                if len(s):
-                    m = minima(s)
-                    h = number
-                    for r in m.reshape(BANDS, ROWS).T:
-                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + r)
-                    bands.append(h.view(np.int64))
-                    sig.append(packed(m).tobytes())
-                else:
-                    bands.append(None)
-                    sig.append(None)
+            sets = [shingles(words, width) for words in word_hashes(b.column(1))]
+            cls, n = [_set_id(s) for s in sets], [len(s) for s in sets]
+            m = np.array([minima(s) for s in sets]).reshape(-1, HASHES)
+            bands = [h if k else None for h, k in zip(bands_of(m).view(np.int64), n, strict=True)]
+            sig = [p.tobytes() if k else None for p, k in zip(packed(m), n, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                 names=["key", "cls", "n", "bands", "sig"])
@@ -141,11 +153,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: i
     """The shingle set of each wanted class (cls, key of one of its documents), from that document's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
         for b in batches:
             cls, sets = [], []
-            for c, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingles(memo.of(t.as_py().lower().split()), width)
+            for c, words in zip(b.column(0).to_pylist(), word_hashes(b.column(1)), strict=True):
+                s = shingles(words, width)
                 if _set_id(s) == c:  # another text may have the same key
                     cls.append(c)
                     sets.append(s.tobytes())
@@ -191,7 +202,7 @@ def _across(least: float, percent: int):
 
     def run(block: pa.Table) -> pa.RecordBatch:
         sig, n, cls = _signatures(block["sig"]), block["n"].to_numpy(), block["cls"].to_pylist()
-        group = pa.compute.dictionary_encode(block["component"].combine_chunks()).indices.to_numpy()
+        group = pc.dictionary_encode(block["component"].combine_chunks()).indices.to_numpy()
         here, visits = np.flatnonzero(block["here"].to_numpy(zero_copy_only=False)), np.flatnonzero(block["visits"].to_numpy(zero_copy_only=False))
         forest = Forest(len(cls))
         for a, b, _ in _likely_pairs(sig, n, group, visits, here, least, percent):
@@ -213,7 +224,7 @@ def _settle(least: float, percent: int):
     def run(block: pa.Table) -> pa.RecordBatch:
         sig, n, cls = _signatures(block["sig"]), block["n"].to_numpy(), block["cls"].to_pylist()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in block["items"].to_pylist()]
-        group = pa.compute.dictionary_encode(block["component"].combine_chunks()).indices.to_numpy()
+        group = pc.dictionary_encode(block["component"].combine_chunks()).indices.to_numpy()
         left, right = np.flatnonzero(block["left"].to_numpy(zero_copy_only=False)), np.flatnonzero(block["right"].to_numpy(zero_copy_only=False))
         found = list(_likely_pairs(sig, n, group, left, right, least, percent))
         a, b, e = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in range(3))
@@ -296,9 +307,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     @F.arrow_udf("binary")
     def set_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = Words()
         for batch in texts:
-            yield pa.array([_set_id(shingles(memo.of((t.as_py() or b"").lower().split()), width)) for t in batch], pa.binary())
+            yield pa.array([_set_id(shingles(words, width)) for words in word_hashes(batch)], pa.binary())
 
     odd = docs.join(several, own == F.col("_k"), "left_semi").unionByName(docs.filter(docs[key].isNull()))
     odd = odd.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(key).cast("bigint").alias("k"), set_of.asNondeterministic()(F.col(text).cast("binary")).alias("cls"))

@@ -53,7 +53,8 @@ class Encoder(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        shown = part.encode().decode("latin-1").translate(self.alphabet)
+        # parts have no blanks or controls here, so ASCII stands for itself
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
         ids = self[part] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
         return ids
 

@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 Everything is built-in expressions. Spark gives the matches of a pattern and the pieces between them; the lengths of
-both give every position. Patterns start only where a match can start and use possessive repeats, so that long runs
-of letters or digits cost one pass and no stack. They find the same matches as the plain patterns in their comments.
+both give every position. Patterns start only where a match can start, look ahead for its first characters before anything
+else, and use possessive repeats, so that long runs of letters or digits cost one pass and no stack. They find the same matches as the plain patterns in their comments.
 """
 
 from __future__ import annotations
@@ -45,21 +45,21 @@ _IBAN_LENGTHS = {
     28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _IBAN_FIXED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
-_IBAN = rf"(?<![A-Za-z0-9])(?=((?:{_IBAN_FIXED}|(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+_IBAN = rf"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Za-z0-9])(?=((?:{_IBAN_FIXED}|(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
 
 #: In the order in which spans are listed. The first four are the base kinds, reported whatever stands near them.
 KINDS = (
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true", 0.9, "mail|contact|write|reach", 0.1, "contains(t, '@')"),
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "forall(split(w, '[.]'), x -> coalesce(try_cast(x as bigint) <= 255, false))", 0.6, "address|server|host|login|ip", 0.3),
+    Kind("ip", r"(?=[0-9])(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "forall(split(w, '[.]'), x -> coalesce(try_cast(x as bigint) <= 255, false))", 0.6, "address|server|host|login|ip", 0.3),
     # [0-9]([\x20-]?[0-9])+, of which only runs of 13 digits and more are taken up
-    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+", _LUHN, 0.8, "card|visa|credit|debit|payment|carte|karte|tarjeta", 0.2),
+    Kind("card", r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+", _LUHN, 0.8, "card|visa|credit|debit|payment|carte|karte|tarjeta", 0.2),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15", 0.6, "phone|call|tel|fax|mobile", 0.3, "contains(t, '+')"),
     # [A-Z]{2}[0-9]{2}(\x20?[A-Z0-9])+ of the length of its country; other countries take up whatever follows, up to 34
     Kind("iban", _IBAN, _MOD97, 0.9, "iban|bank|account|konto|compte|cuenta", 0.1, ahead=4),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substr(w, 1, 3) not in ('000', '666') and substr(w, 1, 1) != '9'", 0.3, "ssn|social security|tax id", 0.5),
+    Kind("ssn", r"(?=[0-9]{3}-)(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substr(w, 1, 3) not in ('000', '666') and substr(w, 1, 1) != '9'", 0.3, "ssn|social security|tax id", 0.5),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 

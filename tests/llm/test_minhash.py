@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from decant.llm import minhash
@@ -104,3 +105,13 @@ def test_one_row_of_each_group_stays(make, prose):
     assert rest == sorted([(5, a), (7, c), (7, prose(4, 60)), (7, ""), (20, None), (20, None), (None, ""), (21, "...")], key=key)
     assert minhash.deduplicate(make(rows)).columns == make(rows).columns
     assert minhash.deduplicate(make([])).collect() == []
+
+
+def test_words_of_a_batch_are_hashed_once(monkeypatch):
+    texts = ["A b a", None, "", " \n ", "  x\x0bB\tÉ é\x0c", "a"]
+    seen = []
+    hashed = minhash.xxhash.xxh64_intdigest
+    monkeypatch.setattr(minhash.xxhash, "xxh64_intdigest", lambda w: seen.append(w) or hashed(w))
+    got = minhash.word_hashes(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    assert [w.tolist() for w in got] == [[hashed(w) for w in (t or "").encode().lower().split()] for t in texts]
+    assert len(seen) == len(set(seen))
