@@ -3,8 +3,9 @@
 Equal vectors form a class and classes are compared. A class lies in the cell of its nearest centre and also visits
 every cell whose centre is at most ``SLACK`` (in cosine) farther, so that close vectors on both sides of a border meet.
 The centres are fitted on a bounded sample; their number grows with the root of the number of vectors, so cells stay
-small against the table. Cells are cut into blocks, and a task holds one pair of blocks whatever a cell's size. A task
-returns the number of links of each of its vectors and a spanning forest of the links it found, never the pairs.
+small against the table. A cell's own classes and all that lie in it or visit it are cut into blocks, each by their own
+number, and a task holds one pair of such blocks whatever a cell's size: most of what a cell holds are visitors, which meet
+the few blocks of its own classes only. A task returns the number of links of each of its vectors and a spanning forest of the links it found, never the pairs.
 """
 
 from __future__ import annotations
@@ -98,9 +99,9 @@ def _compare(least: float):
         x = _unit(np.frombuffer(b"".join(block["vec"]), dtype=np.float64).reshape(len(block), -1))
         home, n, cell = block["home"].to_numpy(), block["n"].to_numpy(), int(block["cell"].iloc[0])
         here, meet = np.flatnonzero(block["here"].to_numpy()), np.flatnonzero(block["meet"].to_numpy())
-        lists = block["cells"].to_list()
-        top = int(max(max(c) for c in lists)) + 1
-        visited = np.unique(np.concatenate([i * top + np.asarray(lists[i], dtype=np.int64) for i in here])) if len(here) else np.zeros(0, np.int64)
+        lists = block["cells"].iloc[here].to_list()
+        top = 1 + int(max(home.max(), *(max(c) for c in lists))) if lists else 1
+        visited = np.unique(np.concatenate([i * top + np.asarray(c, dtype=np.int64) for i, c in zip(here, lists, strict=True)])) if lists else np.zeros(0, np.int64)
         links, forest = np.zeros(len(block), dtype=np.int64), Forest(len(block))
         for i in range(0, len(here), 512):
             own = here[i : i + 512]
@@ -119,6 +120,24 @@ def _compare(least: float):
     return run
 
 
+def _pairs_of_blocks(members: DataFrame) -> DataFrame:
+    """Rows of each pair of blocks (size, cell, i, j): the cell's own classes of block i are ``here``, all classes of block j ``meet`` them.
+
+    Only rows that are ``here`` bring their cells along.
+    """
+    at = members.withColumn("cell", F.explode("cells")).withColumn("own", F.col("home") == F.col("cell"))
+    sizes = at.groupBy("size", "cell").agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    d = at.join(sizes.filter(F.col("homes") > 0), ["size", "cell"])
+    block = lambda count: F.pmod(F.xxhash64("cls"), count).cast("int")
+    d = d.withColumn("at_i", F.when(F.col("own"), block("homes"))).withColumn("at_j", block("blocks"))
+    across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("at_i").alias("i"), j.alias("j")))
+    down = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: F.struct(i.alias("i"), F.col("at_j").alias("j")))
+    d = d.withColumn("p", F.explode(F.when(F.col("own"), F.array_union(across, down)).otherwise(down)))
+    here = F.col("own") & (F.col("at_i") == F.col("p.i"))
+    return d.select("size", "cell", "p.i", "p.j", "cls", "vec", "n", "home", F.when(here, F.col("cells")).alias("cells"),
+                    F.coalesce(here, F.lit(False)).alias("here"), (F.col("at_j") == F.col("p.j")).alias("meet"))
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, slack: float = SLACK) -> DataFrame:
     """One row per vector: ``n_links``, ``component_id`` (least key reachable by links) and ``kept``.
 
@@ -131,14 +150,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     classes = materialise(classes, "classes")
     members = materialise(_members(classes, centres(classes), slack), "members")
-    at = members.withColumn("cell", F.explode("cells"))
-    sizes = at.groupBy("size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    d = at.join(sizes, ["size", "cell"])
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
-    down = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
-    d = d.withColumn("own", own).withColumn("p", F.explode(F.when(F.col("home") == F.col("cell"), F.array_union(across, down)).otherwise(down)))
-    d = d.select("size", "cell", "p.i", "p.j", "cls", "vec", "n", "home", "cells", ((F.col("home") == F.col("cell")) & (F.col("own") == F.col("p.i"))).alias("here"), (F.col("own") == F.col("p.j")).alias("meet"))
+    d = _pairs_of_blocks(members)
     found = materialise(d.groupBy("size", "cell", "i", "j").applyInPandas(_compare(least), "a binary, b binary, n bigint"), "found")
     labels = components(found.filter(F.col("b").isNotNull()), "a", "b").withColumnRenamed("node", "cls")
     links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))

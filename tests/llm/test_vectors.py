@@ -60,3 +60,15 @@ def test_blocks_of_a_hot_cell(spark, monkeypatch):
 
 def test_empty(spark):
     assert vectors.near_duplicates(build(spark, [])).collect() == []
+
+
+def test_visitors_meet_only_the_blocks_of_a_cells_own(spark, monkeypatch):
+    """One class of a cell's own and 40 visitors: five blocks meet one, so a visitor is one row, and every pair stands in one task."""
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    rows = [(bytes([i]), bytes([i]), 1, 0 if i < 3 else 1, [0] if i < 3 else [0, 1], 1) for i in range(43)]
+    members = spark.createDataFrame(rows, "cls binary, vec binary, n long, home int, cells array<int>, size int")
+    d = vectors._pairs_of_blocks(members).filter("cell = 0").collect()
+    assert max(r.i for r in d) == 0 and max(r.j for r in d) == 4
+    assert sum(r.home == 1 for r in d) == 40 and all(r.cells is None for r in d if r.home == 1)
+    pairs = [(bytes(a.cls), bytes(b.cls)) for a in d if a.here for b in d if b.meet and (a.i, a.j) == (b.i, b.j)]
+    assert sorted(pairs) == sorted((bytes([a]), bytes([b])) for a in range(3) for b in range(43))
